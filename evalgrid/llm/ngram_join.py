@@ -15,7 +15,8 @@ Groups of near copies are not expanded into pairs. Under each index key all sets
 set that shares most), sets linked to one hub are contracted, and of the pairs under one key that are still apart those
 are verified that may reach the similarity. So no link that joins components is lost, and those within one are not
 enumerated. A pair may reach it unless the parity bitmaps of its sets (one bit for each of BITS token classes) differ in
-too many bits: each differing bit is a token that one set has and the other lacks.
+too many bits: each differing bit is a token that one set has and the other lacks. Nor does it if they share too few
+keys: of M + 1 shared tokens all that neither set counts as frequent are keys of their own.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ SHARE, LEAST = 2.0**-20, 16
 #: Tokens of a window in which repeated tokens are counted before the shuffle.
 WINDOW = 1 << 21
 #: Bits of a set's parity bitmap, in longs of 64.
-BITS = 512
+BITS = 256
+#: Rows of facts about sets (some 60 bytes each) up to which they are broadcast.
+FACTS = 400_000
 _U = np.uint64
 
 
@@ -106,32 +109,38 @@ def bucket(n: int) -> int:
     return b
 
 
-def classes(b: int) -> int:
-    """Classes of frequent tokens for sets of size class b."""
+def least_size(b: int) -> int:
     low = 6
     for _ in range(b):
         low += low // 2
-    return max(1, low // 64)
+    return low
 
 
-def signatures(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Index keys of one set of distinct tokens. common: frequent tokens, sorted; rank: their place in the order."""
+def classes(b: int) -> int:
+    """Classes of frequent tokens for sets of size class b."""
+    return max(1, least_size(b) // 64)
+
+
+def signatures(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray, num: int, den: int) -> tuple[np.ndarray, int]:
+    """Index keys of one set of distinct tokens, and the most frequent tokens that a prefix of it has. common: frequent
+    tokens, sorted; rank: their place in the order."""
     n = len(tokens)
     need = -(-n * num // den)
-    if need > n * n // (n + 1) and (n - 1) * den < num * n and n * den < num * (n + 1):  # no other size is near enough
-        return np.zeros(0, _U)
+    if n * den < num * (n + 1):  # a different set cannot be near enough
+        return np.zeros(0, _U), 0
     schemes = sorted({bucket(n), bucket(n * den // num)})
     at = np.searchsorted(common, tokens)
     at[at == len(common)] = 0
     frequent = common[at] == tokens if len(common) else np.zeros(n, bool)
     rare = np.sort(tokens[~frequent])
     order = at[frequent][np.argsort(rank[at[frequent]], kind="stable")] if frequent.any() else np.zeros(0, np.int64)
-    out = []
+    out, most = [], 0
     for b in schemes:
         m = classes(b)
         length = min(n, n - need + 1 + m)
         out.append(rare[:length])
         own = common[order[: max(0, length - len(rare))]] if len(order) else np.zeros(0, _U)
+        most = max(most, len(own))
         if n < 2 or not len(own):
             continue
         group = (own >> _U(7)) % _U(m)
@@ -140,14 +149,14 @@ def signatures(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray, num: in
             if len(x) > 1:
                 i, j = np.triu_indices(len(x), 1)
                 out.append(K.mix(x[i] * K._PLACE[0] + x[j] * K._PLACE[1] + _U(b)))
-    return np.unique(np.concatenate(out))
+    return np.unique(np.concatenate(out)), most
 
 
 def _index(k: int, num: int, den: int, common, rank):
     def run(batches):
         seen: set[int] = set()
         for ids, sets in _sets(batches, k):
-            out_id, out_n, out = [], [], []
+            out_id, out_f, out = [], [], []
             for i, own in zip(ids.to_pylist(), sets):
                 if len(own) > 1 and i is not None:
                     key = xxhash.xxh3_128_intdigest(own.tobytes())
@@ -155,11 +164,12 @@ def _index(k: int, num: int, den: int, common, rank):
                         continue
                     if len(seen) < 1 << 17:
                         seen.add(key)
-                    out.append(signatures(own, common.value, rank.value, num, den))
-                    out_id.append(np.full(len(out[-1]), i, np.int64))
-                    out_n.append(np.full(len(out[-1]), len(own), np.int32))
+                    keys, most = signatures(own, common.value, rank.value, num, den)
+                    out.append(keys)
+                    out_id.append(np.full(len(keys), i, np.int64))
+                    out_f.append(np.full(len(keys), most, np.int32))
             if out:
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(out)), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_n))], ["key", "id", "n"])
+                yield pa.RecordBatch.from_arrays([_long(np.concatenate(out)), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_f))], ["key", "id", "f"])
 
     return run
 
@@ -175,8 +185,8 @@ def _tokens(k: int):
 
 def _near(a: str, b: str, num: int, den: int):
     """Whether the sizes and bitmaps of rows a and b leave the similarity possible."""
-    apart = " + ".join(f"bit_count({a}.bits[{i}] ^ {b}.bits[{i}])" for i in range(BITS // 64))
-    return F.expr(f"{den} * least({a}.n, {b}.n) >= {num} * greatest({a}.n, {b}.n) AND {den} * ({a}.n + {b}.n - ({apart})) >= {num} * ({a}.n + {b}.n + ({apart}))")
+    apart = " + ".join(f"bit_count({a}bits[{i}] ^ {b}bits[{i}])" for i in range(BITS // 64))
+    return F.expr(f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) AND {den} * ({a}n + {b}n - ({apart})) >= {num} * ({a}n + {b}n + ({apart}))")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -211,31 +221,41 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     rows = scan.where("token IS NULL").select("id", "n", "k1", "k2", "bits")
     real = rows.where("n > 0 AND id IS NOT NULL")
-    reps = real.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"), F.min_by("bits", "id").alias("bits"))
-    member = real.select("id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"]).select("id", "rep", "n", "bits")
-    keys = docs.mapInArrow(_index(k, num, den, common, rank), "key long, id long, n int").select("key", "id")
+    reps = real.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
+    member = real.select("id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"]).select("id", "rep")
+    copies = stored(member.where("id <> rep"), "copies")
     per_key = Window.partitionBy("key")
-    shared = stored(keys.withColumn("sets", F.count("*").over(per_key)).where("sets > 1").select("key", "id"), "shared")
-    index = shared.join(member, "id").select("key", F.col("rep").alias("id"), "n", "bits").dropDuplicates(["key", "id"])
-    index = stored(index.withColumn("sets", F.count("*").over(per_key)).where("sets > 1"), "index")
-
-    hubs = index.join(index.groupBy("id").agg(F.sum("sets").alias("reach")), "id").groupBy("key").agg(F.max_by(F.struct("id", "n", "bits"), F.struct("reach", F.negative("id"))).alias("hub"))
-    star = index.alias("x").join(hubs.select(F.col("key"), "hub.*").alias("y"), F.expr("x.key = y.key AND x.id <> y.id") & _near("x", "y", num, den))
-    star = stored(star.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct(), "star")
+    keys = docs.mapInArrow(_index(k, num, den, common, rank), "key long, id long, f int")
+    shared = stored(keys.withColumn("sets", F.count("*").over(per_key)).where("sets > 1").drop("sets"), "shared")
+    index = shared.join(by_size(copies), "id", "left").select("key", F.coalesce("rep", "id").alias("id"), "f")
+    index = index.repartition("key").dropDuplicates(["key", "id"]).withColumn("sets", F.count("*").over(per_key)).where("sets > 1")
+    index = stored(index, "index")
+
+    # What the joins need of a set: size, bitmap, most frequent tokens and classes of its prefixes, how much it shares.
+    m = F.lit(1)
+    for b in range(1, 60):
+        m = F.greatest(m, F.when(F.col("n") >= least_size(b), F.lit(classes(b))).otherwise(F.lit(1)))
+    facts = index.groupBy("id").agg(F.sum("sets").alias("reach"), F.max("f").alias("f")).join(rows.select("id", "n", "bits").dropDuplicates(["id"]), "id")
+    facts = stored(facts.withColumn("m", m), "facts")
+    facts = by_size(facts, limit=FACTS)
+
+    hub = F.max_by(F.struct("id", "n", "bits"), F.struct("reach", F.negative("id"))).over(per_key)
+    star = index.select("key", "id").join(facts.drop("f", "m"), "id").withColumn("hub", hub).where("id <> hub.id").where(_near("", "hub.", num, den))
+    star = stored(star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "star")
     checked = stored(verified(docs, star, k, num, den), "verified")
     found = checked.where("linked")
     low = found.select(F.col("a").alias("id"), F.col("a").alias("low")).unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("low"))).groupBy("id").agg(F.min("low").alias("low"))
     lower = low.select(F.col("id").alias("low"), F.col("low").alias("lowest"))
-    parts = low.join(lower, "low", "left").select("id", F.coalesce("lowest", "low").alias("part"))
+    parts = stored(low.join(lower, "low", "left").select("id", F.coalesce("lowest", "low").alias("part")), "parts")
 
-    rest = index.join(parts, "id", "left").select("key", "id", "n", "bits", F.coalesce("part", "id").alias("part"))
-    split = rest.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    rest = rest.join(split, "key", "left_semi")
-    more = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.part <> y.part") & _near("x", "y", num, den)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    rest = index.select("key", "id").join(by_size(parts), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    rest = rest.withColumn("low", F.min("part").over(per_key)).withColumn("high", F.max("part").over(per_key)).where("low <> high").select("key", "id", "part").join(facts.drop("reach"), "id")
+    more = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.part <> y.part") & _near("x.", "y.", num, den))
+    more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("greatest(x.m, y.m) + 1 - least(x.f, y.f)").alias("need")).groupBy("a", "b").agg(F.count("*").alias("have"), F.max("need").alias("need")).where("have >= need").select("a", "b")
     more = stored(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
     parts = connected_components(found.unionByName(verified(docs, more, k, num, den).where("linked")).select("a", "b"))
-    out = member.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    ends = out.groupBy("id").agg(F.min("component").alias("component"))
+    reps = copies.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    ends = reps.unionByName(parts.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
     full = rows.join(ends, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
     return full
 
