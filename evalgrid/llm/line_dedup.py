@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, by_size, lower_ascii, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Documents that lose lines up to which their lists of lost keys are broadcast.
+LOST = 250_000
 
 
 def _hashes(key: Column) -> tuple[Column, Column]:
@@ -45,7 +47,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     fresh = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
     named = docs.select(*[F.col(f"`{c}`") for c in fresh], F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"), text.alias("__text"))
-    joined = named.join(by_size(lost.withColumnRenamed("id", "__id").withColumnRenamed("lost", "__lost")), "__id", "left")
+    joined = named.join(by_size(lost.withColumnRenamed("id", "__id").withColumnRenamed("lost", "__lost"), limit=LOST), "__id", "left")
     kept = F.when(F.col("__lost").isNull(), F.lit(None)).otherwise(F.filter(F.split("__text", "\n", -1), lambda x: ~((F.octet_length(x) >= min_chars) & F.array_contains(F.col("__lost"), _key(x)))))
     out = joined.withColumn("__kept", kept).withColumn("n_lines", F.size(F.split("__text", "\n", -1)).cast("long"))
     out = out.withColumn("n_dropped", F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
