@@ -19,7 +19,7 @@ from .common import stored, table, tune
 #: Labelled rows of each label used for the fit.
 FIT_ROWS = 2048
 SIZE = 1 << 18
-KEEP = 0.5
+KEEP = 0.15
 MIN_WORDS, MAX_REPEATED = 10, 20
 _U = np.uint64
 _SYMBOL = np.zeros(256, bool)
