@@ -1,18 +1,23 @@
 """BPE encoding and decoding through a distinct-word table.
 
 1. Texts are split into words as the tokenizer splits them. A chunk of some megabytes of text keeps each of its words
-   once, and each of its documents as compressed numbers of those words by position.
-2. The chunks' words are shuffled by word, so that each distinct word of the corpus is in one place and is encoded once.
-3. The ids go back to their chunk, where a document's ids are put together by position, and decoding looks up the piece
-   of every id in the id-to-piece table, which has a row for each id of the vocabulary.
-
-Texts are read once and never shuffled; the shuffles carry each word once a chunk and the word numbers of each document.
+   once, in packs by a hash of the word, and its documents as numbers of those words by position, by frequency so that
+   they pack well.
+2. All packs of one hash value meet, so that each distinct word of the corpus is in one place and is encoded once; its
+   ids go back to the chunks that have it.
+3. In its chunk a document's ids are put together by position, and decoding looks up the piece of every id in the
+   id-to-piece table, which has a row for each id of the vocabulary.
+
+Texts are read once. The packed documents are written once, bucketed by chunk, so that only packs of words and of their
+ids are shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, tune
+from .common import shared_dir, table, tune
 
 #: Bytes of text of a chunk, whose words and documents one task holds at a time; a longer text is a chunk of its own.
-CHUNK = 16 << 20
+CHUNK = 24 << 20
 
 
 def default_tokenizer() -> str:
@@ -75,76 +80,127 @@ class Vocabulary:
         return out
 
 
-def _chunks(spec):
-    """Rows of documents (chunk, id, numbers) and of words (chunk, slot, word)."""
+def _pack(*parts: bytes) -> bytes:
+    """Byte strings as one compressed string."""
+    head = np.array([len(parts), *map(len, parts)], "<u8").tobytes()
+    return zstandard.compress(head + b"".join(parts), 3)
+
+
+def _unpack(packed: bytes) -> list[bytes]:
+    raw = zstandard.decompress(packed)
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    cuts = 8 * (n + 1) + np.concatenate([[0], np.cumsum(np.frombuffer(raw, "<u8", n, 8))]).astype(int)
+    return [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
+def _planes(numbers: np.ndarray) -> list[bytes]:
+    """Numbers as their lowest bytes, the next ones, and so on, which compress better."""
+    raw = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return [np.ascontiguousarray(raw[:, i]).tobytes() for i in range(4)]
+
+
+def _numbers(planes: list[bytes]) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([np.frombuffer(x, np.uint8) for x in planes], 1)).view("<u4").ravel()
+
+
+def _chunks(spec, parts: int):
+    """A row of documents for each chunk (part null: ids, tokens by document, packed numbers and the part of each word),
+    and a row for each chunk and part with its packed words."""
 
     def run(batches):
-        own, encoder = Vocabulary(spec.value), zstandard.ZstdCompressor(level=1)
-        chunk, held, slots, docs = (TaskContext.get().partitionId() << 24), 0, {}, []
+        own = Vocabulary(spec.value)
+        chunk, held, slots, ids, docs = (TaskContext.get().partitionId() << 24), 0, {}, [], []
 
         def flush():
-            nonlocal chunk, held, slots, docs
-            if docs:
-                n = len(docs)
-                yield pa.RecordBatch.from_arrays([pa.array([chunk] * n, pa.int64()), pa.array([x[0] for x in docs], pa.int64()), pa.array([x[1] for x in docs], pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.string())], names)
-                words = list(slots)
-                for a in range(0, len(words), 50_000):
-                    some = words[a : a + 50_000]
-                    m = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(np.arange(a, a + m, dtype=np.int32)), pa.array(some, pa.string())], names)
-            chunk, held, slots, docs = chunk + 1, 0, {}, []
+            nonlocal chunk, held, slots, ids, docs
+            if ids:
+                words, flat = list(slots), np.concatenate(docs)
+                order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+                rank = np.empty(len(words), np.uint32)
+                rank[order] = np.arange(len(words), dtype=np.uint32)
+                encoded = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
+                part = np.array([zlib.crc32(w) % parts for w in encoded], np.int32)
+                sizes = [len(x) for x in docs]
+                yield _batch([chunk], [None], [ids], [sizes], [_pack(*_planes(rank[flat]), *_planes(part.astype(np.uint32)))])
+                by = np.argsort(part, kind="stable")
+                present, begin = np.unique(part[by], return_index=True)
+                packs = []
+                for x, y in zip(begin, [*begin[1:], len(by)]):
+                    some = [encoded[i] for i in by[x:y].tolist()]
+                    packs.append(_pack(np.array([len(w) for w in some], "<u4").tobytes(), b"".join(some)))
+                n = len(packs)
+                yield _batch([chunk] * n, present.tolist(), [None] * n, [None] * n, packs)
+            chunk, held, slots, ids, docs = chunk + 1, 0, {}, [], []
 
         for batch in batches:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py() or ""
                 put = slots.setdefault
-                numbers = np.array([put(w, len(slots)) for w in own.split(text)], np.uint32)
-                docs.append((key, encoder.compress(numbers.tobytes())))
+                docs.append(np.array([put(w, len(slots)) for w in own.split(text)], np.uint32))
+                ids.append(key)
                 held += len(text)
                 if held >= CHUNK:
                     yield from flush()
         yield from flush()
 
-    names = ["chunk", "id", "numbers", "slot", "word"]
     return run
 
 
+_PACKED = "chunk long, part int, ids array<long>, sizes array<int>, pack binary"
+
+
+def _batch(chunk, part, ids, sizes, packs) -> pa.RecordBatch:
+    columns = [pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(packs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["chunk", "part", "ids", "sizes", "pack"])
+
+
 def _encode(spec):
-    """(chunk, slot, word) with all rows of a word together -> (chunk, slot, ids): each distinct word is encoded once."""
+    """All packs of a part -> for each chunk the ids of its words there, each distinct word being encoded once."""
 
-    def run(batches):
+    def run(rows: pa.Table) -> pa.Table:
         from tokenizers import Tokenizer
 
-        own, tokenizer = Vocabulary(spec.value), Tokenizer.from_str(spec.value)
+        own, tokenizer = _vocabulary(spec), Tokenizer.from_str(spec.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        last, last_ids = None, b""
-        for batch in batches:
-            coded = batch.column(2).dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            ids = [np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(distinct, add_special_tokens=False)] if distinct else []
-            ids = pa.array([np.array([own.special[w]], "<u4").tobytes() if w in own.special else last_ids if w == last else x for w, x in zip(distinct, ids)], pa.binary())
-            out = ids.take(coded.indices)
-            if len(out):
-                last, last_ids = batch.column(2)[-1].as_py(), out[-1].as_py()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), out], ["chunk", "slot", "ids"])
+        slots: dict[bytes, int] = {}
+        per_chunk = []
+        for pack in rows.column("pack").to_pylist():
+            sizes, flat = _unpack(pack)
+            cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4"))]).astype(int).tolist()
+            per_chunk.append(np.array([slots.setdefault(flat[x:y], len(slots)) for x, y in zip(cuts, cuts[1:])], np.int64))
+        distinct = [w.decode("utf-8", "surrogatepass") for w in slots]
+        coded = [[own.special[w]] if w in own.special else x.ids for w, x in zip(distinct, tokenizer.encode_batch(distinct, add_special_tokens=False))]
+        ids = pa.array(coded, pa.list_(pa.uint32()))
+        packs = []
+        for which in per_chunk:
+            taken = ids.take(pa.array(which))
+            packs.append(_pack(taken.value_lengths().to_numpy().astype("<u4").tobytes(), *_planes(taken.flatten().to_numpy())))
+        return pa.table([rows.column("chunk"), rows.column("part"), pa.array(packs, pa.binary())], names=["chunk", "part", "pack"])
 
     return run
 
 
 def _put_together(spec, keep: bool):
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        pieces, decoder = _pieces(spec), zstandard.ZstdDecompressor()
-        order = np.argsort(words.column("slot").to_numpy(), kind="stable")
-        at = words.column("ids").combine_chunks() if words.num_rows else pa.array([], pa.binary())
-        at = at.chunk(0) if isinstance(at, pa.ChunkedArray) else at
-        per_word = np.array(at.to_pylist(), object)[order] if len(at) else np.zeros(0, object)
-        out = []
-        for key, numbers in zip(docs.column("id").to_pylist(), docs.column("numbers").to_pylist()):
-            raw = b"".join(per_word[np.frombuffer(decoder.decompress(numbers), np.uint32)].tolist())
-            ids = np.frombuffer(raw, "<u4")
-            text = b"".join(pieces[ids].tolist()).decode("utf-8", "replace")
-            out.append((key, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *((ids.astype(np.int32), text) if keep else ())))
+        pieces, out = _vocabulary(spec).pieces, []
+        ids_of = dict(zip(words.column("part").to_pylist(), words.column("pack").to_pylist()))
+        for keys, sizes, pack in zip(docs.column("ids").to_pylist(), docs.column("sizes").to_pylist(), docs.column("pack").to_pylist()):
+            planes = _unpack(pack)
+            numbers, part = _numbers(planes[:4]), _numbers(planes[4:])
+            per_word = np.full(len(part), b"", object)
+            for p, own in ids_of.items():
+                lengths, *rest = _unpack(own)
+                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<u4"))]).astype(int) * 4
+                raw, cuts = _numbers(rest).tobytes(), cuts.tolist()
+                per_word[part == p] = [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+            at = 0
+            for key, n in zip(keys, sizes):
+                raw = b"".join(per_word[numbers[at : at + n]].tolist())
+                at += n
+                ids = np.frombuffer(raw, "<u4")
+                text = b"".join(pieces[ids].tolist()).decode("utf-8", "replace")
+                out.append((key, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *((ids.astype(np.int32), text) if keep else ())))
         columns = list(zip(*out)) or [()] * (6 if keep else 4)
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=_NAMES[: len(columns)])
@@ -153,15 +209,15 @@ def _put_together(spec, keep: bool):
 
 
 _NAMES = ["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-_kept: dict[int, np.ndarray] = {}
+_kept: dict[int, Vocabulary] = {}
 
 
-def _pieces(spec) -> np.ndarray:
-    """The id-to-piece table, made once a worker for each vocabulary."""
+def _vocabulary(spec) -> Vocabulary:
+    """The vocabulary with its id-to-piece table, made once a worker."""
     key = hash(spec.value)
     if key not in _kept:
         _kept.clear()
-        _kept[key] = Vocabulary(spec.value).pieces
+        _kept[key] = Vocabulary(spec.value)
     return _kept[key]
 
 
@@ -177,10 +233,13 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file: some megabytes at any corpus size
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stored(docs.mapInArrow(_chunks(spec), "chunk long, id long, numbers binary, slot int, word string"), "chunks")
-    words = rows.where("word IS NOT NULL").select("chunk", "slot", "word")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode(spec), "chunk long, slot int, ids binary")
-    texts = rows.where("numbers IS NOT NULL").select("chunk", "id", "numbers")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bpe_{uuid.uuid4().hex}"
+    packed = docs.mapInArrow(_chunks(spec, parts), _PACKED)
+    packed.write.bucketBy(parts, "chunk").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    rows = spark.table(name)
+    ids = rows.where("part IS NOT NULL").select("chunk", "part", "pack").groupBy("part").applyInArrow(_encode(spec), "chunk long, part int, pack binary")
+    texts = rows.where("part IS NULL").select("chunk", "ids", "sizes", "pack")
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
     out = texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_put_together(spec, keep), schema)
     return out.withColumnRenamed("id", id_col)
