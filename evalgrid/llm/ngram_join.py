@@ -37,9 +37,9 @@ SHARE, LEAST = 2.0**-20, 16
 #: Tokens of a window in which repeated tokens are counted before the shuffle.
 WINDOW = 1 << 21
 #: Bits of a set's parity bitmap, in longs of 64.
-BITS = 256
-#: Rows of facts about sets (some 60 bytes each) up to which they are broadcast.
-FACTS = 400_000
+BITS = 1024
+#: Rows of facts about sets (some 170 bytes each) up to which they are broadcast.
+FACTS = 250_000
 _U = np.uint64
 
 
@@ -231,7 +231,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     index = index.repartition("key").dropDuplicates(["key", "id"]).withColumn("sets", F.count("*").over(per_key)).where("sets > 1")
     index = stored(index, "index")
 
-    # What the joins need of a set: size, bitmap, most frequent tokens and classes of its prefixes, how much it shares.
+    # Rows are dealt by key before facts join them, so that broadcast bitmaps are not shuffled. What joins need of a set: size, bitmap, most frequent tokens and classes of its prefixes, how much it shares.
     m = F.lit(1)
     for b in range(1, 60):
         m = F.greatest(m, F.when(F.col("n") >= least_size(b), F.lit(classes(b))).otherwise(F.lit(1)))
@@ -240,7 +240,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     facts = by_size(facts, limit=FACTS)
 
     hub = F.max_by(F.struct("id", "n", "bits"), F.struct("reach", F.negative("id"))).over(per_key)
-    star = index.select("key", "id").join(facts.drop("f", "m"), "id").withColumn("hub", hub).where("id <> hub.id").where(_near("", "hub.", num, den))
+    star = index.select("key", "id").repartition("key").join(facts.drop("f", "m"), "id").withColumn("hub", hub).where("id <> hub.id").where(_near("", "hub.", num, den))
     star = stored(star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "star")
     checked = stored(verified(docs, star, k, num, den), "verified")
     found = checked.where("linked")
@@ -248,7 +248,7 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     lower = low.select(F.col("id").alias("low"), F.col("low").alias("lowest"))
     parts = stored(low.join(lower, "low", "left").select("id", F.coalesce("lowest", "low").alias("part")), "parts")
 
-    rest = index.select("key", "id").join(by_size(parts), "id", "left").withColumn("part", F.coalesce("part", "id"))
+    rest = index.select("key", "id").repartition("key").join(by_size(parts), "id", "left").withColumn("part", F.coalesce("part", "id"))
     rest = rest.withColumn("low", F.min("part").over(per_key)).withColumn("high", F.max("part").over(per_key)).where("low <> high").select("key", "id", "part").join(facts.drop("reach"), "id")
     more = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.part <> y.part") & _near("x.", "y.", num, den))
     more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("greatest(x.m, y.m) + 1 - least(x.f, y.f)").alias("need")).groupBy("a", "b").agg(F.count("*").alias("have"), F.max("need").alias("need")).where("have >= need").select("a", "b")
