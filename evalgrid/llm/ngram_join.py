@@ -12,8 +12,8 @@ and the classes, which are right for any count, so results do not depend on it.
 (SHARE) of all tokens on, hence there are at most 1 / SHARE of them, which bounds the broadcast.
 
 Groups of near copies are not expanded into pairs. Under each index key all sets are first verified against one hub (the
-set that shares most), sets linked to one hub are contracted, and of the pairs under one key that are still apart those
-are verified that may reach the similarity. So no link that joins components is lost, and those within one are not
+set that shares most) and linked sets are contracted; then the parts that are left meet through one set each; and of the
+pairs under one key that are still apart those are verified that may reach the similarity. So no link that joins components is lost, and those within one are not
 enumerated. A pair may reach it unless the parity bitmaps of its sets (one bit for each of BITS token classes) differ in
 too many bits: each differing bit is a token that one set has and the other lacks. Nor does it if they share too few
 keys: of M + 1 shared tokens all that neither set counts as frequent are keys of their own.
@@ -243,17 +243,31 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     star = index.select("key", "id").repartition("key").join(facts.drop("f", "m"), "id").withColumn("hub", hub).where("id <> hub.id").where(_near("", "hub.", num, den))
     star = stored(star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "star")
     checked = stored(verified(docs, star, k, num, den), "verified")
-    found = checked.where("linked")
-    low = found.select(F.col("a").alias("id"), F.col("a").alias("low")).unionByName(found.select(F.col("b").alias("id"), F.col("a").alias("low"))).groupBy("id").agg(F.min("low").alias("low"))
-    lower = low.select(F.col("id").alias("low"), F.col("low").alias("lowest"))
-    parts = stored(low.join(lower, "low", "left").select("id", F.coalesce("lowest", "low").alias("part")), "parts")
-
-    rest = index.select("key", "id").repartition("key").join(by_size(parts), "id", "left").withColumn("part", F.coalesce("part", "id"))
-    rest = rest.withColumn("low", F.min("part").over(per_key)).withColumn("high", F.max("part").over(per_key)).where("low <> high").select("key", "id", "part").join(facts.drop("reach"), "id")
-    more = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.part <> y.part") & _near("x.", "y.", num, den))
-    more = more.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("greatest(x.m, y.m) + 1 - least(x.f, y.f)").alias("need")).groupBy("a", "b").agg(F.count("*").alias("have"), F.max("need").alias("need")).where("have >= need").select("a", "b")
-    more = stored(more.join(checked.select("a", "b"), ["a", "b"], "left_anti"), "more")
-    parts = connected_components(found.unionByName(verified(docs, more, k, num, den).where("linked")).select("a", "b"))
+    found = checked.where("linked").select("a", "b")
+
+    def apart(parts: DataFrame) -> DataFrame:
+        """Index rows of the keys under which sets are in different parts."""
+        rows = index.select("key", "id").repartition("key").join(by_size(parts), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        rows = rows.withColumn("low", F.min("part").over(per_key)).withColumn("high", F.max("part").over(per_key))
+        return rows.where("low <> high").select("key", "id", "part").join(facts, "id")
+
+    def pairs(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
+        """Pairs of rows of one key and different parts that may be similar, without the known ones."""
+        met = rows.alias("x").join(rows.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.part <> y.part") & _near("x.", "y.", num, den))
+        met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("greatest(x.m, y.m) + 1 - least(x.f, y.f)").alias("need"))
+        return stored(met.groupBy("a", "b").agg(F.count("*").alias("have"), F.max("need").alias("need")).where(enough).select("a", "b").join(known, ["a", "b"], "left_anti"), name)
+
+    # Parts meet through one set each first, which contracts most of what the hubs have left apart, then in full.
+    enough = F.lit(True)
+    parts = stored(connected_components(found), "parts")
+    one = apart(parts).groupBy("key", "part").agg(F.max_by(F.struct("id", "n", "bits", "f", "m"), F.struct("reach", F.negative("id"))).alias("r")).select("key", "part", "r.*")
+    between = stored(verified(docs, pairs(one, checked.select("a", "b"), "between"), k, num, den), "verified")
+    checked = checked.unionByName(between)
+    found = checked.where("linked").select("a", "b")
+    parts = stored(connected_components(found), "parts")
+    enough = F.col("have") >= F.col("need")
+    more = pairs(apart(parts), checked.select("a", "b"), "more")
+    parts = connected_components(found.unionByName(verified(docs, more, k, num, den).where("linked").select("a", "b")))
     reps = copies.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
     ends = reps.unionByName(parts.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
     full = rows.join(ends, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
