@@ -6,10 +6,13 @@ depth 0 to DEPTH; each node estimates the next bit by Krichevsky-Trofimov counts
 mixes every node's own estimate with that of its children, all depths at once. Counts are of all training documents.
 
 Counting is distributed: tasks count the runs of DEPTH + 1 bytes of their texts, sums are combined by run, and shorter
-runs are sums of longer ones. A context stays in the tree, with all bytes that follow it, when its count is at least
-FLOOR of all bytes (so at most 1 / FLOOR contexts do); that share is doubled for a depth until its runs are at most RUNS,
-which bounds what is broadcast whatever the corpus size. What a node's kept children leave of its counts is one further child, so a tree always covers
-all its counts, and texts whose context is not kept are predicted from there.
+runs are sums of longer ones. No context is dropped. A node's estimates need only what lies below it, so the runs are
+grouped by their last TOP bytes of context: each group builds its part of the trees and gives every run the probabilities
+found from depth TOP on; what the groups' uppermost nodes amount to is collected, makes the few nodes above them, and with
+those each run gets its code length. Runs that only the scored texts have are counted as zero and get theirs likewise.
+
+The code lengths of the most frequent runs, at most HEAD_RUNS, are broadcast; a text's other runs are joined with the
+whole table.
 
 The base score's word counts are split likewise: the most frequent words, at most HEAD of them, are broadcast, the other
 words of a text are joined with the whole count table.
@@ -28,9 +31,9 @@ from pyspark.sql import functions as F
 from . import textkernel as K
 from .common import stored, table, tune
 
-DEPTH, FLOOR, RUNS, HEAD = 6, 2.0**-19, 1 << 20, 1 << 19
-#: Bytes of text whose runs are counted or scored at once; runs that a worker keeps with their code lengths.
-BLOCK, CACHED = 1 << 20, 1 << 20
+DEPTH, TOP, HEAD_RUNS, HEAD = 6, 2, 1 << 21, 1 << 19
+#: Bytes of text whose runs are counted or scored at once; runs of a group of contexts, about.
+BLOCK, GROUP = 1 << 20, 100_000
 END, SPACE = 0x0A, 0x20
 _U = np.uint64
 
@@ -71,7 +74,8 @@ def _parts(batches):
 
 
 def _count(batches):
-    """Rows (kind, key, n): counts of runs (0) and of words (1), summed over some blocks."""
+    """Rows (kind, key, n): counts of runs (0) and of words (1) in the texts to learn from, zero for those of other texts
+    only, summed over some blocks."""
     held: dict[int, list] = {0: [], 1: []}
     waiting = 0
 
@@ -85,10 +89,11 @@ def _count(batches):
                     some = keys[a : a + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int8)), pa.array(some.view(np.int64)), pa.array(n[a : a + 200_000])], ["kind", "key", "n"])
 
-    for _, codes, words, _ in _parts(batches):
-        for kind, keys in ((0, codes), (1, words)):
+    for batch, codes, words, first in _parts(batches):
+        learn, counts = batch.column(1).to_numpy(zero_copy_only=False).astype(float), np.diff(first)
+        for kind, keys, sizes in ((0, codes, np.diff(_byte_cuts(batch, counts))), (1, words, counts)):
             which, distinct = pd.factorize(keys)
-            held[kind].append((distinct, np.bincount(which, minlength=len(distinct))))
+            held[kind].append((distinct, np.bincount(which, np.repeat(learn, sizes), len(distinct))))
             waiting += len(distinct)
         if waiting > 2_000_000:
             yield from flush()
@@ -113,123 +118,157 @@ def _kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1) - 2 * _ROOT_PI
 
 
+def _level(codes: np.ndarray, counts: np.ndarray, d: int, j: int, below, leaf: bool):
+    """The nodes of depth d and j bits from sorted codes of d + 1 bytes and what lies below them -> the nodes; their keys,
+    zeros, ones and log weighted probabilities."""
+    if not len(codes):
+        return (np.zeros(0, _U), *[np.zeros(0, np.float32)] * 3), None
+    key = codes >> _U(8 - j)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    keys = key[begin]
+    one = ((codes >> _U(7 - j)) & _U(1)).astype(float)
+    n1 = np.add.reduceat(counts * one, begin)
+    n0 = np.add.reduceat(counts * (1 - one), begin)
+    own = _kt(n0, n1)
+    rest0, rest1 = n0.copy(), n1.copy()
+    weighted, self_weight = own, np.ones(len(keys))
+    if not leaf:
+        children = np.zeros(len(keys))
+        if below is not None:
+            child, c0, c1, log_weighted = below
+            parent = child & _U((1 << (8 * d + j)) - 1)
+            at = np.minimum(np.searchsorted(keys, parent), len(keys) - 1)
+            real = keys[at] == parent
+            for target, source in ((children, log_weighted), (rest0, -c0), (rest1, -c1)):
+                target += np.bincount(at[real], source[real], len(keys))
+        rest0, rest1 = np.maximum(rest0, 0), np.maximum(rest1, 0)
+        children = children + _kt(rest0, rest1)
+        weighted = np.logaddexp(own, children) - math.log(2)
+        self_weight = np.exp(own - math.log(2) - weighted)
+    ones = (n1 + 0.5) / (n0 + n1 + 1)
+    return (keys, ones.astype(np.float32), self_weight.astype(np.float32), ((rest1 + ones) / (rest0 + rest1 + 1)).astype(np.float32)), (keys, n0, n1, weighted)
+
+
+def _mixed(node, codes: np.ndarray, d: int, j: int, p: np.ndarray, deeper: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of bit j of each code from depth d on, given those from the next depth on and where that has a node;
+    where depth d has a node."""
+    keys, ones, weight, rest = node
+    if not len(keys):
+        return p, np.zeros(len(codes), bool)
+    bit = ((codes >> _U(7 - j)) & _U(1)) == 1
+    want = (codes & _U((1 << (8 * (d + 1))) - 1)) >> _U(8 - j)
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    real = keys[at] == want
+    own, left = (np.where(bit, x[at].astype(float), 1 - x[at].astype(float)) for x in (ones, rest))
+    return np.where(real, weight[at] * own + (1 - weight[at].astype(float)) * np.where(deeper, p, left), p), real
+
+
+def _shorter(codes: np.ndarray, counts: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes of the last d + 1 bytes and their counts."""
+    own, back = np.unique(codes & _U((1 << (8 * (d + 1))) - 1), return_inverse=True)
+    return own, np.bincount(back, counts, len(own))
+
+
 class Tree:
     """The weighted trees. nodes[d][j]: for depth d and j bits so far, the sorted codes of (d bytes, j bits) and for each
     the estimate of a one, the own estimate's weight, and the estimate that stands for children that are not kept."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]):
-        """levels[d]: sorted codes of d + 1 bytes and their counts."""
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], below: list | None = None):
+        """levels[d]: sorted codes of d + 1 bytes and their counts. below: for each j what the nodes under the last level
+        amount to, as by _level; none if that is the deepest."""
         self.nodes = [[None] * 8 for _ in levels]
         for j in range(8):
-            below = None
+            under = below[j] if below else None
             for d in range(len(levels) - 1, -1, -1):
-                codes, counts = levels[d]
-                if not len(codes):
-                    self.nodes[d][j] = (np.zeros(0, _U), *[np.zeros(0, np.float32)] * 3)
-                    below = None
-                    continue
-                key = codes >> _U(8 - j)
-                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-                keys = key[begin]
-                one = ((codes >> _U(7 - j)) & _U(1)).astype(float)
-                n1 = np.add.reduceat(counts * one, begin)
-                n0 = np.add.reduceat(counts * (1 - one), begin)
-                own = _kt(n0, n1)
-                rest0, rest1 = n0.copy(), n1.copy()
-                weighted, self_weight = own, np.ones(len(keys))
-                if d < len(levels) - 1:
-                    children = np.zeros(len(keys))
-                    if below is not None:
-                        child, c0, c1, log_weighted = below
-                        parent = child & _U((1 << (8 * d + j)) - 1)
-                        at = np.minimum(np.searchsorted(keys, parent), len(keys) - 1)
-                        real = keys[at] == parent
-                        for target, source in ((children, log_weighted), (rest0, -c0), (rest1, -c1)):
-                            target += np.bincount(at[real], source[real], len(keys))
-                    rest0, rest1 = np.maximum(rest0, 0), np.maximum(rest1, 0)
-                    children = children + _kt(rest0, rest1)
-                    weighted = np.logaddexp(own, children) - math.log(2)
-                    self_weight = np.exp(own - math.log(2) - weighted)
-                ones = (n1 + 0.5) / (n0 + n1 + 1)
-                self.nodes[d][j] = keys, ones.astype(np.float32), self_weight.astype(np.float32), ((rest1 + ones) / (rest0 + rest1 + 1)).astype(np.float32)
-                below = keys, n0, n1, weighted
-
-    def log2(self, codes: np.ndarray) -> np.ndarray:
-        """Log2 probabilities of the last byte of each run of DEPTH + 1 bytes, given the bytes before it."""
+                self.nodes[d][j], under = _level(*levels[d], d, j, under, below is None and d == len(levels) - 1)
+
+    def log2(self, codes: np.ndarray, under: np.ndarray | None = None) -> np.ndarray:
+        """Log2 probabilities of the last byte of each run of DEPTH + 1 bytes, given the bytes before it. under: for each
+        run and bit the probability from the depth below this tree on, nan where that has no node."""
         total = np.zeros(len(codes))
         for j in range(8):
-            bit = (codes >> _U(7 - j)) & _U(1)
-            p = None
+            p, deeper = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
+            if under is not None:
+                deeper = ~np.isnan(under[:, j])
+                p = np.where(deeper, under[:, j], 0.5)
             for d in range(len(self.nodes) - 1, -1, -1):
-                keys, ones, weight, rest = self.nodes[d][j]
-                want = (codes & _U((1 << (8 * (d + 1))) - 1)) >> _U(8 - j)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                    real = keys[at] == want
-                else:
-                    at, real = np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
-                if p is None:
-                    p, deeper = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
-                if len(keys):
-                    child = np.where(deeper, p, rest[at])
-                    p = np.where(real, weight[at] * ones[at] + (1 - weight[at]) * child, p)
-                deeper = real
-            total += np.log2(np.where(bit == 1, p, 1 - p))
+                p, deeper = _mixed(self.nodes[d][j], codes, d, j, p, deeper)
+            total += np.log2(p)
         return total
 
 
-_cache: dict[str, object] = {}
+_GROUP = "kind byte, key long, n long, ones long, weighted double, under binary"
+
+
+def _subtrees(group: pa.Table) -> pa.Table:
+    """All runs (key, n) of some contexts of TOP bytes -> each run (kind 0) with its probabilities from depth TOP on, a
+    float for each bit; the nodes of depth TOP and j bits (kind 1 + j): n zeros, ones, log weighted probability."""
+    codes, n = group.column("key").to_numpy().view(_U), group.column("n").to_numpy().astype(float)
+    seen = n > 0
+    levels = {d: _shorter(codes[seen], n[seen], d) for d in range(TOP, DEPTH + 1)}
+    under = np.full((len(codes), 8), np.nan, "<f4")
+    tops = []
+    for j in range(8):
+        below, nodes = None, {}
+        for d in range(DEPTH, TOP - 1, -1):
+            nodes[d], below = _level(*levels[d], d, j, below, d == DEPTH)
+        p, deeper = np.full(len(codes), 0.5), np.zeros(len(codes), bool)
+        for d in range(DEPTH, TOP - 1, -1):
+            p, deeper = _mixed(nodes[d], codes, d, j, p, deeper)
+        under[deeper, j] = p[deeper]
+        if below is not None:
+            keys, n0, n1, weighted = below
+            tops.append((np.full(len(keys), 1 + j, np.int8), keys.view(np.int64), n0.astype(np.int64), n1.astype(np.int64), weighted))
+    kind, key, zeros, ones, weighted = (np.concatenate(x) for x in zip(*tops, (np.zeros(len(codes), np.int8), codes.view(np.int64), n.astype(np.int64), np.zeros(len(codes), np.int64), np.zeros(len(codes)))))
+    raw = [None] * (len(kind) - len(codes)) + [x.tobytes() for x in under]
+    return pa.table([pa.array(kind), pa.array(key), pa.array(zeros), pa.array(ones), pa.array(weighted), pa.array(raw, pa.binary())], ["kind", "key", "n", "ones", "weighted", "under"])
+
+
+def _lengths(shared):
+    """Runs (key, n, under) -> key, n, log10 of the probability of the run's last byte."""
+
+    def run(batches):
+        for batch in batches:
+            under = np.frombuffer(b"".join(batch.column(2).to_pylist()), "<f4").reshape(-1, 8).astype(float)
+            bits = shared.value.log2(batch.column(0).to_numpy().view(_U), under)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits * math.log10(2))], ["key", "n", "log"])
+
+    return run
 
 
-def code_lengths(tree: Tree, codes: np.ndarray) -> np.ndarray:
-    """tree.log2 of distinct codes through a cache of this worker."""
-    if _cache.get("tree") is not tree:
-        _cache.update(tree=tree, keys=np.zeros(0, _U), values=np.zeros(0))
-    keys, values = _cache["keys"], _cache["values"]
-    order = np.argsort(codes)
-    ranked = codes[order]
-    at = np.minimum(np.searchsorted(keys, ranked), max(len(keys) - 1, 0))
-    known = keys[at] == ranked if len(keys) else np.zeros(len(ranked), bool)
-    out = np.empty(len(ranked))
-    out[known] = values[at[known]]
-    new = ranked[~known]
-    out[~known] = fresh = tree.log2(new)
-    if len(keys) + len(new) <= CACHED:
-        where = np.searchsorted(keys, new)
-        _cache.update(keys=np.insert(keys, where, new), values=np.insert(values, where, fresh))
-    back = np.empty(len(codes))
-    back[order] = out
-    return back
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, counts: np.ndarray):
+    """Items of documents in a sorted table -> the values' sums and the number of items found by document, the others."""
+    which, distinct = pd.factorize(wanted)
+    at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+    real = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
+    known = real[which]
+    cuts = np.concatenate([[0], np.cumsum(counts)])
+    total = np.concatenate([[0.0], np.cumsum(np.where(real, values[at], 0.0)[which] if len(keys) else np.zeros(len(wanted)), dtype=float)])
+    seen = np.concatenate([[0], np.cumsum(known)])
+    found = seen[cuts[1:]] - seen[cuts[:-1]]
+    ends = np.concatenate([[0], np.cumsum(counts - found)]).astype(np.int32)
+    return total[cuts[1:]] - total[cuts[:-1]], found, pa.ListArray.from_arrays(pa.array(ends), pa.array(wanted[~known].view(np.int64)))
 
 
 def _score(shared):
-    """Documents -> id, n_tokens, and for what the broadcast tables tell: score, n_known, base; the other words."""
+    """Documents -> id, n_tokens, and for what the broadcast tables tell: score, n_known, base; the other words and runs."""
 
     def run(batches):
-        tree, words, logs, end = shared.value
+        codes_of, lengths, words, logs, end = shared.value
         for batch, codes, hashes, first in _parts(batches):
-            which, distinct = pd.factorize(codes)
-            bits = np.concatenate([[0.0], np.cumsum(code_lengths(tree, distinct)[which])])
             counts = np.diff(first)
-            # A document's scored bytes: its words' bytes, a space each, the end.
-            cuts = _byte_cuts(batch, counts)
-            score = (bits[cuts[1:]] - bits[cuts[:-1]]) * math.log10(2)
-            at = np.minimum(np.searchsorted(words, hashes), max(len(words) - 1, 0))
-            known = words[at] == hashes if len(words) else np.zeros(len(hashes), bool)
-            base = np.concatenate([[0.0], np.cumsum(np.where(known, logs[at], 0.0) if len(words) else np.zeros(len(hashes)))])
-            seen = np.concatenate([[0], np.cumsum(known)])
-            document = np.repeat(np.arange(len(counts)), counts)[~known]
-            rest = hashes[~known].view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(document, minlength=len(counts)))]).astype(np.int32)
+            score, _, runs_left = _looked_up(codes_of, lengths, codes, np.diff(_byte_cuts(batch, counts)))
+            base, known, words_left = _looked_up(words, logs, hashes, counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(counts.astype(np.int64) + 1), pa.array(score), pa.array(seen[first[1:]] - seen[first[:-1]]), pa.array(base[first[1:]] - base[first[:-1]] + end), pa.ListArray.from_arrays(pa.array(ends), pa.array(rest))],
-                ["row", "id", "n_tokens", "score", "n_known", "base", "rest"],
+                [batch.column(0), batch.column(2), pa.array(counts.astype(np.int64) + 1), pa.array(score), pa.array(known), pa.array(base + end), words_left, runs_left],
+                ["row", "id", "n_tokens", "score", "n_known", "base", "rest", "runs"],
             )
 
     return run
 
 
 def _byte_cuts(batch: pa.RecordBatch, counts: np.ndarray) -> np.ndarray:
+    """Cuts of the documents' scored bytes: their words' bytes, a space each, the end."""
     data, at = K.utf8(batch.column(batch.schema.get_field_index("text")))
     letters = np.concatenate([[0], np.cumsum(~K.SEPARATOR[data])])
     return np.concatenate([[0], np.cumsum(letters[at[1:]] - letters[at[:-1]] + counts + 1)])
@@ -246,25 +285,40 @@ def _least_total(rows: DataFrame, start: float, most: int) -> float:
     return math.inf
 
 
-def fit(texts: DataFrame) -> tuple[Tree, DataFrame, int, int, int]:
-    """texts(text) -> the trees; counts of words (key, n); training tokens; distinct tokens; texts."""
+def fit(texts: DataFrame) -> tuple[DataFrame, DataFrame, int, int, int]:
+    """texts(text, learn) -> the runs of all texts (key, n, log), learned from those with learn; counts of words (key, n);
+    training tokens; distinct tokens; training texts."""
+    spark = texts.sparkSession
     counts = stored(texts.mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    sums = {r.kind: (r.n, r.distinct) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("distinct")).collect()}
-    size, docs = sums.get(0, (0, 0))[0], texts.count()
-    runs_of, levels = counts.where("kind = 0").select("key", "n"), []
-    for d in range(DEPTH + 1):
-        level = runs_of.groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * (d + 1))) - 1)).alias("key")).agg(F.sum("n").alias("n"))
-        context, floor = F.shiftrightunsigned("key", 8).alias("context"), max(1.0, size * FLOOR)
-        contexts = level.groupBy(context).agg(F.sum("n").alias("total"), F.count("*").alias("rows")).where(F.col("total") >= floor)
-        contexts = stored(contexts, "contexts")
-        floor = _least_total(contexts, floor, RUNS)
-        kept = level.select("key", "n", context).join(F.broadcast(contexts.where(F.col("total") >= floor).select("context")), "context", "left_semi")
-        kept = kept.select("key", "n").toArrow()  # at most RUNS rows
-        codes, n = kept.column("key").to_numpy().view(_U), kept.column("n").to_numpy().astype(float)
-        order = np.argsort(codes)
-        levels.append((codes[order], n[order]))
-    tokens, distinct = sums.get(1, (0, 0))
-    return Tree(levels), counts.where("kind = 1").select("key", "n"), tokens + docs, distinct + (docs > 0), docs
+    sums = {r.kind: (r.n, r.known, r.rows) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("known"), F.count("*").alias("rows")).collect()}
+    docs = texts.where("learn").count()
+    runs_of = counts.where("kind = 0").select("key", "n")
+    context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * TOP)) - 1))
+    groups = runs_of.withColumn("part", F.pmod(F.xxhash64(context), F.lit(sums.get(0, (0, 0, 0))[2] // GROUP + 1)))
+    parts = stored(groups.groupBy("part").applyInArrow(_subtrees, _GROUP), "subtrees")
+    tops = parts.where("kind > 0").select("kind", "key", "n", "ones", "weighted").toArrow()  # contexts of TOP bytes only
+    kind, key, n0, n1, weighted = (tops.column(i).to_numpy() for i in range(5))
+    below = []
+    for j in range(8):
+        own = np.flatnonzero(kind == j + 1)
+        own = own[np.argsort(key[own])]
+        below.append((key[own].view(_U), n0[own].astype(float), n1[own].astype(float), weighted[own]) if len(own) else None)
+    short = runs_of.where("n > 0").groupBy(F.col("key").bitwiseAND(F.lit((1 << (8 * TOP)) - 1)).alias("key")).agg(F.sum("n").alias("n")).toArrow()  # runs of TOP bytes
+    codes, n = short.column("key").to_numpy().view(_U), short.column("n").to_numpy().astype(float)
+    tree = Tree([_shorter(codes, n, d) for d in range(TOP)], below)
+    runs_of = stored(parts.where("kind = 0").select("key", "n", "under").mapInArrow(_lengths(spark.sparkContext.broadcast(tree)), "key long, n long, log double"), "run-lengths")
+    tokens, distinct, _ = sums.get(1, (0, 0, 0))
+    return runs_of, counts.where("kind = 1 AND n > 0").select("key", "n"), tokens + docs, distinct + (docs > 0), docs
+
+
+def _head(counts: DataFrame, most: int, value: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the most frequent rows of counts (key, n, value), at most `most`, and their values."""
+    counts = counts.where("n > 0")
+    least = _least_total(counts.select(F.col("n").alias("total"), F.lit(1).alias("rows")), 1.0, most)
+    head = counts.where(F.col("n") >= least).select("key", value).toArrow()  # at most `most` rows
+    keys, values = head.column(0).to_numpy().view(_U), head.column(1).to_numpy()
+    order = np.argsort(keys)
+    return keys[order], values[order]
 
 
 def ctw_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,24 +329,29 @@ def ctw_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_c
     training texts every bit has probability one half and no token is known. An empty table gives no rows; other columns
     are ignored, whatever their names.
     """
+    text = F.col(text_col).cast("string").alias("text")
+    return _scores(docs, docs.select(text, F.lit(False).alias("learn")).union(train.select(text, F.lit(True).alias("learn"))), id_col, text_col)
+
+
+def _scores(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ctw_scores; texts(text, learn) are those of docs and those to learn from."""
     spark = docs.sparkSession
-    tree, counts, tokens, distinct, n_docs = fit(train.select(F.col(text_col).cast("string").alias("text")))
+    lengths, counts, tokens, distinct, n_docs = fit(texts)
     below = tokens + 0.5 * (distinct + 1)
-    least = _least_total(counts.select(F.col("n").alias("total"), F.lit(1).alias("rows")), 1.0, HEAD)
-    head = counts.where(F.col("n") >= least).toArrow()  # at most HEAD rows
-    words, n = head.column("key").to_numpy().view(_U), head.column("n").to_numpy()
-    order = np.argsort(words)
-    shared = spark.sparkContext.broadcast((tree, words[order], np.log10((n[order] + 0.5) / below), math.log10((n_docs + 0.5) / below)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).mapInArrow(_score(shared), f"row long, id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, score double, n_known long, base double, rest array<long>")
+    codes, logs = _head(lengths, HEAD_RUNS, "log")
+    words, n = _head(counts, HEAD, "n")
+    shared = spark.sparkContext.broadcast((codes, logs.astype(np.float32), words, np.log10((n + 0.5) / below), math.log10((n_docs + 0.5) / below)))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).mapInArrow(_score(shared), f"row long, id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, score double, n_known long, base double, rest array<long>, runs array<long>")
     rows = stored(rows, "scores")
     other = rows.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     other = other.join(counts, "key", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(below))).alias("more_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
     )
+    more = rows.select("row", F.explode("runs").alias("key")).join(lengths.select("key", "log"), "key").groupBy("row").agg(F.sum("log").alias("more_score"))
     known = F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(n_docs > 0))
-    return rows.drop("rest").join(other, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), "score"
+    return rows.drop("rest", "runs").join(other, "row", "left").join(more, "row", "left").select(
+        F.col("id").alias(id_col), "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score")
     )
 
 
@@ -300,4 +359,4 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: all of documents, learned from those whose crc32 of the id as text is not 1 mod 5."""
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    return ctw_scores(docs, docs.where(~held)).withColumn("held_out", held)
+    return _scores(docs, docs.select("text", F.coalesce(~held, F.lit(False)).alias("learn"))).withColumn("held_out", held)

@@ -339,6 +339,40 @@ def test_ctw_edges(spark):
     assert ctw.ctw_scores(docs(spark, []), rows).count() == 0
 
 
+def test_ctw_keeps_every_context(spark, texts, monkeypatch):
+    """Scores equal those of one tree of all counts, whatever is broadcast; the tree is held against the recursion above."""
+    import pyarrow as pa
+
+    given = dict(sorted(texts.items())[:60])
+    learned = {i for i in given if i % 3}
+    batch = pa.RecordBatch.from_arrays([pa.array(list(given.values()))], ["text"])
+    runs = [codes for _, codes, _, _ in ctw._parts(iter([batch]))]
+    cuts = np.cumsum([len(" ".join(words(t)).encode()) + (2 if words(t) else 1) for t in given.values()])
+    runs = np.split(np.concatenate(runs), cuts)[:-1]
+    train = np.concatenate([r for i, r in zip(given, runs) if i in learned])
+    tree = ctw.Tree([ctw._shorter(train, np.ones(len(train)), d) for d in range(ctw.DEPTH + 1)])
+    want = {i: float(tree.log2(r).sum() * math.log10(2)) for i, r in zip(given, runs)}
+    rows = docs(spark, list(given.items()))
+    for head, group in ((1 << 21, 100_000), (50, 300)):
+        monkeypatch.setattr(ctw, "HEAD_RUNS", head)
+        monkeypatch.setattr(ctw, "GROUP", group)
+        got = {r.doc_id: r.score for r in ctw.ctw_scores(rows, rows.where(f"doc_id IN ({','.join(map(str, learned))})")).collect()}
+        assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_ctw_keeps_a_phrase_whatever_the_corpus_size(spark):
+    """A phrase seen twice is known by its contexts also when they are a tiny share of the corpus."""
+    random = np.random.default_rng(4)
+
+    def score(size):
+        noise = bytes(random.choice(np.frombuffer(b"aab ", np.uint8), size)).decode()
+        df = docs(spark, [(1, "qzjxvwkqzzyx"), (2, "qzjxvwkqzzyx"), (3, "qzjxvwkqzzyx"), (4, noise)])
+        return ctw.ctw_scores(df.where("doc_id = 1"), df.where("doc_id > 1")).first().score
+
+    small, large = score(200_000), score(4_000_000)
+    assert large > small - 3
+
+
 def test_preference_edges(spark):
     shape = "pair_id long, turn long, role string, text string, copy int"
     a = [(1, 0, "user", "q", 9), (1, 1, "assistant", "yes", 9), (2, 0, "user", None, 9), (2, 1, None, "x", 9), (3, 0, "user", "only", 9), (None, 0, "user", "lost", 9), (4, None, "user", "n", 9), (4, 0, "assistant", "z", 9), (4, 0, "assistant", "z", 9)]
