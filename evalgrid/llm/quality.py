@@ -2,7 +2,8 @@
 
 Features of a text are its words, pairs of words, and runs of three and four bytes, hashed into one table of weights;
 each of the four kinds counts by its share, so length doesn't matter. The regression is fitted on labelled rows, bounded
-by FIT_ROWS for each label, one fifth of which is kept for the calibration (Platt). Scoring is one pass over Arrow
+by FIT_ROWS for each label, one fifth of which is kept for the calibration (Platt), where each label has the weight that it
+has among all labels, so that probabilities don't depend on the bound. Scoring is one pass over Arrow
 batches against fixed thresholds.
 """
 
@@ -59,8 +60,9 @@ def logits(weights: np.ndarray, kinds: list[tuple[np.ndarray, np.ndarray]]) -> n
     return out
 
 
-def _train(batches):
-    """All rows of the (bounded) fit -> one row with the weights, slope and intercept."""
+def _train(batches, sizes: dict[int, int] | None = None):
+    """All rows of the (bounded) fit -> one row with the weights, slope and intercept. sizes: labels of each kind in all,
+    those of the rows if not given."""
     columns: list[np.ndarray] = []
     values: list[np.ndarray] = []
     labels: list[int] = []
@@ -74,13 +76,13 @@ def _train(batches):
             columns.append(place.astype(np.int32))
             values.append(share.astype(np.float32))
             labels.append(y)
-    weights, slope, intercept = fit(columns, values, np.array(labels, float))
+    weights, slope, intercept = fit(columns, values, np.array(labels, float), sizes)
     yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f4").tobytes()]), pa.array([slope]), pa.array([intercept])], ["weights", "slope", "intercept"])
 
 
-def fit(columns, values, y: np.ndarray, epochs: int = 12, rate: float = 2.0, decay: float = 1e-6) -> tuple[np.ndarray, float, float]:
+def fit(columns, values, y: np.ndarray, sizes: dict[int, int] | None = None, epochs: int = 12, rate: float = 2.0, decay: float = 1e-6) -> tuple[np.ndarray, float, float]:
     """Weights by minibatch gradient steps scaled per weight (Adagrad), then slope and intercept by Platt scaling on the
-    fifth of the rows left out."""
+    fifth of the rows left out, weighted so that labels have the ratio of sizes."""
     weights, bias, energy, order = np.zeros(SIZE), 0.0, np.full(SIZE, 1e-4), np.arange(len(y))
     if not len(y) or y.min() == y.max():
         return weights, 1.0, 20.0 if len(y) and y.min() == 1 else 0.0
@@ -107,9 +109,13 @@ def fit(columns, values, y: np.ndarray, epochs: int = 12, rate: float = 2.0, dec
     x = np.stack([z[part], np.ones(part.sum())], 1)
     up, down = (y[part] == 1).sum(), (y[part] == 0).sum()
     target = np.where(y[part] == 1, (up + 1) / (up + 2), 1 / (down + 2))
+    each = np.ones(len(target))
+    if sizes:
+        each = np.where(y[part] == 1, sizes.get(1, 0) / up, sizes.get(0, 0) / down)
+        each /= each.mean()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3, x.T @ (target - p) - 1e-3 * w)
+        step = np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + np.eye(2) * 1e-3, x.T @ (each * (target - p)) - 1e-3 * w)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
@@ -169,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> tuple[byt
     limit = F.when(F.col("quality") == 1, int(min(1, rows / max(sizes.get(1, 0), 1)) * 2**20)).otherwise(int(min(1, rows / max(sizes.get(0, 0), 1)) * 2**20))
     known = known.where(F.pmod(F.xxhash64("id"), F.lit(2**20)) < limit)  # about twice `rows` ids at most, 12 bytes each
     sample = stored(docs.join(F.broadcast(known), "id").select("text", "quality"), "quality-fit")
-    found = sample.orderBy(F.xxhash64("text")).coalesce(1).mapInArrow(_train, "weights binary, slope double, intercept double").collect()
+    found = sample.orderBy(F.xxhash64("text")).coalesce(1).mapInArrow(lambda batches: _train(batches, sizes), "weights binary, slope double, intercept double").collect()
     if not found:
         return np.zeros(SIZE, "<f4").tobytes(), 1.0, 0.0
     return bytes(found[0].weights), found[0].slope, found[0].intercept

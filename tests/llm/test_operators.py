@@ -214,6 +214,22 @@ def test_quality_model_tells_junk():
     assert (((out.column(6).to_numpy() >= 0.5).astype(int) == np.array(y)).mean()) > 0.95
 
 
+def test_quality_score_has_the_ratio_of_all_labels(spark):
+    """Texts that tell nothing are scored by the share of good labels, also when the fit takes few rows of each label."""
+    random = np.random.default_rng(6)
+    rows = [(i, " ".join("".join(random.choice(list("abcdefgh"), 5)) for _ in range(30))) for i in range(1400)]
+    labels = spark.createDataFrame([(i, int(i % 7 > 0)) for i, _ in rows], "id long, quality int")
+    frame = spark.createDataFrame(rows, "id long, text string")
+    for most in (150, 5000):
+        weights, slope, intercept = quality.train(frame, labels, most)
+        shared = type("B", (), {"value": (weights, slope, intercept)})
+        import pyarrow as pa
+
+        ids, given = zip(*rows)
+        out = next(iter(quality._score(shared)(iter([pa.RecordBatch.from_arrays([pa.array(ids), pa.array(given)], ["id", "text"])]))))
+        assert 0.78 < out.column(6).to_numpy().mean() < 0.95, most
+
+
 def test_toxicity_folds_and_learns(spark):
     assert toxicity.fold("ＩＤ1ОТ,  h3y!\n") == " idiot hey "
     assert toxicity.fold(None) == "  " and toxicity.fold("!?") == "  "
