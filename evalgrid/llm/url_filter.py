@@ -17,8 +17,6 @@ from .common import stored, table
 
 #: Length of a time slice, in the unit of the times.
 SLICE = 64
-#: Parts of a path by which a capture is looked up; entries with longer paths are compared by their first parts.
-PATH_PARTS = 8
 
 
 def _host(url: Column) -> Column:
@@ -29,11 +27,11 @@ def _path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
 
 
-def _keys(url: Column) -> Column:
-    """Host, parent domains of at least two labels, and host with the leading parts of the path."""
+def _keys(url: Column, most: int) -> Column:
+    """Host, parent domains of at least two labels, and host with the leading parts of the path, at most `most` parts."""
     labels = F.split(_host(url), r"\.")
     parts = F.filter(F.split(_path(url), "/"), lambda x: x != "")
-    n, m = F.size(labels), F.least(F.size(parts), F.lit(PATH_PARTS))
+    n, m = F.size(labels), F.least(F.size(parts), F.lit(most))
     domains = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
     paths = F.when(m > 0, F.transform(F.sequence(F.lit(1), m), lambda i: F.concat(_host(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(domains, paths))
@@ -63,10 +61,11 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, length: int = SLICE
     """
     spans = validity(entries)
     ends = captures.agg(F.max("fetched")).first()[0]
+    most = spans.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0  # no entry has more parts of a path
     slices = F.sequence(F.floor(F.col("valid_from") / length), F.floor(F.coalesce(F.least(F.col("valid_to") - 1, F.lit(ends)), F.lit(ends)) / length))
     cut = spans.where(F.col("valid_from") <= F.lit(ends)).withColumn("slice", F.explode(slices))
     rows = captures.select(F.xxhash64("url").alias("u"), "page_id", "url", F.col("fetched").cast("long").alias("fetched"))
-    asked = rows.where("url IS NOT NULL AND fetched IS NOT NULL").select("url", "fetched", F.explode(_keys(F.col("url"))).alias("key")).where("key <> ''")
+    asked = rows.where("url IS NOT NULL AND fetched IS NOT NULL").select("url", "fetched", F.explode(_keys(F.col("url"), most)).alias("key")).where("key <> ''")
     times = asked.select("key", "fetched").distinct().withColumn("slice", F.floor(F.col("fetched") / length))
     met = times.join(cut, ["key", "slice"]).where((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
     met = stored(met.select("key", "fetched", "action", "valid_from"), "url-matches")

@@ -414,6 +414,14 @@ def test_url_filter_edges(spark):
     assert {r.decision for r in url_filter.temporal_filter(c, e.where("false")).collect()} == {"none"}
 
 
+def test_url_filter_finds_entries_of_any_depth(spark):
+    deep = "a.ex.com/" + "/".join(map(str, range(12)))
+    captures = spark.createDataFrame([(1, f"http://{deep}/more", 5), (2, f"http://{deep[:-3]}", 5)], "page_id long, url string, fetched long")
+    entries = spark.createDataFrame([(deep, 0, "block"), ("ex.com", 0, "allow")], "key string, at long, action string")
+    got = {r.page_id: (r.decision, r.matched) for r in url_filter.temporal_filter(captures, entries).collect()}
+    assert got == {1: ("block", deep), 2: ("allow", "ex.com")}
+
+
 def test_license_edges(spark):
     mit = licenses.KNOWN[1][1]
     rows = [(1, "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace(",", " ,")), (2, "Intro.\nReleased  under the MIT LICENCE\nmore"), (3, None), (4, ""), (5, "Copyright 2001 A\n(c) B"), (6, mit + " and more"), (1, mit)]
