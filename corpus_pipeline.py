@@ -1,8 +1,8 @@
 """The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, BPE encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
-of documents. Null and repeated ids: rows without an id are scored and cleaned like others and never removed as copies
-or leaks; rows that repeat an id are kept or removed together. An empty table passes through every stage.
+of documents. Null and repeated ids: toxicity is decided row by row. Rows without an id are cleaned like others and never
+removed as copies or leaks; there, rows that repeat an id are kept or removed together. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -24,8 +24,7 @@ def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes the documents that are predicted toxic, by the labels that are not held out."""
-    scored = tox.toxicity(docs, tox.training_labels(table(tune(spark), sf_dir, "labels")))
-    return _without(docs, scored.where("predicted = 1"), "toxic")
+    return tox.not_toxic(docs.select(COLUMNS), tox.training_labels(table(tune(spark), sf_dir, "labels"))).select(COLUMNS)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,12 +222,15 @@ def fit(docs: DataFrame, labels: DataFrame, phrases=PHRASES, rows: int = FIT_ROW
     return model
 
 
-def _score(shared):
+def _score(shared, keep: bool = False):
+    """The last column scored; it stays only with keep."""
+
     def run(batches):
         lexicon, slope, intercept = _lexicon(shared), shared.value["slope"], shared.value["intercept"]
         for batch in batches:
             z = np.array([slope * lexicon.density(x) + intercept for x in batch.column(batch.num_columns - 1).to_pylist()], float)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*batch.schema.names[:-1], "score"])
+            n = batch.num_columns - (not keep)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], [*batch.schema.names[:n], "score"])
 
     return run
 
@@ -246,6 +249,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs (doc_id, text and others) that toxicity() does not predict toxic, each row by its own text,
+    whatever its id. Columns as given, text last."""
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")))
+    rows = docs.select(*(c for c in docs.columns if c != "text"), "text")
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), True), f"{shape}, score double").where(F.col("score") < threshold).drop("score")
+
+
 def training_labels(labels: DataFrame) -> DataFrame:
     """The labels that may be learned from: those whose crc32 of the id as text is not 2 mod 4."""
     return labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)

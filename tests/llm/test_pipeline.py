@@ -63,3 +63,14 @@ def test_line_dedup_stage_updates_length(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     out = pipe.line_dedup_stage(spark, docs, data)
     assert out.count() == docs.count() and out.where(F.char_length("text") != F.col("n_chars")).count() == 0
+
+
+def test_toxic_rows_go_whatever_their_id(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select(pipe.COLUMNS)
+    model = toxicity.toxicity(docs, toxicity.training_labels(spark.read.parquet(f"{data}/labels.parquet")))
+    toxic = {r.doc_id for r in model.where("predicted = 1").collect()}
+    clean = docs.where(~F.col("doc_id").isin(list(toxic))).limit(1).withColumn("doc_id", F.lit(min(toxic)).cast("long"))
+    lost = docs.where(F.col("doc_id") == max(toxic)).withColumn("doc_id", F.lit(None).cast("long"))
+    out = pipe.toxicity(spark, docs.union(clean).union(lost), data).collect()
+    assert [r.text for r in out if r.doc_id == min(toxic)] == [clean.first().text]
+    assert not [r for r in out if r.doc_id is None]
