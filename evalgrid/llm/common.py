@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Characters that separate words and that are stripped from lines: space and \t \n \v \f \r.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows of a side up to which it is broadcast; beyond, the same join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a side's rows, counted before the join, up to which it is broadcast; beyond, the same join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 _own: str | None = None
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,28 +36,75 @@ def tune(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, only where that is unset (tests on one
-    machine), an own temporary folder."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, an own temporary folder, but
+    only in local mode, where there is one machine; on a cluster each executor would write to its own disk."""
     global _own
     if given := spark.conf.get("spark.checkpoint.dir", None):
         return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="evalgrid-")
         atexit.register(shutil.rmtree, _own, True)
     return f"file://{os.path.abspath(_own)}"
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, **given: str):
+    """The session's settings (dots written as __) for a while; the caller's come back."""
+    names = {k.replace("__", "."): v for k, v in given.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows of df written as a table in the shared folder and read again: cuts the lineage, survives lost executors."""
+    """The rows of df written as a table in the shared folder and read again: cuts the lineage, survives lost executors.
+    The shuffle files of the write go as soon as it has ended."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            discard_path(df.sparkSession, path)
+
+
+def _width(field) -> Column | int:
+    kind = field.dataType
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return 16 + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+    if isinstance(kind, T.ArrayType):
+        return 16 + 16 * F.greatest(F.size(F.col(f"`{field.name}`")), F.lit(0))
+    return 16
+
+
+def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of df take at most `limit` bytes, about, counted here over all rows."""
+    total = df.agg(F.sum(sum((_width(f) for f in df.schema), F.lit(0)).cast("long"))).first()[0]
+    return (total or 0) <= limit
 
 
-def by_size(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most `limit` rows (counted here unless given), else as it is. For narrow rows."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
+def by_size(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if its rows take at most `limit` bytes, else as it is, so that the join shuffles."""
+    return F.broadcast(df) if fits(df, limit) else df
 
 
 def lower_ascii(col):

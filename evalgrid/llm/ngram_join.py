@@ -11,12 +11,16 @@ The count that makes a token frequent sums what each window of documents holds a
 and the classes, which are right for any count, so results do not depend on it. Tokens are frequent from a fixed share
 (SHARE) of all tokens on, hence there are at most 1 / SHARE of them, which bounds the broadcast.
 
-Groups of near copies are not expanded into pairs. Under each index key all sets are first verified against one hub (the
-set that shares most) and linked sets are contracted; then the parts that are left meet through one set each; and of the
-pairs under one key that are still apart those are verified that may reach the similarity. So no link that joins components is lost, and those within one are not
-enumerated. A pair may reach it unless the parity bitmaps of its sets (one bit for each of BITS token classes) differ in
-too many bits: each differing bit is a token that one set has and the other lacks. Nor does it if they share too few
-keys: of M + 1 shared tokens all that neither set counts as frequent are keys of their own.
+Groups of near copies are not expanded into pairs. Under each index key all sets are first compared with one hub, linked
+sets are contracted, and those still apart are compared with a second hub. What is then left apart under a key is
+compared in full: keys of at most LONG sets by a join, which gives at most LONG rows for each index row; longer keys in
+blocks of BLOCK sets, a task holding two blocks and returning only what passes the filter. So no link that joins
+components is lost, and those within one are not enumerated.
+
+Before a pair is verified on its whole sets it passes a filter that loses no link: the parity bitmaps of its sets (one bit
+for each class of tokens, twice as many classes as tokens at least, so the filter is as sharp for long texts) must not
+differ in too many bits, as each differing bit is a token that one set has and the other lacks; and the pair must share
+enough keys: of M + 1 shared tokens all that neither set counts as frequent are keys of their own.
 """
 
 from __future__ import annotations
@@ -26,20 +30,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import textkernel as K
-from .common import by_size, stored, table, tune
+from .common import by_size, discard, fits, stored, table, tune
 from .components import connected_components
 
 #: Share of all tokens from which on a token is frequent, and its least count.
 SHARE, LEAST = 2.0**-20, 16
 #: Tokens of a window in which repeated tokens are counted before the shuffle.
 WINDOW = 1 << 21
-#: Bits of a set's parity bitmap, in longs of 64.
-BITS = 1024
-#: Rows of facts about sets (some 170 bytes each) up to which they are broadcast.
-FACTS = 250_000
+#: Sets under a key up to which they are paired by a join; sets of a block beyond.
+LONG, BLOCK = 32, 256
 _U = np.uint64
 
 
@@ -60,10 +61,71 @@ def _long(x) -> pa.Array:
     return pa.array(np.asarray(x, _U).view(np.int64), pa.int64())
 
 
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """BITS / 64 words: bit i tells whether an odd number of the set's tokens fall into class i."""
-    odd = np.bincount((tokens >> _U(40)).astype(np.int64) % BITS, minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least two bits a token, a power of two of them and 64 at least: bit i tells whether an odd number of
+    the set's tokens fall into class i. Half of it is the exclusive or of its halves."""
+    bits = max(64, 1 << int(2 * len(tokens) - 1).bit_length()) if len(tokens) else 64
+    odd = np.bincount(((tokens >> _U(32)) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which bitmaps differ (words on the last axis), the longer ones being folded to the shorter ones' length."""
+    while x.shape[-1] > y.shape[-1]:
+        x = x[..., : x.shape[-1] // 2] ^ x[..., x.shape[-1] // 2 :]
+    while y.shape[-1] > x.shape[-1]:
+        y = y[..., : y.shape[-1] // 2] ^ y[..., y.shape[-1] // 2 :]
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def _may_link(n, m, apart, num: int, den: int):
+    """Whether sets of n and m tokens, of which at least `apart` are in one only, can reach the similarity."""
+    return den * (n + m - apart) >= num * (n + m + apart)
+
+
+def _near(num: int, den: int):
+    """Pairs (a, b, n, m, x, y: sizes and bitmaps) -> those that may link."""
+
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            apart = np.array([differing(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            keep = pa.array(_may_link(n, m, apart, num, den))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
+def _block(num: int, den: int):
+    """Rows (slot, id, n, part, bits) of one key and two of its slots, or one -> pairs of different parts that may link, of
+    different slots if there are two."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        slot, ids, n, part = (rows.column(c).to_numpy() for c in ("slot", "id", "n", "part"))
+        bits = [np.frombuffer(x, np.uint64) for x in rows.column("bits").to_pylist()]
+        size = np.array([len(x) for x in bits])
+        one = slot.min() == slot.max() if len(slot) else True
+        a, b = [], []
+        for length in np.unique(size).tolist():
+            # Sets that may link have bitmaps of one length, or of lengths that differ by the factor two.
+            at = np.flatnonzero((size == length) | (size == 2 * length))
+            at = at[np.argsort(n[at], kind="stable")]
+            maps = np.stack([bits[i] if size[i] == length else bits[i][:length] ^ bits[i][length:] for i in at])
+            ends = np.searchsorted(n[at], n[at] * den // num, "right")
+            for i, row in enumerate(at.tolist()):
+                if size[row] != length or ends[i] <= i + 1:
+                    continue
+                some = np.arange(i + 1, ends[i])
+                other = at[some]
+                keep = (part[other] != part[row]) & (one | (slot[other] != slot[row]))
+                some, other = some[keep], other[keep]
+                real = other[_may_link(n[row], n[other], differing(maps[i], maps[some]), num, den)]
+                a.append(np.minimum(ids[row], ids[real]))
+                b.append(np.maximum(ids[row], ids[real]))
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.table([a[a != b], b[a != b]], names=["a", "b"])
+
+    return run
 
 
 def _scan(k: int):
@@ -81,7 +143,7 @@ def _scan(k: int):
                 window, held, seen = [], 0, set()
                 if len(tokens):
                     nulls = pa.nulls(len(tokens), pa.int64())
-                    yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.nulls(len(tokens), pa.list_(pa.int64())), _long(tokens), pa.array(n, pa.int64())], names)
+                    yield pa.RecordBatch.from_arrays([nulls, nulls, nulls, nulls, pa.nulls(len(tokens), pa.binary()), _long(tokens), pa.array(n, pa.int64())], names)
 
         for ids, sets in _sets(batches, k):
             keys = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in sets]
@@ -91,7 +153,7 @@ def _scan(k: int):
                     window.append(own)
                     held += len(own)
             nulls = pa.nulls(len(sets), pa.int64())
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64)), pa.array(np.concatenate([parity(s) for s in sets])))
+            bits = pa.array([parity(own) for own in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), _long([x >> 64 for x in keys]), _long([x & (1 << 64) - 1 for x in keys]), bits, nulls, nulls], names)
             if held >= WINDOW:
                 yield from flush()
@@ -153,23 +215,19 @@ def signatures(tokens: np.ndarray, common: np.ndarray, rank: np.ndarray, num: in
 
 
 def _index(k: int, num: int, den: int, common, rank):
+    """Rows (key, id, n, f): the index keys of each set of two tokens or more, its size, the most frequent tokens that a
+    prefix of it has."""
+
     def run(batches):
-        seen: set[int] = set()
         for ids, sets in _sets(batches, k):
-            out_id, out_f, out = [], [], []
+            columns: list[list] = [[], [], [], []]
             for i, own in zip(ids.to_pylist(), sets):
                 if len(own) > 1 and i is not None:
-                    key = xxhash.xxh3_128_intdigest(own.tobytes())
-                    if key in seen:
-                        continue
-                    if len(seen) < 1 << 17:
-                        seen.add(key)
                     keys, most = signatures(own, common.value, rank.value, num, den)
-                    out.append(keys)
-                    out_id.append(np.full(len(keys), i, np.int64))
-                    out_f.append(np.full(len(keys), most, np.int32))
-            if out:
-                yield pa.RecordBatch.from_arrays([_long(np.concatenate(out)), pa.array(np.concatenate(out_id)), pa.array(np.concatenate(out_f))], ["key", "id", "f"])
+                    for column, x in zip(columns, (keys.view(np.int64), np.full(len(keys), i, np.int64), np.full(len(keys), len(own), np.int32), np.full(len(keys), most, np.int32))):
+                        column.append(x)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in columns], ["key", "id", "n", "f"])
 
     return run
 
@@ -183,35 +241,31 @@ def _tokens(k: int):
     return run
 
 
-def _near(a: str, b: str, num: int, den: int):
-    """Whether the sizes and bitmaps of rows a and b leave the similarity possible."""
-    apart = " + ".join(f"bit_count({a}bits[{i}] ^ {b}bits[{i}])" for i in range(BITS // 64))
-    return F.expr(f"{den} * least({a}n, {b}n) >= {num} * greatest({a}n, {b}n) AND {den} * ({a}n + {b}n - ({apart})) >= {num} * ({a}n + {b}n + ({apart}))")
-
-
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Of pairs(a, b) those whose shingle sets, made anew from the whole texts, reach the similarity."""
-    ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "candidates")
+    """pairs(a, b) with linked: whether their shingle sets, made anew from the whole texts, reach the similarity."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     sets = docs.join(by_size(ids), "id", "left_semi").mapInArrow(_tokens(k), "id long, tokens array<long>")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
-    return joined.select("a", "b", (den * both >= num * (F.size("ta") + F.size("tb") - both)).alias("linked"))
+    return joined.groupBy("a", "b").agg(F.max(den * both >= num * (F.size("ta") + F.size("tb") - both)).alias("linked"))
 
 
-def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """docs -> one row per document: id_col, n_shingles (size of its set), component_id (smallest id of its component).
+def ngram_jaccard_join(
+    docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", share: float = SHARE, least: int = LEAST, long: int = LONG, block: int = BLOCK
+) -> DataFrame:
+    """docs -> one row per row of docs: id_col, n_shingles (size of its set), component_id (smallest id of its component).
 
     Two documents link when den * |A and B| >= num * |A or B| over sets of k-word shingles (A-Z in lower case; a text
     with 1 to k-1 words has the whole sequence as its one shingle). Null or empty texts have no shingles and link with
-    nothing, not even each other. Ids are long and unique; a null id comes back with a null component. Repeated rows of
-    one id are taken as copies of it. Equal sets are one class, never expanded into pairs. An empty table gives no rows;
-    other columns are ignored, whatever their names.
+    nothing, not even each other. Ids are long; a null id comes back with a null component. Rows of one id are one
+    document, which links by any of its texts. Equal sets are one class, never expanded into pairs. Very long texts are
+    held one at a time. An empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scan = stored(docs.mapInArrow(_scan(k), "id long, n long, k1 long, k2 long, bits array<long>, token long, seen long"), "scan")
+    scan = stored(docs.mapInArrow(_scan(k), "id long, n long, k1 long, k2 long, bits binary, token long, seen long"), "scan")
     total = scan.agg(F.sum("n")).first()[0] or 0
-    hot = scan.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(least, total * share)).toArrow()
+    hot = scan.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(least, total * share)).toArrow()  # at most 1 / share rows
     tokens = hot.column("token").to_numpy().view(_U)
     place = np.lexsort((tokens, hot.column("seen").to_numpy()))
     rank = np.empty(len(tokens), np.int64)
@@ -219,59 +273,88 @@ def ngram_jaccard_join(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     by_token = np.argsort(tokens)
     common, rank = (spark.sparkContext.broadcast(x) for x in (tokens[by_token], rank[by_token]))
 
-    rows = scan.where("token IS NULL").select("id", "n", "k1", "k2", "bits")
-    real = rows.where("n > 0 AND id IS NOT NULL")
-    reps = real.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep"))
-    member = real.select("id", "n", "k1", "k2").join(reps, ["n", "k1", "k2"]).select("id", "rep")
-    copies = stored(member.where("id <> rep"), "copies")
-    per_key = Window.partitionBy("key")
-    keys = docs.mapInArrow(_index(k, num, den, common, rank), "key long, id long, f int")
-    shared = stored(keys.withColumn("sets", F.count("*").over(per_key)).where("sets > 1").drop("sets"), "shared")
-    index = shared.join(by_size(copies), "id", "left").select("key", F.coalesce("rep", "id").alias("id"), "f")
-    index = index.repartition("key").dropDuplicates(["key", "id"]).withColumn("sets", F.count("*").over(per_key)).where("sets > 1")
-    index = stored(index, "index")
-
-    # Rows are dealt by key before facts join them, so that broadcast bitmaps are not shuffled. What joins need of a set: size, bitmap, most frequent tokens and classes of its prefixes, how much it shares.
+    rows = scan.where("token IS NULL")
+    real = rows.where("n > 0 AND id IS NOT NULL").select("id", "n", "k1", "k2")
+    member = real.join(real.groupBy("n", "k1", "k2").agg(F.min("id").alias("rep")), ["n", "k1", "k2"]).select("id", "rep").distinct()
+    member = stored(member, "members")
+    copies = stored(member.where("id <> rep").select("id", "rep"), "copies")
+    own = member.where("id = rep").select("id")
+    gone = copies.select("id").distinct().join(own, "id", "left_anti")  # no text of theirs stands for its set
+    gone = stored(gone, "gone")
+    several = copies.join(copies.groupBy("id").agg(F.count("*").alias("reps")).where("reps > 1").unionByName(own.join(copies.select("id").distinct(), "id", "left_semi").withColumn("reps", F.lit(1))).select("id").distinct(), "id", "left_semi")
+    same = stored(several.select(F.col("id").alias("a"), F.col("rep").alias("b")), "same")
+
+    few = fits(gone)
+    source = docs.join(F.broadcast(gone), "id", "left_anti") if few else docs
+    raw = source.mapInArrow(_index(k, num, den, common, rank), "key long, id long, n int, f int")
+    raw = stored(raw if few else raw.join(gone, "id", "left_anti"), "keys")
+    sizes = raw.groupBy("key").agg(F.count("*").alias("sets"), F.min("id").alias("hub")).where("sets > 1")
+    index = stored(raw.join(sizes.hint("shuffle_hash"), "key"), "index")
+    discard(raw)
+    bitmaps = rows.select("id", F.col("n").cast("int").alias("n"), "bits")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        """Of pairs(a, b) of different ids those that may link, by their bitmaps."""
+        with_a = pairs.join(bitmaps.select(F.col("id").alias("a"), "n", F.col("bits").alias("x")), "a")
+        both = with_a.join(bitmaps.select(F.col("id").alias("b"), F.col("n").alias("m"), F.col("bits").alias("y")), "b")
+        both = both.where(den * F.least("n", "m") >= num * F.greatest("n", "m"))
+        return both.select("a", "b", "n", "m", "x", "y").mapInArrow(_near(num, den), "a long, b long").distinct()
+
+    def met(pairs: DataFrame, name: str) -> DataFrame:
+        """pairs(a, b) that are new, verified."""
+        for known in checked:
+            pairs = pairs.join(by_size(known.select("a", "b")), ["a", "b"], "left_anti")
+        return stored(verified(docs, stored(pairs, name), k, num, den), f"{name}-verified")
+
+    def joined_parts() -> DataFrame:
+        links = same
+        for known in checked:
+            links = links.unionByName(known.where("linked").select("a", "b"))
+        return stored(connected_components(links), "parts")
+
+    def apart(rows: DataFrame, parts: DataFrame, sets: int) -> DataFrame:
+        """Rows of keys with so many sets at least that are in different parts; hub: the largest id, in hub_part."""
+        rows = rows.where(F.col("sets") >= sets).select("key", "id", "n", "f", "sets").join(by_size(parts), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
+        rows = stored(rows, "labelled")
+        keys = rows.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.max(F.struct("id", "part")).alias("last")).where("low < high").select("key", F.col("last.id").alias("hub"), F.col("last.part").alias("hub_part"))
+        out = stored(rows.join(keys.hint("shuffle_hash"), "key"), "apart")
+        discard(rows)
+        return out
+
+    # All sets of a key meet its smallest id; then, of keys of three sets and more, those still apart meet its largest.
+    checked: list[DataFrame] = []
+    size = bitmaps.select(F.col("id").alias("hub"), F.col("n").alias("m")).groupBy("hub").agg(F.min("m").alias("least"), F.max("m").alias("most"))
+    star = index.where("id <> hub").groupBy("hub", "id").agg(F.min("n").alias("low"), F.max("n").alias("high")).join(by_size(stored(size, "sizes")), "hub")
+    star = star.where((den * F.col("high") >= num * F.col("least")) & (den * F.col("most") >= num * F.col("low")))
+    checked.append(met(near(star.select(F.col("hub").alias("a"), F.col("id").alias("b"))), "first"))
+    rest = apart(index, joined_parts(), 3)
+    discard(index)
+    second = rest.where("part <> hub_part").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    checked.append(met(near(second), "second"))
+
+    # Keys of up to three sets are done with. Under longer ones, sets in different parts meet in full.
+    last = apart(rest, joined_parts(), 4)
+    discard(rest)
+    short, many = last.where(F.col("sets") <= long).select("key", "id", "n", "part"), last.where(F.col("sets") > long)
+    pairs = short.alias("x").join(short.alias("y"), F.expr(f"x.key = y.key AND x.id < y.id AND x.part <> y.part AND {den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)"))
+    pairs = pairs.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("have"))
     m = F.lit(1)
     for b in range(1, 60):
         m = F.greatest(m, F.when(F.col("n") >= least_size(b), F.lit(classes(b))).otherwise(F.lit(1)))
-    facts = index.groupBy("id").agg(F.sum("sets").alias("reach"), F.max("f").alias("f")).join(rows.select("id", "n", "bits").dropDuplicates(["id"]), "id")
-    facts = stored(facts.withColumn("m", m), "facts")
-    facts = by_size(facts, limit=FACTS)
-
-    hub = F.max_by(F.struct("id", "n", "bits"), F.struct("reach", F.negative("id"))).over(per_key)
-    star = index.select("key", "id").repartition("key").join(facts.drop("f", "m"), "id").withColumn("hub", hub).where("id <> hub.id").where(_near("", "hub.", num, den))
-    star = stored(star.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct(), "star")
-    checked = stored(verified(docs, star, k, num, den), "verified")
-    found = checked.where("linked").select("a", "b")
-
-    def apart(parts: DataFrame) -> DataFrame:
-        """Index rows of the keys under which sets are in different parts."""
-        rows = index.select("key", "id").repartition("key").join(by_size(parts), "id", "left").withColumn("part", F.coalesce("component", "id")).drop("component")
-        rows = rows.withColumn("low", F.min("part").over(per_key)).withColumn("high", F.max("part").over(per_key))
-        return rows.where("low <> high").select("key", "id", "part").join(facts, "id")
-
-    def pairs(rows: DataFrame, known: DataFrame, name: str) -> DataFrame:
-        """Pairs of rows of one key and different parts that may be similar, without the known ones."""
-        met = rows.alias("x").join(rows.alias("y"), F.expr("x.key = y.key AND x.id < y.id AND x.part <> y.part") & _near("x.", "y.", num, den))
-        met = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.expr("greatest(x.m, y.m) + 1 - least(x.f, y.f)").alias("need"))
-        return stored(met.groupBy("a", "b").agg(F.count("*").alias("have"), F.max("need").alias("need")).where(enough).select("a", "b").join(known, ["a", "b"], "left_anti"), name)
-
-    # Parts meet through one set each first, which contracts most of what the hubs have left apart, then in full.
-    enough = F.lit(True)
-    parts = stored(connected_components(found), "parts")
-    one = apart(parts).groupBy("key", "part").agg(F.max_by(F.struct("id", "n", "bits", "f", "m"), F.struct("reach", F.negative("id"))).alias("r")).select("key", "part", "r.*")
-    between = stored(verified(docs, pairs(one, checked.select("a", "b"), "between"), k, num, den), "verified")
-    checked = checked.unionByName(between)
-    found = checked.where("linked").select("a", "b")
-    parts = stored(connected_components(found), "parts")
-    enough = F.col("have") >= F.col("need")
-    more = pairs(apart(parts), checked.select("a", "b"), "more")
-    parts = connected_components(found.unionByName(verified(docs, more, k, num, den).where("linked").select("a", "b")))
-    reps = copies.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
-    ends = reps.unionByName(parts.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
-    full = rows.join(ends, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-    return full
+    facts = last.groupBy("id").agg(F.min("n").alias("n"), F.max("f").alias("f"), F.count_if(F.col("sets") > long).alias("l")).select("id", m.alias("m"), "f", "l")
+    facts = by_size(stored(facts, "facts"))
+    pairs = pairs.join(facts.toDF("a", "am", "af", "al"), "a").join(facts.toDF("b", "bm", "bf", "bl"), "b")
+    pairs = pairs.where("have + least(af, bf) + least(al, bl) > greatest(am, bm)").select("a", "b")
+    blocks = many.select("key", "id", "part", F.ceil(F.col("sets") / block).cast("int").alias("slots")).withColumn("slot", F.pmod(F.xxhash64("id"), F.col("slots")).cast("int"))
+    blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slots") - 1))).withColumn("low", F.least("slot", "other")).withColumn("high", F.greatest("slot", "other"))
+    blocks = blocks.join(bitmaps, "id").select("key", "low", "high", "slot", "id", "n", "part", "bits").groupBy("key", "low", "high").applyInArrow(_block(num, den), "a long, b long")
+    checked.append(met(near(pairs).unionByName(blocks).distinct(), "third"))
+
+    parts = joined_parts()
+    least_rep = copies.groupBy("id").agg(F.min("rep").alias("rep"))
+    ends = least_rep.join(parts.withColumnRenamed("id", "rep"), "rep", "left").select("id", F.coalesce("component", "rep").alias("component"))
+    ends = ends.unionByName(parts.select("id", "component")).groupBy("id").agg(F.min("component").alias("component"))
+    return rows.join(ends, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
