@@ -3,13 +3,13 @@
 1. Texts are split into words as the tokenizer splits them. A chunk of some megabytes of text keeps each of its words
    once, in packs by a hash of the word, and its documents as numbers of those words by position, by frequency so that
    they pack well.
-2. All packs of one hash value meet, so that each distinct word of the corpus is in one place and is encoded once; its
-   ids go back to the chunks that have it.
-3. In its chunk a document's ids are put together by position, and decoding looks up the piece of every id in the
-   id-to-piece table, which has a row for each id of the vocabulary.
+2. The distinct-word table has a row for each distinct word of the corpus: its ids, found by encoding it once, and the
+   bytes they stand for, found by joining its ids with the id-to-piece table and putting the pieces in order.
+3. The rows of that table go back to the chunks that have the word, and in its chunk a document's ids and its decoded
+   text are put together by position.
 
 Texts are read once. The packed documents are written once, bucketed by chunk, so that only packs of words and of their
-ids are shuffled.
+ids are shuffled. decode() is the plain form of the second join, for any table of ids.
 """
 
 from __future__ import annotations
@@ -21,16 +21,19 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, tune
+from .common import discard, discard_path, shared_dir, stored, table, tune
 
 #: Bytes of text of a chunk, whose words and documents one task holds at a time; a longer text is a chunk of its own.
-CHUNK = 24 << 20
+CHUNK = 12 << 20
+#: Words that a task gathers before it hands them on to be made distinct.
+GATHER = 100_000
 
 
 def default_tokenizer() -> str:
@@ -133,12 +136,12 @@ def _chunks(spec, parts: int):
             chunk, held, slots, ids, docs = chunk + 1, 0, {}, [], []
 
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py() or ""
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1)):
+                text = value.as_py() or ""
                 put = slots.setdefault
                 docs.append(np.array([put(w, len(slots)) for w in own.split(text)], np.uint32))
                 ids.append(key)
-                held += len(text)
+                held += len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
                 if held >= CHUNK:
                     yield from flush()
         yield from flush()
@@ -154,53 +157,87 @@ def _batch(chunk, part, ids, sizes, packs) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["chunk", "part", "ids", "sizes", "pack"])
 
 
+def _words(pack: bytes) -> list[bytes]:
+    sizes, flat = _unpack(pack)
+    cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4"))]).astype(int).tolist()
+    return [flat[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
+def _gathered(batches):
+    """Packs (part, pack) -> (part, word), each word once as far as a task has it in mind."""
+    seen: dict[bytes, int] = {}
+
+    def flush():
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen.values()), pa.int32()), pa.array(list(seen), pa.binary())], ["part", "word"])
+        seen.clear()
+
+    for batch in batches:
+        for part, pack in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for word in _words(pack):
+                seen[word] = part
+            if len(seen) > GATHER:
+                yield from flush()
+    yield from flush()
+
+
 def _encode(spec):
-    """All packs of a part -> for each chunk the ids of its words there, each distinct word being encoded once."""
+    """Distinct words (part, word) with their ids."""
 
-    def run(rows: pa.Table) -> pa.Table:
+    def run(batches):
         from tokenizers import Tokenizer
 
         own, tokenizer = _vocabulary(spec), Tokenizer.from_str(spec.value)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        slots: dict[bytes, int] = {}
-        per_chunk = []
-        for pack in rows.column("pack").to_pylist():
-            sizes, flat = _unpack(pack)
-            cuts = np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4"))]).astype(int).tolist()
-            per_chunk.append(np.array([slots.setdefault(flat[x:y], len(slots)) for x, y in zip(cuts, cuts[1:])], np.int64))
-        distinct = [w.decode("utf-8", "surrogatepass") for w in slots]
-        coded = [[own.special[w]] if w in own.special else x.ids for w, x in zip(distinct, tokenizer.encode_batch(distinct, add_special_tokens=False))]
-        ids = pa.array(coded, pa.list_(pa.uint32()))
-        packs = []
-        for which in per_chunk:
-            taken = ids.take(pa.array(which))
-            packs.append(_pack(taken.value_lengths().to_numpy().astype("<u4").tobytes(), *_planes(taken.flatten().to_numpy())))
-        return pa.table([rows.column("chunk"), rows.column("part"), pa.array(packs, pa.binary())], names=["chunk", "part", "pack"])
+        for batch in batches:
+            texts = [w.decode("utf-8", "surrogatepass") for w in batch.column(1).to_pylist()]
+            ids = [[own.special[w]] if w in own.special else x.ids for w, x in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["part", "word", "ids"])
 
     return run
 
 
-def _put_together(spec, keep: bool):
+def _lookup(packs: pa.Table, words: pa.Table) -> pa.Table:
+    """The packs of words of one part and that part of the distinct-word table -> for each chunk's pack, in its order, the
+    ids and the decoded bytes of its words."""
+    place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
+    ids, pieces = words.column("ids").combine_chunks(), words.column("decoded").combine_chunks()
+    out = []
+    for pack in packs.column("pack").to_pylist():
+        which = pa.array([place[w] for w in _words(pack)], pa.int64())
+        own, text = ids.take(which), pieces.take(which)
+        sizes = [x.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in (pc.list_value_length(own), pc.binary_length(text))]
+        out.append(_pack(*sizes, *_planes(own.flatten().to_numpy()), b"".join(text.to_pylist())))
+    return pa.table([packs.column("chunk"), packs.column("part"), pa.array(out, pa.binary())], names=["chunk", "part", "pack"])
+
+
+def _cut(sizes: bytes, flat: bytes, width: int) -> list[bytes]:
+    cuts = (np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)]) * width).tolist()
+    return [flat[x:y] for x, y in zip(cuts, cuts[1:])]
+
+
+def _put_together(keep: bool):
+    """A chunk's documents and the packs of its words' ids and bytes -> a row for each document."""
+
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        pieces, out = _vocabulary(spec).pieces, []
-        ids_of = dict(zip(words.column("part").to_pylist(), words.column("pack").to_pylist()))
+        out = []
+        packs = dict(zip(words.column("part").to_pylist(), words.column("pack").to_pylist()))
         for keys, sizes, pack in zip(docs.column("ids").to_pylist(), docs.column("sizes").to_pylist(), docs.column("pack").to_pylist()):
             planes = _unpack(pack)
             numbers, part = _numbers(planes[:4]), _numbers(planes[4:])
-            per_word = np.full(len(part), b"", object)
-            for p, own in ids_of.items():
-                lengths, *rest = _unpack(own)
-                cuts = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<u4"))]).astype(int) * 4
-                raw, cuts = _numbers(rest).tobytes(), cuts.tolist()
-                per_word[part == p] = [raw[x:y] for x, y in zip(cuts, cuts[1:])]
+            coded, decoded = np.full(len(part), b"", object), np.full(len(part), b"", object)
+            for p, own in packs.items():
+                lengths, widths, *rest = _unpack(own)
+                at = np.flatnonzero(part == p)
+                coded[at] = _cut(lengths, _numbers(rest[:4]).tobytes(), 4)
+                decoded[at] = _cut(widths, rest[4], 1)
             at = 0
             for key, n in zip(keys, sizes):
-                raw = b"".join(per_word[numbers[at : at + n]].tolist())
+                some = numbers[at : at + n]
                 at += n
-                ids = np.frombuffer(raw, "<u4")
-                text = b"".join(pieces[ids].tolist()).decode("utf-8", "replace")
-                out.append((key, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *((ids.astype(np.int32), text) if keep else ())))
+                raw, text = b"".join(coded[some].tolist()), b"".join(decoded[some].tolist()).decode("utf-8", "replace")
+                more = (np.frombuffer(raw, "<i4"), text) if keep else ()
+                out.append((key, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *more))
         columns = list(zip(*out)) or [()] * (6 if keep else 4)
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=_NAMES[: len(columns)])
@@ -221,13 +258,32 @@ def _vocabulary(spec) -> Vocabulary:
     return _kept[key]
 
 
+def piece_table(spark: SparkSession, tokenizer: str | None = None) -> DataFrame:
+    """The id-to-piece table (id, piece): a row for each id of the vocabulary, with the bytes it stands for."""
+    with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
+        pieces = Vocabulary(f.read()).pieces
+    return spark.createDataFrame(pa.table({"id": pa.array(range(len(pieces)), pa.int32()), "piece": pa.array(pieces.tolist(), pa.binary())}))
+
+
+def decode(rows: DataFrame, pieces: DataFrame, ids_col: str = "ids") -> DataFrame:
+    """rows (distinct, with an array of ids) with the column decoded: the bytes of the ids' pieces, in order, by a join with
+    the id-to-piece table, which has a vocabulary's rows at any corpus size. No ids (null or empty) give empty bytes; ids
+    without a piece are left out. A column named decoded is replaced; an empty table gives no rows."""
+    keys = [F.col(f"`{c}`") for c in rows.columns if c != "decoded"]
+    ids = rows.select(*keys, F.posexplode_outer(ids_col).alias("__at", "__id"))
+    found = ids.join(F.broadcast(pieces.select(F.col("id").alias("__id"), F.col("piece").alias("__piece"))), "__id", "left")
+    put = F.array_sort(F.collect_list(F.when(F.col("__piece").isNotNull(), F.struct("__at", "__piece"))))
+    return found.groupBy(*keys).agg(F.aggregate(put, F.lit(b""), lambda a, x: F.concat(a, x["__piece"])).alias("decoded"))
+
+
 def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep: bool = False) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers) and
     decoded_sha256; with keep also ids and the decoded text.
 
     tokenizer: path of a byte-level BPE file, read on the driver (default: the 50k vocabulary). Null and empty texts have
-    no tokens. Special strings in a text become their ids. Rows that repeat an id, or have none, are encoded each for
-    itself. An empty table gives no rows; other columns are ignored, whatever their names.
+    no tokens. Special strings in a text become their ids. A very long text is a chunk of its own. Rows that repeat an id,
+    or have none, are encoded each for itself. An empty table gives no rows; other columns are ignored, whatever their
+    names. The result is a stored table; the tables on the way to it are deleted.
     """
     spark = docs.sparkSession
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
@@ -235,13 +291,23 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"bpe_{uuid.uuid4().hex}"
-    packed = docs.mapInArrow(_chunks(spec, parts), _PACKED)
-    packed.write.bucketBy(parts, "chunk").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    rows = spark.table(name)
-    ids = rows.where("part IS NOT NULL").select("chunk", "part", "pack").groupBy("part").applyInArrow(_encode(spec), "chunk long, part int, pack binary")
-    texts = rows.where("part IS NULL").select("chunk", "ids", "sizes", "pack")
-    schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
-    out = texts.groupBy("chunk").cogroup(ids.groupBy("chunk")).applyInArrow(_put_together(spec, keep), schema)
+    try:
+        packed = docs.mapInArrow(_chunks(spec, parts), _PACKED)
+        packed.write.bucketBy(parts, "chunk").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        rows = spark.table(name)
+        packs = rows.where("part IS NOT NULL").select("chunk", "part", "pack")
+        distinct = packs.select("part", "pack").repartition(parts, "part").mapInArrow(_gathered, "part int, word binary").distinct()
+        coded = stored(distinct.mapInArrow(_encode(spec), "part int, word binary, ids array<int>"), "words")
+        words = stored(decode(coded, piece_table(spark, tokenizer)), "distinct-words")
+        discard(coded)
+        found = packs.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_lookup, "chunk long, part int, pack binary")
+        texts = rows.where("part IS NULL").select("chunk", "ids", "sizes", "pack")
+        schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
+        out = stored(texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_put_together(keep), schema), "coded")
+        discard(words)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        discard_path(spark, f"{shared_dir(spark)}/{name}")
     return out.withColumnRenamed("id", id_col)
 
 
