@@ -1,9 +1,10 @@
 """Line dedup with DataFrame functions only: lines of whole texts that many documents hold are dropped but for one holder.
 
-A line's key is the line with spaces and \\t..\\r stripped at both ends and A-Z in lower case, held as two independent
-64-bit hashes. Counts of lines are combined before the shuffle; only keys with enough lines have their documents counted. Which keys a document
-loses comes back to it as a list, and the text is filtered where it stands, so texts are shuffled only when those lists
-are too many to broadcast.
+Lines are exploded with their positions. A line's key is the line with spaces and \\t..\\r stripped at both ends and A-Z in
+lower case, held as two independent 64-bit hashes. Counts of lines are combined before the shuffle; only keys with enough
+lines have their documents counted. What a text loses are positions; a text that loses some is exploded again without
+them and put together by position. All other texts stay where they are and are not shuffled while the ids of those that
+lose lines are few enough to broadcast.
 """
 
 from __future__ import annotations
@@ -11,48 +12,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, by_size, lower_ascii, stored, table
+from .common import SPACES, by_size, discard, lower_ascii, stored, table
 
 MIN_CHARS, MIN_DOCS = 40, 5
-#: Documents that lose lines up to which their lists of lost keys are broadcast.
-LOST = 250_000
 
 
 def _hashes(key: Column) -> tuple[Column, Column]:
     return F.xxhash64(key).alias("h"), F.xxhash64(F.lit(1), key).alias("g")
 
 
-def _key(line: Column) -> Column:
-    return F.struct(*_hashes(lower_ascii(F.btrim(line, F.lit(SPACES)))))
-
-
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the columns n_lines, n_dropped and kept_text added; kept_text is the text without its dropped lines.
 
     Texts are split at \\n only; null and empty texts are one empty line. Keys of at least min_chars code points that at
     least min_docs documents hold lose all their lines except in the largest id that holds them; there all lines stay, as
     do repeats within one document. A null id counts as one document below all others. Rows that repeat an id are one
-    document for the counts, and each is filtered alike. Columns of the input stay; ones named n_lines, n_dropped or
-    kept_text are replaced.
+    document for the counts, and each is filtered alike. Very long texts are split whole; an empty table gives no rows.
+    Columns of the input stay; ones named n_lines, n_dropped or kept_text are replaced.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id"), F.explode(F.split(text, "\n", -1)).alias("line"))
-    keys = rows.where(F.octet_length("line") >= min_chars).select("id", F.btrim("line", F.lit(SPACES)).alias("line")).where(F.char_length("line") >= min_chars)
-    held = stored(keys.select("id", lower_ascii(F.col("line")).alias("line")).select("id", *_hashes(F.col("line"))), "line-keys")
-    counted = held.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("id").alias("keeper"), F.min("id").alias("other"))
-    repeated = stored(counted.where((F.col("n") >= min_docs) & (F.col("keeper") > F.col("other"))).select("h", "g", "keeper"), "repeated-lines")
-    pairs = held.join(by_size(repeated), ["h", "g"]).select("id", "h", "g", "keeper").distinct()
-    enough = pairs.groupBy("h", "g").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("h", "g")
-    lost = stored(pairs.join(by_size(enough), ["h", "g"], "left_semi").where("id < keeper").groupBy("id").agg(F.collect_set(F.struct("h", "g")).alias("lost")), "lost-lines")
-
     fresh = [c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
-    named = docs.select(*[F.col(f"`{c}`") for c in fresh], F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"), text.alias("__text"))
-    joined = named.join(by_size(lost.withColumnRenamed("id", "__id").withColumnRenamed("lost", "__lost"), limit=LOST), "__id", "left")
-    kept = F.when(F.col("__lost").isNull(), F.lit(None)).otherwise(F.filter(F.split("__text", "\n", -1), lambda x: ~((F.octet_length(x) >= min_chars) & F.array_contains(F.col("__lost"), _key(x)))))
-    out = joined.withColumn("__kept", kept).withColumn("n_lines", F.size(F.split("__text", "\n", -1)).cast("long"))
-    out = out.withColumn("n_dropped", F.when(F.col("__lost").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("__kept")).cast("long"))
-    out = out.withColumn("kept_text", F.when(F.col("__lost").isNull(), F.col("__text")).otherwise(F.array_join("__kept", "\n")))
-    return out.select(*[F.col(f"`{c}`") for c in fresh], "n_lines", "n_dropped", "kept_text")
+    # A row is known by its id and a hash of its text; rows alike in both have the same result.
+    named = docs.select(*[F.col(f"`{c}`") for c in fresh], F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("__id"), F.xxhash64(text).alias("__t"), text.alias("__text"))
+    row = ["__id", "__t"]
+
+    lines = named.select(*row, F.posexplode(F.split("__text", "\n", -1)).alias("at", "line"))
+    keys = lines.where(F.octet_length("line") >= min_chars).select(*row, "at", F.btrim("line", F.lit(SPACES)).alias("line")).where(F.char_length("line") >= min_chars)
+    held = stored(keys.select(*row, "at", lower_ascii(F.col("line")).alias("line")).select(*row, "at", *_hashes(F.col("line"))), "line-keys")
+    counted = held.groupBy("h", "g").agg(F.count("*").alias("n"), F.max("__id").alias("keeper"), F.min("__id").alias("other"))
+    repeated = by_size(stored(counted.where((F.col("n") >= min_docs) & (F.col("keeper") > F.col("other"))).select("h", "g", "keeper"), "repeated-lines"))
+    holders = held.join(repeated, ["h", "g"]).select("__id", "h", "g").distinct()
+    enough = by_size(stored(holders.groupBy("h", "g").agg(F.count("*").alias("docs")).where(F.col("docs") >= min_docs).select("h", "g"), "common-lines"))
+    lost = stored(held.join(repeated, ["h", "g"]).join(enough, ["h", "g"], "left_semi").where("__id < keeper").select(*row, "at").distinct(), "lost-lines")
+    discard(held)
+
+    losing = stored(lost.groupBy(*row).agg(F.count("*").alias("n_dropped")), "losing")
+    mark = by_size(losing.select(*row))
+    rest = named.join(mark, row, "left_semi").select(*row, "__text").distinct().select(*row, F.posexplode(F.split("__text", "\n", -1)).alias("at", "line"))
+    rest = rest.join(by_size(lost), [*row, "at"], "left_anti").groupBy(*row).agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("lines"))
+    kept = losing.join(rest.select(*row, F.array_join("lines.line", "\n").alias("kept_text")), row, "left").select(*row, "n_dropped", F.coalesce("kept_text", F.lit("")).alias("kept_text"))
+
+    count = F.size(F.split("__text", "\n", -1)).cast("long").alias("n_lines")
+    columns = [F.col(f"`{c}`") for c in fresh]
+    whole = named.join(mark, row, "left_anti").select(*columns, count, F.lit(0).cast("long").alias("n_dropped"), F.col("__text").alias("kept_text"))
+    return whole.unionByName(named.join(mark, row, "left_semi").join(kept, row).select(*columns, count, "n_dropped", "kept_text"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
