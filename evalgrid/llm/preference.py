@@ -1,81 +1,107 @@
 """Preference formatting with DataFrame functions only: the longest common turn prefix of a chosen and a rejected
-conversation becomes the prompt, rendered once; what follows becomes two completions with a loss mask.
+conversation becomes the prompt, rendered once; what follows becomes two completions, each with a loss mask.
 
-The result has a row for each pair and turn, not one string for each pair: a conversation may hold any share of all turns
-and is then still spread over many tasks, as all work is keyed by pair and turn. Ordered by turn, the rows of a pair
-concatenate to its prompt and its completions.
+All turns of a pair, of both sides, meet in one exchange; the prefix, the texts and the masks are expressions over the two
+ordered lists. The result is a row for each pair, so a pair has to fit in a row, as it has to as a training example.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import table
+from .common import by_size, stored, table
 
 #: How a turn is rendered, and the role whose turns in a completion count for the loss.
 TEMPLATE = ("<|", "|>\n", "\n")
 LEARNED = "assistant"
 
 
-def _rendered(role: str, text: str) -> Column:
-    a, b, c = TEMPLATE
-    return F.concat(F.lit(a), F.coalesce(role, F.lit("")), F.lit(b), F.coalesce(text, F.lit("")), F.lit(c))
+def _header(x: Column) -> Column:
+    return F.concat(F.lit(TEMPLATE[0]), F.coalesce(x["role"], F.lit("")), F.lit(TEMPLATE[1]))
+
+
+def _body(x: Column) -> Column:
+    return F.concat(F.coalesce(x["text"], F.lit("")), F.lit(TEMPLATE[2]))
+
+
+def _rendered(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, lambda x: F.concat(_header(x), _body(x))), "")
+
+
+def _mask(turns: Column) -> Column:
+    """Runs of code points (n, learn) that make up the rendered turns: each turn's header, then its text."""
+    learn = lambda x: F.coalesce((x["role"] == LEARNED).cast("int"), F.lit(0))
+    runs = lambda x: F.array(F.struct(F.char_length(_header(x)).alias("n"), F.lit(0).alias("learn")), F.struct(F.char_length(_body(x)).alias("n"), learn(x).alias("learn")))
+    return F.flatten(F.transform(turns, runs))
 
 
 def preference_format(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """chosen and rejected (pair_id, turn, role, text) -> a row for each pair and turn that either has:
+    """chosen and rejected (pair_id, turn, role, text) -> a row for each pair that either has:
 
-    pair_id, turn, copy, in_prompt, prompt_turns (length of the common prefix), prompt (the rendered turn if it is in the
-    prompt), chosen and rejected (the rendered turn of each completion if it has it), chosen_mask and rejected_mask (1 for
-    the turns to learn from: those of the assistant in the completion; else 0).
+    pair_id, prompt_turns (length of the common prefix), prompt, chosen and rejected (the rendered prefix and what each side
+    has after it; empty for nothing), chosen_mask and rejected_mask (runs (n, learn) of the completion's code points; learn
+    is 1 for the texts of the assistant, with their end; else 0).
 
-    Turns are equal if role and text are (null equals null). The prefix ends before the first turn that differs or that
-    one side lacks; turns are compared by their number, and a null number comes before all others. Several rows of one
-    pair and turn are taken in the order of role and text, numbered by copy. A pair with one side only has no prompt. Rows
-    without a pair id are left out, having no partner. Empty tables give no rows; other columns are ignored.
+    Turns are taken in the order of turn, role and text, nulls first, so repeated rows stay and ties are settled. They are
+    equal if turn, role and text are (null equals null); the prefix ends before the first turn that differs or that one
+    side lacks. A pair with one side only has no prompt. Rows without a pair id are left out, having no partner. Empty
+    texts are rendered as such; very long ones are copied whole. Empty tables give no rows; other columns are ignored.
     """
     sides = []
     for name, df in (("c", chosen), ("r", rejected)):
-        own = df.where("pair_id IS NOT NULL").select(F.col("pair_id").cast("long"), F.coalesce(F.col("turn").cast("long"), F.lit(-(2**63))).alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-        copy = F.row_number().over(Window.partitionBy("pair_id", "turn").orderBy(F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first()))
-        sides.append(own.withColumn("copy", copy).select("pair_id", "turn", "copy", F.struct("role", "text").alias(name)))
-    both = sides[0].join(sides[1], ["pair_id", "turn", "copy"], "full_outer").withColumn("same", F.coalesce((F.col("c") == F.col("r")) | F.col("c").eqNullSafe(F.col("r")), F.lit(False)))
-    split = both.where(~F.col("same")).groupBy("pair_id").agg(F.min(F.struct("turn", "copy")).alias("split"))
-    out = both.join(split, "pair_id", "left").withColumn("in_prompt", F.col("split").isNull() | (F.struct("turn", "copy") < F.col("split")))
-    lengths = out.where("in_prompt").groupBy("pair_id").agg(F.count("*").alias("prompt_turns"))
-    out = out.join(lengths, "pair_id", "left")
-
-    def part(side: str) -> list[Column]:
-        real = ~F.col("in_prompt") & F.col(side).isNotNull()
-        return [F.when(real, _rendered(F.col(f"{side}.role"), F.col(f"{side}.text"))), F.coalesce(real & (F.col(f"{side}.role") == LEARNED), F.lit(False)).cast("int")]
-
-    (c, c_mask), (r, r_mask) = part("c"), part("r")
-    number = F.when(F.col("turn") > -(2**63), F.col("turn"))
-    return out.select("pair_id", number.alias("turn"), "copy", "in_prompt", F.coalesce("prompt_turns", F.lit(0)).cast("long").alias("prompt_turns"), F.when(F.col("in_prompt"), _rendered(F.col("c.role"), F.col("c.text"))).alias("prompt"), c.alias("chosen"), r.alias("rejected"), c_mask.alias("chosen_mask"), r_mask.alias("rejected_mask"))
+        turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+        sides.append(df.where("pair_id IS NOT NULL").select(F.col("pair_id").cast("long").alias("pair_id"), F.lit(name).alias("side"), turn.alias("x")))
+    collected = [F.sort_array(F.collect_list(F.when(F.col("side") == name, F.col("x")))).alias(name) for name in ("c", "r")]
+    both = sides[0].unionByName(sides[1]).groupBy("pair_id").agg(*collected)
+    n = F.least(F.size("c"), F.size("r"))
+    same = F.zip_with(F.slice("c", F.lit(1), n), F.slice("r", F.lit(1), n), lambda x, y: x.eqNullSafe(y))
+    first = F.array_position(same, False).cast("int")
+    both = both.withColumn("k", F.when(first > 0, first - 1).otherwise(n))
+    rest = {side: F.slice(side, F.col("k") + 1, F.size(side)) for side in ("c", "r")}
+    return both.select(
+        "pair_id", F.col("k").cast("long").alias("prompt_turns"), _rendered(F.slice("c", F.lit(1), F.col("k"))).alias("prompt"),
+        _rendered(rest["c"]).alias("chosen"), _rendered(rest["r"]).alias("rejected"), _mask(rest["c"]).alias("chosen_mask"), _mask(rest["r"]).alias("rejected_mask"),
+    )
+
+
+def derived_pairs(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """turns(conv_id, turn, role, text) -> chosen and rejected for preference_format, as the table has no preferences: each
+    conversation is chosen; its rejected form is cut at its last assistant turn (at its first turn if it has none) and
+    goes on from there with the turns of its neighbour, the conversation whose id differs in the last bit."""
+    own = turns.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("pair_id"), "turn", "role", "text")
+    cuts = own.groupBy("pair_id").agg(F.coalesce(F.max(F.when(F.col("role") == LEARNED, F.col("turn"))), F.min("turn")).alias("cut"))
+    cuts = by_size(stored(cuts, "cuts"))
+    before = own.join(cuts, "pair_id").where("turn < cut").drop("cut")
+    after = own.withColumn("pair_id", F.col("pair_id").bitwiseXOR(F.lit(1))).join(cuts, "pair_id").where("turn >= cut").drop("cut")
+    return own, before.unionByName(after)
 
 
 def op5_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of conversations. The table has no preferences: conversation 2n is taken as chosen, 2n + 1 as rejected."""
-    turns = table(spark, sf_dir, "conversations").select(F.floor(F.col("conv_id") / 2).cast("long").alias("pair_id"), F.pmod("conv_id", F.lit(2)).alias("side"), "turn", "role", "text")
-    return preference_format(turns.where("side = 0"), turns.where("side = 1"))
+    """All of conversations, with the pairs of derived_pairs(); the masks as text, such as 14*0,120*1."""
+    out = preference_format(*derived_pairs(table(spark, sf_dir, "conversations")))
+    for side in ("chosen_mask", "rejected_mask"):
+        out = out.withColumn(side, F.array_join(F.transform(side, lambda x: F.concat(x["n"].cast("string"), F.lit("*"), x["learn"].cast("string"))), ","))
+    return out
 
 
 ORACLE = """
-WITH t AS (SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id, conv_id % 2 AS side, turn, role, text,
-                  CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER BY role NULLS FIRST, text NULLS FIRST) AS INTEGER) AS copy FROM conversations),
-p AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.turn, r.turn) AS turn, coalesce(c.copy, r.copy) AS copy,
-             c.pair_id IS NOT NULL AS has_c, r.pair_id IS NOT NULL AS has_r, c.role AS c_role, c.text AS c_text, r.role AS r_role, r.text AS r_text
-      FROM (SELECT * FROM t WHERE side = 0) c FULL OUTER JOIN (SELECT * FROM t WHERE side = 1) r
-        ON c.pair_id = r.pair_id AND c.turn = r.turn AND c.copy = r.copy),
-m AS (SELECT *, sum(CASE WHEN has_c AND has_r AND c_role IS NOT DISTINCT FROM r_role AND c_text IS NOT DISTINCT FROM r_text THEN 0 ELSE 1 END)
-        OVER (PARTITION BY pair_id ORDER BY turn, copy ROWS UNBOUNDED PRECEDING) = 0 AS in_prompt FROM p)
-SELECT pair_id, turn, copy, in_prompt, CAST(sum(CASE WHEN in_prompt THEN 1 ELSE 0 END) OVER (PARTITION BY pair_id) AS BIGINT) AS prompt_turns,
-  CASE WHEN in_prompt THEN '<|' || coalesce(c_role, '') || '|>' || chr(10) || coalesce(c_text, '') || chr(10) END AS prompt,
-  CASE WHEN NOT in_prompt AND has_c THEN '<|' || coalesce(c_role, '') || '|>' || chr(10) || coalesce(c_text, '') || chr(10) END AS chosen,
-  CASE WHEN NOT in_prompt AND has_r THEN '<|' || coalesce(r_role, '') || '|>' || chr(10) || coalesce(r_text, '') || chr(10) END AS rejected,
-  CAST(NOT in_prompt AND has_c AND coalesce(c_role, '') = 'assistant' AS INTEGER) AS chosen_mask,
-  CAST(NOT in_prompt AND has_r AND coalesce(r_role, '') = 'assistant' AS INTEGER) AS rejected_mask
-FROM m
+WITH t AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+cuts AS (SELECT pair_id, coalesce(max(turn) FILTER (WHERE role = 'assistant'), min(turn)) AS cut FROM t GROUP BY pair_id),
+s AS (SELECT 0 AS side, * FROM t
+      UNION ALL SELECT 1, t.* FROM t JOIN cuts ON t.pair_id = cuts.pair_id AND turn < cut
+      UNION ALL SELECT 1, cuts.pair_id, turn, role, text FROM t JOIN cuts ON xor(t.pair_id, 1) = cuts.pair_id AND turn >= cut),
+n AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i,
+             '<|' || coalesce(role, '') || '|>' || chr(10) AS head, coalesce(text, '') || chr(10) AS body FROM s),
+p AS (SELECT coalesce(c.pair_id, r.pair_id) AS pair_id, coalesce(c.i, r.i) AS i, c.i AS ci, r.i AS ri, c.head AS c_head, c.body AS c_body, r.head AS r_head, r.body AS r_body, c.role AS c_role, r.role AS r_role,
+             c.i IS NOT NULL AND r.i IS NOT NULL AND c.turn IS NOT DISTINCT FROM r.turn AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text AS same
+      FROM (SELECT * FROM n WHERE side = 0) c FULL OUTER JOIN (SELECT * FROM n WHERE side = 1) r ON c.pair_id = r.pair_id AND c.i = r.i),
+m AS (SELECT *, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY pair_id ORDER BY i ROWS UNBOUNDED PRECEDING) = 0 AS common FROM p)
+SELECT pair_id, count(*) FILTER (WHERE common) AS prompt_turns,
+  coalesce(string_agg(c_head || c_body, '' ORDER BY i) FILTER (WHERE common), '') AS prompt,
+  coalesce(string_agg(c_head || c_body, '' ORDER BY i) FILTER (WHERE NOT common AND ci IS NOT NULL), '') AS chosen,
+  coalesce(string_agg(r_head || r_body, '' ORDER BY i) FILTER (WHERE NOT common AND ri IS NOT NULL), '') AS rejected,
+  coalesce(string_agg(length(c_head) || '*0,' || length(c_body) || '*' || CASE WHEN c_role = 'assistant' THEN 1 ELSE 0 END, ',' ORDER BY i) FILTER (WHERE NOT common AND ci IS NOT NULL), '') AS chosen_mask,
+  coalesce(string_agg(length(r_head) || '*0,' || length(r_body) || '*' || CASE WHEN r_role = 'assistant' THEN 1 ELSE 0 END, ',' ORDER BY i) FILTER (WHERE NOT common AND ri IS NOT NULL), '') AS rejected_mask
+FROM m GROUP BY pair_id
 """
