@@ -1,10 +1,10 @@
 """URL filters by a temporal list join: dated list entries become validity intervals, and an as-of join evaluates every
 capture against the entries that were active when it was fetched.
 
-A capture is looked up under its host, each parent domain, and each leading part of its path. Intervals are cut at the
-borders of time slices and joined by (key, slice), so a host with very many captures and entries is spread over slices,
-and within a slice only the few intervals of that key meet its captures. Captures of one key and time are combined before
-the join, so a common host costs a row for each distinct time and task; decisions go back to the captures by join.
+A capture is looked up under its host, each parent domain, and each leading part of its path. Captures of one key and time
+are combined before the join, so a common host costs a row for each distinct time and task; decisions go back to the
+captures by join. A key with more than TIMES distinct times has its time range cut into slices, its intervals being cut at
+their borders, and is joined by (key, slice), so it is spread over tasks; all other keys have one slice.
 """
 
 from __future__ import annotations
@@ -13,10 +13,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import stored, table
+from .common import by_size, stored, table
 
-#: Length of a time slice, in the unit of the times.
-SLICE = 64
+#: Distinct times of a key in one slice, about.
+TIMES = 10_000
 
 
 def _host(url: Column) -> Column:
@@ -49,25 +49,31 @@ def validity(entries: DataFrame) -> DataFrame:
     return one.withColumn("valid_to", next_at).where("rank > 1").select("key", F.when(F.col("rank") == 3, "allow").otherwise("block").alias("action"), F.col("at").alias("valid_from"), "valid_to")
 
 
-def temporal_filter(captures: DataFrame, entries: DataFrame, length: int = SLICE) -> DataFrame:
+def temporal_filter(captures: DataFrame, entries: DataFrame, per_slice: int = TIMES) -> DataFrame:
     """captures(page_id, url, fetched) and entries(key, at, action) -> one row per capture: page_id, url, fetched,
     decision ("block", "allow" by an entry, or "none"), matched (the key of the deciding entry) and valid_from (its time; -1
     for none).
 
     Of the entries active at the fetch time, valid_from <= fetched < valid_to, the longest key decides. Keys are hosts or
     domains such as "a.example.com", which hold for all hosts under them, or a host with leading path parts. Null urls,
-    urls without a host, and captures without a time match nothing. Repeated captures are decided each for itself. An
-    empty capture table gives no rows, an empty list "none" for all; other columns are ignored.
+    urls without a host, and captures without a time match nothing. Repeated captures are decided each for itself. Very
+    long urls are looked up by no more path parts than an entry has. An empty capture table gives no rows, an empty list "none" for all; other columns are ignored.
     """
-    spans = validity(entries)
-    ends = captures.agg(F.max("fetched")).first()[0]
+    spans = stored(validity(entries), "url-entries")
     most = spans.agg(F.max(F.size(F.split("key", "/")) - 1)).first()[0] or 0  # no entry has more parts of a path
-    slices = F.sequence(F.floor(F.col("valid_from") / length), F.floor(F.coalesce(F.least(F.col("valid_to") - 1, F.lit(ends)), F.lit(ends)) / length))
-    cut = spans.where(F.col("valid_from") <= F.lit(ends)).withColumn("slice", F.explode(slices))
     rows = captures.select(F.xxhash64("url").alias("u"), "page_id", "url", F.col("fetched").cast("long").alias("fetched"))
     asked = rows.where("url IS NOT NULL AND fetched IS NOT NULL").select("url", "fetched", F.explode(_keys(F.col("url"), most)).alias("key")).where("key <> ''")
-    times = asked.select("key", "fetched").distinct().withColumn("slice", F.floor(F.col("fetched") / length))
-    met = times.join(cut, ["key", "slice"]).where((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
+    times = stored(asked.select("key", "fetched").distinct(), "url-times")
+    hot = times.groupBy("key").agg(F.count("*").alias("n"), F.min("fetched").alias("low"), F.max("fetched").alias("high")).where(F.col("n") > per_slice)
+    hot = by_size(stored(hot.select("key", "low", ((F.col("high") - F.col("low")) / F.ceil(F.col("n") / per_slice)).alias("length"), F.ceil(F.col("n") / per_slice).alias("slices")), "url-hot"))
+
+    def slice_of(time) -> Column:
+        return F.greatest(F.lit(0), F.least(F.col("slices") - 1, F.floor((time - F.col("low")) / F.col("length"))))
+
+    asked_at = times.join(hot, "key", "left").withColumn("slice", F.coalesce(slice_of(F.col("fetched")), F.lit(0))).select("key", "fetched", "slice")
+    cut = spans.join(hot, "key", "left").withColumn("first", F.coalesce(slice_of(F.col("valid_from")), F.lit(0))).withColumn("last", F.coalesce(F.when(F.col("valid_to").isNull(), F.col("slices") - 1).otherwise(slice_of(F.col("valid_to"))), F.lit(0)))
+    cut = cut.withColumn("slice", F.explode(F.sequence("first", "last"))).select("key", "slice", "action", "valid_from", "valid_to")
+    met = asked_at.join(cut, ["key", "slice"]).where((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
     met = stored(met.select("key", "fetched", "action", "valid_from"), "url-matches")
     best = asked.join(met, ["key", "fetched"]).groupBy("url", "fetched").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action", "valid_from")).alias("best"))
     out = rows.join(best, ["url", "fetched"], "left")
@@ -107,7 +113,7 @@ k AS (
   SELECT DISTINCT page_id, fetched, key FROM (
     SELECT page_id, fetched, array_to_string(labels[i:], '.') AS key FROM (SELECT *, unnest(range(1, greatest(len(labels) - 1, 1) + 1)) AS i FROM l)
     UNION ALL
-    SELECT page_id, fetched, host || '/' || array_to_string(parts[1:i], '/') FROM (SELECT *, unnest(range(1, least(len(parts), 8) + 1)) AS i FROM l))),
+    SELECT page_id, fetched, host || '/' || array_to_string(parts[1:i], '/') FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM l))),
 b AS (
   SELECT k.page_id, v.key, v.action, v.valid_from, row_number() OVER (PARTITION BY k.page_id ORDER BY length(v.key) DESC, v.key DESC) AS r
   FROM k JOIN v ON k.key = v.key AND v.rank > 1 AND v.valid_from <= k.fetched AND (v.valid_to IS NULL OR k.fetched < v.valid_to))
