@@ -7,7 +7,11 @@ largest hash in any of the partition's item sketches), so it grows with the docu
 documents with too few shingles skip the partition. A shared hash makes a candidate; the exact containment over all
 shingles decides.
 
+An item of fewer than five words is one shingle, its whole word sequence; documents are then cut into runs of that many
+words as well.
+
 Sketches of items are broadcast while their number is within a limit; beyond it, document sketches are shuffled to them.
+Both ways tell rows apart, not ids, and give the same rows.
 """
 
 from __future__ import annotations
@@ -27,21 +31,33 @@ _U = np.uint64
 _PAIRS = "id long, item long, n_item long, n_shared long"
 
 
-def _sets(batches):
+def _hashes(batches):
     for batch, data, at in K.blocks(batches):
         data = K.LOWER[data]
         starts, ends, first = K.words(data, at)
-        hashes, cuts = K.shingles(K.spans_hash(data, starts, ends), first, WORDS, False)
-        yield batch.column(0), hashes, cuts
+        yield batch, K.spans_hash(data, starts, ends), first
+
+
+def _sets(batches, lengths: list[int]):
+    """(batch, hashes of all runs of so many words by document, cuts by document)."""
+    for batch, hashes, first in _hashes(batches):
+        runs, cuts = zip(*(K.shingles(hashes, first, k, False) for k in lengths))
+        if len(lengths) > 1:
+            document = np.concatenate([np.repeat(np.arange(len(c) - 1), np.diff(c)) for c in cuts])
+            runs, cuts = [np.concatenate(runs)[np.argsort(document, kind="stable")]], [np.sum(cuts, axis=0)]
+        yield batch, runs[0], cuts[0]
 
 
 def _item_sets(batches):
-    for ids, hashes, cuts in _sets(batches):
-        sets = [np.unique(hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
-        keep = [i for i, (s, x) in enumerate(zip(sets, ids.to_pylist())) if len(s) and x is not None]
+    """Items (id, text) with an id and a word -> item, length of its shingles in words, its distinct hashes."""
+    for batch, hashes, first in _hashes(batches):
+        own, cuts = K.shingles(hashes, first, WORDS, True)
+        sets = [np.unique(own[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        keep = [i for i, (s, x) in enumerate(zip(sets, batch.column(0).to_pylist())) if len(s) and x is not None]
         ends = np.concatenate([[0], np.cumsum([len(sets[i]) for i in keep])]).astype(np.int32)
         flat = np.concatenate([sets[i] for i in keep]) if keep else np.zeros(0, _U)
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep, pa.int64())).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["item", "hashes"])
+        length = np.minimum(np.diff(first), WORDS)[keep].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())).cast(pa.int64()), pa.array(length), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view(np.int64)))], ["item", "words", "hashes"])
 
 
 def sketch_size(n: int) -> int:
@@ -63,7 +79,7 @@ def ceilings(items: list[np.ndarray]) -> dict[int, np.uint64]:
     return out
 
 
-def _search(shared):
+def _search(shared, lengths: list[int]):
     """Documents against broadcast items (ids, sorted distinct hashes): candidates by sketch, then exact containment."""
 
     def run(batches):
@@ -77,8 +93,8 @@ def _search(shared):
             order = np.argsort(flat, kind="stable")
             fewest = min(-(-len(sets[i]) * NUM // DEN) for i in own)
             parts[p] = top, flat[order], who[order], fewest
-        for ids, hashes, cuts in _sets(batches):
-            rows, sizes = [], np.diff(cuts)
+        for batch, hashes, cuts in _sets(batches, lengths):
+            ids, rows, sizes = batch.column(0), [], np.diff(cuts)
             document = np.repeat(np.arange(len(sizes)), sizes)
             found: set[tuple[int, int]] = set()
             for top, flat, who, fewest in parts.values():
@@ -102,62 +118,73 @@ def _search(shared):
     return run
 
 
-def _document_sketches(bounds: list[tuple[int, int]]):
-    """(hash, id) of every document's hashes up to the ceiling that holds for its size. bounds: fewest, ceiling."""
+def _document_sketches(bounds: list[tuple[int, int]], lengths: list[int]):
+    """(hash, id, t) of every document's hashes up to the ceiling that holds for its size. bounds: fewest, ceiling."""
 
     def run(batches):
-        for ids, hashes, cuts in _sets(batches):
+        for batch, hashes, cuts in _sets(batches, lengths):
             sizes = np.diff(cuts)
             document = np.repeat(np.arange(len(sizes)), sizes)
             keep = np.zeros(len(hashes), bool)
             for fewest, top in bounds:
                 keep |= (hashes <= _U(top)) & (sizes[document] >= fewest)
             at = np.flatnonzero(keep)
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[at].view(np.int64)), ids.take(pa.array(document[at])).cast(pa.int64())], ["hash", "id"])
+            yield _long_rows(batch, hashes[at], document[at])
 
     return run
 
 
-def _all_hashes(batches):
-    for ids, hashes, cuts in _sets(batches):
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.repeat(np.arange(len(ids)), np.diff(cuts)))).cast(pa.int64()), pa.array(hashes.view(np.int64))], ["id", "hash"])
+def _long_rows(batch: pa.RecordBatch, hashes: np.ndarray, document: np.ndarray) -> pa.RecordBatch:
+    which = pa.array(document)
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(0).take(which), batch.column(1).take(which)], ["hash", "id", "t"])
+
+
+def _all_hashes(lengths: list[int]):
+    def run(batches):
+        for batch, hashes, cuts in _sets(batches, lengths):
+            yield _long_rows(batch, hashes, np.repeat(np.arange(batch.num_rows), np.diff(cuts)))
+
+    return run
 
 
-def _shuffled(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The same search for items too many to broadcast: sketches meet by hash, then candidates' shingles are counted."""
-    sized = items.withColumn("n", F.size("hashes")).withColumn("k", F.expr(f"n - cast(ceil(n * {NUM} / {DEN}D) AS int) + 1"))
+def _shuffled(docs: DataFrame, items: DataFrame, lengths: list[int]) -> DataFrame:
+    """The same search for items too many to broadcast: sketches meet by hash, then candidates' shingles are counted. A
+    document's row is known by its id and a hash of its text, an item's by a number in the stored table."""
+    shape = "hash long, id long, t long"
+    sized = items.withColumn("row", F.monotonically_increasing_id()).withColumn("n", F.size("hashes")).withColumn("k", F.expr(f"n - cast(ceil(n * {NUM} / {DEN}D) AS int) + 1"))
     # Hashes are unsigned: with the sign bit flipped, signed order is theirs.
     ordered = F.transform(F.array_sort(F.transform("hashes", lambda h: h.bitwiseXOR(F.lit(-(2**63))))), lambda h: h.bitwiseXOR(F.lit(-(2**63))))
     sized = stored(sized.withColumn("sketch", F.slice(ordered, F.lit(1), F.col("k"))).drop("k"), "items")
     top = sized.groupBy(F.length(F.bin(F.col("n"))).alias("p")).agg(F.min(F.expr(f"cast(ceil(n * {NUM} / {DEN}D) AS int)")).alias("fewest"), F.max(F.element_at("sketch", -1).bitwiseXOR(F.lit(-(2**63)))).alias("top")).collect()  # a row for each power of two
-    sketches = docs.mapInArrow(_document_sketches([(r.fewest, r.top + 2**63) for r in top]), "hash long, id long")
-    found = sketches.join(sized.select("item", F.explode("sketch").alias("hash")), "hash").select("id", "item").distinct()
+    sketches = docs.mapInArrow(_document_sketches([(r.fewest, r.top + 2**63) for r in top], lengths), shape)
+    found = sketches.join(sized.select("row", F.explode("sketch").alias("hash")), "hash").select("id", "t", "row").distinct()
     found = stored(found, "leak-candidates")
-    own = docs.join(by_size(found.select("id").distinct()), "id", "left_semi").mapInArrow(_all_hashes, "id long, hash long").distinct()
-    wanted = found.join(sized.select("item", F.col("n").alias("n_item"), "hashes"), "item").select("id", "item", "n_item", F.explode("hashes").alias("hash"))
-    both = wanted.join(own, ["id", "hash"]).groupBy("id", "item").agg(F.max("n_item").cast("long").alias("n_item"), F.count("*").alias("n_shared"))
-    return both.where(DEN * F.col("n_shared") >= NUM * F.col("n_item"))
+    own = docs.join(by_size(found.select("id", "t").distinct()), ["id", "t"], "left_semi").mapInArrow(_all_hashes(lengths), shape).distinct()
+    wanted = found.join(sized.select("row", "item", F.col("n").alias("n_item"), "hashes"), "row").select("id", "t", "row", "item", "n_item", F.explode("hashes").alias("hash"))
+    both = wanted.join(own, ["id", "t", "hash"]).groupBy("id", "t", "row").agg(F.max("item").alias("item"), F.max("n_item").cast("long").alias("n_item"), F.count("*").alias("n_shared"))
+    return both.where(DEN * F.col("n_shared") >= NUM * F.col("n_item")).select("id", "item", "n_item", "n_shared")
 
 
 def containment_search(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BROADCAST_SHINGLES) -> DataFrame:
-    """One row per document and item it contains: id_col, item_id, n_item (the item's shingles), n_shared.
+    """The distinct rows (id_col, item_id, n_item: the item's shingles, n_shared) of documents and items they contain.
 
     A document contains an item when it holds at least 80 in 100 of the item's distinct 5-word shingles (A-Z in lower
-    case). Items with fewer than five words, null or empty items and items or documents without an id match nothing. Rows
-    that repeat a document id are separate documents while items are broadcast, and give equal rows once; rows that
-    repeat an item id are separate items. Empty tables give no rows; other columns are ignored, whatever their names.
+    case); an item of one to four words, when it holds that sequence of words. Null or empty items or texts, and items or
+    documents without an id, match nothing. Rows that repeat an id are documents or items of their own. Very long texts
+    are searched whole. Empty tables give no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    sets = stored(items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).mapInArrow(_item_sets, "item long, hashes array<long>"), "item-sets")
+    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("t"), F.col(text_col).cast("string").alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    sets = stored(items.select(F.col(item_id).cast("long").alias("id"), F.col(item_text).cast("string").alias("text")).mapInArrow(_item_sets, "item long, words int, hashes array<long>"), "item-sets")
+    lengths = sorted(r.words for r in sets.select("words").distinct().collect())  # one to WORDS
     n = sets.agg(F.sum(F.size("hashes"))).first()[0] or 0
     if n <= limit:
         rows = sets.toArrow()  # within the limit
         flat = [np.sort(np.array(x, np.int64).view(_U)) for x in rows.column("hashes").to_pylist()]
-        found = docs.mapInArrow(_search(spark.sparkContext.broadcast((rows.column("item").to_pylist(), flat))), _PAIRS).distinct()
+        found = docs.mapInArrow(_search(spark.sparkContext.broadcast((rows.column("item").to_pylist(), flat)), lengths or [WORDS]), _PAIRS)
     else:
-        found = _shuffled(docs, sets)
-    return found.select(F.col("id").alias(id_col), F.col("item").alias(item_id), "n_item", "n_shared")
+        found = _shuffled(docs, sets, lengths)
+    return found.distinct().select(F.col("id").alias(id_col), F.col("item").alias(item_id), "n_item", "n_shared")
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,9 +198,11 @@ WITH w AS (
   SELECT 'd' AS side, doc_id AS id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents
   UNION ALL
   SELECT 'b', item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') FROM benchmark),
-s AS (SELECT DISTINCT side, id, array_to_string(l[i:i + 4], ' ') AS g FROM (SELECT side, id, l, unnest(range(1, len(l) - 3)) AS i FROM w WHERE len(l) >= 5)),
+k AS (SELECT DISTINCT least(len(l), 5) AS k FROM w WHERE side = 'b' AND len(l) > 0),
+s AS (SELECT DISTINCT side, id, k, array_to_string(l[i:i + k - 1], ' ') AS g
+      FROM (SELECT side, id, l, k, unnest(range(1, len(l) - k + 2)) AS i FROM w JOIN k ON len(l) >= k AND (side = 'd' OR k = least(len(l), 5)))),
 n AS (SELECT id, count(*) AS n_item FROM s WHERE side = 'b' GROUP BY id)
 SELECT d.id AS doc_id, b.id AS item_id, n.n_item, count(*) AS n_shared
-FROM s d JOIN s b ON d.g = b.g AND d.side = 'd' AND b.side = 'b' JOIN n ON n.id = b.id
+FROM s d JOIN s b ON d.g = b.g AND d.k = b.k AND d.side = 'd' AND b.side = 'b' JOIN n ON n.id = b.id
 GROUP BY d.id, b.id, n.n_item HAVING 100 * count(*) >= 80 * n.n_item
 """
