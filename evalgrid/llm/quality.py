@@ -1,6 +1,6 @@
 """Quality rules: base rules, then hashed word and character n-gram logistic regression with calibrated probabilities.
 
-Features of a text are its words, pairs of words, and runs of three and four bytes, hashed into one table of weights;
+Features of a text are its words, pairs of words, and runs of three and four characters, hashed into one table of weights;
 each of the four kinds counts by its share, so length doesn't matter. The regression is fitted on labelled rows, bounded
 by FIT_ROWS for each label, one fifth of which is kept for the calibration (Platt), where each label has the weight that it
 has among all labels, so that probabilities don't depend on the bound. Scoring is one pass over Arrow
@@ -33,21 +33,28 @@ def _sums(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
     return total[at[1:]] - total[at[:-1]]
 
 
+def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 texts, and their number before each document (one more than documents)."""
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[at]
+    return np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), "<u4").astype(_U), before
+
+
 def features(data: np.ndarray, at: np.ndarray, hashes: np.ndarray, first: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For words, word pairs, byte triples and byte quadruples: places in the table, in order, and cuts by document."""
+    """For words, word pairs, runs of three and of four characters: places in the table, in order, and cuts by document."""
     out = []
     for k in (1, 2):
         own, cuts = (hashes, first) if k == 1 else K.shingles(hashes, first, 2, False)
         out.append(((K.mix(own + _U(k)) >> _U(46)).astype(np.int32), cuts))
-    code, n = data.astype(np.uint32), len(data)
-    size = np.diff(at)
-    run = code.copy()
-    for k in (2, 3, 4):
-        run = (run[: n - k + 1] << np.uint32(8)) | code[k - 1 :] if n >= k else np.zeros(0, np.uint32)
-        if k > 2:
-            inside = np.arange(len(run)) + k <= np.repeat(at[1:], size)[: len(run)]
-            place = ((run.astype(_U) * _U(0x9E3779B97F4A7C15) + _U(k << 60)) >> _U(46)).astype(np.int32)
-            out.append((place[inside], np.concatenate([[0], np.cumsum(np.maximum(size - k + 1, 0))])))
+    code, begin = characters(data, at)
+    size = np.diff(begin)
+    for k in (3, 4):
+        n = max(len(code) - k + 1, 0)
+        run = np.zeros(n, _U)
+        for j in range(k):
+            run += code[j : j + n] * K._PLACE[j]
+        inside = np.arange(n) + k <= np.repeat(begin[1:], size)[:n]
+        place = ((run * _U(0x9E3779B97F4A7C15) + _U(k << 60)) >> _U(46)).astype(np.int32)
+        out.append((place[inside], np.concatenate([[0], np.cumsum(np.maximum(size - k + 1, 0))])))
     return out
 
 
