@@ -15,6 +15,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -148,14 +149,20 @@ class Lexicon:
         return sum(w for _, _, w in found) / (1 + math.log10(folded.count(" ")))
 
 
-_made: dict[int, Lexicon] = {}
+_made: dict[str, Lexicon] = {}
+
+
+def _shared(spark: SparkSession, model: dict):
+    """The model as a broadcast under a name of its own, by which a reused worker knows the lexicon that it has made."""
+    return spark.sparkContext.broadcast(model | {"name": uuid.uuid4().hex})
 
 
 def _lexicon(shared) -> Lexicon:
-    if id(shared.value) not in _made:
+    name = shared.value["name"]
+    if name not in _made:
         _made.clear()
-        _made[id(shared.value)] = Lexicon(shared.value["terms"], shared.value["exceptions"])
-    return _made[id(shared.value)]
+        _made[name] = Lexicon(shared.value["terms"], shared.value["exceptions"])
+    return _made[name]
 
 
 def _innocent(shared):
@@ -214,9 +221,9 @@ def fit(docs: DataFrame, labels: DataFrame, phrases=PHRASES, rows: int = FIT_ROW
     among = spark.sparkContext.broadcast(frozenset(seen))
     other = {r.term: r.n for r in sample.mapInArrow(_count(0, among), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     model = {"terms": choose({x: (t, other.get(x, 0)) for x, t in seen.items()}, toxic, clean), "exceptions": list(phrases)}
-    words = sample.mapInArrow(_innocent(spark.sparkContext.broadcast(dict(model))), "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")).where("c > 1")
+    words = sample.mapInArrow(_innocent(_shared(spark, model)), "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")).where("c > 1")
     model["exceptions"] += [r.word for r in words.toLocalIterator() if r.c / clean >= r.t / toxic]
-    x = sample.mapInArrow(_densities(spark.sparkContext.broadcast(dict(model))), "x double, toxic int").groupBy(F.round("x", 2).alias("x")).agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).toArrow()
+    x = sample.mapInArrow(_densities(_shared(spark, model)), "x double, toxic int").groupBy(F.round("x", 2).alias("x")).agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).toArrow()
     x, t, n = (x.column(c).to_numpy().astype(float) for c in ("x", "t", "n"))
     model["slope"], model["intercept"] = calibrate(x, t, n - t)
     return model
@@ -245,7 +252,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     model = fit(docs, labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("toxic")), phrases)
-    scored = docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "id long, score double")
+    scored = docs.mapInArrow(_score(_shared(docs.sparkSession, model)), "id long, score double")
     return scored.select(F.col("id").alias(id_col), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -255,7 +262,7 @@ def not_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     model = fit(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")), labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic")))
     rows = docs.select(*(c for c in docs.columns if c != "text"), "text")
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model), True), f"{shape}, score double").where(F.col("score") < threshold).drop("score")
+    return rows.mapInArrow(_score(_shared(docs.sparkSession, model), True), f"{shape}, score double").where(F.col("score") < threshold).drop("score")
 
 
 def training_labels(labels: DataFrame) -> DataFrame:
