@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textkernel as K
-from .common import stored, table, tune
+from .common import discard, stored, table, tune
 
 DEPTH, TOP, HEAD_RUNS, HEAD = 6, 2, 1 << 21, 1 << 19
 #: Bytes of text whose runs are counted or scored at once; runs of a group of contexts, about.
@@ -257,11 +257,12 @@ def _score(shared):
         codes_of, lengths, words, logs, end = shared.value
         for batch, codes, hashes, first in _parts(batches):
             counts = np.diff(first)
-            score, _, runs_left = _looked_up(codes_of, lengths, codes, np.diff(_byte_cuts(batch, counts)))
+            size = np.diff(_byte_cuts(batch, counts))
+            score, _, runs_left = _looked_up(codes_of, lengths, codes, size)
             base, known, words_left = _looked_up(words, logs, hashes, counts)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(counts.astype(np.int64) + 1), pa.array(score), pa.array(known), pa.array(base + end), words_left, runs_left],
-                ["row", "id", "n_tokens", "score", "n_known", "base", "rest", "runs"],
+                [batch.column(0), batch.column(2), pa.array(counts.astype(np.int64) + 1), pa.array(size.astype(np.int64)), pa.array(score), pa.array(known), pa.array(base + end), words_left, runs_left],
+                ["row", "id", "n_tokens", "n_bytes", "score", "n_known", "base", "rest", "runs"],
             )
 
     return run
@@ -307,6 +308,7 @@ def fit(texts: DataFrame) -> tuple[DataFrame, DataFrame, int, int, int]:
     codes, n = short.column("key").to_numpy().view(_U), short.column("n").to_numpy().astype(float)
     tree = Tree([_shorter(codes, n, d) for d in range(TOP)], below)
     runs_of = stored(parts.where("kind = 0").select("key", "n", "under").mapInArrow(_lengths(spark.sparkContext.broadcast(tree)), "key long, n long, log double"), "run-lengths")
+    discard(parts)
     tokens, distinct, _ = sums.get(1, (0, 0, 0))
     return runs_of, counts.where("kind = 1 AND n > 0").select("key", "n"), tokens + docs, distinct + (docs > 0), docs
 
@@ -323,11 +325,12 @@ def _head(counts: DataFrame, most: int, value: str) -> tuple[np.ndarray, np.ndar
 
 def ctw_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_tokens (words and one end), n_known (tokens that train has), train_tokens,
-    base_score and score: log10 probabilities by the unigram base and by context-tree weighting fitted on train.
+    base_score and score: log10 probabilities by the unigram base and by context-tree weighting fitted on train; and
+    bits_per_byte, the code length of the text by the latter over its scored bytes (words, a space after each, the end).
 
     Null and empty texts are one end token. Rows that repeat an id, or have none, are scored each for itself. Without
-    training texts every bit has probability one half and no token is known. An empty table gives no rows; other columns
-    are ignored, whatever their names.
+    training texts every bit has probability one half and no token is known. Very long texts are held one at a time. An
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     text = F.col(text_col).cast("string").alias("text")
     return _scores(docs, docs.select(text, F.lit(False).alias("learn")).union(train.select(text, F.lit(True).alias("learn"))), id_col, text_col)
@@ -341,7 +344,7 @@ def _scores(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col:
     codes, logs = _head(lengths, HEAD_RUNS, "log")
     words, n = _head(counts, HEAD, "n")
     shared = spark.sparkContext.broadcast((codes, logs.astype(np.float32), words, np.log10((n + 0.5) / below), math.log10((n_docs + 0.5) / below)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).mapInArrow(_score(shared), f"row long, id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, score double, n_known long, base double, rest array<long>, runs array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).mapInArrow(_score(shared), f"row long, id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_bytes long, score double, n_known long, base double, rest array<long>, runs array<long>")
     rows = stored(rows, "scores")
     other = rows.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     other = other.join(counts, "key", "left").groupBy("row").agg(
@@ -350,9 +353,10 @@ def _scores(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col:
     )
     more = rows.select("row", F.explode("runs").alias("key")).join(lengths.select("key", "log"), "key").groupBy("row").agg(F.sum("log").alias("more_score"))
     known = F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(n_docs > 0))
+    score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
     return rows.drop("rest", "runs").join(other, "row", "left").join(more, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score")
-    )
+        F.col("id").alias(id_col), "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), score.alias("score"), (-score / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte")
+    )
 
 
 def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
