@@ -9,6 +9,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evalgrid.llm import bpe, components, ctw, decontaminate, licenses, line_dedup, ngram_join, preference, quality, queries, toxicity, url_filter
 from evalgrid.llm import textkernel as K
@@ -88,8 +89,8 @@ def shingle_set(t, k):
     return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
 
 
-@pytest.mark.parametrize("k,num", [(4, 85), (5, 80)])
-def test_jaccard_join_equals_all_pairs(spark, data, texts, k, num):
+@pytest.mark.parametrize("k,num,long,block", [(4, 85, 32, 256), (5, 80, 2, 3)])
+def test_jaccard_join_equals_all_pairs(spark, data, texts, k, num, long, block):
     near = dict(texts)
     base = max(texts.values(), key=len).split()
     for j in range(40):  # a group of near copies that all differ, and a chain of them
@@ -98,17 +99,43 @@ def test_jaccard_join_equals_all_pairs(spark, data, texts, k, num):
             own[(j * 13 + p * 17) % 120] = f"w{j}x{p}"
         near[10_000 + j] = " ".join(own)
         near[20_000 + j] = " ".join(base[200 + 3 * j : 320 + 3 * j])
-    got = ngram_join.ngram_jaccard_join(docs(spark, list(near.items())), k=k, num=num, share=0.0, least=6).collect()
+    got = ngram_join.ngram_jaccard_join(docs(spark, list(near.items())), k=k, num=num, share=0.0, least=6, long=long, block=block).collect()
     sets = {i: shingle_set(t, k) for i, t in near.items()}
     want = brute_components(sets, num, 100)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in near}
     assert len(set(want.values())) < len(want) - 40
 
 
+def test_jaccard_join_with_a_key_of_many_different_sets(spark):
+    """Ten thousand texts share a passage, so index keys are held by all of them; only the planted pairs link."""
+    random = np.random.default_rng(8)
+    passage = "one very common passage of ten words that stays the same"
+    own = random.integers(0, 10**6, (10_000, 8))
+    rows = [(i, f"{passage} " + " ".join(map(str, x))) for i, x in enumerate(own.tolist())]
+    rows += [(20_000 + i, f"{rows[i][1]} {passage} {rows[i][1]} more") for i in range(5)] + [(30_000 + i, f"{rows[i][1]} {passage} {rows[i][1]} less") for i in range(5)]
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(docs(spark, rows), k=4, num=85, share=0.0, least=1000).collect()}
+    assert got == {i: i for i in range(10_000)} | {20_000 + i: 20_000 + i for i in range(5)} | {30_000 + i: 20_000 + i for i in range(5)}
+
+
+def test_bitmaps_bound_the_difference():
+    random = np.random.default_rng(9)
+    for n, m, both in ((5, 5, 3), (100, 120, 90), (5000, 4100, 4000), (1, 2, 1)):
+        pool = np.unique(random.integers(1, 2**63, n + m, dtype=np.uint64))
+        x, y = pool[:n], np.concatenate([pool[:both], pool[n : n + m - both]])
+        maps = [np.frombuffer(ngram_join.parity(s), np.uint64) for s in (x, y)]
+        apart = int(ngram_join.differing(*maps))
+        real = n + m - 2 * both
+        assert apart <= real and (real < 4 or apart > 0.5 * real), (n, m, both)
+
+
 def test_jaccard_join_edges(spark):
     got = {(r.doc_id, r.n_shingles): r.component_id for r in ngram_join.ngram_jaccard_join(docs(spark, [*EDGE, (7, EDGE[6][1])]), k=4, num=85).collect()}
     assert got == {(1, 0): 1, (2, 0): 2, (3, 0): 3, (4, 1): 4, (5, 1): 4, (6, 17): 6, (7, 17): 6, (None, 2): None, (9, 1): 9, (10, 1): 10}
     assert ngram_join.ngram_jaccard_join(docs(spark, [])).count() == 0
+    # An id with several texts links by any of them, also through the copies of one.
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, b + " and"), (5, "c d e f g")]
+    assert {r.doc_id: r.component_id for r in ngram_join.ngram_jaccard_join(docs(spark, rows), k=4, num=85).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
 
 
 def test_signatures_of_linked_sets_meet():
@@ -136,6 +163,18 @@ def test_line_dedup_edges(spark):
     assert all(r.n_dropped == 0 for r in again)  # two documents, whatever the number of rows
 
 
+def test_line_dedup_by_joins_and_on_long_texts(spark, monkeypatch):
+    """With nothing broadcast, the same rows; a text of very many lines; rows that share an id but not the text."""
+    line = "This line is certainly over forty characters long."
+    long = "\n".join([f"x{i}" for i in range(30_000)] + [line])
+    rows = [*((i, f"own {i}\n{line}") for i in range(6)), (3, f"{line}\nother"), (4, long), (4, long), (7, line)]
+    got = [sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.line_dedup(docs(spark, rows)).collect())]
+    monkeypatch.setattr(line_dedup, "by_size", lambda df: df)
+    got.append(sorted((r.doc_id, r.n_lines, r.n_dropped, r.kept_text) for r in line_dedup.line_dedup(docs(spark, rows)).collect()))
+    want = [*((i, 2, 1, f"own {i}") for i in range(6)), (3, 2, 1, "other"), *[(4, 30_001, 1, long[: -len(line) - 1])] * 2, (7, 1, 0, line)]
+    assert got[0] == got[1] == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, data, name):
     con = duckdb.connect()
@@ -160,6 +199,16 @@ def test_decontaminate_edges_and_shuffled_form(spark, data, texts):
     assert decontaminate.containment_search(docs(spark, rows), items.where("false")).count() == 0
 
 
+def test_decontaminate_tells_rows_apart_and_finds_short_items(spark):
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
+    other = "one two three four five six seven"
+    items = spark.createDataFrame([(1, item, 0), (1, other, 0), (2, "Three  short words", 0), (3, "single", 0)], "item_id long, text string, doc_id int")
+    rows = [(1, f"x {item} y"), (1, f"x {other} y"), (2, "these three SHORT words here"), (2, "three words short"), (3, "a\nSingle b"), (4, "singles")]
+    for limit in (10**6, 0):
+        got = sorted(map(tuple, decontaminate.containment_search(docs(spark, rows), items, limit=limit).collect()))
+        assert got == [(1, 1, 3, 3), (1, 1, 8, 8), (2, 2, 1, 1), (3, 3, 1, 1)]
+
+
 def test_bpe_equals_the_tokenizer(spark, texts):
     from tokenizers import Tokenizer
 
@@ -174,6 +223,26 @@ def test_bpe_equals_the_tokenizer(spark, texts):
         assert got[i].ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert got[i].decoded == reference.decode(ids, skip_special_tokens=False)
     assert bpe.bpe_round_trip(docs(spark, [])).count() == 0
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("bpe_")]
+
+
+def test_bpe_over_many_chunks(spark, texts, monkeypatch):
+    rows = [*EDGE, *((1000 + i, t) for i, t in texts.items())]
+    want = sorted(map(str, bpe.bpe_round_trip(docs(spark, rows)).collect()))
+    monkeypatch.setattr(bpe, "CHUNK", 300)
+    monkeypatch.setattr(bpe, "GATHER", 50)
+    assert sorted(map(str, bpe.bpe_round_trip(docs(spark, rows)).collect())) == want
+
+
+def test_bpe_decodes_by_join(spark):
+    pieces = bpe.piece_table(spark)
+    from tokenizers import Tokenizer
+
+    reference = Tokenizer.from_file(bpe.default_tokenizer())
+    given = ["", "a b", "é à 😀 <|endoftext|> x", "x" * 3000]
+    rows = spark.createDataFrame([(i, reference.encode(t, add_special_tokens=False).ids, "z") for i, t in enumerate(given)] + [(9, None, None), (10, [10**6, 64], None)], "n int, ids array<int>, decoded string")
+    got = {r.n: bytes(r.decoded).decode() for r in bpe.decode(rows, pieces).collect()}
+    assert got == dict(enumerate(given)) | {9: "", 10: bytes(bpe.Vocabulary(open(bpe.default_tokenizer()).read()).pieces[64]).decode()}
 
 
 def test_base_quality_counts_match_plain_python(spark, data, texts):
@@ -259,6 +328,48 @@ def test_exception_phrases_hide_terms():
     assert lexicon.hits(toxicity.fold("Scumbria")) == []
 
 
+def naive_density(folded, terms, exceptions):
+    """Every term at every place of the folded text, but for places inside an exception."""
+    safe = [(i, i + len(x)) for x in exceptions for i in range(len(folded)) if folded.startswith(x, i)]
+    total = sum(w for t, w in terms.items() for i in range(len(folded)) if folded.startswith(t, i) and not any(a <= i and i + len(t) <= b for a, b in safe))
+    return total / (1 + math.log10(folded.count(" "))) if total else 0.0
+
+
+def test_toxicity_equals_a_naive_scan(spark, data, texts):
+    frame = spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id AS id", "text")
+    labels = toxicity.training_labels(spark.read.parquet(f"{data}/labels.parquet")).selectExpr("doc_id AS id", "toxic")
+    model = toxicity.fit(frame, labels)
+    assert model["terms"]
+    got = {r.doc_id: r for r in toxicity.op8_toxicity(spark, data).collect()}
+    exceptions = [toxicity.fold(x) for x in model["exceptions"]]
+    for i, t in texts.items():
+        x = naive_density(toxicity.fold(t), model["terms"], exceptions)
+        score = 1 / (1 + math.exp(-(model["slope"] * x + model["intercept"])))
+        assert got[i].score == pytest.approx(score, abs=1e-9) and got[i].predicted == int(score >= 0.3) and got[i].held_out == held_out(i, 4, 2)
+    phrases = {" trash ": 2.0, " scum": 3.0, "can ": 1.0}
+    lexicon = toxicity.Lexicon(phrases, ["trash can", "scumbria"])
+    for t in ("a trash can and trash", "Scumbria's scum trash can can", "can", "", "trash canned"):
+        assert lexicon.density(t) == pytest.approx(naive_density(toxicity.fold(t), phrases, [toxicity.fold(x) for x in ("trash can", "scumbria")]))
+
+
+def test_toxicity_on_held_out_labels(spark):
+    found = toxicity.op8_toxicity(spark, "/root/testdata/sf0.01").where("held_out").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("toxic IS NOT NULL"), "doc_id").select("predicted", "toxic").collect()
+    toxic, clean = [r.predicted for r in found if r.toxic], [r.predicted for r in found if not r.toxic]
+    assert len(toxic) >= 3 and sum(toxic) >= 0.8 * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
+def test_quality_on_held_out_labels(spark):
+    """Fitted on the labels of four in five ids, held against those of the fifth: README gives the figures at ten times this size."""
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality IS NOT NULL")
+    rest = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    out = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), labels.where(rest != 3))
+    found = out.where("NOT base_failed").join(labels.where(rest == 3), "doc_id").select("kept", "score", "quality").collect()
+    good, bad = [r for r in found if r.quality], [r for r in found if not r.quality]
+    assert len(good) > 30 and sum(r.kept for r in good) >= 0.95 * len(good)
+    assert sum(r.kept for r in bad) <= 0.34 * max(len(bad), 3)
+    assert abs(sum(r.score for r in found) / len(found) - len(good) / len(found)) < 0.1  # calibrated on the whole
+
+
 def held_out(i, n, r):
     return zlib.crc32(str(i).encode()) % n == r
 
@@ -275,7 +386,7 @@ def test_ctw_base_score_and_gain(spark, data, texts):
         r = got[i]
         assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w) + 1, sum(x in counts for x in w) + 1, n, held_out(i, 5, 1))
         assert r.base_score == pytest.approx(base, rel=1e-9)
-        assert r.score < 0
+        assert r.score < 0 and r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / (len(" ".join(w).encode()) + 1 + bool(w)))
 
 
 def test_ctw_matches_the_base_on_few_held_out_texts(spark):
@@ -391,19 +502,26 @@ def test_ctw_keeps_a_phrase_whatever_the_corpus_size(spark):
 
 def test_preference_edges(spark):
     shape = "pair_id long, turn long, role string, text string, copy int"
-    a = [(1, 0, "user", "q", 9), (1, 1, "assistant", "yes", 9), (2, 0, "user", None, 9), (2, 1, None, "x", 9), (3, 0, "user", "only", 9), (None, 0, "user", "lost", 9), (4, None, "user", "n", 9), (4, 0, "assistant", "z", 9), (4, 0, "assistant", "z", 9)]
-    b = [(1, 0, "user", "q", 9), (1, 1, "assistant", "no", 9), (1, 2, "user", "why", 9), (2, 0, "user", None, 9), (2, 1, None, "x", 9), (4, None, "user", "n", 9), (4, 0, "assistant", "z", 9)]
-    out = {(r.pair_id, r.turn, r.copy): r for r in preference.preference_format(spark.createDataFrame(a, shape), spark.createDataFrame(b, shape)).collect()}
-    assert len(out) == 9
-    assert out[1, 0, 1].prompt == "<|user|>\nq\n" and out[1, 0, 1].prompt_turns == 1 and out[1, 0, 1].chosen is None
-    assert (out[1, 1, 1].chosen, out[1, 1, 1].rejected, out[1, 1, 1].chosen_mask) == ("<|assistant|>\nyes\n", "<|assistant|>\nno\n", 1)
-    assert (out[1, 2, 1].chosen, out[1, 2, 1].rejected_mask) == (None, 0)
-    assert out[2, 1, 1].in_prompt and out[2, 1, 1].prompt_turns == 2
-    assert not out[3, 0, 1].in_prompt and out[3, 0, 1].prompt_turns == 0
-    assert out[4, None, 1].in_prompt and out[4, 0, 1].in_prompt and not out[4, 0, 2].in_prompt and out[4, 0, 2].chosen_mask == 1
+    a = [(1, 0, "user", "q", 9), (1, 1, "assistant", "yes", 9), (2, 0, "user", None, 9), (2, 1, None, "x", 9), (3, 0, "user", "only", 9), (None, 0, "user", "lost", 9), (4, None, "user", "n", 9), (4, 0, "assistant", "z", 9), (4, 0, "assistant", "z", 9), (5, 0, "user", "long " * 50_000, 9)]
+    b = [(1, 0, "user", "q", 9), (1, 1, "assistant", "né", 9), (1, 2, "user", "why", 9), (2, 0, "user", None, 9), (2, 1, None, "x", 9), (4, None, "user", "n", 9), (4, 0, "assistant", "z", 9), (5, 0, "user", "long " * 50_000, 9), (6, 0, "assistant", "", 9)]
+    out = {r.pair_id: r for r in preference.preference_format(spark.createDataFrame(a, shape), spark.createDataFrame(b, shape)).collect()}
+    assert set(out) == {1, 2, 3, 4, 5, 6}
+    assert (out[1].prompt, out[1].prompt_turns, out[1].chosen, out[1].rejected) == ("<|user|>\nq\n", 1, "<|assistant|>\nyes\n", "<|assistant|>\nné\n<|user|>\nwhy\n")
+    assert [tuple(x) for x in out[1].chosen_mask] == [(14, 0), (4, 1)] and [tuple(x) for x in out[1].rejected_mask] == [(14, 0), (3, 1), (9, 0), (4, 0)]
+    assert (out[2].prompt, out[2].prompt_turns, out[2].chosen, out[2].chosen_mask) == ("<|user|>\n\n<||>\nx\n", 2, "", [])
+    assert (out[3].prompt_turns, out[3].prompt, out[3].chosen, out[3].rejected) == (0, "", "<|user|>\nonly\n", "")
+    assert (out[4].prompt_turns, out[4].chosen, out[4].rejected) == (2, "<|assistant|>\nz\n", "")
+    assert out[5].prompt_turns == 1 and len(out[5].prompt) == 250_010
+    assert [tuple(x) for x in out[6].rejected_mask] == [(14, 0), (1, 1)]
     assert preference.preference_format(spark.createDataFrame([], shape), spark.createDataFrame([], shape)).count() == 0
 
 
+def test_preference_pairs_share_their_turns_before_the_last_reply(spark, data):
+    out = preference.op5_preference_format(spark, data).collect()
+    assert len(out) == spark.read.parquet(f"{data}/conversations.parquet").select("conv_id").distinct().count()
+    assert sum(r.prompt_turns > 0 for r in out) > 0.7 * len(out) and all("*1" in r.chosen_mask or "<|assistant|>" not in r.chosen for r in out)
+
+
 def test_url_filter_edges(spark):
     captures = [(1, "http://a.ex.com/x/y", 5), (2, "http://a.ex.com/x/y", 10), (3, "http://b.ex.com/", 10), (4, None, 10), (5, "nonsense", 10), (6, "http://a.ex.com/x/z?q", 700), (7, "http://ex.com", None), (1, "http://a.ex.com/x/y", 5), (8, "HTTP://u@A.EX.com:80/x", 20)]
     entries = [("ex.com", 0, "block"), ("ex.com", 8, "remove"), ("a.ex.com/x", 9, "allow"), ("a.ex.com/x", 9, "block"), ("a.ex.com", 15, "block"), ("a.ex.com/x", 19, "remove"), (None, 1, "block"), ("ex.com", None, "block"), ("ex.com", 600, "odd"), ("ex.com", 650, "block")]
@@ -422,9 +540,46 @@ def test_url_filter_finds_entries_of_any_depth(spark):
     assert got == {1: ("block", deep), 2: ("allow", "ex.com")}
 
 
+def test_url_filter_is_the_same_in_slices(spark):
+    random = np.random.default_rng(11)
+    hosts = ["a.ex.com", "b.ex.com", "c.org"]
+    captures = [(i, f"http://{hosts[h]}/p/{t % 3}", int(t)) for i, (h, t) in enumerate(zip(random.choice(3, 400, p=[0.8, 0.1, 0.1]), random.integers(0, 10**9, 400)))] + [(900, None, None)]
+    entries = [(str(random.choice(["ex.com", "a.ex.com", "a.ex.com/p", "a.ex.com/p/1", "c.org"])), int(random.integers(0, 10**9)), str(random.choice(["block", "allow", "remove"]))) for _ in range(60)]
+    c = spark.createDataFrame([(*x, 1) for x in captures], "page_id long, url string, fetched long, key int")
+    e = spark.createDataFrame([(*x, "z") for x in entries], "key string, at long, action string, url string")
+    got = [sorted(map(str, url_filter.temporal_filter(c, e, n).collect())) for n in (10_000, 7)]
+    assert got[0] == got[1] and len(got[0]) == 401
+    nulls = c.where("page_id = 900")
+    assert [r.decision for r in url_filter.temporal_filter(nulls, e).collect()] == ["none"]
+
+
 def test_license_edges(spark):
-    mit = licenses.KNOWN[1][1]
+    mit = licenses.known("MIT")
     rows = [(1, "Copyright (c) 2020 Somebody\n\n" + mit.upper().replace(",", " ,")), (2, "Intro.\nReleased  under the MIT LICENCE\nmore"), (3, None), (4, ""), (5, "Copyright 2001 A\n(c) B"), (6, mit + " and more"), (1, mit)]
     got = sorted(((r.doc_id, r.license, r.notices, r.digest is None) for r in licenses.license_scan(docs(spark, rows)).collect()), key=str)
     assert got == sorted([(1, "MIT", "", False), (2, None, "MIT", False), (3, None, "", True), (4, None, "", True), (5, None, "", True), (6, None, "", False), (1, "MIT", "", False)], key=str)
     assert licenses.license_scan(docs(spark, [])).count() == 0
+
+
+def test_license_texts_match_in_any_spelling(spark):
+    """Each known text, with each kind of change that the canonical form undoes."""
+    changes = [
+        str.upper, lambda t: t.replace(" ", "  ").replace(".", " ."), lambda t: "Copyright (c) 1999-2024 The Authors. All rights reserved.\n© 2001 B\n\n" + t, lambda t: t + "\n// Copyright 2020 by C",
+        lambda t: t.replace("license", "licence").replace("License", "LICENCE"), lambda t: t.replace("sublicense", "sub-license").replace("NONINFRINGEMENT", "NON-INFRINGEMENT"), lambda t: t.replace("https:", "http:"), lambda t: "\n".join(f" * {x}" for x in t.split("\n")), lambda t: t.replace("\n", "\r\n\r\n"),
+    ]
+    rows, want = [], {}
+    for name, text in licenses.KNOWN:
+        for change in changes:
+            want[len(rows)] = name
+            rows.append((len(rows), change(text)))
+    rows.append((10**6, "word " * 100_000 + licenses.known("MIT")))
+    got = {r.doc_id: r.license for r in licenses.license_scan(docs(spark, rows)).collect()}
+    assert got == want | {10**6: None}
+
+
+def test_license_list_is_a_parameter(spark, tmp_path):
+    (tmp_path / "Own-1.0.txt").write_text("You may do this.\nBut not that.")
+    (tmp_path / "Other.txt").write_text("Copyright 2020 nobody")
+    known = licenses.read_licenses(spark, str(tmp_path))
+    got = {r.doc_id: (r.license, r.notices) for r in licenses.license_scan(docs(spark, [(1, "you may do this but NOT that!"), (2, "a\nYou may do this. But not that\nb"), (3, "no")]), known).collect()}
+    assert got == {1: ("Own-1.0", "Own-1.0"), 2: (None, "Own-1.0"), 3: (None, "")}
