@@ -40,7 +40,7 @@ SHARE, LEAST = 2.0**-20, 16
 #: Tokens of a window in which repeated tokens are counted before the shuffle.
 WINDOW = 1 << 21
 #: Sets under a key up to which they are paired by a join; sets of a block beyond.
-LONG, BLOCK = 32, 256
+LONG, BLOCK = 32, 4096
 _U = np.uint64
 
 
