@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The least value under a logarithm or a division, and the names of the costs.
 EPSILON = 1e-15
 COSTS = ("MSE", "RMSE", "MAE", "MAPE", "MSLE", "HINGE", "CROSS_ENTROPY", "CATEGORICAL_ERROR")
 

@@ -113,8 +113,7 @@ def squash_of(name: str | None) -> Squash:
 
 def limited(squash: Squash, z: Column) -> Column:
     """The activation of z within its range, NaN as 0, rounded to single precision."""
-    x = squash.column(z.cast("double"))
-    return F.when(F.isnan(x), F.lit(0.0)).otherwise(_clip(x, squash.low, squash.high)).cast("float")
+    return _clip(F.nanvl(squash.column(z.cast("double")), F.lit(0.0)), squash.low, squash.high).cast("float")
 
 
 def limited_array(squash: Squash, z: np.ndarray) -> np.ndarray:

@@ -48,10 +48,17 @@ def _step(step: Step, value) -> Column:
     return limited(identity, F.when((cond > 0) & ~F.isnan(cond), pos + bias).otherwise(neg + bias))
 
 
+def _elements(name: str, width: int, label: str) -> list[Column]:
+    """The elements of an array column as FLOAT columns; a record of another length or with a null is an error."""
+    refusal = F.lit(f"corpus records must have {width} {name} without nulls")
+    whole = F.when(F.size(name) == width, F.col(name)).otherwise(F.raise_error(refusal).cast("array<float>"))
+    return [F.coalesce(whole[i].cast("float"), F.raise_error(refusal).cast("float")).alias(f"{label}{i}") for i in range(width)]
+
+
 def losses(corpus: DataFrame, networks: list[Network], cost: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """corpus(features, targets) -> keep and, for each network i, its per-record loss as column loss_i."""
     inputs, outputs = networks[0].inputs, len(networks[0].outputs)
-    df = corpus.select(*keep, *[F.col("features")[i].cast("float").alias(f"x{i}") for i in range(inputs)], *[F.col("targets")[i].alias(f"t{i}") for i in range(outputs)])
+    df = corpus.select(*keep, *_elements("features", inputs, "x"), *_elements("targets", outputs, "t"))
     for level in range(1, 1 + max(s.level for n in networks for s in n.steps)):
         new = {}
         for c, net in enumerate(networks):
@@ -64,7 +71,7 @@ def losses(corpus: DataFrame, networks: list[Network], cost: str, keep: tuple[st
 
 def outputs(corpus: DataFrame, network: Network, keep: tuple[str, ...] = ()) -> DataFrame:
     """corpus(features) -> keep and the array of the network's outputs."""
-    df = corpus.select(*keep, *[F.col("features")[i].cast("float").alias(f"x{i}") for i in range(network.inputs)])
+    df = corpus.select(*keep, *_elements("features", network.inputs, "x"))
     value = lambda node: _float(0) if node < 0 else F.col(f"x{node}" if node < network.inputs else f"c_{node}")
     for level in range(1, 1 + max(s.level for s in network.steps)):
         df = df.select("*", *[_step(s, value).alias(f"c_{s.node}") for s in network.steps if s.level == level])
