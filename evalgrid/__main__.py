@@ -18,7 +18,7 @@ from .functions.losses import checked_cost
 from .operators.sampling import checked_rate
 from .operators.scoring import result_json, score_bin
 from .plans.creature import parse_creature
-from .sources.corpus import read_bin
+from .sources.corpus import read_bin, record_count
 from .sources.creatures import read_creatures
 from .streaming.racing import RacingError, StdioReferee, race
 
@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 shape = next(iter(creatures.values()))
                 referee = StdioReferee(sys.stdin.readline, lambda x: print(x, flush=True))
-                scores = race(read_bin(spark, args.paths[1], shape.input, shape.output), creatures, referee, args.race_stdio, **options)
+                scores = race(read_bin(spark, args.paths[1], shape.input, shape.output), creatures, referee, args.race_stdio, records=record_count(args.paths[1], shape.input, shape.output), **options)
             print(result_json(scores))
         else:
             with open(args.paths[0], encoding="utf-8") as f:

@@ -14,7 +14,7 @@ from ..plans import arrow_tier, sql_tier
 from ..plans.creature import Creature, compile_creature, parse_creature, validate
 from ..sources.corpus import read_bin
 from ..sources.creatures import check_shape, creature_table
-from .sampling import checked_rate, sample
+from .sampling import checked_phase, checked_rate, sample
 
 #: Synapses and activations of a population up to which it is scored by expressions; beyond, in Arrow batches.
 SQL_SYNAPSES = 64
@@ -82,8 +82,9 @@ def score_population(corpus: DataFrame, creatures: dict[str, Creature], cost: st
     return scored(errors(sums, cost), creatures, cost, sample_rate, growth)
 
 
-def score_bin(spark: SparkSession, creatures: dict[str, Creature] | str, path: str, **options) -> DataFrame:
-    """The same over a binary corpus; `creatures` may be the JSON of one creature, scored under the key "creature"."""
+def score_bin(spark: SparkSession, creatures: dict[str, Creature] | str, path: str, cost: str = "MSE", sample_rate: float = 1.0, sample_phase: int = 0, tier: str = "auto", growth: float = P.GROWTH_COST) -> DataFrame:
+    """The same over a binary corpus; `creatures` may be the JSON of one creature, scored under the key "creature". Records
+    are scored where their bytes are read, unless tier is "sql"."""
     if isinstance(creatures, str):
         if not creatures.strip():
             raise ValueError("empty creature JSON")
@@ -92,7 +93,13 @@ def score_bin(spark: SparkSession, creatures: dict[str, Creature] | str, path: s
         validate(c)
     check_shape(creatures)
     shape = next(iter(creatures.values()))
-    return score_population(read_bin(spark, path, shape.input, shape.output), creatures, **options)
+    if tier == "sql":
+        return score_population(read_bin(spark, path, shape.input, shape.output), creatures, cost, sample_rate, sample_phase, tier, growth)
+    checked_cost(cost)
+    checked_phase(sample_phase)
+    networks = [compile_creature(c) for c in creatures.values()]
+    sums = arrow_tier.bin_partials(spark, path, networks, list(creatures), cost, checked_rate(sample_rate), sample_phase)
+    return scored(errors(sums, cost), creatures, cost, sample_rate, growth)
 
 
 def _camel(name: str) -> str:

@@ -1,18 +1,20 @@
 """Tier B: the forward pass in numpy over Arrow batches, the whole population in one pass over the corpus.
 
 Neurons of one level and kind are evaluated together: weighted sums as one matrix product of single precision. A batch
-gives one row for each creature, so what is shuffled is creatures times batches, whatever the number of records.
+gives one row for each creature, so what is shuffled is creatures times batches, whatever the number of records. A binary
+corpus is scored where its bytes are read: tasks are byte ranges, so no record becomes a row on the way.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.losses import loss_array
 from ..functions.squash import SQUASHES, limited_array
+from ..sources.corpus import BATCH, SPLIT, byte_ranges, read_records
 from .creature import Network
 
 
@@ -96,3 +98,31 @@ def partials(corpus: DataFrame, networks: list[Network], keys: list[str], cost:
     shared = corpus.sparkSession.sparkContext.broadcast((keys, networks))
     rows = corpus.select("features", "targets").mapInArrow(batch_losses(shared, cost), "key string, loss_sum double, n long")
     return rows.groupBy("key").agg(F.sum("loss_sum").alias("loss_sum"), F.sum("n").alias("n"))
+
+
+def _kept(first: int, n: int, rate: float, phase: int) -> np.ndarray:
+    """Which of n records from that index on are in the sample; as operators.sampling.kept."""
+    at = np.arange(first + phase, first + phase + n, dtype=np.float64)
+    return np.floor((at + 1) * rate) > np.floor(at * rate)
+
+
+def bin_partials(spark: SparkSession, path: str, networks: list[Network], keys: list[str], cost: str, rate: float = 1.0, phase: int = 0) -> DataFrame:
+    """(key, loss_sum, n) over a binary corpus; a task for each byte range."""
+    inputs, outputs = networks[0].inputs, len(networks[0].outputs)
+    ranges = byte_ranges(path, inputs + outputs, SPLIT, 2 * spark.sparkContext.defaultParallelism)
+    shared = spark.sparkContext.broadcast((networks, ranges))
+
+    def run(batches):
+        networks, ranges = shared.value
+        kernels = [Kernel(n) for n in networks]
+        for batch in batches:
+            for i in batch.column(0).to_pylist():
+                sums, n = np.zeros(len(kernels)), 0
+                for first, rows in read_records(path, ranges[i], inputs + outputs, BATCH):
+                    rows = rows if rate >= 1 else rows[_kept(first, len(rows), rate, phase)]
+                    n += len(rows)
+                    t = rows[:, inputs:]
+                    sums += [float(loss_array(cost, t, k.run(rows[:, :inputs])).sum()) for k in kernels]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums), pa.array([n] * len(keys), pa.int64())], ["key", "loss_sum", "n"])
+
+    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, "key string, loss_sum double, n long")

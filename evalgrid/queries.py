@@ -6,8 +6,8 @@ them but the creatures' weights.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import json
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 
 from .functions import penalties as P
 from .functions.losses import COSTS
-from .functions.squash import SQUASHES
+from .functions.squash import SQUASHES, UnsupportedSquash, limited, squash_of
 from .operators import ranking, validation
 from .operators.sampling import sample
-from .operators.scoring import components, errors, partials, score_population
+from .operators.scoring import components, errors, partials, result_json, score_bin, score_population
 from .plans import sql_tier
-from .plans.creature import Creature, Neuron, Synapse, compile_creature
+from .plans.creature import Creature, CreatureError, Neuron, Synapse, compile_creature, emit_creature, parse_creature, validate
 from .sources import corpus as C
 from .sources import creatures as K
 from .streaming import racing
@@ -59,7 +59,9 @@ FAULTY = {
     "dangling": Creature(3, 1, LINE.neurons, (*LINE.synapses, Synapse("input-0", "nowhere", 1.0), Synapse("input-0", "input-1", 1.0))),
     "twice": Creature(3, 1, LINE.neurons, (*LINE.synapses, LINE.synapses[0], Synapse("input-1", "output-0", 0.5, "positive"))),
     "narrow": K.linear([0.1, 0.2], 0.0),
+    "infinite": Creature(3, 1, (Neuron("hidden", "h", math.nan, "TANH"), LINE.neurons[0]), (Synapse("input-0", "h", math.inf), Synapse("h", "output-0", 1.0), Synapse("input-1", "output-0", -math.inf))),
 }
+RACERS = {f"line-{i}": K.linear([0.1 + 0.2 * i, 0.05]) for i in range(4)}
 CURVE = [0.0, 0.5, 1.0, 2.0, 10.0, 12345.0, 1e6, 9.9e11, 1e12, 1e13, 9007199254740991.0]
 CHUNK = 500
 
@@ -74,9 +76,10 @@ def _loss(cost: str) -> Query:
             corpus, creature = C.embeddings_corpus(spark, sf_dir), TWO
         else:
             corpus, creature = C.lineitem_unordered(spark, sf_dir), LINE
-        if cost in ("MAPE", "MSLE"):  # a zero target makes the value 1e14 or -34 for any output
-            corpus = corpus.where("targets[0] > 0")
-        return _rounded(errors(partials(corpus, {"c": creature}, cost, "sql"), cost), "error")
+        out = errors(partials(corpus, {"c": creature}, cost, "sql"), cost)
+        if cost == "MAPE":  # a zero target makes a term of 1e14, so what is compared is the logarithm
+            out = out.withColumn("error", F.log10("error"))
+        return _rounded(out, "error")
 
     return run
 
@@ -119,6 +122,12 @@ def population_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_population(C.lineitem_unordered(spark, sf_dir), POPULATION, tier="arrow").select("key", F.round("error", 4).alias("error"), "record_count")
 
 
+def population_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over lineitem as a binary corpus, a sample of it, scored where its bytes are read."""
+    path = _bin_corpus(spark, C.lineitem_corpus(spark, sf_dir))
+    return score_bin(spark, POPULATION, path, sample_rate=0.3, sample_phase=2).select("key", F.round("error", 4).alias("error"), "record_count")
+
+
 def _sampled(rate: float, phase: int = 0) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _rounded(score_population(C.lineitem_corpus(spark, sf_dir), {"c": LINE}, sample_rate=rate, sample_phase=phase, tier="sql").select("key", "error", "record_count", "sample_rate"), "error")
@@ -151,9 +160,8 @@ def _faults(check) -> Query:
 
 
 def _event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    population = {f"line-{i}": K.linear([0.1 + 0.2 * i, 0.05]) for i in range(4)}
-    losses = sql_tier.losses(C.events_corpus(spark, sf_dir), [compile_creature(c) for c in population.values()], "MSE", ("record_idx",))
-    stacked = losses.select("record_idx", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"loss_{i}").alias("loss")) for i, k in enumerate(population)])).alias("r")).select("record_idx", "r.*")
+    losses = sql_tier.losses(C.events_corpus(spark, sf_dir), [compile_creature(c) for c in RACERS.values()], "MSE", ("record_idx",))
+    stacked = losses.select("record_idx", F.explode(F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"loss_{i}").alias("loss")) for i, k in enumerate(RACERS)])).alias("r")).select("record_idx", "r.*")
     return ranking.running_means(racing.chunk_sums(stacked, CHUNK))
 
 
@@ -170,12 +178,139 @@ def float_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bin_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings written as a binary corpus of four shards to a folder of its own and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{base.rstrip('/') if base else tempfile.mkdtemp(prefix='evalgrid-')}/corpus-{uuid.uuid4().hex}"
-    C.write_bin(C.embeddings_corpus(spark, sf_dir), path, 4)
-    out = C.read_bin(spark, path, 2, 2)
-    return out.select("record_idx", F.round(F.col("features")[0].cast("double"), 6).alias("x0"), F.round(F.col("features")[1].cast("double"), 6).alias("x1"), F.col("targets")[1].cast("double").alias("t1"))
+    """Embeddings, all elements, written as a binary corpus of four shards to a folder of its own and read back."""
+    path = C.new_folder(spark, "corpus")
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("record_idx"), F.col("embedding").cast("array<float>").alias("features"), F.array(F.col("label").cast("float")).alias("targets"))
+    width = t.agg(F.max(F.size("features"))).first()[0] or 0
+    C.write_bin(t, path, 4)
+    x = F.transform("features", lambda v: v.cast("double"))
+    weighted = F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return C.read_bin(spark, path, width, 1).select("record_idx", F.round(x[0], 6).alias("x0"), F.round(weighted, 4).alias("weighted_sum"), F.col("targets")[0].cast("double").alias("t"))
+
+
+def _bin_corpus(spark: SparkSession, corpus: DataFrame) -> str:
+    path = C.new_folder(spark, "corpus")
+    C.write_bin(corpus, path, 4)
+    return path
+
+
+def _race(factor: float) -> Query:
+    """Events as a binary corpus, raced in five chunks; a creature whose partial error is over `factor` times the best of
+    those active is abandoned."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = _bin_corpus(spark, C.events_corpus(spark, sf_dir))
+        n = C.record_count(path, 2, 1)
+
+        def referee(rows):
+            best = min(r.partial_error for r in rows)
+            return {r.index for r in rows if r.partial_error > factor * best}
+
+        out = racing.race(C.read_bin(spark, path, 2, 1), RACERS, referee, n // 5 + 1, tier="sql", records=n)
+        return _rounded(out.select("key", "error", "record_count"), "error")
+
+    return run
+
+
+def score_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of creature files, in the order of their names, against lineitem as a binary corpus."""
+    folder = C.new_folder(spark, "creatures")
+    K.write_creatures(POPULATION, C.text_writer(folder))
+    creatures = K.read_creatures(spark, folder)
+    order = spark.createDataFrame(list(zip(creatures, range(1, len(creatures) + 1))), "key string, n int")
+    scores = score_bin(spark, creatures, _bin_corpus(spark, C.lineitem_corpus(spark, sf_dir)), tier="sql")
+    return _rounded(scores.join(F.broadcast(order), "key").select("n", "key", "error", "record_count"), "error")
+
+
+def score_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The keyed result object, and that of one creature given as text, read back as rows; places: the keys' order."""
+    path = _bin_corpus(spark, C.lineitem_corpus(spark, sf_dir))
+    keyed = json.loads(result_json(score_bin(spark, POPULATION, path, tier="sql")))
+    one = json.loads(result_json(score_bin(spark, emit_creature(LINE), path, tier="sql"), keyed=False))
+    rows = [(k, i, v["error"], v["recordCount"]) for i, (k, v) in enumerate([*keyed.items(), ("one", one)])]
+    return _rounded(spark.createDataFrame(rows, "key string, place int, error double, record_count long"), "error")
+
+
+def recurrent_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _bin_corpus(spark, C.lineitem_corpus(spark, sf_dir))
+    return _rounded(errors(partials(C.read_bin(spark, path, 3, 1), {"fwd_recurrent_reset": NETWORKS["fwd_recurrent_reset"]}, "MSE", "sql"), "MSE"), "error")
+
+
+def ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of lineitem's values by file of a binary corpus, folded in the order of the files."""
+    return _rounded(C.file_sums(C.read_bin(spark, _bin_corpus(spark, C.lineitem_corpus(spark, sf_dir)), 3, 1)), "total", places=2).agg(F.sum("n").alias("n"), F.round(F.max("running"), 2).alias("total"))
+
+
+def squash_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every activation over inputs up to 39 and up to 784; what is compared is ln(1 + |y|) with the sign of y."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity")
+    columns, rows = [], []
+    for scale in SCALES:
+        x = ((F.col("l_quantity") - 25.5) * scale).cast("float")
+        for i, (name, s) in enumerate(SQUASHES.items()):
+            y = limited(s, x).cast("double")
+            y = F.signum(y) * F.log1p(F.abs(y))
+            at = f"{i}_{scale}"
+            columns += [F.min(y).alias(f"low_{at}"), F.max(y).alias(f"high_{at}")]
+            rows.append(F.struct(F.lit(name).alias("squash"), F.lit(float(scale)).alias("scale"), F.round(F.col(f"`low_{at}`"), 4).alias("low"), F.round(F.col(f"`high_{at}`"), 4).alias("high")))
+    return t.agg(*columns).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+SCALES = (1.6, 32.0)
+
+
+def _guards() -> dict[str, Callable[[SparkSession], object]]:
+    """What must be refused, by name."""
+    line = {"c": LINE}
+
+    def corpus(spark, features, targets=(0.5,)):
+        real = lambda values: [None if v is None else float(v) for v in values]
+        return spark.createDataFrame([(0, real(features), real(targets))], "record_idx long, features array<float>, targets array<float>")
+
+    def folder(*files: int):
+        def path(spark):
+            out = C.new_folder(spark, "guard")
+            write = C.text_writer(out)
+            for i, n in enumerate(files):
+                write(f"{i}.bin", "x" * n)
+            return out
+
+        return path
+
+    out = {f"rate {r}": (lambda spark, r=r: sample(corpus(spark, (1, 2, 3)), r)) for r in (0.0, -0.5, 1.5, math.nan, math.inf)}
+    out |= {f"{tier}: {name}": (lambda spark, tier=tier, x=x, t=t: partials(corpus(spark, x, t), line, "MSE", tier).collect()) for tier in ("sql", "arrow") for name, x, t in (("short record", (1.0, 2.0), (0.5,)), ("long record", (1.0, 2.0, 3.0, 4.0), (0.5,)), ("null value", (1.0, None, 3.0), (0.5,)), ("long target", (1.0, 2.0, 3.0), (0.5, 0.5)), ("null target", (1.0, 2.0, 3.0), (None,)))}
+    out |= {
+        "negative phase": lambda spark: sample(corpus(spark, (1, 2, 3)), 0.5, -1),
+        "unknown cost": lambda spark: partials(corpus(spark, (1, 2, 3)), line, "mse"),
+        "negative mean": lambda spark: score_population(corpus(spark, (9.0, 9.0, 9.0), (0.1,)), line, "MSLE").collect(),
+        "no records": lambda spark: score_population(corpus(spark, (1, 2, 3)).where("false"), line, tier="sql").collect(),
+        "misaligned file": lambda spark: C.read_bin(spark, folder(16, 15)(spark), 3, 1),
+        "no files": lambda spark: C.read_bin(spark, folder()(spark), 3, 1),
+        "empty files": lambda spark: C.read_bin(spark, folder(0, 0)(spark), 3, 1),
+        "no creatures": lambda spark: K.read_creatures(spark, folder(4)(spark)),
+        "no folder": lambda spark: C.read_bin(spark, C.new_folder(spark, "absent") + "/none", 3, 1),
+        "empty creature": lambda spark: score_bin(spark, " ", "/nowhere"),
+        "not JSON": lambda spark: parse_creature("{"),
+        "too wide": lambda spark: validate(LINE, max_nodes=3),
+        "cycle": lambda spark: compile_creature(Creature(1, 1, (Neuron("hidden", "h", 0.0), Neuron("output", "output-0", 0.0)), (Synapse("input-0", "h", 1.0), Synapse("h", "output-0", 1.0), Synapse("output-0", "h", 1.0)))),
+        "shapes differ": lambda spark: K.check_shape({"a": LINE, "b": FAULTY["narrow"]}),
+        "callback fails": lambda spark: racing.StdioReferee(lambda: "{}", lambda line: None)([]),
+    }
+    return out | {f"squash {x}": (lambda spark, x=x: squash_of(x)) for x in ("HYPOT", "HYPOTv2", "MEAN", "tanh")} | {f"creature {k}": (lambda spark, k=k: validate(FAULTY[k])) for k in ("dangling", "twice", "infinite")}
+
+
+def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each case with whether it was refused as its kind of fault; reads no table."""
+    rows = []
+    for name, case in _guards().items():
+        try:
+            case(spark)
+            rows.append((name, False))
+        except (ValueError, CreatureError, UnsupportedSquash, C.CorpusError, racing.RacingError):
+            rows.append((name, True))
+        except Exception as e:  # what a task or an expression raises
+            rows.append((name, any(x in str(e) for x in ("corpus records must have", "no records", "cannot be scored"))))
+    return spark.createDataFrame(rows, "name string, refused boolean")
 
 
 def creature_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -193,6 +328,7 @@ QUERIES: dict[str, Query] = (
         "population_rank": population_rank,
         "best_candidate": best_candidate,
         "population_arrow": population_arrow,
+        "population_bin": population_bin,
         "sample_half": _sampled(0.5),
         "sample_quarter": _sampled(0.25),
         "sample_phase": _sampled(0.3, 2),
@@ -203,6 +339,15 @@ QUERIES: dict[str, Query] = (
         "dangling_targets": _faults(validation.dangling_targets),
         "duplicate_synapses": _faults(validation.duplicate_synapses),
         "shape_mismatches": _faults(validation.shape_mismatches),
+        "non_finite": _faults(validation.non_finite),
+        "guards": guards,
+        "race_continue": _race(math.inf),
+        "race_abandon": _race(3.0),
+        "score_folder": score_folder,
+        "score_json": score_json,
+        "recurrent_bin": recurrent_bin,
+        "ordered_fold": ordered_fold,
+        "squash_saturated": squash_saturated,
         "chunk_partials": chunk_partials,
         "race_survivors": race_survivors,
         "float_scan": float_scan,
@@ -233,14 +378,14 @@ _SOFT = "(greatest({x}, 0) + ln(1 + exp(-abs({x}))))"
 _SIGMOID = "(1 / (1 + exp(-least(greatest({x}, -30), 30))))"
 _SQUASH_SQL = {
     "IDENTITY": ("{x}", "-" + _MAX, _MAX), "RELU": ("greatest({x}, 0)", "0", _MAX), "ReLU6": ("least(6, greatest(0, {x}))", "0", "6"),
-    "LeakyReLU": ("CASE WHEN {x} >= 0 THEN {x} ELSE 0.01 * {x} END", "-" + _MAX, _MAX), "SELU": ("1.050701 * CASE WHEN {x} > 0 THEN {x} ELSE 1.6732632 * exp({x}) - 1.6732632 END", "-1.7581", _MAX),
+    "LeakyReLU": ("CASE WHEN {x} >= 0 THEN {x} ELSE 0.01 * {x} END", "-" + _MAX, _MAX), "SELU": ("1.050701 * CASE WHEN {x} > 0 THEN least({x}, 709) ELSE 1.6732632 * exp({x}) - 1.6732632 END", "-1.7581", _MAX),
     "ELU": ("CASE WHEN {x} > 0 THEN {x} ELSE exp({x}) - 1 END", "-1", _MAX), "LOGISTIC": (_SIGMOID, "0", "1"), "TANH": ("tanh({x})", "-1", "1"), "HARD_TANH": ("least(1, greatest(-1, {x}))", "-1", "1"),
     "SOFTSIGN": ("{x} / (1 + abs({x}))", "-0.98999995", "0.98999995"), "Softplus": (_SOFT, "1e-15", "100"), "Swish": ("{x} * " + _SIGMOID, "-0.278", _MAX), "Mish": ("{x} * tanh(" + _SOFT + ")", "-0.309", _MAX),
     "GELU": ("0.5 * {x} * (1 + tanh(sqrt(2 / pi()) * ({x} + 0.044715 * {x} * {x} * {x})))", "-0.17", _MAX), "SINE": ("sin({x})", "-1", "1"), "Cosine": ("cos({x})", "-1", "1"), "TAN": ("least(1000, greatest(-1000, tan({x})))", "-" + _MAX, _MAX),
     "ArcTan": ("atan({x})", "-1.5707964", "1.5707964"), "GAUSSIAN": ("exp(-{x} * {x})", "0", "1"), "BENT_IDENTITY": ("(sqrt({x} * {x} + 1) - 1) / 2 + {x}", "-" + _MAX, _MAX), "BIPOLAR_SIGMOID": ("2 * " + _SIGMOID + " - 1", "-1", "1"),
     "BIPOLAR": ("CASE WHEN {x} > 0 THEN 1.0 ELSE -1.0 END", "-1", "1"), "STEP": ("CASE WHEN {x} > 0 THEN 1.0 ELSE 0.0 END", "0", "1"), "COMPLEMENT": ("1 - {x}", "-" + _MAX, _MAX), "ABSOLUTE": ("abs({x})", "0", _MAX),
     "SQUARE": ("least({x} * {x}, 1e6)", "0", _MAX), "Cube": ("least(1e6, greatest(-1e6, {x} * {x} * {x}))", "-" + _MAX, _MAX), "SQRT": ("CASE WHEN {x} >= 0 THEN sqrt(greatest({x}, 0)) ELSE 0 END", "0", _MAX),
-    "StdInverse": ("1 / {x}", "-" + _MAX, _MAX), "Exponential": ("exp({x})", "0", _MAX), "LogSigmoid": ("-(greatest(-{x}, 0) + ln(1 + exp(-abs({x}))))", "-" + _MAX, "0"), "ISRU": ("{x} / sqrt(1 + {x} * {x})", "-1", "1"),
+    "StdInverse": ("1 / {x}", "-" + _MAX, _MAX), "Exponential": ("CASE WHEN {x} >= 36 THEN 9007199254740992 ELSE exp(least({x}, 36)) END", "0", _MAX), "LogSigmoid": ("CASE WHEN {x} <= -709 THEN -9007199254740992 ELSE -(greatest(-{x}, 0) + ln(1 + exp(-abs({x})))) END", "-" + _MAX, "0"), "ISRU": ("{x} / sqrt(1 + {x} * {x})", "-1", "1"),
 }
 
 
@@ -262,7 +407,9 @@ def _loss_sql(cost: str) -> str:
     if cost == "CATEGORICAL_ERROR":
         a, b = _act_sql("TANH", f"{_f(0.1)} + {_f(0.7)} * x0 + {_f(-0.4)} * x1"), _act_sql("LOGISTIC", f"{_f(0.0)} + {_f(-0.6)} * x0 + {_f(0.2)} * x1")
         return f"SELECT 'c' AS key, round(avg(CASE WHEN (t1 > 0.5) = ({b} > {a}) THEN 0.0 ELSE 1.0 END), 6) AS error, count(*) AS record_count FROM ({_EMBEDDINGS})"
-    out = _error_sql("c", _LINE_SQL, loss=_LOSS_SQL[cost], where="t > 0" if cost in ("MAPE", "MSLE") else "true")
+    out = _error_sql("c", _LINE_SQL, loss=_LOSS_SQL[cost])
+    if cost == "MAPE":
+        return out.replace("round(avg(", "round(log10(avg(").replace("), 6)", ")), 6)")
     return out.replace("round(avg(", "round(sqrt(avg(").replace("), 6)", ")), 6)") if cost == "RMSE" else out
 
 
@@ -290,8 +437,10 @@ _ERRORS = " UNION ALL ".join(f"SELECT '{k}' AS key, avg((t - o) * (t - o)) AS er
 _SIZES = "(VALUES ('line-0', 0, 3), ('line-1', 0, 3), ('line-2', 0, 3), ('dense', 4, 16)) AS s(key, h, n)"
 
 
-def _sample_sql(rate: float, phase: int) -> str:
+def _sample_sql(rate: float, phase: int, key: str = "", output: str = "") -> str:
     source = f"SELECT x0, x1, x2, t FROM (SELECT CAST(l_quantity / 50 AS FLOAT) AS x0, CAST(l_extendedprice / 100000 AS FLOAT) AS x1, CAST(l_discount AS FLOAT) AS x2, CAST(CAST(l_tax AS FLOAT) AS DOUBLE) AS t, CAST(record_idx + {phase} AS DOUBLE) AS j FROM ({_INDEXED})) WHERE floor((j + 1) * CAST({rate} AS DOUBLE)) > floor(j * CAST({rate} AS DOUBLE))"
+    if key:
+        return _error_sql(key, output, source).replace(", 6)", ", 4)")
     return f"SELECT *, CAST({rate} AS DOUBLE) AS sample_rate FROM ({_error_sql('c', _LINE_SQL, source)})"
 
 
@@ -305,12 +454,31 @@ def _stats_sql() -> str:
 FROM (VALUES {rows}) AS s(key, v) JOIN (VALUES {counts}) AS c(key, h, n, p) ON s.key = c.key GROUP BY s.key, c.h, c.n, c.p"""
 
 
+def _d(v: float) -> str:
+    return f"CAST('{v!r}' AS DOUBLE)"
+
+
+def _graph_sql(named: dict[str, Creature]) -> str:
+    """The creatures' tables k(key, i, input, output), n(key, uuid, squash, bias) and s(key, f, t, type, weight) as values."""
+    k = ", ".join(f"('{key}', {i}, {c.input}, {c.output})" for i, (key, c) in enumerate(named.items()))
+    n = ", ".join(f"('{key}', '{x.uuid}', '{x.squash or 'IDENTITY'}', {_d(x.bias)})" for key, c in named.items() for x in c.neurons)
+    s = ", ".join(f"('{key}', '{x.source}', '{x.target}', '{x.type or ''}', {_d(x.weight)})" for key, c in named.items() for x in c.synapses)
+    return f"WITH k AS (SELECT * FROM (VALUES {k}) AS v(key, i, input, output)), n AS (SELECT * FROM (VALUES {n}) AS v(key, uuid, squash, bias)), s AS (SELECT * FROM (VALUES {s}) AS v(key, f, t, type, weight))\n"
+
+
+def _saturated_sql() -> str:
+    one = "SELECT '{name}' AS squash, CAST({scale} AS DOUBLE) AS scale, round(min(y), 4) AS low, round(max(y), 4) AS high FROM (SELECT sign(a) * ln(1 + abs(a)) AS y FROM (SELECT CAST({form} AS DOUBLE) AS a FROM lineitem))"
+    return " UNION ALL ".join(one.format(name=name, scale=scale, form=_act_sql(name, f"CAST((l_quantity - 25.5) * {scale} AS FLOAT)")) for scale in SCALES for name in SQUASHES)
+
+
 _CHUNKS = f"""
 WITH e AS (SELECT CAST(value / 100 AS FLOAT) AS x0, CAST(hour(ts) / 24.0 AS FLOAT) AS x1, CAST(CAST(value / 200 AS FLOAT) AS DOUBLE) AS t, row_number() OVER (ORDER BY event_id, ts, value) - 1 AS i FROM events),
 l AS (SELECT 'line-' || k AS key, CAST(i // {CHUNK} AS BIGINT) AS chunk, t - CAST(CAST(0 AS FLOAT) + CAST(w AS FLOAT) * x0 + CAST(0.05 AS FLOAT) * x1 AS DOUBLE) AS d FROM e, (VALUES (0, 0.1), (1, {0.1 + 0.2!r}), (2, 0.5), (3, {0.1 + 0.2 * 3!r})) AS p(k, w)),
 g AS (SELECT key, chunk, sum(d * d) AS s, count(*) AS n FROM l GROUP BY key, chunk),
 r AS (SELECT key, chunk, sum(s) OVER w / sum(n) OVER w AS partial_error, CAST(sum(n) OVER w AS BIGINT) AS records_scored FROM g WINDOW w AS (PARTITION BY key ORDER BY chunk ROWS UNBOUNDED PRECEDING))
 """
+#: The same in five chunks of the whole corpus.
+_RACE = _CHUNKS.replace(f"i // {CHUNK}", "i // ((SELECT count(*) FROM events) // 5 + 1)")
 ORACLES: dict[str, str] = (
     {f"loss_{c.lower()}": _loss_sql(c) for c in COSTS}
     | {f"squash_{s.lower()}": _squash_sql(s) for s in SQUASHES}
@@ -320,6 +488,7 @@ ORACLES: dict[str, str] = (
         "population_rank": f"SELECT key, round(error, 6) AS error, CAST(rank() OVER (ORDER BY error) AS INTEGER) AS rank_no FROM ({_ERRORS})",
         "best_candidate": f"SELECT key, round(error, 6) AS error FROM ({_ERRORS}) ORDER BY error, key LIMIT 1",
         "population_arrow": f"SELECT key, round(error, 4) AS error, record_count FROM ({_ERRORS})",
+        "population_bin": " UNION ALL ".join(_sample_sql(0.3, 2, k, x) for k, x in _POPULATION_SQL.items()),
         "sample_half": _sample_sql(0.5, 0),
         "sample_quarter": _sample_sql(0.25, 0),
         "sample_phase": _sample_sql(0.3, 2),
@@ -327,13 +496,22 @@ ORACLES: dict[str, str] = (
         "weight_bias_stats": _stats_sql(),
         "value_penalty_curve": "SELECT m AS magnitude, round(CASE WHEN m <= 1 THEN 0 WHEN log10(m) < 12 THEN 0.999 * log10(m) / 12 ELSE 0.999 + 0.001 * (1 - 12 / log10(m)) END, 9) AS penalty FROM (SELECT CAST(unnest([" + ", ".join(repr(v) for v in CURVE) + "]) AS DOUBLE) AS m)",
         "final_score": "SELECT e AS error, coalesce(v, '-') AS version, round(1 - e - 2e-6 - CASE WHEN v LIKE '4.%' THEN 0 ELSE 1e-6 END, 9) AS score FROM (VALUES (CAST(0 AS DOUBLE), '4.1.0'), (CAST(0.25 AS DOUBLE), '3.0.0'), (CAST(0.5 AS DOUBLE), NULL)) AS t(e, v)",
-        "dangling_targets": "SELECT * FROM (VALUES ('dangling', 'input-0', 'nowhere'), ('dangling', 'input-0', 'input-1')) AS t(key, from_uuid, to_uuid)",
-        "duplicate_synapses": "SELECT key, from_uuid, to_uuid, kind, CAST(times AS BIGINT) AS times FROM (VALUES ('twice', 'input-0', 'output-0', 'synapse', 2), ('twice', 'input-0', 'output-0', 'pair', 2), ('twice', 'input-1', 'output-0', 'pair', 2)) AS t(key, from_uuid, to_uuid, kind, times)",
-        "shape_mismatches": "SELECT * FROM (VALUES ('narrow', 2, 1)) AS t(key, input, output)",
+        "dangling_targets": _graph_sql(FAULTY) + "SELECT key, f AS from_uuid, t AS to_uuid FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.key = s.key AND n.uuid = s.t)",
+        "duplicate_synapses": _graph_sql(FAULTY) + "SELECT key, f AS from_uuid, t AS to_uuid, 'synapse' AS kind, count(*) AS times FROM s GROUP BY key, f, t, type HAVING count(*) > 1 UNION ALL SELECT s.key, f, t, 'pair', count(*) FROM s JOIN n ON n.key = s.key AND n.uuid = s.t AND n.squash <> 'IF' GROUP BY s.key, f, t HAVING count(*) > 1",
+        "shape_mismatches": _graph_sql(FAULTY) + "SELECT k.key, k.input, k.output FROM k, k AS a WHERE a.i = 0 AND (k.input <> a.input OR k.output <> a.output)",
+        "non_finite": _graph_sql(FAULTY) + "SELECT key, f || ' -> ' || t AS place FROM s WHERE NOT isfinite(weight) UNION ALL SELECT key, uuid FROM n WHERE NOT isfinite(bias)",
+        "guards": "SELECT name, true AS refused FROM (VALUES " + ", ".join(f"('{x}')" for x in _guards()) + ") AS v(name)",
+        "race_continue": _RACE + "SELECT key, round(partial_error, 6) AS error, records_scored AS record_count FROM r WHERE chunk = (SELECT max(chunk) FROM r)",
+        "race_abandon": _RACE + ", b AS (SELECT *, partial_error <= 3.0 * min(partial_error) OVER (PARTITION BY chunk) AS ok FROM r), f AS (SELECT key, coalesce(min(chunk) FILTER (WHERE NOT ok), max(chunk)) AS chunk FROM b GROUP BY key) SELECT key, round(partial_error, 6) AS error, records_scored AS record_count FROM r JOIN f USING (key, chunk)",
+        "score_folder": f"SELECT CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS n, key, round(error, 6) AS error, record_count FROM ({_ERRORS})",
+        "score_json": f"SELECT key, CAST(row_number() OVER (ORDER BY key) - 1 AS INTEGER) AS place, round(error, 6) AS error, record_count FROM ({_ERRORS} UNION ALL SELECT 'one', avg((t - o) * (t - o)), count(*) FROM (SELECT t, {_LINE_SQL} AS o FROM ({_LINEITEM})))",
+        "recurrent_bin": _error_sql("fwd_recurrent_reset", _NETWORK_SQL["fwd_recurrent_reset"]),
+        "ordered_fold": f"SELECT count(*) AS n, round(sum(CAST(x0 AS DOUBLE) + CAST(x1 AS DOUBLE) + CAST(x2 AS DOUBLE) + t), 2) AS total FROM ({_LINEITEM})",
+        "squash_saturated": _saturated_sql(),
         "chunk_partials": _CHUNKS + "SELECT key, chunk, round(partial_error, 6) AS partial_error, records_scored FROM r",
         "race_survivors": _CHUNKS + ", b AS (SELECT *, partial_error <= 3.0 * min(partial_error) OVER (PARTITION BY chunk) AS ok FROM r) SELECT key, chunk, round(partial_error, 6) AS partial_error, bool_and(ok) OVER (PARTITION BY key ORDER BY chunk ROWS UNBOUNDED PRECEDING) AS alive FROM b",
         "float_scan": f"SELECT round(sum(CAST(x0 AS DOUBLE) + CAST(x1 AS DOUBLE) + CAST(x2 AS DOUBLE) + t), 2) AS total, CAST(4 * count(*) AS BIGINT) AS n_values FROM ({_LINEITEM})",
-        "bin_roundtrip": f"SELECT row_number() OVER (ORDER BY record_idx) - 1 AS record_idx, round(CAST(x0 AS DOUBLE), 6) AS x0, round(CAST(x1 AS DOUBLE), 6) AS x1, t1 FROM ({_EMBEDDINGS})",
-        "creature_json_roundtrip": "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {c.input}, {c.output}, {len(c.neurons)}, {len(c.synapses)}, CAST({sum(s.weight for s in c.synapses):.9f} AS DOUBLE))" for k, c in POPULATION.items()) + ") AS t(key, input, output, n_neurons, n_synapses, weight_sum)",
+        "bin_roundtrip": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS record_idx, round(CAST(embedding[1] AS DOUBLE), 6) AS x0, round(list_sum(list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * i)), 4) AS weighted_sum, CAST(label AS DOUBLE) AS t FROM embeddings",
+        "creature_json_roundtrip": _graph_sql(POPULATION) + "SELECT key, input, output, CAST((SELECT count(*) FROM n WHERE n.key = k.key) AS INTEGER) AS n_neurons, CAST((SELECT count(*) FROM s WHERE s.key = k.key) AS INTEGER) AS n_synapses, (SELECT round(sum(weight), 9) FROM s WHERE s.key = k.key) AS weight_sum FROM k",
     }
 )

@@ -2,7 +2,8 @@
 
 Binary corpora are folders of .bin files of packed little-endian single floats, each record its inputs then its targets,
 in the numeric order of the file names. They are read through a Python data source whose partitions are ranges of whole
-records, so a file of any size is split and every record knows its index. Tables become corpora through with_index.
+records, so a file of any size is split and every record knows its index; bounds on record_idx are pushed down to it and
+become byte ranges. Tables become corpora through with_index.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ from __future__ import annotations
 import os
 import posixpath
 import re
+import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.window import Window
 
 SCHEMA = "record_idx bigint, features array<float>, targets array<float>, file_idx int"
@@ -86,21 +89,47 @@ class _Reader(DataSourceReader):
         self.path, self.inputs = options["path"], int(options["inputs"])
         self.width = self.inputs + int(options["outputs"])
         self.split = int(options.get("split", SPLIT))
+        self.low, self.high = 0, None
+
+    def pushFilters(self, filters):
+        """Bounds on record_idx are kept exactly; all else is left to Spark."""
+        for f in filters:
+            if isinstance(f, (GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)) and f.attribute == ("record_idx",):
+                if isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                else:
+                    end = f.value + isinstance(f, LessThanOrEqual)
+                    self.high = end if self.high is None else min(self.high, end)
+            else:
+                yield f
 
     def partitions(self):
-        size, out = 4 * self.width, []
-        step = max(1, self.split // size)
-        for i, (path, n, start) in enumerate(bin_files(self.path, size)):
-            out += [_Range(path, a * size, min(step, n - a), start + a, i) for a in range(0, n, step)]
-        return out
+        return byte_ranges(self.path, self.width, self.split, 1, self.low, self.high) or [_Range("", 0, 0, 0, 0)]
 
     def read(self, part: _Range):
-        filesystem, _ = _opened(self.path)
+        for first, rows in read_records(self.path, part, self.width, BATCH):
+            yield record_batch(rows, self.inputs, first, part.file_idx)
+
+
+def byte_ranges(path: str, width: int, split: int, least: int = 1, low: int = 0, high: int | None = None) -> list[_Range]:
+    """A corpus from record low to before record high, cut into ranges of whole records: of `split` bytes at most, and small
+    enough that there are about `least` of them."""
+    size, out, files = 4 * width, [], bin_files(path, 4 * width)
+    step = max(1, min(split, size * sum(n for _, n, _ in files) // least) // size)
+    for i, (file, n, start) in enumerate(files):
+        first, last = max(0, low - start), n if high is None else min(n, high - start)
+        out += [_Range(file, a * size, min(step, last - a), start + a, i) for a in range(first, last, step)]
+    return out
+
+
+def read_records(path: str, part: _Range, width: int, batch: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Index of the first record and the records, as rows, of each batch of a range."""
+    if part.records:
+        filesystem, _ = _opened(path)
         with filesystem.open_input_file(part.path) as f:
-            for a in range(0, part.records, BATCH):
-                n = min(BATCH, part.records - a)
-                data = f.read_at(n * 4 * self.width, part.offset + a * 4 * self.width)
-                yield record_batch(unpack(data, self.width), self.inputs, part.first + a, part.file_idx)
+            for a in range(0, part.records, batch):
+                n = min(batch, part.records - a)
+                yield part.first + a, unpack(f.read_at(n * 4 * width, part.offset + a * 4 * width), width)
 
 
 class _Written(WriterCommitMessage):
@@ -108,13 +137,21 @@ class _Written(WriterCommitMessage):
         self.part, self.temporary = part, temporary
 
 
-class _Writer(DataSourceWriter):
+def _values(column: pa.Array) -> np.ndarray:
+    """A column of lists of one length as rows; a null, or a list of another length, is an error."""
+    flat, lengths = column.flatten(), column.value_lengths().to_numpy(zero_copy_only=False)
+    if column.null_count or flat.null_count or len(lengths) and (lengths != lengths[0]).any():
+        raise CorpusError("the records to write must have lists of one length without nulls")
+    return flat.to_numpy().astype("<f4", copy=False).reshape(len(column), -1)
+
+
+class _Writer(DataSourceArrowWriter):
     """Each task writes a file under a temporary name; the commit names the files by partition number."""
 
     def __init__(self, options: dict):
         self.path = options["path"]
 
-    def write(self, rows):
+    def write(self, batches):
         from pyspark import TaskContext
 
         filesystem, root = _opened(self.path)
@@ -122,14 +159,9 @@ class _Writer(DataSourceWriter):
         temporary = f"{root}/.{part}-{uuid.uuid4().hex}"
         filesystem.create_dir(root, recursive=True)
         with filesystem.open_output_stream(temporary) as f:
-            held: list = []
-            for r in rows:
-                held.append([*r.features, *r.targets])
-                if len(held) == BATCH:
-                    f.write(np.array(held, "<f4").tobytes())
-                    held = []
-            if held:
-                f.write(np.array(held, "<f4").tobytes())
+            for batch in batches:
+                if batch.num_rows:
+                    f.write(np.hstack([_values(batch.column(batch.schema.get_field_index(x))) for x in ("features", "targets")]).tobytes())
         return _Written(part, temporary)
 
     def commit(self, messages):
@@ -162,32 +194,79 @@ class PackedFloats(DataSource):
         return _Writer(self.options)
 
 
+def record_count(path: str, inputs: int, outputs: int) -> int:
+    """Records of a binary corpus, from the sizes of its files."""
+    return sum(n for _, n, _ in bin_files(path, 4 * (inputs + outputs)))
+
+
 def read_bin(spark: SparkSession, path: str, inputs: int, outputs: int, split: int = SPLIT) -> DataFrame:
-    """A binary corpus. The layout is checked here, before any record is read."""
+    """A binary corpus. The layout is checked here, before any record is read. Turns on Spark's pushdown of filters into
+    Python data sources, without which bounds on record_idx would be checked record by record."""
     bin_files(path, 4 * (inputs + outputs))
     spark.dataSource.register(PackedFloats)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format("packed_floats").options(path=path, inputs=inputs, outputs=outputs, split=split).load()
 
 
 def write_bin(corpus: DataFrame, path: str, shards: int) -> None:
-    """Writes a corpus as `shards` files at most, in the order of record_idx."""
+    """Writes a corpus as `shards` files at most, in the order of record_idx, to a folder that is new or empty."""
+    filesystem, root = _opened(path)
+    if filesystem.get_file_info(root).type != fs.FileType.NotFound and filesystem.get_file_info(fs.FileSelector(root)):
+        raise CorpusError(f"{path} is not empty")
     corpus.sparkSession.dataSource.register(PackedFloats)
     rows = corpus.select("record_idx", "features", "targets", F.lit(0).alias("file_idx")).repartitionByRange(shards, "record_idx").sortWithinPartitions("record_idx")
     rows.write.format("packed_floats").option("path", path).mode("append").save()
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir or, in local mode only, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise CorpusError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="evalgrid-")
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    filesystem, root = _opened(path)
+    filesystem.create_dir(root, recursive=True)
+    return path
+
+
+def text_writer(path: str):
+    """write(name, text) into a folder."""
+    filesystem, root = _opened(path)
+
+    def write(name: str, text: str) -> None:
+        with filesystem.open_output_stream(f"{root}/{name}") as f:
+            f.write(text.encode())
+
+    return write
+
+
+def file_sums(corpus: DataFrame) -> DataFrame:
+    """file_idx, n and total of the values of each file of a binary corpus, and running: the totals folded in the order of
+    the files. Within a file the order of the sum is Spark's; the fold itself is over a row for each file."""
+    total = F.aggregate(F.concat("features", "targets"), F.lit(0.0), lambda a, x: a + x.cast("double"))
+    sums = corpus.groupBy("file_idx").agg(F.count("*").alias("n"), F.sum(total).alias("total"))
+    return sums.withColumn("running", F.sum("total").over(Window.orderBy("file_idx").rowsBetween(Window.unboundedPreceding, 0)))
+
+
 def float_scan(corpus: DataFrame) -> DataFrame:
     """One row: the sum of all values of all records in double precision, and the number of values."""
     total = F.aggregate(F.concat("features", "targets"), F.lit(0.0), lambda a, x: a + x.cast("double"))
     return corpus.agg(F.sum(total).alias("total"), F.sum(F.size("features") + F.size("targets")).alias("n_values"))
 
 
-def with_index(df: DataFrame, bucket: Column, *order) -> DataFrame:
-    """df with record_idx, the 0-based place in the order. bucket: an expression that never falls along the order and
-    cuts the rows into moderate groups. Rows are ranked within their group; only group sizes are summed up in one task."""
-    rows = df.withColumn("__bucket", bucket)
-    sizes = rows.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    starts = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__start"))
+def with_index(df: DataFrame, bucket: Column, *order, group: int = 4096) -> DataFrame:
+    """df with record_idx, the 0-based place in the order. bucket: a whole number that never falls along the order and cuts
+    the rows into moderate parts. Rows are ranked within their bucket, buckets are summed up within groups of `group`
+    consecutive ones, and only the sums of those groups meet in one task."""
+    rows = df.withColumn("__bucket", bucket.cast("long"))
+    sizes = rows.groupBy("__bucket").agg(F.count("*").alias("__n")).withColumn("__group", F.floor(F.col("__bucket") / group))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = sizes.groupBy("__group").agg(F.sum("__n").alias("__n"))
+    bases = groups.select("__group", F.coalesce(F.sum("__n").over(before.orderBy("__group")), F.lit(0)).alias("__base"))
+    within = F.coalesce(F.sum("__n").over(before.partitionBy("__group").orderBy("__bucket")), F.lit(0))
+    starts = sizes.withColumn("__within", within).join(bases, "__group").select("__bucket", (F.col("__base") + F.col("__within")).alias("__start"))
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order)) - 1
     return rows.withColumn("__place", place).join(starts, "__bucket").withColumn("record_idx", (F.col("__start") + F.col("__place")).cast("long")).drop("__bucket", "__place", "__start")
 

@@ -76,6 +76,7 @@ def linear(weights, bias: float = 0.0, squash: str | None = "IDENTITY", outputs:
     return Creature(len(weights), outputs, tuple(neurons), tuple(Synapse(f"input-{i}", f"output-{o}", w) for o in range(outputs) for i, w in enumerate(weights)), semantic_version="4.0.0")
 
 
+# The weights and biases of the dense test network.
 def dense(inputs: int, hidden: int, outputs: int, squash: str = "TANH", shift: float = 0.0) -> Creature:
     """One hidden layer, bias 0.05, weights rising by a thousandth from 0.05 and 0.1."""
     neurons = [Neuron("hidden", f"hidden-{h}", 0.05 + shift, squash) for h in range(hidden)] + [Neuron("output", f"output-{o}", 0.0, "IDENTITY") for o in range(outputs)]
@@ -85,18 +86,23 @@ def dense(inputs: int, hidden: int, outputs: int, squash: str = "TANH", shift: f
 
 
 def decision_tree(splits: list[tuple[int, float]], leaves: list[float], inputs: int) -> Creature:
-    """A perfect tree of IF neurons, nodes numbered by level; above the threshold goes to the second child."""
-    n = len(splits)
-    neurons, synapses = [Neuron("constant", f"one-{role}", 1.0) for role in ("condition", "positive", "negative")], []
-    for k in reversed(range(n)):
-        feature, threshold = splits[k]
-        neurons.append(Neuron("hidden", f"node-{k}", 0.0, "IF"))
-        synapses += [Synapse(f"input-{feature}", f"node-{k}", 1.0, "condition"), Synapse("one-condition", f"node-{k}", -threshold, "condition")]
-        for child, role in ((2 * k + 2, "positive"), (2 * k + 1, "negative")):
-            synapses.append(Synapse(f"node-{child}", f"node-{k}", 1.0, role) if child < n else Synapse(f"one-{role}", f"node-{k}", leaves[child - n], role))
-    neurons.append(Neuron("output", "output-0", 0.0, "IDENTITY"))
-    synapses.append(Synapse("node-0", "output-0", 1.0))
-    return Creature(inputs, 1, tuple(neurons), tuple(synapses), semantic_version="4.0.0")
+    """A perfect tree of IF neurons over splits (input, threshold) and leaves, both by level; above the threshold goes
+    right. The parts of a node are those of its left half and its right half, and its own."""
+    ones = {role: Neuron("constant", f"one-{role}", 1.0) for role in ("condition", "positive", "negative")}
+
+    def grown(k: int) -> tuple[list[Neuron], list[Synapse]]:
+        name, (feature, threshold) = f"node-{k}", splits[k]
+        neurons, synapses = [], [Synapse(f"input-{feature}", name, 1.0, "condition"), Synapse("one-condition", name, -threshold, "condition")]
+        for role, child in (("negative", 2 * k + 1), ("positive", 2 * k + 2)):
+            if child < len(splits):
+                below = grown(child)
+                neurons, synapses = neurons + below[0], below[1] + synapses + [Synapse(f"node-{child}", name, 1.0, role)]
+            else:
+                synapses.append(Synapse(f"one-{role}", name, leaves[child - len(splits)], role))
+        return [*neurons, Neuron("hidden", name, 0.0, "IF")], synapses
+
+    neurons, synapses = grown(0)
+    return Creature(inputs, 1, (*ones.values(), *neurons, Neuron("output", "output-0", 0.0, "IDENTITY")), (*synapses, Synapse("node-0", "output-0", 1.0)), semantic_version="4.0.0")
 
 
 def to_json_rows(creatures: dict[str, Creature]) -> list[tuple[str, str]]:

@@ -1,13 +1,14 @@
 """Racing: the corpus in chunks of kept records, partial scores after each, and a callback that may abandon creatures.
 
-A chunk is chunk_records consecutive records of the sample, a filter on record_idx that a corpus stored by index prunes.
-Each chunk is a job over the creatures still active; the driver holds a sum and a count for each creature.
+A chunk is chunk_records consecutive records of the sample, a filter on record_idx: a binary corpus reads only the bytes
+of those records, a table stored by index prunes; so a race reads the corpus once. Each chunk is a job over the creatures
+still active; the driver holds a sum and a count for each creature, and works out a chunk's bounds when its turn comes.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -39,40 +40,41 @@ class RacingError(RuntimeError):
     pass
 
 
-def chunk_bounds(corpus: DataFrame, chunk_records: int, rate: float, phase: int) -> list[tuple[int, int]]:
-    """First and last record_idx of each chunk. At full rate from the largest index alone; else the sample's stride gives
-    them, which is a function of the index, so no record is read for it."""
+def chunk_bounds(records: int, chunk_records: int, rate: float, phase: int) -> Iterator[tuple[int, int]]:
+    """First and last record_idx of each chunk of a corpus of so many records, one after the other. The sample's stride is
+    a function of the index, so no record is read for it."""
     if chunk_records < 1:
         raise ValueError("chunk_records must be at least 1")
-    top = corpus.agg(F.max("record_idx")).first()[0]
-    if top is None:
-        return []
     if rate >= 1:
-        return [(a, min(a + chunk_records - 1, top)) for a in range(0, top + 1, chunk_records)]
+        yield from ((a, min(a + chunk_records, records) - 1) for a in range(0, records, chunk_records))
+        return
     # Kept records up to index i number floor((i + phase + 1) * rate) - floor(phase * rate).
-    base, out, start = int(phase * rate // 1), [], 0
-    total = int((top + phase + 1) * rate // 1) - base
+    base, start, top = int(phase * rate // 1), 0, records - 1
+    total = int((records + phase) * rate // 1) - base
     for done in range(chunk_records, total + chunk_records, chunk_records):
         low, high = start, top
         while low < high:
             mid = (low + high) // 2
             low, high = (low, mid) if int((mid + phase + 1) * rate // 1) - base >= min(done, total) else (mid + 1, high)
-        out.append((start, low))
+        yield start, low
         start = low + 1
-    return out
 
 
-def race(corpus: DataFrame, creatures: dict[str, Creature], callback: Callback, chunk_records: int, cost: str = "MSE", sample_rate: float = 1.0, sample_phase: int = 0, tier: str = "auto") -> DataFrame:
+def race(corpus: DataFrame, creatures: dict[str, Creature], callback: Callback, chunk_records: int, cost: str = "MSE", sample_rate: float = 1.0, sample_phase: int = 0, tier: str = "auto", records: int | None = None) -> DataFrame:
     """Scores as score_population gives them, but an abandoned creature keeps the sums it had; ABORT_ALL ends the sweep.
     Partial errors are means without a root, also for RMSE. Unknown and already abandoned indices are ignored. A chunk
-    without records makes no call."""
+    without records makes no call. records: how many the corpus has, if known (record_count() of a binary one); else the
+    largest index is looked up."""
     checked_cost(cost)
     check_shape(creatures)
     rate = checked_rate(sample_rate)
     keys, active = list(creatures), dict(enumerate(creatures))
     sums = {k: [0.0, 0] for k in keys}
     kept = sample(corpus, rate, sample_phase)
-    for first, last in chunk_bounds(corpus, chunk_records, rate, sample_phase):
+    if records is None:
+        top = corpus.agg(F.max("record_idx")).first()[0]
+        records = 0 if top is None else top + 1
+    for first, last in chunk_bounds(records, chunk_records, rate, sample_phase):
         if not active:
             break
         chunk = kept.where(F.col("record_idx").between(first, last))
@@ -105,8 +107,8 @@ class StdioReferee:
         self.read_line, self.write_line, self.chunk = read_line, write_line, 0
 
     def __call__(self, rows: list[Partial]):
-        self.write_line(json.dumps({"racing": "chunk", "chunk": self.chunk, "partials": [{"index": r.index, "key": r.key, "partialError": r.partial_error, "recordsScored": r.records_scored} for r in rows]}))
         self.chunk += 1
+        self.write_line(json.dumps({"racing": "chunk", "chunk": self.chunk, "partials": [{"index": r.index, "key": r.key, "partialError": r.partial_error, "recordsScored": r.records_scored} for r in rows]}))
         line = self.read_line()
         if not line.strip():
             raise RacingError("the referee's input ended or was empty")

@@ -1,5 +1,6 @@
 """Golden values, refusals, and agreement of the two tiers, of splits, and of racing with plain scoring."""
 
+import io
 import json
 import math
 
@@ -7,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evalgrid.__main__ import main as cli
 from evalgrid.functions import penalties as P
 from evalgrid.functions.losses import COSTS, loss, loss_array
 from evalgrid.functions.squash import SQUASHES, UnsupportedSquash, limited, limited_array, squash_of
@@ -267,7 +269,8 @@ def test_stdio_referee():
     referee = racing.StdioReferee(lambda: next(lines), out.append)
     rows = [racing.Partial(0, "a", 0.5, 10)]
     assert referee(rows) == racing.CONTINUE and referee(rows) == {1} and referee(rows) is racing.ABORT_ALL
-    assert json.loads(out[1]) == {"racing": "chunk", "chunk": 1, "partials": [{"index": 0, "key": "a", "partialError": 0.5, "recordsScored": 10}]}
+    assert json.loads(out[0])["chunk"] == 1
+    assert json.loads(out[1]) == {"racing": "chunk", "chunk": 2, "partials": [{"index": 0, "key": "a", "partialError": 0.5, "recordsScored": 10}]}
     for bad in ("", "\n", "{", '{"verdict":"maybe"}', '{"verdict":"abort"}', '{"verdict":"abort","creatures":["x"]}', "[]"):
         with pytest.raises(racing.RacingError):
             racing.StdioReferee(lambda bad=bad: bad, out.append)(rows)
@@ -283,6 +286,94 @@ def test_stream_sums_equal_batch(spark, tmp_path):
         assert sums[r.key].n == 60 and sums[r.key].s / 60 == pytest.approx(r.error, rel=1e-9)
 
 
+@pytest.mark.parametrize("tier", ["sql", "arrow"])
+def test_malformed_records_are_refused_by_both_tiers(spark, tier):
+    shape = "record_idx long, features array<float>, targets array<float>"
+    for x, t in (([None, 2.0], [1.0]), ([1.0, 2.0, 9.0], [1.0]), ([1.0], [1.0]), (None, [1.0]), ([1.0, 2.0], [None]), ([1.0, 2.0], []), ([1.0, 2.0], [1.0, 2.0])):
+        with pytest.raises(Exception, match="corpus records must have"):
+            partials(spark.createDataFrame([(0, x, t)], shape), {"c": K.linear([0.5, 0.5])}, "MSE", tier).collect()
+
+
+def test_index_over_groups_of_buckets(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 5000 AS v")
+    out = C.with_index(rows, F.floor(F.col("v") / 10), "v", group=3).orderBy("v").collect()
+    assert [r.record_idx for r in out] == list(range(1000))
+
+
+def test_bounds_become_byte_ranges(spark, tmp_path):
+    values = np.arange(3000, dtype="<f4").reshape(1000, 3)
+    values[:400].tofile(tmp_path / "1.bin")
+    values[400:].tofile(tmp_path / "2.bin")
+    read = 0
+    for first, last in racing.chunk_bounds(C.record_count(str(tmp_path), 2, 1), 50, 1.0, 0):
+        reader = C._Reader({"path": str(tmp_path), "inputs": "2", "outputs": "1"})
+        assert list(reader.pushFilters([C.GreaterThanOrEqual(("record_idx",), first), C.LessThanOrEqual(("record_idx",), last)])) == []
+        read += sum(p.records for p in reader.partitions())
+    assert read == 1000  # twenty chunks read the corpus once
+    df = C.read_bin(spark, str(tmp_path), 2, 1, split=240)
+    assert sorted(r.record_idx for r in df.where("record_idx > 390 AND record_idx <= 410").collect()) == list(range(391, 411))
+    assert df.where("record_idx > 5000").count() == 0 and df.where("record_idx < 7 AND features[0] > 3").count() == 5
+    with pytest.raises(C.CorpusError, match="not empty"):
+        C.write_bin(df, str(tmp_path), 2)
+    uneven = spark.createDataFrame([(0, [1.0], [1.0]), (1, [1.0, 2.0], [1.0])], "record_idx long, features array<float>, targets array<float>").coalesce(1)
+    with pytest.raises(Exception, match="one length"):
+        C.write_bin(uneven, str(tmp_path / "uneven"), 1)
+
+
+def test_scan_of_bytes_equals_both_tiers(spark, tmp_path):
+    random = np.random.default_rng(12)
+    df = corpus(spark, random.uniform(-1, 1, (500, 3)), random.uniform(0, 1, 500))
+    C.write_bin(df, str(tmp_path / "c"), 3)
+    for rate, phase in ((1.0, 0), (0.3, 2)):
+        want = {r.key: r for r in score_population(df, POPULATION, sample_rate=rate, sample_phase=phase, tier="sql").collect()}
+        for tier in ("auto", "sql"):
+            got = score_bin(spark, POPULATION, str(tmp_path / "c"), sample_rate=rate, sample_phase=phase, tier=tier).collect()
+            assert {r.key for r in got} == set(want)
+            assert all(r.error == pytest.approx(want[r.key].error, rel=1e-5) and r.record_count == want[r.key].record_count for r in got)
+
+
+@pytest.fixture
+def folders(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "d").mkdir()
+    K.write_creatures({"b": K.linear([0.5]), "a": IDENTITY}, lambda name, text: (tmp_path / "c" / name).write_text(text))
+    np.array([[1, 1], [2, 2], [3, 3], [4, 4]], "<f4").tofile(tmp_path / "d" / "1.bin")
+    return str(tmp_path / "c"), str(tmp_path / "d")
+
+
+def test_command_line_scores_folders_files_and_stdin(spark, folders, capsys, monkeypatch):
+    creatures, records = folders
+    monkeypatch.setattr("pyspark.sql.SparkSession.Builder.getOrCreate", lambda self: spark)
+    assert cli([creatures, records]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert list(out) == ["a", "b"] and out["a"]["error"] == 0 and out["b"]["error"] == 1.875 and out["b"]["recordCount"] == 4
+    assert cli([f"{creatures}/b.json", records, "--cost", "MAE", "--sample-rate", "0.5"]) == 0
+    out = json.loads(capsys.readouterr().out)
+    assert (out["error"], out["recordCount"], out["costName"], out["sampleRate"]) == (1.5, 2, "MAE", 0.5)
+    monkeypatch.setattr("sys.stdin", io.StringIO(emit_creature(IDENTITY)))
+    assert cli(["--creature-stdin", records]) == 0 and json.loads(capsys.readouterr().out)["error"] == 0
+
+
+def test_command_line_races_by_lines(spark, folders, capsys, monkeypatch):
+    creatures, records = folders
+    monkeypatch.setattr("pyspark.sql.SparkSession.Builder.getOrCreate", lambda self: spark)
+    monkeypatch.setattr("sys.stdin", io.StringIO('{"verdict":"abort","creatures":[1]}\n{"verdict":"continue"}\n'))
+    assert cli([creatures, records, "--race-stdio", "2"]) == 0
+    first, second, result = capsys.readouterr().out.split("\n", 2)
+    assert json.loads(first) == {"racing": "chunk", "chunk": 1, "partials": [{"index": 0, "key": "a", "partialError": 0.0, "recordsScored": 2}, {"index": 1, "key": "b", "partialError": 0.625, "recordsScored": 2}]}
+    assert [r["index"] for r in json.loads(second)["partials"]] == [0] and json.loads(second)["chunk"] == 2
+    assert {k: v["recordCount"] for k, v in json.loads(result).items()} == {"a": 4, "b": 2}
+    monkeypatch.setattr("sys.stdin", io.StringIO(""))
+    assert cli([creatures, records, "--race-stdio", "2"]) == 1 and "ended" in capsys.readouterr().err
+
+
+def test_command_line_refuses(spark, folders, capsys, monkeypatch):
+    creatures, records = folders
+    monkeypatch.setattr("pyspark.sql.SparkSession.Builder.getOrCreate", lambda self: spark)
+    for args in ([creatures], [creatures, records, "--cost", "mse"], [creatures, records, "--sample-rate", "0"], [creatures, records, "--sample-phase", "-1"], [creatures, f"{records}/1.bin"], [f"{creatures}/a.json", records, "--race-stdio", "2"], [f"{creatures}/none.json", records]):
+        assert cli(args) == 1 and capsys.readouterr().err.startswith("error: "), args
+
+
 def test_only_the_entry_names_the_training_package():
     import pathlib
 
