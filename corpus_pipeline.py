@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, line dedup, n-gram Jaccard join, benchmark decontamination, BPE encoding and decoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
-of documents. Null and repeated ids: toxicity is decided row by row. Rows without an id are cleaned like others and never
-removed as copies or leaks; there, rows that repeat an id are kept or removed together. An empty table passes through every stage.
+of documents; further columns of docs are dropped. Null and repeated ids: toxicity is decided row by row. Rows without an
+id are cleaned like others and never removed as copies or leaks; there, rows that repeat an id are kept or removed
+together. Null, empty and very long texts pass like others. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from evalgrid.llm import bpe, decontaminate, line_dedup, ngram_join
 from evalgrid.llm import toxicity as tox
-from evalgrid.llm.common import by_size, stored, table, tune
+from evalgrid.llm.common import by_size, discard, stored, table, tune
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -64,5 +65,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to documents, each result written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        before, docs = docs, stored(stage(spark, docs, sf_dir), name)
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
