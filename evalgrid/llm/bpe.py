@@ -3,13 +3,12 @@
 1. Texts are split into words as the tokenizer splits them. A chunk of some megabytes of text keeps each of its words
    once, in packs by a hash of the word, and its documents as numbers of those words by position, by frequency so that
    they pack well.
-2. The distinct-word table has a row for each distinct word of the corpus: its ids, found by encoding it once, and the
-   bytes they stand for, found by joining its ids with the id-to-piece table and putting the pieces in order.
-3. The rows of that table go back to the chunks that have the word, and in its chunk a document's ids and its decoded
-   text are put together by position.
+2. The distinct-word table has a row for each distinct word of the corpus with its ids, found by encoding it once.
+3. The rows of that table go back to the chunks that have the word, and in its chunk a document's ids are put together by
+   position. There they are joined with the id-to-piece table, which is broadcast, and the pieces make the decoded text.
 
 Texts are read once. The packed documents are written once, bucketed by chunk, so that only packs of words and of their
-ids are shuffled. decode() is the plain form of the second join, for any table of ids.
+ids are shuffled. decode() is the same join as a DataFrame join, for any table of ids.
 """
 
 from __future__ import annotations
@@ -118,12 +117,13 @@ def _chunks(spec, parts: int):
             nonlocal chunk, held, slots, ids, docs
             if ids:
                 words, flat = list(slots), np.concatenate(docs)
+                slots = {}
                 order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
                 rank = np.empty(len(words), np.uint32)
                 rank[order] = np.arange(len(words), dtype=np.uint32)
                 encoded = [words[i].encode("utf-8", "surrogatepass") for i in order.tolist()]
                 part = np.array([zlib.crc32(w) % parts for w in encoded], np.int32)
-                sizes = [len(x) for x in docs]
+                words, sizes = [], [len(x) for x in docs]
                 yield _batch([chunk], [None], [ids], [sizes], [_pack(*_planes(rank[flat]), *_planes(part.astype(np.uint32)))])
                 by = np.argsort(part, kind="stable")
                 present, begin = np.unique(part[by], return_index=True)
@@ -199,46 +199,38 @@ def _encode(spec):
 
 def _lookup(packs: pa.Table, words: pa.Table) -> pa.Table:
     """The packs of words of one part and that part of the distinct-word table -> for each chunk's pack, in its order, the
-    ids and the decoded bytes of its words."""
+    ids of its words."""
     place = {w: i for i, w in enumerate(words.column("word").to_pylist())}
-    ids, pieces = words.column("ids").combine_chunks(), words.column("decoded").combine_chunks()
-    out = []
+    ids, out = words.column("ids").combine_chunks(), []
     for pack in packs.column("pack").to_pylist():
-        which = pa.array([place[w] for w in _words(pack)], pa.int64())
-        own, text = ids.take(which), pieces.take(which)
-        sizes = [x.to_numpy(zero_copy_only=False).astype("<u4").tobytes() for x in (pc.list_value_length(own), pc.binary_length(text))]
-        out.append(_pack(*sizes, *_planes(own.flatten().to_numpy()), b"".join(text.to_pylist())))
+        own = ids.take(pa.array([place[w] for w in _words(pack)], pa.int64()))
+        out.append(_pack(pc.list_value_length(own).to_numpy(zero_copy_only=False).astype("<u4").tobytes(), *_planes(own.flatten().to_numpy())))
     return pa.table([packs.column("chunk"), packs.column("part"), pa.array(out, pa.binary())], names=["chunk", "part", "pack"])
 
 
-def _cut(sizes: bytes, flat: bytes, width: int) -> list[bytes]:
-    cuts = (np.concatenate([[0], np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64)]) * width).tolist()
-    return [flat[x:y] for x, y in zip(cuts, cuts[1:])]
-
-
-def _put_together(keep: bool):
-    """A chunk's documents and the packs of its words' ids and bytes -> a row for each document."""
+def _put_together(spec, more: int):
+    """A chunk's documents and the packs of its words' ids -> a row for each document, with `more` of ids and text."""
 
     def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        out = []
+        pieces, out = _vocabulary(spec).pieces, []
         packs = dict(zip(words.column("part").to_pylist(), words.column("pack").to_pylist()))
         for keys, sizes, pack in zip(docs.column("ids").to_pylist(), docs.column("sizes").to_pylist(), docs.column("pack").to_pylist()):
             planes = _unpack(pack)
             numbers, part = _numbers(planes[:4]), _numbers(planes[4:])
-            coded, decoded = np.full(len(part), b"", object), np.full(len(part), b"", object)
+            coded = np.full(len(part), b"", object)
             for p, own in packs.items():
-                lengths, widths, *rest = _unpack(own)
-                at = np.flatnonzero(part == p)
-                coded[at] = _cut(lengths, _numbers(rest[:4]).tobytes(), 4)
-                decoded[at] = _cut(widths, rest[4], 1)
+                lengths, *rest = _unpack(own)
+                cuts = (np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<u4"), dtype=np.int64)]) * 4).tolist()
+                raw = _numbers(rest).tobytes()
+                coded[part == p] = [raw[x:y] for x, y in zip(cuts, cuts[1:])]
             at = 0
             for key, n in zip(keys, sizes):
-                some = numbers[at : at + n]
+                raw = b"".join(coded[numbers[at : at + n]].tolist())
                 at += n
-                raw, text = b"".join(coded[some].tolist()), b"".join(decoded[some].tolist()).decode("utf-8", "replace")
-                more = (np.frombuffer(raw, "<i4"), text) if keep else ()
-                out.append((key, len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *more))
-        columns = list(zip(*out)) or [()] * (6 if keep else 4)
+                ids = np.frombuffer(raw, "<i4")
+                text = b"".join(pieces[ids].tolist()).decode("utf-8", "replace")
+                out.append((key, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *(ids, text)[:more]))
+        columns = list(zip(*out)) or [()] * (4 + more)
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=_NAMES[: len(columns)])
 
@@ -276,9 +268,9 @@ def decode(rows: DataFrame, pieces: DataFrame, ids_col: str = "ids") -> DataFram
     return found.groupBy(*keys).agg(F.aggregate(put, F.lit(b""), lambda a, x: F.concat(a, x["__piece"])).alias("decoded"))
 
 
-def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep: bool = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep: bool | str = False) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers) and
-    decoded_sha256; with keep also ids and the decoded text.
+    decoded_sha256; with keep also ids and the decoded text, with keep="ids" the ids only.
 
     tokenizer: path of a byte-level BPE file, read on the driver (default: the 50k vocabulary). Null and empty texts have
     no tokens. Special strings in a text become their ids. A very long text is a chunk of its own. Rows that repeat an id,
@@ -297,13 +289,12 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = spark.table(name)
         packs = rows.where("part IS NOT NULL").select("chunk", "part", "pack")
         distinct = packs.select("part", "pack").repartition(parts, "part").mapInArrow(_gathered, "part int, word binary").distinct()
-        coded = stored(distinct.mapInArrow(_encode(spec), "part int, word binary, ids array<int>"), "words")
-        words = stored(decode(coded, piece_table(spark, tokenizer)), "distinct-words")
-        discard(coded)
+        words = stored(distinct.mapInArrow(_encode(spec), "part int, word binary, ids array<int>"), "distinct-words")
         found = packs.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_lookup, "chunk long, part int, pack binary")
         texts = rows.where("part IS NULL").select("chunk", "ids", "sizes", "pack")
-        schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep else "")
-        out = stored(texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_put_together(keep), schema), "coded")
+        more = {False: 0, "ids": 1, True: 2}[keep]
+        schema = ", ".join(["id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "ids array<int>", "decoded string"][: 1 + more])
+        out = stored(texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_put_together(spec, more), schema), "coded")
         discard(words)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
