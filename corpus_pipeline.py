@@ -47,7 +47,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes each text: doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids."""
-    return bpe.bpe_round_trip(tune(spark) and docs, keep=True).drop("decoded")
+    return bpe.bpe_round_trip(tune(spark) and docs, keep="ids")
 
 
 STAGES = [
