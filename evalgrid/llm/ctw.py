@@ -364,3 +364,22 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
     return _scores(docs, docs.select("text", F.coalesce(~held, F.lit(False)).alias("learn"))).withColumn("held_out", held)
+
+
+def ctw_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op1_ctw the columns that SQL can express, the base score to three places."""
+    return op1_ctw(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+
+
+_BYTES = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), i, 1)) AS UBIGINT))"
+_CRC = f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {_BYTES}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)), 4294967295::UBIGINT)"
+#: For ctw_base.
+ORACLE = rf"""
+WITH d AS (SELECT doc_id, {_CRC} % 5 = 1 AS held_out, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS l FROM documents),
+t AS (SELECT doc_id, held_out, unnest(list_append(l, ' ')) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w),
+n AS (SELECT sum(c) AS n, count(*) AS v FROM c)
+SELECT t.doc_id, any_value(held_out) AS held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens,
+  round(sum(log10((coalesce(c.c, 0) + 0.5::DOUBLE) / (n.n + 0.5::DOUBLE * (n.v + 1)))), 3) AS base_score
+FROM t LEFT JOIN c ON c.w = t.w CROSS JOIN n GROUP BY t.doc_id
+"""

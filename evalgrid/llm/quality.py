@@ -211,3 +211,22 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contract: all of documents, learned from labels.quality."""
     tune(spark)
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3_quality_rules the columns that SQL can express."""
+    return op3_quality_rules(spark, sf_dir).drop("score", "kept")
+
+
+#: For quality_base.
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS l FROM documents),
+g AS (SELECT doc_id, i, list_transform(l[i:i + 4], lambda x: x) AS g FROM (SELECT doc_id, l, unnest(range(1, len(l) - 3)) AS i FROM d WHERE len(l) >= 5)),
+h AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM h, (SELECT unnest(range(5)) AS j) GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+p AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM x WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_words, CAST(length(array_to_string(l, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  coalesce(p.n, 0) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) < 10 OR 100 * coalesce(r.n, 0) > 20 * len(l) AS base_failed
+FROM d LEFT JOIN r ON r.doc_id = d.doc_id LEFT JOIN p ON p.doc_id = d.doc_id
+"""
