@@ -239,7 +239,9 @@ def _lengths(shared):
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, counts: np.ndarray):
     """Items of documents in a sorted table -> the values' sums and the number of items found by document, the others."""
     which, distinct = pd.factorize(wanted)
-    at = np.minimum(np.searchsorted(keys, distinct), max(len(keys) - 1, 0))
+    order = np.argsort(distinct)  # neighbours are then looked up near each other
+    at = np.empty(len(distinct), np.int64)
+    at[order] = np.minimum(np.searchsorted(keys, distinct[order]), max(len(keys) - 1, 0))
     real = keys[at] == distinct if len(keys) else np.zeros(len(distinct), bool)
     known = real[which]
     cuts = np.concatenate([[0], np.cumsum(counts)])
