@@ -22,6 +22,7 @@ BROADCAST_BYTES = 32 << 20
 
 _own: str | None = None
 _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_standing: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +73,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    _standing.add(path)
     return out
 
 
@@ -84,9 +86,16 @@ def discard(*tables: DataFrame) -> None:
     """Deletes stored tables that no later step reads."""
     for df in tables:
         if path := _paths.pop(df, None):
+            _standing.discard(path)
             discard_path(df.sparkSession, path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables stored by this driver that still stand; for when the results that read them have been written."""
+    while _standing:
+        discard_path(spark, _standing.pop())
+
+
 def _width(field) -> Column | int:
     kind = field.dataType
     if isinstance(kind, (T.StringType, T.BinaryType)):

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalgrid.llm import bpe, components, ctw, decontaminate, licenses, line_dedup, ngram_join, preference, quality, queries, toxicity, url_filter
+from evalgrid.llm import bpe, common, components, ctw, decontaminate, licenses, line_dedup, ngram_join, preference, quality, queries, toxicity, url_filter
 from evalgrid.llm import textkernel as K
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,6 +59,27 @@ def test_words_and_shingles_match_plain_python():
     assert len(set(seen.values())) == len(seen)
 
 
+def test_stored_tables_are_deleted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "_own", str(tmp_path))
+    common.release(spark)
+    one, two = (common.stored(spark.range(n), "t") for n in (3, 4))
+    assert one.count() == 3 and len(list(tmp_path.iterdir())) == 2
+    common.discard(one)
+    assert len(list(tmp_path.iterdir())) == 1 and two.count() == 4
+    common.release(spark)
+    assert not list(tmp_path.iterdir())
+    assert common.fits(spark.range(10)) and not common.fits(spark.range(10), 100)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = type("S", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3), (200, 199)]
     got = {r.id: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
