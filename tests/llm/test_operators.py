@@ -60,7 +60,7 @@ def test_words_and_shingles_match_plain_python():
 
 
 def test_stored_tables_are_deleted(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(common, "_own", str(tmp_path))
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
     common.release(spark)
     one, two = (common.stored(spark.range(n), "t") for n in (3, 4))
     assert one.count() == 3 and len(list(tmp_path.iterdir())) == 2
