@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .common import discard, discard_path, shared_dir, stored, table, tune
 
 #: Bytes of text of a chunk, whose words and documents one task holds at a time; a longer text is a chunk of its own.
@@ -232,6 +233,7 @@ def _put_together(spec, more: int):
                 out.append((key, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), *(ids, text)[:more]))
         columns = list(zip(*out)) or [()] * (4 + more)
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+        K.give_back()
         return pa.table([pa.array(list(c), t) for c, t in zip(columns, types)], names=_NAMES[: len(columns)])
 
     return run
@@ -284,12 +286,12 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"bpe_{uuid.uuid4().hex}"
     try:
-        packed = docs.mapInArrow(_chunks(spec, parts), _PACKED)
+        packed = docs.mapInArrow(K.lean(_chunks(spec, parts)), _PACKED)
         packed.write.bucketBy(parts, "chunk").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
         rows = spark.table(name)
         packs = rows.where("part IS NOT NULL").select("chunk", "part", "pack")
-        distinct = packs.select("part", "pack").repartition(parts, "part").mapInArrow(_gathered, "part int, word binary").distinct()
-        words = stored(distinct.mapInArrow(_encode(spec), "part int, word binary, ids array<int>"), "distinct-words")
+        distinct = packs.select("part", "pack").repartition(parts, "part").mapInArrow(K.lean(_gathered), "part int, word binary").distinct()
+        words = stored(distinct.mapInArrow(K.lean(_encode(spec)), "part int, word binary, ids array<int>"), "distinct-words")
         found = packs.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_lookup, "chunk long, part int, pack binary")
         texts = rows.where("part IS NULL").select("chunk", "ids", "sizes", "pack")
         more = {False: 0, "ids": 1, True: 2}[keep]

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes of a side's rows, counted before the join, up to which it is broadcast; beyond, the same join shuffles.
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 _own: str | None = None
 _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()

@@ -244,7 +244,7 @@ def _tokens(k: int):
 def verified(docs: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """pairs(a, b) with linked: whether their shingle sets, made anew from the whole texts, reach the similarity."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = docs.join(by_size(ids), "id", "left_semi").mapInArrow(_tokens(k), "id long, tokens array<long>")
+    sets = docs.join(by_size(ids), "id", "left_semi").mapInArrow(K.lean(_tokens(k)), "id long, tokens array<long>")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     return joined.groupBy("a", "b").agg(F.max(den * both >= num * (F.size("ta") + F.size("tb") - both)).alias("linked"))
@@ -263,7 +263,7 @@ def ngram_jaccard_join(
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    scan = stored(docs.mapInArrow(_scan(k), "id long, n long, k1 long, k2 long, bits binary, token long, seen long"), "scan")
+    scan = stored(docs.mapInArrow(K.lean(_scan(k)), "id long, n long, k1 long, k2 long, bits binary, token long, seen long"), "scan")
     total = scan.agg(F.sum("n")).first()[0] or 0
     hot = scan.where("token IS NOT NULL").groupBy("token").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= max(least, total * share)).toArrow()  # at most 1 / share rows
     tokens = hot.column("token").to_numpy().view(_U)
@@ -286,7 +286,7 @@ def ngram_jaccard_join(
 
     few = fits(gone)
     source = docs.join(F.broadcast(gone), "id", "left_anti") if few else docs
-    raw = source.mapInArrow(_index(k, num, den, common, rank), "key long, id long, n int, f int")
+    raw = source.mapInArrow(K.lean(_index(k, num, den, common, rank)), "key long, id long, n int, f int")
     raw = stored(raw if few else raw.join(gone, "id", "left_anti"), "keys")
     sizes = raw.groupBy("key").agg(F.count("*").alias("sets"), F.min("id").alias("hub")).where("sets > 1")
     index = stored(raw.join(sizes.hint("shuffle_hash"), "key"), "index")

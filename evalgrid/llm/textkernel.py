@@ -7,6 +7,8 @@ document, not the partition.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def lean(kernel):
+    """The kernel, after which its Python worker, which Spark keeps for other tasks, gives its unused memory back."""
+
+    def run(*given):
+        try:
+            yield from kernel(*given)
+        finally:
+            give_back()
+
+    return run
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A finaliser for 64-bit hashes (xor-shift and multiply); wraps around."""
     x = x.astype(_U, copy=True)

@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import textkernel as K
 from .common import stored, table, tune
 
 FIT_ROWS = 32_768
 #: A term needs this share of the toxic rows of the fit (and LEAST rows), this log ratio, and PURE of its rows toxic.
 SUPPORT, LEAST, RATIO, PURE = 0.004, 3, 3.0, 0.8
 STEM = range(4, 9)
+#: Terms that a task counts before it hands them on.
+HELD = 150_000
 THRESHOLD = 0.3
 
 # Letters of other scripts that look like Latin ones, digits and signs written for letters.
@@ -84,7 +87,7 @@ def _count(toxic: int, among=None):
                 if label == toxic:
                     found = _terms(fold(text))
                     counts.update(found & among.value if among is not None else found)
-            if len(counts) > 1_000_000:
+            if len(counts) > HELD:
                 yield _rows(counts)
                 counts = Counter()
         yield _rows(counts)
@@ -217,9 +220,9 @@ def fit(docs: DataFrame, labels: DataFrame, phrases=PHRASES, rows: int = FIT_ROW
     if not toxic or not clean:
         return {"terms": {}, "exceptions": list(phrases), "slope": 0.0, "intercept": -20.0}
     support = max(LEAST, SUPPORT * toxic)
-    seen = {r.term: r.n for r in sample.mapInArrow(_count(1), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= support).toLocalIterator()}
+    seen = {r.term: r.n for r in sample.mapInArrow(K.lean(_count(1)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= support).toLocalIterator()}
     among = spark.sparkContext.broadcast(frozenset(seen))
-    other = {r.term: r.n for r in sample.mapInArrow(_count(0, among), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
+    other = {r.term: r.n for r in sample.mapInArrow(K.lean(_count(0, among)), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator()}
     model = {"terms": choose({x: (t, other.get(x, 0)) for x, t in seen.items()}, toxic, clean), "exceptions": list(phrases)}
     words = sample.mapInArrow(_innocent(_shared(spark, model)), "word string, toxic int, n long").groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c")).where("c > 1")
     model["exceptions"] += [r.word for r in words.toLocalIterator() if r.c / clean >= r.t / toxic]
