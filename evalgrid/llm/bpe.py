@@ -292,12 +292,13 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         packs = rows.where("part IS NOT NULL").select("chunk", "part", "pack")
         distinct = packs.select("part", "pack").repartition(parts, "part").mapInArrow(K.lean(_gathered), "part int, word binary").distinct()
         words = stored(distinct.mapInArrow(K.lean(_encode(spec)), "part int, word binary, ids array<int>"), "distinct-words")
-        found = packs.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_lookup, "chunk long, part int, pack binary")
+        found = stored(packs.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_lookup, "chunk long, part int, pack binary"), "coded-words")
+        discard(words)
         texts = rows.where("part IS NULL").select("chunk", "ids", "sizes", "pack")
         more = {False: 0, "ids": 1, True: 2}[keep]
         schema = ", ".join(["id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "ids array<int>", "decoded string"][: 1 + more])
         out = stored(texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_put_together(spec, more), schema), "coded")
-        discard(words)
+        discard(found)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         discard_path(spark, f"{shared_dir(spark)}/{name}")
