@@ -31,7 +31,7 @@ from . import textkernel as K
 from .common import discard, discard_path, shared_dir, stored, table, tune
 
 #: Bytes of text of a chunk, whose words and documents one task holds at a time; a longer text is a chunk of its own.
-CHUNK = 12 << 20
+CHUNK = 8 << 20
 #: Words that a task gathers before it hands them on to be made distinct.
 GATHER = 100_000
 
