@@ -7,8 +7,8 @@
 3. The rows of that table go back to the chunks that have the word, and in its chunk a document's ids are put together by
    position. There they are joined with the id-to-piece table, which is broadcast, and the pieces make the decoded text.
 
-Texts are read once. The packed documents are written once, bucketed by chunk, so that only packs of words and of their
-ids are shuffled. decode() is the same join as a DataFrame join, for any table of ids.
+Texts are read once. The packed documents and words are written once, in buckets by chunk and by part, so that only distinct
+words and packs of ids are shuffled. decode() is the same join as a DataFrame join, for any table of ids.
 """
 
 from __future__ import annotations
@@ -150,12 +150,13 @@ def _chunks(spec, parts: int):
     return run
 
 
-_PACKED = "chunk long, part int, ids array<long>, sizes array<int>, pack binary"
+#: bucket: the chunk of a row of documents, the part of a pack of words.
+_PACKED = "bucket long, chunk long, part long, ids array<long>, sizes array<int>, pack binary"
 
 
 def _batch(chunk, part, ids, sizes, packs) -> pa.RecordBatch:
-    columns = [pa.array(chunk, pa.int64()), pa.array(part, pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(packs, pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, ["chunk", "part", "ids", "sizes", "pack"])
+    columns = [pa.array([c if p is None else p for c, p in zip(chunk, part)], pa.int64()), pa.array(chunk, pa.int64()), pa.array(part, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(packs, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "part", "ids", "sizes", "pack"])
 
 
 def _words(pack: bytes) -> list[bytes]:
@@ -169,7 +170,7 @@ def _gathered(batches):
     seen: dict[bytes, int] = {}
 
     def flush():
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen.values()), pa.int32()), pa.array(list(seen), pa.binary())], ["part", "word"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen.values()), pa.int64()), pa.array(list(seen), pa.binary())], ["part", "word"])
         seen.clear()
 
     for batch in batches:
@@ -287,14 +288,14 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name = f"bpe_{uuid.uuid4().hex}"
     try:
         packed = docs.mapInArrow(K.lean(_chunks(spec, parts)), _PACKED)
-        packed.write.bucketBy(parts, "chunk").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+        packed.write.bucketBy(parts, "bucket").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
         rows = spark.table(name)
-        packs = rows.where("part IS NOT NULL").select("chunk", "part", "pack")
-        distinct = packs.select("part", "pack").repartition(parts, "part").mapInArrow(K.lean(_gathered), "part int, word binary").distinct()
-        words = stored(distinct.mapInArrow(K.lean(_encode(spec)), "part int, word binary, ids array<int>"), "distinct-words")
-        found = stored(packs.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_lookup, "chunk long, part int, pack binary"), "coded-words")
+        packs = rows.where("part IS NOT NULL").select("chunk", F.col("bucket").alias("part"), "pack")
+        distinct = packs.select("part", "pack").repartition(parts, "part").mapInArrow(K.lean(_gathered), "part long, word binary").distinct()
+        words = stored(distinct.mapInArrow(K.lean(_encode(spec)), "part long, word binary, ids array<int>"), "distinct-words")
+        found = stored(packs.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_lookup, "chunk long, part long, pack binary"), "coded-words")
         discard(words)
-        texts = rows.where("part IS NULL").select("chunk", "ids", "sizes", "pack")
+        texts = rows.where("part IS NULL").select(F.col("bucket").alias("chunk"), "ids", "sizes", "pack")
         more = {False: 0, "ids": 1, True: 2}[keep]
         schema = ", ".join(["id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "ids array<int>", "decoded string"][: 1 + more])
         out = stored(texts.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(_put_together(spec, more), schema), "coded")
