@@ -106,7 +106,7 @@ def _numbers(planes: list[bytes]) -> np.ndarray:
     return np.ascontiguousarray(np.stack([np.frombuffer(x, np.uint8) for x in planes], 1)).view("<u4").ravel()
 
 
-def _chunks(spec, parts: int):
+def _chunks(spec, parts: int, size: int):
     """A row of documents for each chunk (part null: ids, tokens by document, packed numbers and the part of each word),
     and a row for each chunk and part with its packed words."""
 
@@ -143,7 +143,7 @@ def _chunks(spec, parts: int):
                 docs.append(np.array([put(w, len(slots)) for w in own.split(text)], np.uint32))
                 ids.append(key)
                 held += len(text) if text.isascii() else len(text.encode("utf-8", "surrogatepass"))
-                if held >= CHUNK:
+                if held >= size:
                     yield from flush()
         yield from flush()
 
@@ -271,11 +271,12 @@ def decode(rows: DataFrame, pieces: DataFrame, ids_col: str = "ids") -> DataFram
     return found.groupBy(*keys).agg(F.aggregate(put, F.lit(b""), lambda a, x: F.concat(a, x["__piece"])).alias("decoded"))
 
 
-def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep: bool | str = False) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep: bool | str = False, chunk: int | None = None) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers) and
     decoded_sha256; with keep also ids and the decoded text, with keep="ids" the ids only.
 
-    tokenizer: path of a byte-level BPE file, read on the driver (default: the 50k vocabulary). Null and empty texts have
+    tokenizer: path of a byte-level BPE file, read on the driver (default: the 50k vocabulary). chunk: bytes of text that a
+    task packs at once; less takes less memory, and more disk, as more chunks have the same words. Null and empty texts have
     no tokens. Special strings in a text become their ids. A very long text is a chunk of its own. Rows that repeat an id,
     or have none, are encoded each for itself. An empty table gives no rows; other columns are ignored, whatever their
     names. The result is a stored table; the tables on the way to it are deleted.
@@ -287,7 +288,7 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"bpe_{uuid.uuid4().hex}"
     try:
-        packed = docs.mapInArrow(K.lean(_chunks(spec, parts)), _PACKED)
+        packed = docs.mapInArrow(K.lean(_chunks(spec, parts, chunk or CHUNK)), _PACKED)
         packed.write.bucketBy(parts, "bucket").option("compression", "none").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
         rows = spark.table(name)
         packs = rows.where("part IS NOT NULL").select("chunk", F.col("bucket").alias("part"), "pack")
