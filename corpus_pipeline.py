@@ -47,9 +47,11 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes and decodes each text: doc_id, n_tokens, ids_sha256, decoded_sha256 and the ids."""
-    return bpe.bpe_round_trip(tune(spark) and docs, keep="ids")
+    return bpe.bpe_round_trip(tune(spark) and docs, keep="ids", chunk=CHUNK)
 
 
+#: Bytes of text of a chunk in the last stage, where executors already hold what four stages have left in their heaps.
+CHUNK = 3 << 20
 STAGES = [
     ("toxicity", toxicity),
     ("line_dedup", line_dedup_stage),
