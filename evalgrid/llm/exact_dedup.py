@@ -94,9 +94,9 @@ def exact_dedup(
     stream = spark.readStream.schema(table.schema)
     if max_files:
         stream = stream.option("maxFilesPerTrigger", max_files)
-    with settings(
-        spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__changelogCheckpointing__enabled="true"
-    ):
+    # Many small states: without fallocate a state takes the disk of what it holds, not megabytes in advance.
+    given = {"providerClass": ROCKSDB, "rocksdb.changelogCheckpointing.enabled": "true", "rocksdb.allowFAllocate": "false"}
+    with settings(spark, **{f"spark.sql.streaming.stateStore.{k}": v for k, v in given.items()}):
         stream_state(_located(stream.parquet(_pattern(path)), columns, id_col, text_col, digest), f"{at}/state", f"{at}/touched")
 
     rows = _located(table, columns, id_col, text_col, digest)
