@@ -119,3 +119,10 @@ def by_size(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
 def lower_ascii(col):
     """A-Z in lower case, all other characters as they are. lower() is the faster way and the same on ASCII."""
     return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, UPPER, LOWER))
+
+
+def sql_crc32(text: str) -> str:
+    """The unsigned crc32 of an ASCII text as a DuckDB expression, bit by bit."""
+    codes = f"list_transform(range(1, length({text}) + 1), lambda i: CAST(ascii(substring({text}, i, 1)) AS UBIGINT))"
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {codes}), lambda a, b: list_reduce(list_prepend(xor(a, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: {step})), 4294967295::UBIGINT)"

@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe, ctw, decontaminate, exact_dedup, licenses, line_dedup, ngram_join, preference, quality, toxicity, url_filter
+from . import bpe, ctw, decontaminate, exact_dedup, licenses, line_dedup, merkle, ngram_join, preference, quality, toxicity, url_filter
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_bpe": bpe.op10_bpe,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     "ctw_base": ctw.ctw_base,
     "quality_base": quality.quality_base,
@@ -26,6 +27,7 @@ ORACLES = {
     "op7_license_scan": licenses.ORACLE,
     "op9_decontaminate": decontaminate.ORACLE,
     "op4_ngram_jaccard_join": ngram_join.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
     "op13_exact_dedup": exact_dedup.ORACLE,
     "ctw_base": ctw.ORACLE,
     "quality_base": quality.ORACLE,
