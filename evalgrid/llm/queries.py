@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe, ctw, decontaminate, exact_dedup, licenses, line_dedup, merkle, ngram_join, preference, quality, toxicity, url_filter
+from . import bpe, ctw, decontaminate, exact_dedup, licenses, line_dedup, merkle, ngram_join, preference, quality, spelling, toxicity, url_filter
 
 QUERIES = {
     "op1_ctw": ctw.op1_ctw,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_bpe": bpe.op10_bpe,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_spelling_variants": spelling.op12_spelling_variants,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
     "ctw_base": ctw.ctw_base,
     "quality_base": quality.quality_base,
@@ -28,6 +29,7 @@ ORACLES = {
     "op9_decontaminate": decontaminate.ORACLE,
     "op4_ngram_jaccard_join": ngram_join.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
     "op13_exact_dedup": exact_dedup.ORACLE,
     "ctw_base": ctw.ORACLE,
     "quality_base": quality.ORACLE,
