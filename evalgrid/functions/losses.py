@@ -51,23 +51,34 @@ def loss(cost: str, targets: list[Column], outputs: list[Column]) -> Column:
 
 
 def loss_array(cost: str, t: np.ndarray, o: np.ndarray) -> np.ndarray:
-    """The same over rows of targets and outputs."""
-    t, o, n = t.astype(np.float64), o.astype(np.float64), t.shape[1]
+    """The same over arrays: targets (outputs, records) in double precision, activations (..., outputs, records); gives
+    (..., records). Terms are added up in the order of the outputs, as the expression does."""
+    n = t.shape[-2]
+
+    def summed(terms: np.ndarray) -> np.ndarray:
+        out = terms[..., 0, :]
+        for i in range(1, n):
+            out = out + terms[..., i, :]
+        return out
+
+    o = o.astype(np.float64)
     if cost in ("MSE", "RMSE"):
-        return ((t - o) ** 2).sum(1) / n
+        o -= t
+        o *= o
+        return summed(o) / n
     if cost == "MAE":
-        return np.abs(t - o).sum(1) / n
+        return summed(np.abs(t - o)) / n
     if cost == "MAPE":
-        return np.abs((o - t) / np.maximum(t, EPSILON)).sum(1) / n
+        return summed(np.abs((o - t) / np.maximum(t, EPSILON))) / n
     if cost == "MSLE":
-        return (np.log(np.maximum(t, EPSILON)) - np.log(np.maximum(o, EPSILON))).sum(1)
+        return summed(np.log(np.maximum(t, EPSILON)) - np.log(np.maximum(o, EPSILON)))
     if cost == "HINGE":
-        return np.maximum(0.0, 1 - t * o).sum(1)
+        return summed(np.maximum(0.0, 1 - t * o))
     if cost == "CROSS_ENTROPY":
         p = np.clip(o, EPSILON, 1 - EPSILON)
-        return -(t * np.log(p) + (1 - t) * np.log(1 - p)).sum(1) / n
+        return summed(-(t * np.log(p) + (1 - t) * np.log(1 - p))) / n
     checked_cost(cost)
-    return (t.argmax(1) != o.argmax(1)).astype(np.float64)
+    return (t.argmax(-2) != o.argmax(-2)).astype(np.float64)
 
 
 def finalised(cost: str, total: Column, n: Column) -> Column:

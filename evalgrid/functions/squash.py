@@ -117,8 +117,15 @@ def limited(squash: Squash, z: Column) -> Column:
 
 
 def limited_array(squash: Squash, z: np.ndarray) -> np.ndarray:
-    if squash.name == "TANH" and z.dtype == np.float32:  # vectorised in single precision, and within its range by itself
-        return np.nan_to_num(np.tanh(z), copy=False, nan=0.0)
     with np.errstate(all="ignore"):
-        x = squash.array(z.astype(np.float64))
-        return np.clip(np.where(np.isnan(x), 0.0, x), squash.low, squash.high).astype(np.float32)
+        if squash.name == "IDENTITY" and z.dtype == np.float32:
+            x = z
+        elif squash.name == "TANH":  # needs no guards: it is within its range, and is one long before its argument's clamp
+            x = np.tanh(z.astype(np.float64))
+        else:
+            x = np.asarray(squash.array(z.astype(np.float64)))
+        if x.size and np.isnan(x.min()):
+            x = np.where(np.isnan(x), x.dtype.type(0), x)
+        if squash.name != "TANH":
+            x = np.clip(x, x.dtype.type(squash.low), x.dtype.type(squash.high))
+        return x.astype(np.float32, copy=False)

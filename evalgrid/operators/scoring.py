@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import penalties as P
+from ..functions.exact import exact_totals
 from ..functions.losses import checked_cost, finalised
 from ..plans import arrow_tier, sql_tier
 from ..plans.creature import Creature, compile_creature, parse_creature, validate
@@ -42,22 +43,34 @@ def components(creatures: DataFrame) -> DataFrame:
     )
 
 
-def partials(corpus: DataFrame, creatures: dict[str, Creature], cost: str = "MSE", tier: str = "auto") -> DataFrame:
-    """(key, loss_sum, n) of a population, compiled once, in one pass. tier: "sql", "arrow", or "auto" by size."""
+def units(corpus: DataFrame, creatures: dict[str, Creature], cost: str = "MSE", tier: str = "auto") -> DataFrame:
+    """(key, exp, units, n), the exact losses of a population, compiled once, in one pass; functions.exact adds them up.
+    tier: "sql", "arrow", or "auto" by size. Both add up in the same order and round alike, so "auto" changes no result but
+    for the last bit of an activation where the JVM's and numpy's exponential differ."""
     checked_cost(cost)
     check_shape(creatures)
     networks = [compile_creature(c) for c in creatures.values()]
     if tier == "auto":
         tier = "sql" if sum(n.synapses for n in networks) <= SQL_SYNAPSES else "arrow"
     engine = {"sql": sql_tier, "arrow": arrow_tier}[tier]
-    return engine.partials(corpus, networks, list(creatures), cost)
+    return engine.units(corpus, networks, list(creatures), cost)
+
+
+def totals(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """(key, loss_sum, n) of exact lines, with a row also for those of the keys that have none."""
+    named = lines.sparkSession.range(1).select(F.explode(F.split(F.lit("\0".join(keys)), "\0")).alias("key"))
+    return exact_totals(lines.unionByName(named.select("key", F.lit(0).alias("exp"), F.lit(0).cast("decimal(38,0)").alias("units"), F.lit(0).cast("long").alias("n"))), ["key"])
+
+
+def partials(corpus: DataFrame, creatures: dict[str, Creature], cost: str = "MSE", tier: str = "auto") -> DataFrame:
+    """(key, loss_sum, n) of a population: sums that do not depend on how the corpus is split."""
+    return totals(units(corpus, creatures, cost, tier), list(creatures))
 
 
 def errors(sums: DataFrame, cost: str) -> DataFrame:
-    """(key, error, record_count) from partial sums; a corpus without records is an error."""
-    total = sums.groupBy("key").agg(F.sum("loss_sum").alias("s"), F.sum("n").alias("n"))
-    n = F.when(F.coalesce("n", F.lit(0)) == 0, F.raise_error(F.lit("no records to score")).cast("long")).otherwise(F.col("n"))
-    return total.select("key", finalised(cost, F.col("s"), n).alias("error"), n.alias("record_count"))
+    """(key, error, record_count) from sums, a row for each key; a corpus without records is an error."""
+    n = F.when(F.col("n") == 0, F.raise_error(F.lit("no records to score")).cast("long")).otherwise(F.col("n"))
+    return sums.select("key", finalised(cost, F.col("loss_sum"), n).alias("error"), n.alias("record_count"))
 
 
 def scored(means: DataFrame, creatures: dict[str, Creature], cost: str, rate: float = 1.0, growth: float = P.GROWTH_COST) -> DataFrame:
@@ -98,8 +111,8 @@ def score_bin(spark: SparkSession, creatures: dict[str, Creature] | str, path: s
     checked_cost(cost)
     checked_phase(sample_phase)
     networks = [compile_creature(c) for c in creatures.values()]
-    sums = arrow_tier.bin_partials(spark, path, networks, list(creatures), cost, checked_rate(sample_rate), sample_phase)
-    return scored(errors(sums, cost), creatures, cost, sample_rate, growth)
+    lines = arrow_tier.bin_units(spark, path, networks, list(creatures), cost, checked_rate(sample_rate), sample_phase)
+    return scored(errors(totals(lines, list(creatures)), cost), creatures, cost, sample_rate, growth)
 
 
 def _camel(name: str) -> str:

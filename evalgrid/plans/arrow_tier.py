@@ -1,71 +1,236 @@
 """Tier B: the forward pass in numpy over Arrow batches, the whole population in one pass over the corpus.
 
-Neurons of one level and kind are evaluated together: weighted sums as one matrix product of single precision. A batch
-gives one row for each creature, so what is shuffled is creatures times batches, whatever the number of records. A binary
-corpus is scored where its bytes are read: tasks are byte ranges, so no record becomes a row on the way.
+Creatures are grouped by topology: those that differ in weights and biases only are evaluated together, their weights
+being stacked, so a batch is turned and its targets are converted once, and each step of a neuron is one numpy call for
+many creatures. Weighted sums add up their synapses in order, in single precision, as the expressions do. The population
+is cut into tiles of TILE bytes; small populations are broadcast, larger ones lie in the shared folder, from which a task
+takes a tile at a time. A task returns some lines for each creature, whatever the number of its records. A binary corpus is
+scored where its bytes are read: tasks are byte ranges, so no record becomes a row on the way.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..functions.exact import BLOCK, Adder
 from ..functions.losses import loss_array
 from ..functions.squash import SQUASHES, limited_array
-from ..sources.corpus import BATCH, SPLIT, byte_ranges, read_records
+from ..sources.corpus import SPLIT, byte_ranges, new_folder, opened, read_records
 from .creature import Network
 
+#: Bytes of a tile of stacked weights; bytes of a population up to which it is broadcast.
+TILE, BROADCAST = 1 << 20, 16 << 20
+#: Neurons of one group, over creatures, whose activations of a block are held together: they stay in the cache.
+LANES = 32
+#: Records of an Arrow batch taken at once when the population is broadcast, and when its tiles are read for each.
+BATCH, LARGE_BATCH = 16_384, 262_144
+LINES = "key string, exp int, units decimal(38,0), n long"
+_SCHEMA = pa.schema([("key", pa.string()), ("exp", pa.int32()), ("units", pa.decimal128(38, 0)), ("n", pa.int64())])
 
-class Kernel:
-    """A network laid out for batches: for each level its weighted neurons as a matrix, the others one by one."""
+
+class Topology:
+    """What networks have in common that differ in weights and biases only. Levels in order, and in each: the weighted
+    neurons by activation, those with more synapses first, and the others one by one. Activations of neurons that are not
+    inputs are numbered in the order of the steps."""
 
     def __init__(self, net: Network):
-        self.inputs, self.outputs = net.inputs, list(net.outputs)
-        self.size = 1 + max([net.inputs - 1, *(s.node for s in net.steps)])
+        self.inputs = net.inputs
+        place = {s.node: i for i, s in enumerate(net.steps)}
+        self.outputs = np.array([self._at(place, node) for node in net.outputs])
+        starts = np.concatenate([[0], np.cumsum([len(s.inputs) for s in net.steps])]).astype(int)
+        self.steps, self.synapses = len(net.steps), int(starts[-1])
         self.levels = []
         for level in sorted({s.level for s in net.steps}):
-            steps = [s for s in net.steps if s.level == level]
-            weighted = [s for s in steps if s.kind == "weighted"]
-            sources = sorted({node for s in weighted for node, _, _ in s.inputs})
-            at = {node: i for i, node in enumerate(sources)}
-            matrix = np.zeros((len(sources), len(weighted)), np.float32)
-            for j, s in enumerate(weighted):
-                for node, w, _ in s.inputs:
-                    matrix[at[node], j] += w
-            groups: dict[str, list[int]] = {}
-            for j, s in enumerate(weighted):
-                groups.setdefault(s.squash, []).append(j)
-            self.levels.append((np.array(sources, int), matrix, np.array([s.bias for s in weighted], np.float32), [s.node for s in weighted], groups, [s for s in steps if s.kind != "weighted"]))
+            own = [(i, s) for i, s in enumerate(net.steps) if s.level == level]
+            groups, others = {}, []
+            for i, s in own:
+                if s.kind == "weighted":
+                    groups.setdefault(s.squash, []).append((i, s))
+                else:
+                    others.append((i, s.kind, [(self._at(place, node), starts[i] + k, role) for k, (node, _, role) in enumerate(s.inputs)]))
+            weighted = []
+            for squash, members in groups.items():
+                members.sort(key=lambda m: -len(m[1].inputs))
+                terms = []
+                for k in range(len(members[0][1].inputs)):
+                    with_k = [(i, s) for i, s in members if len(s.inputs) > k]
+                    terms.append((np.array([self._at(place, s.inputs[k][0]) for _, s in with_k]), np.array([starts[i] + k for i, _ in with_k])))
+                weighted.append((squash, np.array([i for i, _ in members]), terms))
+            self.levels.append((weighted, others))
+        self.widest = max([1, *(len(nodes) for weighted, _ in self.levels for _, nodes, _ in weighted)])
+
+    def _at(self, place: dict[int, int], node: int) -> int:
+        """Inputs by number, other neurons after them, an edge that carries 0 as -1."""
+        return node if node < self.inputs else self.inputs + place[node]
+
+    def run(self, bias: np.ndarray, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """bias (creatures, steps), weights (creatures, synapses), x (inputs, records) -> outputs (creatures, outputs,
+        records), all in single precision."""
+        creatures, n = len(bias), x.shape[1]
+        act = np.empty((creatures, self.steps, n), np.float32)
+
+        def source(at: np.ndarray) -> np.ndarray:
+            """Activations of (creatures or 1, sources or 1, records)."""
+            if (at == at[0]).all():
+                at = at[:1]
+            if (at < self.inputs).all():
+                return x[None, at[0] : at[0] + 1] if len(at) == 1 else x[at][None]
+            if (at >= self.inputs).all():
+                at = at - self.inputs
+                return act[:, at[0] : at[0] + 1] if len(at) == 1 else act[:, at]
+            return np.stack([x[a][None].repeat(creatures, 0) if a < self.inputs else act[:, a - self.inputs] for a in at], 1)
+
+        def term(at: int, synapse: int) -> np.ndarray:
+            if at < 0:
+                return np.zeros((creatures, n), np.float32)
+            return weights[:, synapse, None] * (x[at] if at < self.inputs else act[:, at - self.inputs])
 
-    def run(self, x: np.ndarray) -> np.ndarray:
-        """Rows of inputs -> rows of outputs."""
-        act = np.zeros((self.size, len(x)), np.float32)
-        act[: self.inputs] = x.T
         with np.errstate(all="ignore"):
-            for sources, matrix, bias, nodes, groups, others in self.levels:
-                if nodes:
-                    z = (matrix.T @ act[sources] if len(sources) else np.zeros((len(nodes), len(x)), np.float32)) + bias[:, None]
-                    for squash, own in groups.items():
-                        act[[nodes[j] for j in own]] = limited_array(SQUASHES[squash], z[own])
-                for s in others:
-                    act[s.node] = limited_array(SQUASHES["IDENTITY"], self._other(s, act))
-        return act[self.outputs].T
+            for weighted, others in self.levels:
+                for squash, nodes, terms in weighted:
+                    z = np.repeat(bias[:, nodes, None], n, 2)
+                    part = np.empty_like(z)
+                    for at, synapses in terms:
+                        k = len(synapses)
+                        np.multiply(weights[:, synapses, None], source(at), out=part[:, :k])
+                        z[:, :k] += part[:, :k]
+                    act[:, nodes] = limited_array(SQUASHES[squash], z)
+                for node, kind, inputs in others:
+                    act[:, node] = limited_array(SQUASHES["IDENTITY"], self._other(kind, bias[:, node, None], [(term(a, e), role) for a, e, role in inputs], n))
+        return np.stack([x[o][None].repeat(creatures, 0) if o < self.inputs else act[:, o - self.inputs] for o in self.outputs], 1)
 
     @staticmethod
-    def _other(s, act: np.ndarray) -> np.ndarray:
-        n = act.shape[1]
-        if s.kind == "constant" or not s.inputs and s.kind != "IF":
-            return np.full(n, s.bias, np.float32)
-        terms = [(w * act[node] if node >= 0 else np.zeros(n, np.float32), role) for node, w, role in s.inputs]
-        if s.kind in ("MINIMUM", "MAXIMUM"):
-            best = (np.fmin if s.kind == "MINIMUM" else np.fmax).reduce([x for x, _ in terms])
-            return np.where(np.isnan(best), s.bias, best + s.bias)
-        sums = {r: np.zeros(n, np.float32) for r in ("condition", "negative", "positive")}
-        for x, role in terms:
-            sums[role if role in ("condition", "negative") else "positive"] += x
-        return np.where(sums["condition"] > 0, sums["positive"], sums["negative"]) + s.bias
+    def _other(kind: str, bias: np.ndarray, terms: list, n: int) -> np.ndarray:
+        if kind == "constant" or not terms and kind != "IF":
+            return np.repeat(bias, n, 1)
+        if kind in ("MINIMUM", "MAXIMUM"):
+            best = (np.fmin if kind == "MINIMUM" else np.fmax).reduce([x for x, _ in terms])
+            return np.where(np.isnan(best), bias, best + bias)
+        sums = {}
+        for role in ("condition", "negative", "positive"):
+            own = np.zeros((len(bias), n), np.float32)
+            for x, r in terms:
+                if (r if r in ("condition", "negative") else "positive") == role:
+                    own += x
+            sums[role] = own
+        return np.where(sums["condition"] > 0, sums["positive"], sums["negative"]) + bias
+
+
+class Tile:
+    """Creatures of one topology: their numbers in the population and stacked biases and weights."""
+
+    def __init__(self, topology: Topology, numbers: list[int], bias: np.ndarray, weights: np.ndarray):
+        self.topology, self.numbers, self.bias, self.weights = topology, numbers, bias, weights
+
+    def outputs(self, x: np.ndarray) -> np.ndarray:
+        return self.topology.run(self.bias, self.weights, x)
+
+    def add(self, adder: Adder, first: int, cost: str, x: np.ndarray, t: np.ndarray) -> None:
+        """Adds the losses of records x (inputs, records) and targets t (outputs, records, double), this tile's creatures
+        being the adder's series from `first` on."""
+        top = self.topology
+        size = max(256, min(BLOCK, BLOCK * LANES // top.widest))
+        some = max(1, LANES * BLOCK // (size * top.widest))
+        for a in range(0, x.shape[1], size):
+            own, target = np.ascontiguousarray(x[:, a : a + size]), t[:, a : a + size]
+            for c in range(0, len(self.bias), some):
+                adder.add(first + c, loss_array(cost, target, top.run(self.bias[c : c + some], self.weights[c : c + some], own)))
+
+
+def signature(net: Network) -> tuple:
+    return net.inputs, net.outputs, tuple((s.node, s.kind, s.squash, s.level, tuple((node, role) for node, _, role in s.inputs)) for s in net.steps)
+
+
+def tiles(networks: list[Network], size: int = TILE) -> list[Tile]:
+    """The population by topology, cut into tiles of about `size` bytes of weights, a creature at least."""
+    alike: dict[tuple, list[int]] = {}
+    for i, net in enumerate(networks):
+        alike.setdefault(signature(net), []).append(i)
+    out = []
+    for numbers in alike.values():
+        topology = Topology(networks[numbers[0]])
+        some = max(1, size // (4 * max(1, topology.steps + topology.synapses)))
+        for a in range(0, len(numbers), some):
+            own = numbers[a : a + some]
+            bias = np.array([[s.bias for s in networks[i].steps] for i in own], np.float32)
+            weights = np.array([[w for s in networks[i].steps for _, w, _ in s.inputs] for i in own], np.float32).reshape(len(own), -1)
+            out.append(Tile(topology, own, bias, weights))
+    return out
+
+
+class Shared:
+    """A tiled population as tasks see it. Up to BROADCAST bytes it is broadcast; beyond, each tile is a file in the shared
+    folder, and a task holds one tile at a time."""
+
+    def __init__(self, spark: SparkSession, cut: list[Tile], limit: int = BROADCAST):
+        packed = [pickle.dumps(t) for t in cut]
+        self.value = self.folder = None
+        self.counts = [len(t.numbers) for t in cut]
+        if sum(map(len, packed)) <= limit:
+            self.value = spark.sparkContext.broadcast(packed)
+        else:
+            self.folder = new_folder(spark, "population")
+            filesystem, root = opened(self.folder)
+            for i, p in enumerate(packed):
+                with filesystem.open_output_stream(f"{root}/{i}.tile") as f:
+                    f.write(p)
+
+    def tiles(self) -> Iterator[Tile]:
+        if self.value is not None:
+            yield from map(pickle.loads, self.value.value)
+            return
+        filesystem, root = opened(self.folder)
+        for i in range(len(self.counts)):
+            with filesystem.open_input_stream(f"{root}/{i}.tile") as f:
+                yield pickle.loads(f.read())
+
+    def scorer(self, cost: str) -> Scorer:
+        return Scorer(self, cost)
+
+
+class Scorer:
+    """Exact sums of a task's losses, creature by creature."""
+
+    def __init__(self, shared: Shared, cost: str):
+        self.shared, self.cost, self.n = shared, cost, 0
+        self.adder = Adder(sum(shared.counts))
+        self.held = list(shared.tiles()) if shared.value is not None else None
+        self.size = BATCH if self.held is not None else LARGE_BATCH
+
+    def add(self, x: np.ndarray, t: np.ndarray) -> None:
+        """Rows of inputs and of targets, a record a row."""
+        x, t, first = np.ascontiguousarray(x.T), t.T.astype(np.float64), 0
+        self.n += x.shape[1]
+        for tile in self.held if self.held is not None else self.shared.tiles():
+            tile.add(self.adder, first, self.cost, x, t)
+            first += len(tile.numbers)
+
+    def lines(self, keys: list[str] | None = None) -> pa.RecordBatch:
+        """A few lines for each creature; the first of each counts the records."""
+        out, at = ([], [], [], []), 0
+        for tile in self.held if self.held is not None else self.shared.tiles():
+            for number in tile.numbers:
+                for i, (exp, units) in enumerate(self.adder.units(at)):
+                    for column, v in zip(out, (keys[number] if keys else str(number), exp, units, self.n if i == 0 else 0), strict=True):
+                        column.append(v)
+                at += 1
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
+class Kernel:
+    """One network over rows, for tests and single records."""
+
+    def __init__(self, net: Network):
+        (self.tile,) = tiles([net])
+
+    def run(self, x: np.ndarray) -> np.ndarray:
+        """Rows of inputs -> rows of outputs."""
+        return self.tile.outputs(np.ascontiguousarray(x.T.astype(np.float32)))[0].T
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -78,26 +243,26 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return flat.to_numpy().astype(np.float32, copy=False).reshape(-1, width)
 
 
-def batch_losses(shared, cost: str):
-    """Arrow batches (features, targets) -> (key, loss_sum, n) for each creature and batch."""
+def units(corpus: DataFrame, networks: list[Network], keys: list[str], cost: str, tile: int = TILE, limit: int = BROADCAST) -> DataFrame:
+    """(key, exp, units, n) over the corpus: a few lines for each task and creature."""
+    shared = Shared(corpus.sparkSession, tiles(networks, tile), limit)
+    inputs, outputs = networks[0].inputs, len(networks[0].outputs)
 
     def run(batches):
-        keys, networks = shared.value
-        kernels = [Kernel(n) for n in networks]
+        scorer, held, n = shared.scorer(cost), [], 0
         for batch in batches:
             if batch.num_rows:
-                x, t = matrix(batch.column(0), kernels[0].inputs), matrix(batch.column(1), len(kernels[0].outputs))
-                sums = [float(loss_array(cost, t, k.run(x)).sum()) for k in kernels]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums), pa.array([batch.num_rows] * len(keys), pa.int64())], ["key", "loss_sum", "n"])
-
-    return run
-
+                held.append((matrix(batch.column(0), inputs), matrix(batch.column(1), outputs)))
+                n += batch.num_rows
+                if n >= scorer.size:
+                    scorer.add(*map(np.vstack, zip(*held, strict=True)))
+                    held, n = [], 0
+        if held:
+            scorer.add(*map(np.vstack, zip(*held, strict=True)))
+        if scorer.n:
+            yield scorer.lines(keys)
 
-def partials(corpus: DataFrame, networks: list[Network], keys: list[str], cost: str) -> DataFrame:
-    """(key, loss_sum, n) over the corpus, the compiled population being broadcast."""
-    shared = corpus.sparkSession.sparkContext.broadcast((keys, networks))
-    rows = corpus.select("features", "targets").mapInArrow(batch_losses(shared, cost), "key string, loss_sum double, n long")
-    return rows.groupBy("key").agg(F.sum("loss_sum").alias("loss_sum"), F.sum("n").alias("n"))
+    return corpus.select("features", "targets").mapInArrow(run, LINES)
 
 
 def _kept(first: int, n: int, rate: float, phase: int) -> np.ndarray:
@@ -106,23 +271,20 @@ def _kept(first: int, n: int, rate: float, phase: int) -> np.ndarray:
     return np.floor((at + 1) * rate) > np.floor(at * rate)
 
 
-def bin_partials(spark: SparkSession, path: str, networks: list[Network], keys: list[str], cost: str, rate: float = 1.0, phase: int = 0) -> DataFrame:
-    """(key, loss_sum, n) over a binary corpus; a task for each byte range."""
+def bin_units(spark: SparkSession, path: str, networks: list[Network], keys: list[str], cost: str, rate: float = 1.0, phase: int = 0, tile: int = TILE, limit: int = BROADCAST) -> DataFrame:
+    """(key, exp, units, n) over a binary corpus; a task for each byte range."""
     inputs, outputs = networks[0].inputs, len(networks[0].outputs)
     ranges = byte_ranges(path, inputs + outputs, SPLIT, 2 * spark.sparkContext.defaultParallelism)
-    shared = spark.sparkContext.broadcast((networks, ranges))
+    shared, parts = Shared(spark, tiles(networks, tile), limit), spark.sparkContext.broadcast(ranges)
 
     def run(batches):
-        networks, ranges = shared.value
-        kernels = [Kernel(n) for n in networks]
+        scorer = shared.scorer(cost)
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                sums, n = np.zeros(len(kernels)), 0
-                for first, rows in read_records(path, ranges[i], inputs + outputs, BATCH):
+                for first, rows in read_records(path, parts.value[i], inputs + outputs, scorer.size):
                     rows = rows if rate >= 1 else rows[_kept(first, len(rows), rate, phase)]
-                    n += len(rows)
-                    t = rows[:, inputs:]
-                    sums += [float(loss_array(cost, t, k.run(rows[:, :inputs])).sum()) for k in kernels]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(sums), pa.array([n] * len(keys), pa.int64())], ["key", "loss_sum", "n"])
+                    scorer.add(rows[:, :inputs], rows[:, inputs:])
+        if scorer.n:
+            yield scorer.lines(keys)
 
-    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, "key string, loss_sum double, n long")
+    return spark.range(0, len(ranges), 1, len(ranges)).mapInArrow(run, LINES)

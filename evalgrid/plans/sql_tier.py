@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exact import exact_units
 from ..functions.losses import loss
 from ..functions.squash import F32_MAX, SQUASHES, limited
 from .creature import Network, Step
@@ -78,9 +79,8 @@ def outputs(corpus: DataFrame, network: Network, keep: tuple[str, ...] = ()) ->
     return df.select(*keep, F.array(*[F.col(f"c_{node}") for node in network.outputs]).alias("outputs"))
 
 
-def partials(corpus: DataFrame, networks: list[Network], keys: list[str], cost: str) -> DataFrame:
-    """(key, loss_sum, n): one scan and one aggregate for the whole population, then a row for each creature."""
+def units(corpus: DataFrame, networks: list[Network], keys: list[str], cost: str) -> DataFrame:
+    """(key, exp, units, n): one scan for the whole population; the losses are cut into exact pieces and added up by task."""
     prepared(corpus.sparkSession)
-    sums = losses(corpus, networks, cost).agg(F.count("*").alias("n"), *[F.sum(f"loss_{c}").alias(f"s{c}") for c in range(len(networks))])
-    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"s{c}").alias("loss_sum"), F.col("n").alias("n")) for c, k in enumerate(keys)])
-    return sums.select(F.explode(rows).alias("r")).select("r.*")
+    rows = F.array(*[F.struct(F.lit(k).alias("key"), F.col(f"loss_{c}").alias("loss")) for c, k in enumerate(keys)])
+    return exact_units(losses(corpus, networks, cost).select(F.explode(rows).alias("r")).select("r.*"), ["key"], "loss")

@@ -118,14 +118,14 @@ def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def population_arrow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same population in Arrow batches; its single-precision matrix products round otherwise, so four places."""
-    return score_population(C.lineitem_unordered(spark, sf_dir), POPULATION, tier="arrow").select("key", F.round("error", 4).alias("error"), "record_count")
+    """The same population in Arrow batches."""
+    return _rounded(score_population(C.lineitem_unordered(spark, sf_dir), POPULATION, tier="arrow").select("key", "error", "record_count"), "error")
 
 
 def population_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over lineitem as a binary corpus, a sample of it, scored where its bytes are read."""
     path = _bin_corpus(spark, C.lineitem_corpus(spark, sf_dir))
-    return score_bin(spark, POPULATION, path, sample_rate=0.3, sample_phase=2).select("key", F.round("error", 4).alias("error"), "record_count")
+    return score_bin(spark, POPULATION, path, sample_rate=0.3, sample_phase=2).select("key", F.round("error", 6).alias("error"), "record_count")
 
 
 def _sampled(rate: float, phase: int = 0) -> Query:
@@ -242,7 +242,8 @@ def ordered_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def squash_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every activation over inputs up to 39 and up to 784; what is compared is ln(1 + |y|) with the sign of y."""
+    """Every activation over inputs up to 39 and up to 784; what is compared is ln(1 + |y|) with the sign of y. Adding zero
+    after rounding leaves no negative zero."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity")
     columns, rows = [], []
     for scale in SCALES:
@@ -252,7 +253,7 @@ def squash_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
             y = F.signum(y) * F.log1p(F.abs(y))
             at = f"{i}_{scale}"
             columns += [F.min(y).alias(f"low_{at}"), F.max(y).alias(f"high_{at}")]
-            rows.append(F.struct(F.lit(name).alias("squash"), F.lit(float(scale)).alias("scale"), F.round(F.col(f"`low_{at}`"), 4).alias("low"), F.round(F.col(f"`high_{at}`"), 4).alias("high")))
+            rows.append(F.struct(F.lit(name).alias("squash"), F.lit(float(scale)).alias("scale"), (F.round(F.col(f"`low_{at}`"), 4) + 0.0).alias("low"), (F.round(F.col(f"`high_{at}`"), 4) + 0.0).alias("high")))
     return t.agg(*columns).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -440,7 +441,7 @@ _SIZES = "(VALUES ('line-0', 0, 3), ('line-1', 0, 3), ('line-2', 0, 3), ('dense'
 def _sample_sql(rate: float, phase: int, key: str = "", output: str = "") -> str:
     source = f"SELECT x0, x1, x2, t FROM (SELECT CAST(l_quantity / 50 AS FLOAT) AS x0, CAST(l_extendedprice / 100000 AS FLOAT) AS x1, CAST(l_discount AS FLOAT) AS x2, CAST(CAST(l_tax AS FLOAT) AS DOUBLE) AS t, CAST(record_idx + {phase} AS DOUBLE) AS j FROM ({_INDEXED})) WHERE floor((j + 1) * CAST({rate} AS DOUBLE)) > floor(j * CAST({rate} AS DOUBLE))"
     if key:
-        return _error_sql(key, output, source).replace(", 6)", ", 4)")
+        return _error_sql(key, output, source)
     return f"SELECT *, CAST({rate} AS DOUBLE) AS sample_rate FROM ({_error_sql('c', _LINE_SQL, source)})"
 
 
@@ -467,7 +468,7 @@ def _graph_sql(named: dict[str, Creature]) -> str:
 
 
 def _saturated_sql() -> str:
-    one = "SELECT '{name}' AS squash, CAST({scale} AS DOUBLE) AS scale, round(min(y), 4) AS low, round(max(y), 4) AS high FROM (SELECT sign(a) * ln(1 + abs(a)) AS y FROM (SELECT CAST({form} AS DOUBLE) AS a FROM lineitem))"
+    one = "SELECT '{name}' AS squash, CAST({scale} AS DOUBLE) AS scale, round(min(y), 4) + 0.0::DOUBLE AS low, round(max(y), 4) + 0.0::DOUBLE AS high FROM (SELECT sign(a) * ln(1 + abs(a)) AS y FROM (SELECT CAST({form} AS DOUBLE) AS a FROM lineitem))"
     return " UNION ALL ".join(one.format(name=name, scale=scale, form=_act_sql(name, f"CAST((l_quantity - 25.5) * {scale} AS FLOAT)")) for scale in SCALES for name in SQUASHES)
 
 
@@ -487,7 +488,7 @@ ORACLES: dict[str, str] = (
         "population_scores": f"SELECT e.key, round(1 - error - (h * 1e-7 + n * 1e-7 / 10), 6) AS score, round(error, 6) AS error, round((h * 1e-7 + n * 1e-7 / 10) * 1e6, 4) AS complexity_penalty, record_count, CAST(h AS BIGINT) AS hidden_neurons, CAST(n AS BIGINT) AS synapse_count, true AS forward_only, 'MSE' AS cost_name FROM ({_ERRORS}) e JOIN {_SIZES} ON e.key = s.key",
         "population_rank": f"SELECT key, round(error, 6) AS error, CAST(rank() OVER (ORDER BY error) AS INTEGER) AS rank_no FROM ({_ERRORS})",
         "best_candidate": f"SELECT key, round(error, 6) AS error FROM ({_ERRORS}) ORDER BY error, key LIMIT 1",
-        "population_arrow": f"SELECT key, round(error, 4) AS error, record_count FROM ({_ERRORS})",
+        "population_arrow": f"SELECT key, round(error, 6) AS error, record_count FROM ({_ERRORS})",
         "population_bin": " UNION ALL ".join(_sample_sql(0.3, 2, k, x) for k, x in _POPULATION_SQL.items()),
         "sample_half": _sample_sql(0.5, 0),
         "sample_quarter": _sample_sql(0.25, 0),

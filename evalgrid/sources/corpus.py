@@ -32,7 +32,7 @@ class CorpusError(ValueError):
     pass
 
 
-def _opened(path: str) -> tuple[fs.FileSystem, str]:
+def opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), os.path.abspath(path))
 
 
@@ -46,7 +46,7 @@ def _numeric(path: str) -> tuple:
 def bin_files(path: str, record_bytes: int) -> list[tuple[str, int, int]]:
     """(file, records, index of its first record) in reading order. Refuses what is no folder, a folder without .bin files,
     files that are not whole records (naming the first, what is left over, and how many others) and empty corpora."""
-    filesystem, root = _opened(path)
+    filesystem, root = opened(path)
     info = filesystem.get_file_info(root)
     if info.type != fs.FileType.Directory:
         raise CorpusError(f"{path} is not a folder")
@@ -125,7 +125,7 @@ def byte_ranges(path: str, width: int, split: int, least: int = 1, low: int = 0,
 def read_records(path: str, part: _Range, width: int, batch: int) -> Iterator[tuple[int, np.ndarray]]:
     """Index of the first record and the records, as rows, of each batch of a range."""
     if part.records:
-        filesystem, _ = _opened(path)
+        filesystem, _ = opened(path)
         with filesystem.open_input_file(part.path) as f:
             for a in range(0, part.records, batch):
                 n = min(batch, part.records - a)
@@ -154,7 +154,7 @@ class _Writer(DataSourceArrowWriter):
     def write(self, batches):
         from pyspark import TaskContext
 
-        filesystem, root = _opened(self.path)
+        filesystem, root = opened(self.path)
         part = TaskContext.get().partitionId()
         temporary = f"{root}/.{part}-{uuid.uuid4().hex}"
         filesystem.create_dir(root, recursive=True)
@@ -165,13 +165,13 @@ class _Writer(DataSourceArrowWriter):
         return _Written(part, temporary)
 
     def commit(self, messages):
-        filesystem, root = _opened(self.path)
+        filesystem, root = opened(self.path)
         for m in messages:
             if m is not None:
                 filesystem.move(m.temporary, f"{root}/{m.part}.bin")
 
     def abort(self, messages):
-        filesystem, _ = _opened(self.path)
+        filesystem, _ = opened(self.path)
         for m in messages:
             if m is not None and filesystem.get_file_info(m.temporary).type == fs.FileType.File:
                 filesystem.delete_file(m.temporary)
@@ -210,7 +210,7 @@ def read_bin(spark: SparkSession, path: str, inputs: int, outputs: int, split: i
 
 def write_bin(corpus: DataFrame, path: str, shards: int) -> None:
     """Writes a corpus as `shards` files at most, in the order of record_idx, to a folder that is new or empty."""
-    filesystem, root = _opened(path)
+    filesystem, root = opened(path)
     if filesystem.get_file_info(root).type != fs.FileType.NotFound and filesystem.get_file_info(fs.FileSelector(root)):
         raise CorpusError(f"{path} is not empty")
     corpus.sparkSession.dataSource.register(PackedFloats)
@@ -226,14 +226,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
             raise CorpusError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="evalgrid-")
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    filesystem, root = _opened(path)
+    filesystem, root = opened(path)
     filesystem.create_dir(root, recursive=True)
     return path
 
 
 def text_writer(path: str):
     """write(name, text) into a folder."""
-    filesystem, root = _opened(path)
+    filesystem, root = opened(path)
 
     def write(name: str, text: str) -> None:
         with filesystem.open_output_stream(f"{root}/{name}") as f:

@@ -8,6 +8,7 @@ still active; the driver holds a sum and a count for each creature, and works ou
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.exact import total
 from ..functions.losses import checked_cost
 from ..operators.sampling import checked_rate, sample
-from ..operators.scoring import partials, scored
+from ..operators.scoring import partials, scored, units
 from ..plans.creature import Creature
 from ..sources.creatures import check_shape
 
@@ -62,14 +64,14 @@ def chunk_bounds(records: int, chunk_records: int, rate: float, phase: int) -> I
 
 def race(corpus: DataFrame, creatures: dict[str, Creature], callback: Callback, chunk_records: int, cost: str = "MSE", sample_rate: float = 1.0, sample_phase: int = 0, tier: str = "auto", records: int | None = None) -> DataFrame:
     """Scores as score_population gives them, but an abandoned creature keeps the sums it had; ABORT_ALL ends the sweep.
-    Partial errors are means without a root, also for RMSE. Unknown and already abandoned indices are ignored. A chunk
+    Sums are exact, so a race that abandons none gives the very bits of score_population. Partial errors are means without a root, also for RMSE. Unknown and already abandoned indices are ignored. A chunk
     without records makes no call. records: how many the corpus has, if known (record_count() of a binary one); else the
     largest index is looked up."""
     checked_cost(cost)
     check_shape(creatures)
     rate = checked_rate(sample_rate)
     keys, active = list(creatures), dict(enumerate(creatures))
-    sums = {k: [0.0, 0] for k in keys}
+    sums: dict[str, tuple[dict[int, int], int]] = {k: ({}, 0) for k in keys}  # exact units by exponent, and records
     kept = sample(corpus, rate, sample_phase)
     if records is None:
         top = corpus.agg(F.max("record_idx")).first()[0]
@@ -78,19 +80,22 @@ def race(corpus: DataFrame, creatures: dict[str, Creature], callback: Callback,
         if not active:
             break
         chunk = kept.where(F.col("record_idx").between(first, last))
-        rows = partials(chunk, {k: creatures[k] for k in active.values()}, cost, tier).collect()  # a row for each creature
-        if not rows or not sum(r.n or 0 for r in rows):
+        lines = units(chunk, {k: creatures[k] for k in active.values()}, cost, tier).groupBy("key", "exp")
+        rows = lines.agg(F.sum("units").alias("units"), F.sum("n").alias("n")).collect()  # a few lines for each creature
+        if not rows:
             continue
         for r in rows:
-            sums[r.key][0] += r.loss_sum
-            sums[r.key][1] += r.n
-        verdict = callback([Partial(i, k, sums[k][0] / sums[k][1], sums[k][1]) for i, k in active.items()])
+            held, n = sums[r.key]
+            held[r.exp] = held.get(r.exp, 0) + int(r.units)
+            sums[r.key] = held, n + r.n
+        verdict = callback([Partial(i, k, total(sums[k][0].items()) / sums[k][1], sums[k][1]) for i, k in active.items()])
         if verdict is ABORT_ALL:
             break
         active = {i: k for i, k in active.items() if i not in set(verdict)}
     if not all(n for _, n in sums.values()):
         raise RacingError("no records to score")
-    means = corpus.sparkSession.createDataFrame([(k, (s / n) ** 0.5 if cost == "RMSE" else s / n, n) for k, (s, n) in sums.items()], "key string, error double, record_count long")
+    whole = [(k, total(held.items()) / n, n) for k, (held, n) in sums.items()]
+    means = corpus.sparkSession.createDataFrame([(k, math.sqrt(s) if cost == "RMSE" else s, n) for k, s, n in whole], "key string, error double, record_count long")
     return scored(means, creatures, cost, rate)
 
 

@@ -54,7 +54,7 @@ def test_losses_agree_in_both_forms(spark):
     df = spark.createDataFrame([(i, *map(float, a), *map(float, b)) for i, (a, b) in enumerate(zip(t, o))], "i int, t0 double, t1 double, t2 double, o0 double, o1 double, o2 double")
     for cost in COSTS:
         got = [r.v for r in df.select("i", loss(cost, [F.col(f"t{j}") for j in range(3)], [F.col(f"o{j}") for j in range(3)]).alias("v")).orderBy("i").collect()]
-        assert got == pytest.approx(list(loss_array(cost, t, o)), rel=1e-12)
+        assert got == pytest.approx(list(loss_array(cost, t.T, o.T)), rel=1e-12)
 
 
 def test_categorical_counts_misses_and_ties_take_the_first(spark):
