@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,18 +60,17 @@ def total(units: Iterable[tuple[int, int]]) -> float:
     return float(Fraction(whole) * Fraction(2) ** LOWEST)
 
 
-@F.pandas_udf(T.DoubleType())
-def _total(units: pd.Series) -> pd.Series:
-    return units.map(lambda rows: total((r["exp"], r["units"]) for r in rows))
+@F.arrow_udf(T.DoubleType())
+def _total(lines: pa.Array) -> pa.Array:
+    return pa.array([total((r["exp"], r["units"]) for r in rows) for rows in lines.to_pylist()], pa.float64())
 
 
 def exact_totals(parts: DataFrame, keys: list[str], name: str = "loss_sum") -> DataFrame:
-    """(keys, exp, units, n) of any number of tasks -> (keys, name, n). A key has a line for each exponent, so what is put
-    together for the final rounding is bounded."""
-    by_exp = parts.groupBy(*keys, "exp").agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
+    """(keys, exp, units, n) of any number of tasks -> (keys, name, n). One shuffle of a task's few lines for a key; a key
+    has a line for each exponent then, so what is put together for the final rounding is bounded."""
+    by_exp = parts.repartition(*keys).groupBy(*keys, "exp").agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
     lines = by_exp.groupBy(*keys).agg(F.collect_list(F.struct("exp", F.col("units").cast("string").alias("units"))).alias("lines"), F.sum("n").alias("n"))
-    broken = F.exists("lines", lambda x: x["exp"] == BROKEN)
-    return lines.select(*keys, F.when(broken, float("nan")).otherwise(_total("lines")).alias(name), "n")
+    return lines.select(*keys, _total("lines").alias(name), "n")
 
 
 def exact_sums(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:

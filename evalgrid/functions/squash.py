@@ -118,14 +118,22 @@ def limited(squash: Squash, z: Column) -> Column:
 
 def limited_array(squash: Squash, z: np.ndarray) -> np.ndarray:
     with np.errstate(all="ignore"):
-        if squash.name == "IDENTITY" and z.dtype == np.float32:
-            x = z
-        elif squash.name == "TANH":  # needs no guards: it is within its range, and is one long before its argument's clamp
-            x = np.tanh(z.astype(np.float64))
-        else:
-            x = np.asarray(squash.array(z.astype(np.float64)))
-        if x.size and np.isnan(x.min()):
-            x = np.where(np.isnan(x), x.dtype.type(0), x)
-        if squash.name != "TANH":
-            x = np.clip(x, x.dtype.type(squash.low), x.dtype.type(squash.high))
-        return x.astype(np.float32, copy=False)
+        out = z.astype(np.float32)
+        limited_in_place(squash, out)
+        return out
+
+
+def limited_in_place(squash: Squash, z: np.ndarray) -> None:
+    """The same over single-precision values, in double precision, into their own place."""
+    if not z.size:
+        return
+    if squash.name == "TANH":
+        # Within its range, and one long before its argument's clamp. Numpy widens and rounds small pieces at a time.
+        np.tanh(z, out=z, dtype=np.float64, casting="same_kind")
+    elif squash.name != "IDENTITY":
+        x = np.asarray(squash.array(z.astype(np.float64)))
+        z[...] = np.clip(x, squash.low, squash.high)
+    if np.isnan(z.min()):
+        z[np.isnan(z)] = np.float32(min(max(0.0, squash.low), squash.high))
+    if squash.name == "IDENTITY":
+        np.clip(z, np.float32(squash.low), np.float32(squash.high), out=z)

@@ -58,7 +58,7 @@ def units(corpus: DataFrame, creatures: dict[str, Creature], cost: str = "MSE",
 
 def totals(lines: DataFrame, keys: list[str]) -> DataFrame:
     """(key, loss_sum, n) of exact lines, with a row also for those of the keys that have none."""
-    named = lines.sparkSession.range(1).select(F.explode(F.split(F.lit("\0".join(keys)), "\0")).alias("key"))
+    named = lines.sparkSession.range(0, 1, 1, 1).select(F.explode(F.split(F.lit("\0".join(keys)), "\0")).alias("key"))
     return exact_totals(lines.unionByName(named.select("key", F.lit(0).alias("exp"), F.lit(0).cast("decimal(38,0)").alias("units"), F.lit(0).cast("long").alias("n"))), ["key"])
 
 

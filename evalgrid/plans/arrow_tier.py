@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.exact import BLOCK, Adder
 from ..functions.losses import loss_array
-from ..functions.squash import SQUASHES, limited_array
+from ..functions.squash import SQUASHES, limited_in_place
 from ..sources.corpus import SPLIT, byte_ranges, new_folder, opened, read_records
 from .creature import Network
 
@@ -36,73 +36,97 @@ _SCHEMA = pa.schema([("key", pa.string()), ("exp", pa.int32()), ("units", pa.dec
 class Topology:
     """What networks have in common that differ in weights and biases only. Levels in order, and in each: the weighted
     neurons by activation, those with more synapses first, and the others one by one. Activations of neurons that are not
-    inputs are numbered in the order of the steps."""
+    inputs lie in that order, so a group's are next to each other."""
 
     def __init__(self, net: Network):
         self.inputs = net.inputs
-        place = {s.node: i for i, s in enumerate(net.steps)}
-        self.outputs = np.array([self._at(place, node) for node in net.outputs])
-        starts = np.concatenate([[0], np.cumsum([len(s.inputs) for s in net.steps])]).astype(int)
-        self.steps, self.synapses = len(net.steps), int(starts[-1])
-        self.levels = []
+        first = np.concatenate([[0], np.cumsum([len(s.inputs) for s in net.steps])]).astype(int)
+        self.steps, self.synapses = len(net.steps), int(first[-1])
+        levels, place = [], {}
         for level in sorted({s.level for s in net.steps}):
-            own = [(i, s) for i, s in enumerate(net.steps) if s.level == level]
             groups, others = {}, []
-            for i, s in own:
-                if s.kind == "weighted":
-                    groups.setdefault(s.squash, []).append((i, s))
-                else:
-                    others.append((i, s.kind, [(self._at(place, node), starts[i] + k, role) for k, (node, _, role) in enumerate(s.inputs)]))
+            for i, s in enumerate(net.steps):
+                if s.level == level:
+                    groups.setdefault(s.squash, []).append(i) if s.kind == "weighted" else others.append(i)
+            for own in groups.values():
+                own.sort(key=lambda i: -len(net.steps[i].inputs))
+            for i in [*(i for own in groups.values() for i in own), *others]:
+                place[net.steps[i].node] = len(place)
+            levels.append((groups, others))
+        at = lambda node: node if node < self.inputs else self.inputs + place[node]
+        self.outputs = [at(node) for node in net.outputs]
+        self.levels, self.widest = [], 1
+        for groups, others in levels:
             weighted = []
-            for squash, members in groups.items():
-                members.sort(key=lambda m: -len(m[1].inputs))
+            for squash, own in groups.items():
                 terms = []
-                for k in range(len(members[0][1].inputs)):
-                    with_k = [(i, s) for i, s in members if len(s.inputs) > k]
-                    terms.append((np.array([self._at(place, s.inputs[k][0]) for _, s in with_k]), np.array([starts[i] + k for i, _ in with_k])))
-                weighted.append((squash, np.array([i for i, _ in members]), terms))
-            self.levels.append((weighted, others))
-        self.widest = max([1, *(len(nodes) for weighted, _ in self.levels for _, nodes, _ in weighted)])
-
-    def _at(self, place: dict[int, int], node: int) -> int:
-        """Inputs by number, other neurons after them, an edge that carries 0 as -1."""
-        return node if node < self.inputs else self.inputs + place[node]
-
-    def run(self, bias: np.ndarray, weights: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """bias (creatures, steps), weights (creatures, synapses), x (inputs, records) -> outputs (creatures, outputs,
-        records), all in single precision."""
-        creatures, n = len(bias), x.shape[1]
-        act = np.empty((creatures, self.steps, n), np.float32)
-
-        def source(at: np.ndarray) -> np.ndarray:
-            """Activations of (creatures or 1, sources or 1, records)."""
-            if (at == at[0]).all():
-                at = at[:1]
-            if (at < self.inputs).all():
-                return x[None, at[0] : at[0] + 1] if len(at) == 1 else x[at][None]
-            if (at >= self.inputs).all():
-                at = at - self.inputs
-                return act[:, at[0] : at[0] + 1] if len(at) == 1 else act[:, at]
-            return np.stack([x[a][None].repeat(creatures, 0) if a < self.inputs else act[:, a - self.inputs] for a in at], 1)
-
-        def term(at: int, synapse: int) -> np.ndarray:
-            if at < 0:
-                return np.zeros((creatures, n), np.float32)
-            return weights[:, synapse, None] * (x[at] if at < self.inputs else act[:, at - self.inputs])
+                for k in range(len(net.steps[own[0]].inputs)):
+                    some = [i for i in own if len(net.steps[i].inputs) > k]
+                    terms.append((len(some), self._source([at(net.steps[i].inputs[k][0]) for i in some]), np.array([first[i] + k for i in some])))
+                start = place[net.steps[own[0]].node]
+                weighted.append((squash, slice(start, start + len(own)), np.array(own), terms))
+                self.widest = max(self.widest, len(own))
+            single = [(i, place[net.steps[i].node], net.steps[i].kind, [(at(node), first[i] + k, role) for k, (node, _, role) in enumerate(net.steps[i].inputs)]) for i in others]
+            self.levels.append((weighted, single))
+
+    def _source(self, at: list[int]) -> tuple:
+        """Where activations come from: inputs or neurons, and which; or, if from both, each of them."""
+        if len({a < self.inputs for a in at}) > 1:
+            return None, at
+        own = [a if at[0] < self.inputs else a - self.inputs for a in at]
+        if len(set(own)) == 1:
+            which = slice(own[0], own[0] + 1)
+        elif own == list(range(own[0], own[0] + len(own))):
+            which = slice(own[0], own[0] + len(own))
+        else:
+            which = np.array(own)
+        return at[0] < self.inputs, which
+
+    def prepared(self, bias: np.ndarray, weights: np.ndarray) -> list:
+        """bias (creatures, steps) and weights (creatures, synapses) as the levels take them."""
+        return [([(bias[:, own, None], [weights[:, e, None] for _, _, e in terms]) for _, _, own, terms in weighted], [(bias[:, i, None], [weights[:, e, None] for _, e, _ in inputs]) for i, _, _, inputs in single]) for weighted, single in self.levels]
+
+    def room(self, creatures: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.empty((creatures, self.steps, n), np.float32), np.empty((creatures, self.widest, n), np.float32)
+
+    def run(self, prepared: list, creatures: int, x: np.ndarray, room: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """x (inputs, records) -> outputs (creatures, outputs, records), all in single precision; they may lie in `room`,
+        which a caller may give again for the next records."""
+        n = x.shape[1]
+        act, part = room or self.room(creatures, n)
+
+        def one(at: int) -> np.ndarray:
+            return x[at] if at < self.inputs else act[:, at - self.inputs]
+
+        def source(inputs: bool | None, which) -> np.ndarray:
+            if inputs is None:
+                return np.stack([np.broadcast_to(one(a), (creatures, n)) for a in which], 1)
+            return x[None, which] if inputs else act[:, which]
 
         with np.errstate(all="ignore"):
-            for weighted, others in self.levels:
-                for squash, nodes, terms in weighted:
-                    z = np.repeat(bias[:, nodes, None], n, 2)
-                    part = np.empty_like(z)
-                    for at, synapses in terms:
-                        k = len(synapses)
-                        np.multiply(weights[:, synapses, None], source(at), out=part[:, :k])
-                        z[:, :k] += part[:, :k]
-                    act[:, nodes] = limited_array(SQUASHES[squash], z)
-                for node, kind, inputs in others:
-                    act[:, node] = limited_array(SQUASHES["IDENTITY"], self._other(kind, bias[:, node, None], [(term(a, e), role) for a, e, role in inputs], n))
-        return np.stack([x[o][None].repeat(creatures, 0) if o < self.inputs else act[:, o - self.inputs] for o in self.outputs], 1)
+            for (weighted, single), (values, alone) in zip(self.levels, prepared, strict=True):
+                for (squash, slot, _, terms), (bias, weights) in zip(weighted, values, strict=True):
+                    z = act[:, slot]
+                    if not terms or terms[0][0] < z.shape[1]:
+                        z[:] = 0
+                    for k, ((some, where, _), w) in enumerate(zip(terms, weights, strict=True)):
+                        if k == 0:
+                            np.multiply(w, source(*where), out=z[:, :some])
+                            z += bias
+                        else:
+                            np.multiply(w, source(*where), out=part[:, :some])
+                            z[:, :some] += part[:, :some]
+                    if not terms:
+                        z += bias
+                    limited_in_place(SQUASHES[squash], z)
+                for (_, slot, kind, inputs), (bias, weights) in zip(single, alone, strict=True):
+                    terms = [(w * one(at) if at >= 0 else np.zeros((creatures, n), np.float32), role) for (at, _, role), w in zip(inputs, weights, strict=True)]
+                    act[:, slot] = self._other(kind, bias, terms, n)
+                    limited_in_place(SQUASHES["IDENTITY"], act[:, slot])
+        found = self.outputs
+        if found == list(range(found[0], found[0] + len(found))) and found[0] >= self.inputs:
+            return act[:, found[0] - self.inputs : found[-1] - self.inputs + 1]
+        return np.stack([np.broadcast_to(one(o), (creatures, n)) for o in found], 1)
 
     @staticmethod
     def _other(kind: str, bias: np.ndarray, terms: list, n: int) -> np.ndarray:
@@ -113,11 +137,11 @@ class Topology:
             return np.where(np.isnan(best), bias, best + bias)
         sums = {}
         for role in ("condition", "negative", "positive"):
-            own = np.zeros((len(bias), n), np.float32)
-            for x, r in terms:
-                if (r if r in ("condition", "negative") else "positive") == role:
-                    own += x
-            sums[role] = own
+            own = [x for x, r in terms if (r if r in ("condition", "negative") else "positive") == role]
+            total = own[0] + np.float32(0) if own else np.zeros((len(bias), n), np.float32)
+            for x in own[1:]:
+                total += x
+            sums[role] = total
         return np.where(sums["condition"] > 0, sums["positive"], sums["negative"]) + bias
 
 
@@ -126,20 +150,31 @@ class Tile:
 
     def __init__(self, topology: Topology, numbers: list[int], bias: np.ndarray, weights: np.ndarray):
         self.topology, self.numbers, self.bias, self.weights = topology, numbers, bias, weights
+        self.ready: dict[int, list] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"ready": {}}
 
-    def outputs(self, x: np.ndarray) -> np.ndarray:
-        return self.topology.run(self.bias, self.weights, x)
+    def outputs(self, x: np.ndarray, first: int = 0, some: int | None = None, rooms: dict | None = None) -> np.ndarray:
+        """Of `some` creatures from `first` on. rooms: arrays that are used again, by size."""
+        bias = self.bias[first : None if some is None else first + some]
+        if (first, some) not in self.ready:
+            self.ready[first, some] = self.topology.prepared(bias, self.weights[first : first + len(bias)])
+        room = None
+        if rooms is not None and (room := rooms.get((len(bias), x.shape[1]))) is None:
+            room = rooms[len(bias), x.shape[1]] = self.topology.room(len(bias), x.shape[1])
+        return self.topology.run(self.ready[first, some], len(bias), x, room)
 
     def add(self, adder: Adder, first: int, cost: str, x: np.ndarray, t: np.ndarray) -> None:
         """Adds the losses of records x (inputs, records) and targets t (outputs, records, double), this tile's creatures
         being the adder's series from `first` on."""
-        top = self.topology
-        size = max(256, min(BLOCK, BLOCK * LANES // top.widest))
-        some = max(1, LANES * BLOCK // (size * top.widest))
+        wide = self.topology.widest
+        size = max(256, min(BLOCK, BLOCK * LANES // wide))
+        some, rooms = max(1, LANES * BLOCK // (size * wide)), {}
         for a in range(0, x.shape[1], size):
             own, target = np.ascontiguousarray(x[:, a : a + size]), t[:, a : a + size]
             for c in range(0, len(self.bias), some):
-                adder.add(first + c, loss_array(cost, target, top.run(self.bias[c : c + some], self.weights[c : c + some], own)))
+                adder.add(first + c, loss_array(cost, target, self.outputs(own, c, some, rooms)))
 
 
 def signature(net: Network) -> tuple:
