@@ -13,12 +13,15 @@ from ..functions.exact import exact_totals
 from ..functions.losses import checked_cost, finalised
 from ..plans import arrow_tier, sql_tier
 from ..plans.creature import Creature, compile_creature, parse_creature, validate
+from ..plans.population import shared_table
 from ..sources.corpus import read_bin
 from ..sources.creatures import check_shape, creature_table
 from .sampling import checked_phase, checked_rate, sample
 
 #: Synapses and activations of a population up to which it is scored by expressions; beyond, in Arrow batches.
 SQL_SYNAPSES = 64
+#: Creatures of the driver's up to which their penalties are broadcast: some hundred bytes each.
+HELD = 10_000
 
 
 def components(creatures: DataFrame) -> DataFrame:
@@ -56,9 +59,12 @@ def units(corpus: DataFrame, creatures: dict[str, Creature], cost: str = "MSE",
     return engine.units(corpus, networks, list(creatures), cost)
 
 
-def totals(lines: DataFrame, keys: list[str]) -> DataFrame:
-    """(key, loss_sum, n) of exact lines, with a row also for those of the keys that have none."""
-    named = lines.sparkSession.range(0, 1, 1, 1).select(F.explode(F.split(F.lit("\0".join(keys)), "\0")).alias("key"))
+def totals(lines: DataFrame, keys: list[str] | DataFrame) -> DataFrame:
+    """(key, loss_sum, n) of exact lines, with a row also for those of the keys (a list, or a table with a key) that have
+    none."""
+    named = keys
+    if isinstance(keys, list):
+        named = lines.sparkSession.range(0, 1, 1, 1).select(F.explode(F.split(F.lit("\0".join(keys)), "\0")).alias("key"))
     return exact_totals(lines.unionByName(named.select("key", F.lit(0).alias("exp"), F.lit(0).cast("decimal(38,0)").alias("units"), F.lit(0).cast("long").alias("n"))), ["key"])
 
 
@@ -73,17 +79,38 @@ def errors(sums: DataFrame, cost: str) -> DataFrame:
     return sums.select("key", finalised(cost, F.col("loss_sum"), n).alias("error"), n.alias("record_count"))
 
 
-def scored(means: DataFrame, creatures: dict[str, Creature], cost: str, rate: float = 1.0, growth: float = P.GROWTH_COST) -> DataFrame:
-    """(key, error, record_count) with each creature's penalties and score. Creatures are few: their side is broadcast."""
-    spark = means.sparkSession
-    parts = components(creature_table(spark, creatures))
+def scored(means: DataFrame, creatures: dict[str, Creature] | DataFrame, cost: str, rate: float = 1.0, growth: float = P.GROWTH_COST) -> DataFrame:
+    """(key, error, record_count) with each creature's penalties and score. A population of the driver's up to HELD
+    creatures is broadcast; a larger one, or a table, is joined."""
+    if isinstance(creatures, DataFrame):
+        parts = components(creatures)
+    else:
+        parts = components(creature_table(means.sparkSession, creatures))
+        parts = F.broadcast(parts) if len(creatures) <= HELD else parts
     complexity = P.complexity_penalty_column(F.col("hidden_neurons"), F.col("synapse_count"), F.col("squash_penalty"), F.col("mean_value_penalty"), growth)
-    out = means.join(F.broadcast(parts), "key").withColumn("complexity_penalty", complexity)
+    out = means.join(parts, "key").withColumn("complexity_penalty", complexity)
     out = out.withColumn("score", P.score_column(F.col("error"), F.col("complexity_penalty"), P.version_penalty_column(F.col("semantic_version"))))
     rate_column = F.lit(float(rate)) if rate < 1 else F.lit(None).cast("double")
     return out.select("key", "score", "error", "complexity_penalty", "record_count", "hidden_neurons", "synapse_count", "forward_only", F.lit(cost).alias("cost_name"), rate_column.alias("sample_rate"))
 
 
+def score_table(corpus: DataFrame | str, creatures: DataFrame, cost: str = "MSE", sample_rate: float = 1.0, sample_phase: int = 0, growth: float = P.GROWTH_COST, tile: int = arrow_tier.TILE, limit: int = arrow_tier.BROADCAST) -> DataFrame:
+    """Scores of a population that is a table (sources.creatures.SCHEMA), over a corpus or the folder of a binary one.
+
+    Creatures are checked, compiled and stacked on the executors, before any record is read; the driver holds none of them.
+    Keys are distinct. The scores depend neither on `tile` nor on `limit`.
+    """
+    checked_cost(cost)
+    checked_rate(sample_rate)
+    checked_phase(sample_phase)
+    shared, inputs, outputs = shared_table(creatures, tile, limit)
+    if isinstance(corpus, str):
+        lines = arrow_tier.shared_bin_units(creatures.sparkSession, corpus, shared, inputs, outputs, cost, sample_rate, sample_phase)
+    else:
+        lines = arrow_tier.shared_units(sample(corpus, sample_rate, sample_phase), shared, inputs, outputs, cost)
+    return scored(errors(totals(lines, creatures.select("key")), cost), creatures, cost, sample_rate, growth)
+
+
 def score_population(corpus: DataFrame, creatures: dict[str, Creature], cost: str = "MSE", sample_rate: float = 1.0, sample_phase: int = 0, tier: str = "auto", growth: float = P.GROWTH_COST) -> DataFrame:
     """Scores of a population over a corpus: one row per creature.
 

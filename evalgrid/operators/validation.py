@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.squash import AGGREGATES, SQUASHES
+from ..plans.creature import MAX_NODES
+from .graph import resolved
+
 
 def _synapses(creatures: DataFrame) -> DataFrame:
     return creatures.select("key", F.explode("synapses").alias("s")).select("key", "s.*")
@@ -31,7 +35,7 @@ def duplicate_synapses(creatures: DataFrame) -> DataFrame:
 
 def shape_mismatches(creatures: DataFrame) -> DataFrame:
     """Creatures whose shape is not that of the first."""
-    first = creatures.agg(F.min_by(F.struct("input", "output"), "creature_index").alias("f"))
+    first = creatures.agg(F.min_by(F.struct("input", "output"), "creature_index").alias("f"))  # one row
     return creatures.select("key", "input", "output").join(F.broadcast(first), F.expr("input <> f.input OR output <> f.output")).select("key", "input", "output")
 
 
@@ -41,3 +45,37 @@ def non_finite(creatures: DataFrame) -> DataFrame:
         return F.isnan(c) | (F.abs(c) == float("inf"))
 
     return _synapses(creatures).where(bad(F.col("weight"))).select("key", F.concat_ws(" -> ", "from_uuid", "to_uuid").alias("place")).unionByName(_neurons(creatures).where(bad(F.col("bias"))).select("key", F.col("uuid").alias("place")))
+
+
+def declared_widths(creatures: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
+    """Creatures without inputs, without outputs, with other than the declared output neurons, or wider than the limit; the
+    first of these that holds."""
+    listed = F.size(F.filter("neurons", lambda n: n["type"] == "output"))
+    fault = (
+        F.when(F.col("input") < 1, "input")
+        .when(F.col("output") < 1, "output")
+        .when(F.col("input") + F.size("neurons") > max_nodes, "too wide")
+        .when(listed != F.col("output"), "outputs listed")
+    )
+    return creatures.select("key", fault.alias("fault"), "input", "output", F.size("neurons").alias("n_neurons")).where("fault IS NOT NULL")
+
+
+def refused_squashes(creatures: DataFrame) -> DataFrame:
+    """Neurons, constants aside, whose activation is unknown or has no published formula."""
+    known = [*SQUASHES, *AGGREGATES]
+    return _neurons(creatures).where((F.col("type") != "constant") & ~F.coalesce("squash", F.lit("IDENTITY")).isin(known)).select("key", "uuid", "squash")
+
+
+def unlisted_sources(creatures: DataFrame) -> DataFrame:
+    """Synapses whose source is neither an input nor a listed neuron."""
+    lost = resolved(creatures).where("source IS NULL").select("key", "at")
+    rows = creatures.select("key", F.posexplode("synapses").alias("at", "s")).select("key", "at", "s.from_uuid", "s.to_uuid")
+    return rows.join(lost, ["key", "at"], "left_semi").select("key", "from_uuid", "to_uuid")
+
+
+def bad_records(corpus: DataFrame, inputs: int, outputs: int) -> DataFrame:
+    """Records that no tier would score: of another number of values, or with a null; fault says which."""
+    def fault(name: str, width: int):
+        return F.when(F.col(name).isNull(), f"no {name}").when(F.size(name) != width, f"{name} length").when(F.exists(name, lambda x: x.isNull()), f"null in {name}")
+
+    return corpus.withColumn("fault", F.coalesce(fault("features", inputs), fault("targets", outputs))).where("fault IS NOT NULL").select("record_idx", "fault")

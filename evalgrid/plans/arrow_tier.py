@@ -11,16 +11,20 @@ scored where its bytes are read: tasks are byte ranges, so no record becomes a r
 from __future__ import annotations
 
 import pickle
+import posixpath
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.exact import BLOCK, Adder
 from ..functions.losses import loss_array
 from ..functions.squash import SQUASHES, limited_in_place
-from ..sources.corpus import SPLIT, byte_ranges, new_folder, opened, read_records
+from ..sources.corpus import SPLIT, byte_ranges, kept_records, new_folder, opened, stored_at
 from .creature import Network
 
 #: Bytes of a tile of stacked weights; bytes of a population up to which it is broadcast.
@@ -199,30 +203,42 @@ def tiles(networks: list[Network], size: int = TILE) -> list[Tile]:
 
 
 class Shared:
-    """A tiled population as tasks see it. Up to BROADCAST bytes it is broadcast; beyond, each tile is a file in the shared
-    folder, and a task holds one tile at a time."""
+    """A tiled population as tasks see it. Up to BROADCAST bytes it is broadcast; beyond, its tiles are the rows of a table
+    in the shared folder, and a task holds one tile at a time."""
 
-    def __init__(self, spark: SparkSession, cut: list[Tile], limit: int = BROADCAST):
-        packed = [pickle.dumps(t) for t in cut]
-        self.value = self.folder = None
-        self.counts = [len(t.numbers) for t in cut]
+    def __init__(self, creatures: int, value=None, files: tuple[str, ...] = ()):
+        self.creatures, self.value, self.files = creatures, value, files
+
+    @classmethod
+    def of(cls, spark: SparkSession, cut: list[Tile], limit: int = BROADCAST) -> Shared:
+        packed, creatures = [pickle.dumps(t) for t in cut], sum(len(t.numbers) for t in cut)
         if sum(map(len, packed)) <= limit:
-            self.value = spark.sparkContext.broadcast(packed)
-        else:
-            self.folder = new_folder(spark, "population")
-            filesystem, root = opened(self.folder)
-            for i, p in enumerate(packed):
-                with filesystem.open_output_stream(f"{root}/{i}.tile") as f:
-                    f.write(p)
+            return cls(creatures, spark.sparkContext.broadcast(packed))
+        folder = new_folder(spark, "population")
+        filesystem, root = opened(folder)
+        pq.write_table(pa.table({"payload": pa.array(packed, pa.binary())}), f"{root}/0.parquet", row_group_size=1, filesystem=filesystem)
+        return cls(creatures, files=(f"{folder}/0.parquet",))
+
+    @classmethod
+    def of_table(cls, rows: DataFrame, limit: int = BROADCAST) -> Shared:
+        """rows(n, payload) of packed tiles, which are stored; their bytes are counted before any are broadcast."""
+        spark = rows.sparkSession
+        held, path = stored_at(rows, "population", {"parquet.block.size": str(4 * TILE)})
+        n, size = held.agg(F.sum("n"), F.sum(F.octet_length("payload"))).first()
+        if size <= limit:
+            return cls(n, spark.sparkContext.broadcast([bytes(r.payload) for r in held.select("payload").collect()]))
+        filesystem, root = opened(path)
+        files = sorted(x.path for x in filesystem.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet"))
+        return cls(n, files=tuple(f"{path}/{posixpath.basename(x)}" for x in files))
 
     def tiles(self) -> Iterator[Tile]:
         if self.value is not None:
             yield from map(pickle.loads, self.value.value)
-            return
-        filesystem, root = opened(self.folder)
-        for i in range(len(self.counts)):
-            with filesystem.open_input_stream(f"{root}/{i}.tile") as f:
-                yield pickle.loads(f.read())
+        for path in self.files:
+            filesystem, at = opened(path)
+            with filesystem.open_input_file(at) as f:
+                for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["payload"]):
+                    yield pickle.loads(batch.column(0)[0].as_py())
 
     def scorer(self, cost: str) -> Scorer:
         return Scorer(self, cost)
@@ -233,7 +249,7 @@ class Scorer:
 
     def __init__(self, shared: Shared, cost: str):
         self.shared, self.cost, self.n = shared, cost, 0
-        self.adder = Adder(sum(shared.counts))
+        self.adder = Adder(shared.creatures)
         self.held = list(shared.tiles()) if shared.value is not None else None
         self.size = BATCH if self.held is not None else LARGE_BATCH
 
@@ -280,8 +296,11 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def units(corpus: DataFrame, networks: list[Network], keys: list[str], cost: str, tile: int = TILE, limit: int = BROADCAST) -> DataFrame:
     """(key, exp, units, n) over the corpus: a few lines for each task and creature."""
-    shared = Shared(corpus.sparkSession, tiles(networks, tile), limit)
-    inputs, outputs = networks[0].inputs, len(networks[0].outputs)
+    return shared_units(corpus, Shared.of(corpus.sparkSession, tiles(networks, tile), limit), networks[0].inputs, len(networks[0].outputs), cost, keys)
+
+
+def shared_units(corpus: DataFrame, shared: Shared, inputs: int, outputs: int, cost: str, keys: list[str] | None = None) -> DataFrame:
+    """The same; without keys, tiles have their creatures' own."""
 
     def run(batches):
         scorer, held, n = shared.scorer(cost), [], 0
@@ -300,24 +319,20 @@ def units(corpus: DataFrame, networks: list[Network], keys: list[str], cost: str
     return corpus.select("features", "targets").mapInArrow(run, LINES)
 
 
-def _kept(first: int, n: int, rate: float, phase: int) -> np.ndarray:
-    """Which of n records from that index on are in the sample; as operators.sampling.kept."""
-    at = np.arange(first + phase, first + phase + n, dtype=np.float64)
-    return np.floor((at + 1) * rate) > np.floor(at * rate)
-
-
 def bin_units(spark: SparkSession, path: str, networks: list[Network], keys: list[str], cost: str, rate: float = 1.0, phase: int = 0, tile: int = TILE, limit: int = BROADCAST) -> DataFrame:
     """(key, exp, units, n) over a binary corpus; a task for each byte range."""
-    inputs, outputs = networks[0].inputs, len(networks[0].outputs)
+    return shared_bin_units(spark, path, Shared.of(spark, tiles(networks, tile), limit), networks[0].inputs, len(networks[0].outputs), cost, rate, phase, keys)
+
+
+def shared_bin_units(spark: SparkSession, path: str, shared: Shared, inputs: int, outputs: int, cost: str, rate: float = 1.0, phase: int = 0, keys: list[str] | None = None) -> DataFrame:
     ranges = byte_ranges(path, inputs + outputs, SPLIT, 2 * spark.sparkContext.defaultParallelism)
-    shared, parts = Shared(spark, tiles(networks, tile), limit), spark.sparkContext.broadcast(ranges)
+    parts = spark.sparkContext.broadcast(ranges)
 
     def run(batches):
         scorer = shared.scorer(cost)
         for batch in batches:
             for i in batch.column(0).to_pylist():
-                for first, rows in read_records(path, parts.value[i], inputs + outputs, scorer.size):
-                    rows = rows if rate >= 1 else rows[_kept(first, len(rows), rate, phase)]
+                for rows in kept_records(path, parts.value[i], inputs + outputs, scorer.size, rate, phase):
                     scorer.add(rows[:, :inputs], rows[:, inputs:])
         if scorer.n:
             yield scorer.lines(keys)

@@ -16,13 +16,14 @@ from pyspark.sql import functions as F
 from .functions import penalties as P
 from .functions.losses import COSTS
 from .functions.squash import SQUASHES, UnsupportedSquash, limited, squash_of
-from .operators import ranking, validation
+from .operators import graph, ranking, validation
 from .operators.sampling import sample
-from .operators.scoring import components, errors, partials, result_json, score_bin, score_population
+from .operators.scoring import components, errors, partials, result_json, score_bin, score_population, score_table
 from .plans import sql_tier
 from .plans.creature import Creature, CreatureError, Neuron, Synapse, compile_creature, emit_creature, parse_creature, validate
 from .sources import corpus as C
 from .sources import creatures as K
+from .sources import derived as D
 from .streaming import racing
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,7 +54,7 @@ NETWORKS = {
     "fwd_dual_role": _into("IF", (Synapse("input-0", "h", 1.0, "condition"), Synapse("one", "h", -0.5, "condition"), Synapse("input-0", "h", 0.1, "positive"), Synapse("input-0", "h", 0.2, "negative")), _ONE, 0.0),
     "fwd_recurrent_reset": Creature(3, 1, (Neuron("hidden", "h", 0.0, "IDENTITY"), Neuron("output", "output-0", 0.0, "IDENTITY")), (Synapse("input-0", "h", 0.5), Synapse("output-0", "h", 0.5), Synapse("h", "output-0", 1.0)), forward_only=False),
 }
-#: Creatures that the validation queries look through; faults are theirs by intent.
+#: Creatures that are refused, by name; faults are theirs by intent.
 FAULTY = {
     "good": LINE,
     "dangling": Creature(3, 1, LINE.neurons, (*LINE.synapses, Synapse("input-0", "nowhere", 1.0), Synapse("input-0", "input-1", 1.0))),
@@ -62,7 +63,6 @@ FAULTY = {
     "infinite": Creature(3, 1, (Neuron("hidden", "h", math.nan, "TANH"), LINE.neurons[0]), (Synapse("input-0", "h", math.inf), Synapse("h", "output-0", 1.0), Synapse("input-1", "output-0", -math.inf))),
 }
 RACERS = {f"line-{i}": K.linear([0.1 + 0.2 * i, 0.05]) for i in range(4)}
-CURVE = [0.0, 0.5, 1.0, 2.0, 10.0, 12345.0, 1e6, 9.9e11, 1e12, 1e13, 9007199254740991.0]
 CHUNK = 500
 
 
@@ -140,23 +140,67 @@ def sample_index_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def weight_bias_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    named = POPULATION | {k: NETWORKS[k] for k in ("agg_if", "fwd_tree_depth3")}
-    out = components(K.creature_table(spark, named)).drop("forward_only", "semantic_version")
-    return _rounded(out, "max_weight_bias", "avg_weight_bias", "mean_value_penalty", places=9)
+    """Of all creatures derived from part that have no value which is not finite."""
+    parts = D.part_population(spark, sf_dir)
+    sound = parts.join(validation.non_finite(parts).select("key").distinct(), "key", "left_anti")
+    return _rounded(components(sound).drop("forward_only", "semantic_version"), "max_weight_bias", "avg_weight_bias", "mean_value_penalty", places=6)
 
 
 def value_penalty_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(v,) for v in CURVE], "magnitude double")
-    return rows.select("magnitude", F.round(P.magnitude_penalty_column(F.col("magnitude")), 9).alias("penalty"))
+    """Penalties of lineitem's prices to the power of their line number, by sign and size: up to 1e35, beyond the clamp."""
+    t = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_linenumber", F.pow("l_extendedprice", "l_linenumber").alias("m"))
+    t = t.withColumn("p", P.magnitude_penalty_column(F.when(F.col("l_linenumber") % 2 == 0, -F.col("m")).otherwise(F.col("m"))))
+    return t.groupBy("l_linenumber").agg(F.count("*").alias("n"), F.round(F.min("p"), 9).alias("low"), F.round(F.max("p"), 9).alias("high"), F.round(F.avg("p"), 9).alias("mean"))
 
 
 def final_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(0.0, "4.1.0"), (0.25, "3.0.0"), (0.5, None)], "error double, version string")
-    return rows.select("error", F.coalesce("version", F.lit("-")).alias("version"), F.round(P.score_column(F.col("error"), F.lit(2e-6), P.version_penalty_column(F.col("version"))), 9).alias("score"))
+    """Scores of suppliers: an error by account balance, complexity by nation, versions by key."""
+    t = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    version = F.when(F.col("s_suppkey") % 3 == 0, "4.1.0").when(F.col("s_suppkey") % 3 == 1, "3.0.0")
+    rows = t.select("s_suppkey", (F.abs("s_acctbal") / 10000).alias("error"), (F.col("s_nationkey") * 1e-6).alias("complexity"), version.alias("version"))
+    return rows.select("s_suppkey", F.round(P.score_column(F.col("error"), F.col("complexity"), P.version_penalty_column(F.col("version"))), 9).alias("score"))
 
 
 def _faults(check) -> Query:
-    return lambda spark, sf_dir: check(K.creature_table(spark, FAULTY))
+    return lambda spark, sf_dir: check(D.part_population(spark, sf_dir))
+
+
+def bad_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lineitem's records, some of them cut, lengthened or emptied by a rule on their values, and what is wrong with them."""
+    return validation.bad_records(_spoiled(C.lineitem_corpus(spark, sf_dir)), 3, 1)
+
+
+def _spoiled(corpus: DataFrame) -> DataFrame:
+    i = F.col("record_idx") % 1000
+    features = F.when(i == 1, F.slice("features", 1, 2)).when(i == 2, F.concat("features", "targets")).when(i == 3, F.transform("features", lambda x: F.when(x < 1, x))).when(i != 4, F.col("features"))
+    targets = F.when(i == 5, F.concat("targets", "targets")).when(i == 6, F.array(F.lit(None).cast("float"))).when(i != 7, F.col("targets"))
+    return corpus.select("record_idx", features.alias("features"), targets.alias("targets"))
+
+
+def network_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the creatures of suppliers: sources resolved by a join, levels by peeling."""
+    suppliers = D.supplier_population(spark, sf_dir)
+    edges = graph.resolved(suppliers).groupBy("key", F.col("target").alias("node")).agg(F.count("*").alias("n_sources"), F.sum("source").alias("source_sum"))
+    return graph.levels(suppliers).join(edges, ["key", "node"])
+
+
+def supplier_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A creature for each supplier, compiled on the executors, over all of lineitem in one pass."""
+    out = score_table(C.lineitem_unordered(spark, sf_dir), D.supplier_population(spark, sf_dir))
+    out = _rounded(out, "score", "error").withColumn("complexity_penalty", F.round(F.col("complexity_penalty") * 1e6, 4))
+    return out.select("key", "score", "error", "complexity_penalty", "record_count", "hidden_neurons", "synapse_count")
+
+
+def supplier_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same population ranked by error to six places, so that there are ties, without a window over all of it."""
+    scores = score_table(C.lineitem_unordered(spark, sf_dir), D.supplier_population(spark, sf_dir)).select("key", F.round("error", 6).alias("error"))
+    return ranking.ranked_by_range(scores, "error")
+
+
+def supplier_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten suppliers of least balance of each nation, the smaller key first."""
+    t = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("error"))
+    return ranking.least(t, 10, ["nation"])
 
 
 def _event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,13 +304,28 @@ def squash_saturated(spark: SparkSession, sf_dir: str) -> DataFrame:
 SCALES = (1.6, 32.0)
 
 
-def _guards() -> dict[str, Callable[[SparkSession], object]]:
+def _guards(sf_dir: str = "") -> dict[str, Callable[[SparkSession], object]]:
     """What must be refused, by name."""
     line = {"c": LINE}
 
-    def corpus(spark, features, targets=(0.5,)):
-        real = lambda values: [None if v is None else float(v) for v in values]
-        return spark.createDataFrame([(0, real(features), real(targets))], "record_idx long, features array<float>, targets array<float>")
+    def changed(features=lambda x: x, targets=lambda t: t):
+        """All of lineitem, records of quantity 7 being changed."""
+
+        def corpus(spark):
+            own = F.round(F.col("features")[0] * 50) == 7
+            rows = C.lineitem_unordered(spark, sf_dir)
+            return rows.select(F.when(own, features(F.col("features"))).otherwise(F.col("features")).alias("features"), F.when(own, targets(F.col("targets"))).otherwise(F.col("targets")).alias("targets"))
+
+        return corpus
+
+    def whole(spark):
+        return C.lineitem_unordered(spark, sf_dir)
+
+    def broken_bin(spark):
+        """Lineitem as a binary corpus, a file of which has a byte too many."""
+        path = _bin_corpus(spark, C.lineitem_corpus(spark, sf_dir))
+        C.append_bytes(path, "0.bin", b"x")
+        return path
 
     def folder(*files: int):
         def path(spark):
@@ -278,14 +337,16 @@ def _guards() -> dict[str, Callable[[SparkSession], object]]:
 
         return path
 
-    out = {f"rate {r}": (lambda spark, r=r: sample(corpus(spark, (1, 2, 3)), r)) for r in (0.0, -0.5, 1.5, math.nan, math.inf)}
-    out |= {f"{tier}: {name}": (lambda spark, tier=tier, x=x, t=t: partials(corpus(spark, x, t), line, "MSE", tier).collect()) for tier in ("sql", "arrow") for name, x, t in (("short record", (1.0, 2.0), (0.5,)), ("long record", (1.0, 2.0, 3.0, 4.0), (0.5,)), ("null value", (1.0, None, 3.0), (0.5,)), ("long target", (1.0, 2.0, 3.0), (0.5, 0.5)), ("null target", (1.0, 2.0, 3.0), (None,)))}
+    first_null = lambda x: F.transform(x, lambda v, i: F.when(i != 0, v))
+    records = (("short record", changed(lambda x: F.slice(x, 1, 2))), ("long record", changed(lambda x: F.concat(x, x))), ("null value", changed(first_null)), ("long target", changed(targets=lambda t: F.concat(t, t))), ("null target", changed(targets=first_null)))
+    out = {f"rate {r}": (lambda spark, r=r: sample(whole(spark), r)) for r in (0.0, -0.5, 1.5, math.nan, math.inf)}
+    out |= {f"{tier}: {name}": (lambda spark, tier=tier, rows=rows: partials(rows(spark), line, "MSE", tier).collect()) for tier in ("sql", "arrow") for name, rows in records}
     out |= {
-        "negative phase": lambda spark: sample(corpus(spark, (1, 2, 3)), 0.5, -1),
-        "unknown cost": lambda spark: partials(corpus(spark, (1, 2, 3)), line, "mse"),
-        "negative mean": lambda spark: score_population(corpus(spark, (9.0, 9.0, 9.0), (0.1,)), line, "MSLE").collect(),
-        "no records": lambda spark: score_population(corpus(spark, (1, 2, 3)).where("false"), line, tier="sql").collect(),
-        "misaligned file": lambda spark: C.read_bin(spark, folder(16, 15)(spark), 3, 1),
+        "negative phase": lambda spark: sample(whole(spark), 0.5, -1),
+        "unknown cost": lambda spark: partials(whole(spark), line, "mse"),
+        "negative mean": lambda spark: score_population(whole(spark), line, "MSLE").collect(),
+        "no records": lambda spark: score_population(whole(spark).where("false"), line, tier="sql").collect(),
+        "misaligned file": lambda spark: C.read_bin(spark, broken_bin(spark), 3, 1),
         "no files": lambda spark: C.read_bin(spark, folder()(spark), 3, 1),
         "empty files": lambda spark: C.read_bin(spark, folder(0, 0)(spark), 3, 1),
         "no creatures": lambda spark: K.read_creatures(spark, folder(4)(spark)),
@@ -294,16 +355,17 @@ def _guards() -> dict[str, Callable[[SparkSession], object]]:
         "not JSON": lambda spark: parse_creature("{"),
         "too wide": lambda spark: validate(LINE, max_nodes=3),
         "cycle": lambda spark: compile_creature(Creature(1, 1, (Neuron("hidden", "h", 0.0), Neuron("output", "output-0", 0.0)), (Synapse("input-0", "h", 1.0), Synapse("h", "output-0", 1.0), Synapse("output-0", "h", 1.0)))),
-        "shapes differ": lambda spark: K.check_shape({"a": LINE, "b": FAULTY["narrow"]}),
+        "shapes differ": lambda spark: score_table(whole(spark), D.part_population(spark, sf_dir)),
         "callback fails": lambda spark: racing.StdioReferee(lambda: "{}", lambda line: None)([]),
     }
     return out | {f"squash {x}": (lambda spark, x=x: squash_of(x)) for x in ("HYPOT", "HYPOTv2", "MEAN", "tanh")} | {f"creature {k}": (lambda spark, k=k: validate(FAULTY[k])) for k in ("dangling", "twice", "infinite")}
 
 
 def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each case with whether it was refused as its kind of fault; reads no table."""
-    rows = []
-    for name, case in _guards().items():
+    """Each case with whether it was refused as its kind of fault; what is scored is all of lineitem, spoiled in some way. n:
+    its records."""
+    rows, n = [], F.lit(C.lineitem_unordered(spark, sf_dir).count()).cast("long")
+    for name, case in _guards(sf_dir).items():
         try:
             case(spark)
             rows.append((name, False))
@@ -311,12 +373,12 @@ def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows.append((name, True))
         except Exception as e:  # what a task or an expression raises
             rows.append((name, any(x in str(e) for x in ("corpus records must have", "no records", "cannot be scored"))))
-    return spark.createDataFrame(rows, "name string, refused boolean")
+    return spark.createDataFrame(rows, "name string, refused boolean").withColumn("n", n)
 
 
 def creature_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = spark.createDataFrame(K.to_json_rows(POPULATION), "key string, text string")
-    out = K.parsed_table(texts)
+    """The creatures of suppliers as JSON and read back, on the executors."""
+    out = K.parsed_table(K.json_table(D.supplier_population(spark, sf_dir)))
     return out.select("key", "input", "output", F.size("neurons").alias("n_neurons"), F.size("synapses").alias("n_synapses"), F.round(F.aggregate("synapses", F.lit(0.0), lambda a, s: a + s["weight"]), 9).alias("weight_sum"))
 
 
@@ -341,6 +403,14 @@ QUERIES: dict[str, Query] = (
         "duplicate_synapses": _faults(validation.duplicate_synapses),
         "shape_mismatches": _faults(validation.shape_mismatches),
         "non_finite": _faults(validation.non_finite),
+        "declared_widths": _faults(validation.declared_widths),
+        "refused_squashes": _faults(validation.refused_squashes),
+        "unlisted_sources": _faults(validation.unlisted_sources),
+        "bad_records": bad_records,
+        "network_levels": network_levels,
+        "supplier_scores": supplier_scores,
+        "supplier_rank": supplier_rank,
+        "supplier_top": supplier_top,
         "guards": guards,
         "race_continue": _race(math.inf),
         "race_abandon": _race(3.0),
@@ -445,26 +515,53 @@ def _sample_sql(rate: float, phase: int, key: str = "", output: str = "") -> str
     return f"SELECT *, CAST({rate} AS DOUBLE) AS sample_rate FROM ({_error_sql('c', _LINE_SQL, source)})"
 
 
-def _stats_sql() -> str:
-    """One row for each creature from its weights and biases, inlined as values."""
-    named = POPULATION | {k: NETWORKS[k] for k in ("agg_if", "fwd_tree_depth3")}
-    rows = ", ".join(f"('{k}', CAST({v!r} AS DOUBLE))" for k, c in named.items() for v in [*(s.weight for s in c.synapses), *(n.bias for n in c.neurons)])
-    counts = ", ".join(f"('{k}', {sum(n.type != 'output' for n in c.neurons)}, {len(c.synapses)}, {3 * sum(n.squash == 'IF' for n in c.neurons)})" for k, c in named.items())
-    return f"""SELECT s.key, CAST(c.h AS BIGINT) AS hidden_neurons, CAST(c.n AS BIGINT) AS synapse_count, round(max(abs(v)), 9) AS max_weight_bias, round(avg(abs(v)), 9) AS avg_weight_bias,
-  CAST(c.p AS DOUBLE) AS squash_penalty, round(avg(CASE WHEN abs(v) <= 1 THEN 0 ELSE 0.999 * log10(abs(v)) / 12 END), 9) AS mean_value_penalty
-FROM (VALUES {rows}) AS s(key, v) JOIN (VALUES {counts}) AS c(key, h, n, p) ON s.key = c.key GROUP BY s.key, c.h, c.n, c.p"""
-
-
-def _d(v: float) -> str:
-    return f"CAST('{v!r}' AS DOUBLE)"
+# The creatures derived from part and from supplier, as tables k(key, i, input, output), n(key, at, uuid, type, squash, bias) and
+# s(key, at, f, t, type, weight).
+_PARTS = """
+WITH p AS (SELECT p_partkey AS k, 'p' || p_partkey AS key, p_size AS size, p_retailprice AS price, p_partkey % 4 = 0 AS branch FROM part),
+k AS (SELECT key, k AS i, CASE WHEN k % 151 = 8 THEN 0 WHEN k % 97 = 5 THEN 3 ELSE 2 END AS input, CASE WHEN k % 131 = 7 THEN 0 WHEN k % 137 = 15 THEN 2 ELSE 1 END AS output FROM p),
+n AS (SELECT key, 0 AS at_, 'h' AS uuid, 'hidden' AS type, CASE WHEN k % 71 = 11 THEN 'HYPOT' WHEN k % 73 = 12 THEN 'Nope' WHEN branch THEN 'IF' ELSE 'TANH' END AS squash, CASE WHEN k % 61 = 9 THEN CAST('NaN' AS DOUBLE) ELSE size / 10 END AS bias FROM p
+  UNION ALL SELECT key, 1, 'output-0', 'output', 'IDENTITY', -price FROM p),
+s AS (SELECT key, 0 AS at_, 'input-0' AS f, 'h' AS t, CASE WHEN branch THEN 'condition' END AS type, price AS weight FROM p
+  UNION ALL SELECT key, 1, 'input-1', 'h', CASE WHEN branch THEN 'negative' END, -size / 3 FROM p
+  UNION ALL SELECT key, 2, 'h', 'output-0', NULL, CASE WHEN k % 83 = 13 THEN CAST('Infinity' AS DOUBLE) ELSE 0.5 END FROM p
+  UNION ALL SELECT key, 3, 'input-0', 'nowhere', NULL, 1 FROM p WHERE k % 53 = 3
+  UNION ALL SELECT key, 4, 'input-0', 'input-1', NULL, 1 FROM p WHERE k % 59 = 4
+  UNION ALL SELECT key, 5, 'input-0', 'h', CASE WHEN branch THEN 'condition' END, price FROM p WHERE k % 67 = 6
+  UNION ALL SELECT key, 6, 'input-1', 'output-0', NULL, 0.25 FROM p WHERE k % 79 = 10
+  UNION ALL SELECT key, 7, 'input-1', 'output-0', 'positive', 0.75 FROM p WHERE k % 79 = 10
+  UNION ALL SELECT key, 8, 'ghost', 'h', CASE WHEN branch THEN 'positive' END, 1 FROM p WHERE k % 89 = 14)
+"""
+_SUPPLIERS = """
+WITH p AS (SELECT s_suppkey AS k, 's' || s_suppkey AS key, s_acctbal AS a, s_suppkey % 3 AS last FROM supplier),
+h AS (SELECT *, unnest(range(last + 1)) AS j FROM p),
+x AS (SELECT *, unnest(range(3)) AS i FROM h),
+s AS (SELECT key, 'h' || j AS target, 3 + j AS node, i AS source, ((k * 7 + j * 3 + i) % 19 - 9) / 10 AS weight FROM x
+  UNION ALL SELECT key, 'output-0', 3 + last + 1, 3 + j, ((k + j) % 7 - 3) / 20 FROM h)
+"""
 
 
-def _graph_sql(named: dict[str, Creature]) -> str:
-    """The creatures' tables k(key, i, input, output), n(key, uuid, squash, bias) and s(key, f, t, type, weight) as values."""
-    k = ", ".join(f"('{key}', {i}, {c.input}, {c.output})" for i, (key, c) in enumerate(named.items()))
-    n = ", ".join(f"('{key}', '{x.uuid}', '{x.squash or 'IDENTITY'}', {_d(x.bias)})" for key, c in named.items() for x in c.neurons)
-    s = ", ".join(f"('{key}', '{x.source}', '{x.target}', '{x.type or ''}', {_d(x.weight)})" for key, c in named.items() for x in c.synapses)
-    return f"WITH k AS (SELECT * FROM (VALUES {k}) AS v(key, i, input, output)), n AS (SELECT * FROM (VALUES {n}) AS v(key, uuid, squash, bias)), s AS (SELECT * FROM (VALUES {s}) AS v(key, f, t, type, weight))\n"
+def _supplier_sql() -> str:
+    """Each supplier's creature over lineitem, neuron by neuron."""
+    hidden = []
+    for j in range(3):
+        w = ", ".join(f"CAST(((k * 7 + {3 * j + i}) % 19 - 9) / 10 AS FLOAT) AS w{j}{i}" for i in range(3))
+        hidden.append(f"CAST(a * {j + 1} / 20000 AS FLOAT) AS b{j}, {w}, CAST(((k + {j}) % 7 - 3) / 20 AS FLOAT) AS v{j}")
+    act = ", ".join(f"CASE WHEN k % 2 = 0 THEN CAST(tanh(CAST(z{j} AS DOUBLE)) AS FLOAT) ELSE greatest(z{j}, CAST(0 AS FLOAT)) END AS h{j}" for j in range(3))
+    z = ", ".join(f"b{j} + w{j}0 * x0 + w{j}1 * x1 + w{j}2 * x2 AS z{j}" for j in range(3))
+    out = f"{_f(0.01)} + v0 * h0"
+    out = f"CASE last WHEN 0 THEN {out} WHEN 1 THEN {out} + v1 * h1 ELSE {out} + v1 * h1 + v2 * h2 END"
+    return f"""SELECT key, any_value(k) AS k, any_value(last) AS last, any_value(a) AS a, avg((t - o) * (t - o)) AS error, count(*) AS record_count FROM (
+  SELECT key, k, last, a, t, CAST({out} AS DOUBLE) AS o FROM (SELECT *, {act} FROM (SELECT *, {z} FROM (SELECT key, k, last, a, {", ".join(hidden)} FROM (SELECT s_suppkey AS k, 's' || s_suppkey AS key, s_acctbal AS a, s_suppkey % 3 AS last FROM supplier)), ({_LINEITEM})))) GROUP BY key"""
+
+
+_STATS_SQL = (
+    _PARTS
+    + """, v AS (SELECT key, weight AS v FROM s UNION ALL SELECT key, bias FROM n), bad AS (SELECT DISTINCT key FROM v WHERE NOT isfinite(v))
+SELECT v.key, CAST(1 AS BIGINT) AS hidden_neurons, (SELECT count(*) FROM s WHERE s.key = v.key) AS synapse_count, round(max(abs(v)), 6) AS max_weight_bias, round(avg(abs(v)), 6) AS avg_weight_bias,
+  CAST(3 * (SELECT count(*) FROM n WHERE n.key = v.key AND squash = 'IF') AS DOUBLE) AS squash_penalty, round(avg(CASE WHEN abs(v) <= 1 THEN 0 ELSE 0.999 * log10(abs(v)) / 12 END), 6) AS mean_value_penalty
+FROM v WHERE v.key NOT IN (SELECT key FROM bad) GROUP BY v.key"""
+)
 
 
 def _saturated_sql() -> str:
@@ -494,14 +591,22 @@ ORACLES: dict[str, str] = (
         "sample_quarter": _sample_sql(0.25, 0),
         "sample_phase": _sample_sql(0.3, 2),
         "sample_index_set": f"SELECT record_idx FROM (SELECT record_idx, CAST(record_idx + 2 AS DOUBLE) AS j FROM ({_INDEXED})) WHERE floor((j + 1) * CAST(0.3 AS DOUBLE)) > floor(j * CAST(0.3 AS DOUBLE))",
-        "weight_bias_stats": _stats_sql(),
-        "value_penalty_curve": "SELECT m AS magnitude, round(CASE WHEN m <= 1 THEN 0 WHEN log10(m) < 12 THEN 0.999 * log10(m) / 12 ELSE 0.999 + 0.001 * (1 - 12 / log10(m)) END, 9) AS penalty FROM (SELECT CAST(unnest([" + ", ".join(repr(v) for v in CURVE) + "]) AS DOUBLE) AS m)",
-        "final_score": "SELECT e AS error, coalesce(v, '-') AS version, round(1 - e - 2e-6 - CASE WHEN v LIKE '4.%' THEN 0 ELSE 1e-6 END, 9) AS score FROM (VALUES (CAST(0 AS DOUBLE), '4.1.0'), (CAST(0.25 AS DOUBLE), '3.0.0'), (CAST(0.5 AS DOUBLE), NULL)) AS t(e, v)",
-        "dangling_targets": _graph_sql(FAULTY) + "SELECT key, f AS from_uuid, t AS to_uuid FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.key = s.key AND n.uuid = s.t)",
-        "duplicate_synapses": _graph_sql(FAULTY) + "SELECT key, f AS from_uuid, t AS to_uuid, 'synapse' AS kind, count(*) AS times FROM s GROUP BY key, f, t, type HAVING count(*) > 1 UNION ALL SELECT s.key, f, t, 'pair', count(*) FROM s JOIN n ON n.key = s.key AND n.uuid = s.t AND n.squash <> 'IF' GROUP BY s.key, f, t HAVING count(*) > 1",
-        "shape_mismatches": _graph_sql(FAULTY) + "SELECT k.key, k.input, k.output FROM k, k AS a WHERE a.i = 0 AND (k.input <> a.input OR k.output <> a.output)",
-        "non_finite": _graph_sql(FAULTY) + "SELECT key, f || ' -> ' || t AS place FROM s WHERE NOT isfinite(weight) UNION ALL SELECT key, uuid FROM n WHERE NOT isfinite(bias)",
-        "guards": "SELECT name, true AS refused FROM (VALUES " + ", ".join(f"('{x}')" for x in _guards()) + ") AS v(name)",
+        "weight_bias_stats": _STATS_SQL,
+        "value_penalty_curve": "SELECT l_linenumber, count(*) AS n, round(min(p), 9) AS low, round(max(p), 9) AS high, round(avg(p), 9) AS mean FROM (SELECT l_linenumber, CASE WHEN d < 12 THEN 0.999 * d / 12 ELSE 0.999 + 0.001 * (1 - 12 / d) END AS p FROM (SELECT l_linenumber, log10(least(pow(l_extendedprice, l_linenumber), 9007199254740991)) AS d FROM lineitem)) GROUP BY l_linenumber",
+        "final_score": "SELECT s_suppkey, round(1 - abs(s_acctbal) / 10000 - s_nationkey * 1e-6 - CASE WHEN s_suppkey % 3 = 0 THEN 0 ELSE 1e-6 END, 9) AS score FROM supplier",
+        "dangling_targets": _PARTS + "SELECT key, f AS from_uuid, t AS to_uuid FROM s WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.key = s.key AND n.uuid = s.t)",
+        "duplicate_synapses": _PARTS + "SELECT key, f AS from_uuid, t AS to_uuid, 'synapse' AS kind, count(*) AS times FROM s GROUP BY key, f, t, type HAVING count(*) > 1 UNION ALL SELECT s.key, f, t, 'pair', count(*) FROM s JOIN n ON n.key = s.key AND n.uuid = s.t AND n.squash <> 'IF' GROUP BY s.key, f, t HAVING count(*) > 1",
+        "shape_mismatches": _PARTS + "SELECT k.key, CAST(k.input AS INTEGER) AS input, CAST(k.output AS INTEGER) AS output FROM k, (SELECT * FROM k ORDER BY i LIMIT 1) AS a WHERE k.input <> a.input OR k.output <> a.output",
+        "non_finite": _PARTS + "SELECT key, f || ' -> ' || t AS place FROM s WHERE NOT isfinite(weight) UNION ALL SELECT key, uuid FROM n WHERE NOT isfinite(bias)",
+        "declared_widths": _PARTS + "SELECT key, CASE WHEN input < 1 THEN 'input' WHEN output < 1 THEN 'output' ELSE 'outputs listed' END AS fault, CAST(input AS INTEGER) AS input, CAST(output AS INTEGER) AS output, CAST(2 AS INTEGER) AS n_neurons FROM k WHERE input < 1 OR output <> 1",
+        "refused_squashes": _PARTS + "SELECT key, uuid, squash FROM n WHERE squash IN ('HYPOT', 'Nope')",
+        "unlisted_sources": _PARTS + "SELECT s.key, f AS from_uuid, t AS to_uuid FROM s JOIN k ON k.key = s.key WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.key = s.key AND n.uuid = f) AND NOT (f LIKE 'input-%' AND CAST(substring(f, 7) AS INTEGER) < input)".replace("CAST(substring(f, 7)", "TRY_CAST(substring(f, 7)"),
+        "bad_records": f"SELECT record_idx, CASE i WHEN 1 THEN 'features length' WHEN 2 THEN 'features length' WHEN 3 THEN 'null in features' WHEN 4 THEN 'no features' WHEN 5 THEN 'targets length' WHEN 6 THEN 'null in targets' ELSE 'no targets' END AS fault FROM (SELECT record_idx, record_idx % 1000 AS i, l_quantity / 50 AS a, l_extendedprice / 100000 AS b, l_discount AS c FROM ({_INDEXED})) WHERE i BETWEEN 1 AND 7 AND (i <> 3 OR CAST(a AS FLOAT) >= 1 OR CAST(b AS FLOAT) >= 1 OR CAST(c AS FLOAT) >= 1)",
+        "network_levels": _SUPPLIERS + "SELECT s.key, CAST(s.node AS INTEGER) AS node, CAST(CASE WHEN any_value(target) = 'output-0' THEN 2 ELSE 1 END AS INTEGER) AS level, count(*) AS n_sources, CAST(sum(source) AS BIGINT) AS source_sum FROM s GROUP BY s.key, s.node",
+        "supplier_scores": f"SELECT key, round(1 - error - c - CASE WHEN k % 5 > 1 THEN 0 ELSE 1e-6 END, 6) AS score, round(error, 6) AS error, round(c * 1e6, 4) AS complexity_penalty, record_count, CAST(last + 1 AS BIGINT) AS hidden_neurons, CAST(4 * (last + 1) AS BIGINT) AS synapse_count FROM (SELECT *, CAST(last + 1 AS DOUBLE) * 1.4e-7 + list_sum(list_transform(range(last + 1), lambda j: CASE WHEN abs(a) * (j + 1) > 20000 THEN 0.999::DOUBLE * log10(abs(a) * (j + 1) / 20000) / 12 ELSE 0::DOUBLE END)) / (5 * (last + 1) + 1) * 1e-5 AS c FROM ({_supplier_sql()}))",
+        "supplier_rank": f"SELECT key, error, rank() OVER (ORDER BY error) AS rank_no FROM (SELECT key, round(error, 6) AS error FROM ({_supplier_sql()}))",
+        "supplier_top": "SELECT s_nationkey AS nation, s_suppkey AS key, s_acctbal AS error FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) <= 10",
+        "guards": "SELECT name, true AS refused, (SELECT count(*) FROM lineitem) AS n FROM (VALUES " + ", ".join(f"('{x}')" for x in _guards()) + ") AS v(name)",
         "race_continue": _RACE + "SELECT key, round(partial_error, 6) AS error, records_scored AS record_count FROM r WHERE chunk = (SELECT max(chunk) FROM r)",
         "race_abandon": _RACE + ", b AS (SELECT *, partial_error <= 3.0 * min(partial_error) OVER (PARTITION BY chunk) AS ok FROM r), f AS (SELECT key, coalesce(min(chunk) FILTER (WHERE NOT ok), max(chunk)) AS chunk FROM b GROUP BY key) SELECT key, round(partial_error, 6) AS error, records_scored AS record_count FROM r JOIN f USING (key, chunk)",
         "score_folder": f"SELECT CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS n, key, round(error, 6) AS error, record_count FROM ({_ERRORS})",
@@ -513,6 +618,6 @@ ORACLES: dict[str, str] = (
         "race_survivors": _CHUNKS + ", b AS (SELECT *, partial_error <= 3.0 * min(partial_error) OVER (PARTITION BY chunk) AS ok FROM r) SELECT key, chunk, round(partial_error, 6) AS partial_error, bool_and(ok) OVER (PARTITION BY key ORDER BY chunk ROWS UNBOUNDED PRECEDING) AS alive FROM b",
         "float_scan": f"SELECT round(sum(CAST(x0 AS DOUBLE) + CAST(x1 AS DOUBLE) + CAST(x2 AS DOUBLE) + t), 2) AS total, CAST(4 * count(*) AS BIGINT) AS n_values FROM ({_LINEITEM})",
         "bin_roundtrip": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS record_idx, round(CAST(embedding[1] AS DOUBLE), 6) AS x0, round(list_sum(list_transform(embedding, lambda v, i: CAST(v AS DOUBLE) * i)), 4) AS weighted_sum, CAST(label AS DOUBLE) AS t FROM embeddings",
-        "creature_json_roundtrip": _graph_sql(POPULATION) + "SELECT key, input, output, CAST((SELECT count(*) FROM n WHERE n.key = k.key) AS INTEGER) AS n_neurons, CAST((SELECT count(*) FROM s WHERE s.key = k.key) AS INTEGER) AS n_synapses, (SELECT round(sum(weight), 9) FROM s WHERE s.key = k.key) AS weight_sum FROM k",
+        "creature_json_roundtrip": _SUPPLIERS + "SELECT key, CAST(3 AS INTEGER) AS input, CAST(1 AS INTEGER) AS output, CAST(count(DISTINCT node) AS INTEGER) AS n_neurons, CAST(count(*) AS INTEGER) AS n_synapses, round(sum(weight), 9) AS weight_sum FROM s GROUP BY key",
     }
 )

@@ -8,6 +8,8 @@ become byte ranges. Tables become corpora through with_index.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import posixpath
 import re
@@ -132,6 +134,49 @@ def read_records(path: str, part: _Range, width: int, batch: int) -> Iterator[tu
                 yield part.first + a, unpack(f.read_at(n * 4 * width, part.offset + a * 4 * width), width)
 
 
+#: Bytes between two kept records up to which what lies between is read as well, in place of another read.
+GAP = 64 << 10
+
+
+def kept_indices(first: int, n: int, rate: float, phase: int) -> np.ndarray:
+    """The records of the sample among n records from index `first` on, in order; as operators.sampling.kept, but worked out
+    from the stride, not tried record by record: the j-th kept record is where the stride passes a whole number."""
+    if rate >= 1:
+        return np.arange(first, first + n)
+    passed = lambda i: np.floor((np.asarray(i, np.float64) + phase) * rate)  # noqa: E731  whole numbers passed before record i
+    if rate > 0.1:
+        at = np.arange(first, first + n)
+        return at[passed(at + 1) > passed(at)]
+    low, high = int(passed(first)), int(passed(first + n))
+    at = np.ceil(np.arange(low + 1, high + 1) / rate).astype(np.int64) - 1 - phase
+    # Rounding may put the step one record off; the rule itself decides.
+    near = np.unique((at[:, None] + np.arange(-2, 3)).ravel())
+    near = near[(near >= first) & (near < first + n)]
+    return near[passed(near + 1) > passed(near)]
+
+
+def kept_records(path: str, part: _Range, width: int, batch: int, rate: float = 1.0, phase: int = 0) -> Iterator[np.ndarray]:
+    """The sample's records of a range, some `batch` at a time. Where kept records lie further apart than GAP, only their
+    own bytes are read; nearer ones are read together with what lies between."""
+    size = 4 * width
+    if rate >= 1 or not part.records or size / rate <= GAP:
+        for first, rows in read_records(path, part, width, batch):
+            yield rows if rate >= 1 else rows[kept_indices(first, len(rows), rate, phase) - first]
+        return
+    filesystem, _ = opened(path)
+    with filesystem.open_input_file(part.path) as f:
+        at = kept_indices(part.first, part.records, rate, phase) - part.first
+        most = max(1, min(batch, SPLIT // size))
+        for a in range(0, len(at), most):
+            own = at[a : a + most]
+            cuts = np.flatnonzero(np.diff(own) * size - size > GAP) + 1
+            found = []
+            for run in np.split(own, cuts):
+                rows = unpack(f.read_at(int(run[-1] - run[0] + 1) * size, part.offset + int(run[0]) * size), width)
+                found.append(rows[run - run[0]])
+            yield np.vstack(found)
+
+
 class _Written(WriterCommitMessage):
     def __init__(self, part: int, temporary: str):
         self.part, self.temporary = part, temporary
@@ -228,9 +273,43 @@ def new_folder(spark: SparkSession, name: str) -> str:
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     filesystem, root = opened(path)
     filesystem.create_dir(root, recursive=True)
+    if not _made:
+        atexit.register(release)
+    _made.append(path)
     return path
 
 
+_made: list[str] = []
+
+
+def release() -> None:
+    """Deletes the folders that new_folder() has made, also at the driver's end; for when what reads them has been written."""
+    while _made:
+        filesystem, root = opened(_made.pop())
+        with contextlib.suppress(OSError):
+            filesystem.delete_dir(root)
+
+
+def stored_at(df: DataFrame, name: str, options: dict[str, str] | None = None) -> tuple[DataFrame, str]:
+    """The rows of df written to a new shared folder and read again, which cuts their lineage; and the folder."""
+    path = new_folder(df.sparkSession, name)
+    df.write.mode("overwrite").options(**(options or {})).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    return stored_at(df, name)[0]
+
+
+def append_bytes(path: str, name: str, more: bytes) -> None:
+    """Writes a file of a folder anew with bytes added at its end."""
+    filesystem, root = opened(path)
+    with filesystem.open_input_file(f"{root}/{name}") as f:
+        held = f.read()
+    with filesystem.open_output_stream(f"{root}/{name}") as f:
+        f.write(held + more)
+
+
 def text_writer(path: str):
     """write(name, text) into a folder."""
     filesystem, root = opened(path)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import json
 import posixpath
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.ranking import running_totals
 from ..plans.creature import Creature, CreatureError, Neuron, Synapse, emit_creature, parse_creature, validate
+from .corpus import stored
 
 SCHEMA = (
     "creature_index int, key string, input int, output int, forward_only boolean, semantic_version string, "
@@ -18,6 +22,13 @@ SCHEMA = (
 )
 
 
+_STRUCTS = {
+    "neurons": [("pos", pa.int32()), ("uuid", pa.string()), ("type", pa.string()), ("bias", pa.float64()), ("squash", pa.string())],
+    "synapses": [("pos", pa.int32()), ("from_uuid", pa.string()), ("to_uuid", pa.string()), ("weight", pa.float64()), ("type", pa.string())],
+}
+_PARSED = pa.schema([("path", pa.string()), ("key", pa.string()), ("input", pa.int32()), ("output", pa.int32()), ("forward_only", pa.bool_()), ("semantic_version", pa.string()), *[(k, pa.list_(pa.struct(v))) for k, v in _STRUCTS.items()]])
+
+
 def read_creatures(spark: SparkSession, path: str) -> dict[str, Creature]:
     """All *.json of a folder in the order of their paths, keyed by trimmed file stem; validated, all of one shape. A
     population is a driver-side object: it is compiled once and broadcast."""
@@ -70,6 +81,44 @@ def parsed_table(texts: DataFrame) -> DataFrame:
     return texts.select("key", F.from_json("text", shape, {"mode": "FAILFAST"}).alias("c")).select("key", "c.input", "c.output", F.col("c.forwardOnly").alias("forward_only"), "c.neurons", "c.synapses")
 
 
+def json_table(creatures: DataFrame) -> DataFrame:
+    """(key, text): a creature table as creature JSON."""
+    neurons = F.transform("neurons", lambda n: F.struct(n["type"].alias("type"), n["uuid"].alias("uuid"), n["bias"].alias("bias"), n["squash"].alias("squash")))
+    synapses = F.transform("synapses", lambda s: F.struct(s["from_uuid"].alias("fromUUID"), s["to_uuid"].alias("toUUID"), s["weight"].alias("weight"), s["type"].alias("type")))
+    whole = F.struct("input", "output", F.col("forward_only").alias("forwardOnly"), F.col("semantic_version").alias("semanticVersion"), neurons.alias("neurons"), synapses.alias("synapses"))
+    return creatures.select("key", F.to_json(whole).alias("text"))
+
+
+def _parse_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            try:
+                c = parse_creature(content.decode())
+                validate(c)
+            except ValueError as e:
+                raise CreatureError(f"{path}: {e}") from None
+            neurons = [{"pos": i, "uuid": n.uuid, "type": n.type, "bias": n.bias, "squash": n.squash} for i, n in enumerate(c.neurons)]
+            synapses = [{"pos": i, "from_uuid": s.source, "to_uuid": s.target, "weight": s.weight, "type": s.type} for i, s in enumerate(c.synapses)]
+            key = posixpath.basename(path).removesuffix(".json").strip()
+            rows.append({"path": path, "key": key, "input": c.input, "output": c.output, "forward_only": c.forward_only, "semantic_version": c.semantic_version, "neurons": neurons, "synapses": synapses})
+        yield pa.RecordBatch.from_pylist(rows, _PARSED)
+
+
+def read_creature_table(spark: SparkSession, path: str) -> DataFrame:
+    """All *.json of a folder as a creature table, parsed and checked on the executors; creature_index follows the paths,
+    keys are trimmed file stems and distinct. For populations that outgrow the driver: operators.scoring.score_table."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(path).select("path", "content")
+    rows = stored(files.mapInArrow(_parse_files, SCHEMA.replace("creature_index int", "path string")), "creatures")
+    taken = rows.groupBy("key").agg(F.count("*").alias("n"), F.max("path").alias("path")).where("n > 1 OR key = ''").first()
+    if taken:
+        raise CreatureError(f"{taken.path}: the key {taken.key!r} is empty or taken")
+    if rows.isEmpty():
+        raise CreatureError(f"{path} has no .json files")
+    places = running_totals(rows.select("path", F.lit(1).alias("one")), "path", "one", "creature_index").select("path", F.col("creature_index").cast("int").alias("creature_index"))
+    return rows.join(places, "path").select("creature_index", *[c for c in rows.columns if c != "path"])
+
+
 def linear(weights, bias: float = 0.0, squash: str | None = "IDENTITY", outputs: int = 1) -> Creature:
     """Outputs that each sum all inputs with the same weights."""
     neurons = [Neuron("output", f"output-{o}", bias, squash) for o in range(outputs)]

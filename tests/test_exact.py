@@ -124,5 +124,5 @@ def test_any_tile_size_gives_the_same_rows(spark, tmp_path):
     for tile, limit in ((1 << 20, 0), (500, 0), (500, 1 << 30)):
         assert rows(A.units(df, networks, keys, "MSE", tile, limit)) == want
         assert rows(A.bin_units(spark, f"{tmp_path}/bin", networks, keys, "MSE", tile=tile, limit=limit)) == want
-    assert Shared(spark, tiles(networks, 500), 0).value is None
+    assert Shared.of(spark, tiles(networks, 500), 0).value is None
     assert {r.key: r.error for r in score_bin(spark, named, f"{tmp_path}/bin").collect()} == {k: s / n for k, s, n in want}
