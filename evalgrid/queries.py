@@ -256,6 +256,18 @@ def _race(factor: float) -> Query:
     return run
 
 
+def race_one_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """race_abandon over the table itself, as one lazy plan."""
+    n = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+    def referee(rows):
+        best = min(r.partial_error for r in rows)
+        return {r.index for r in rows if r.partial_error > 3.0 * best}
+
+    out = racing.race_in_one_query(C.events_corpus(spark, sf_dir), RACERS, referee, n // 5 + 1)
+    return _rounded(out.select("key", "error", "record_count"), "error")
+
+
 def score_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of creature files, in the order of their names, against lineitem as a binary corpus."""
     folder = C.new_folder(spark, "creatures")
@@ -414,6 +426,7 @@ QUERIES: dict[str, Query] = (
         "guards": guards,
         "race_continue": _race(math.inf),
         "race_abandon": _race(3.0),
+        "race_one_query": race_one_query,
         "score_folder": score_folder,
         "score_json": score_json,
         "recurrent_bin": recurrent_bin,
@@ -577,6 +590,7 @@ r AS (SELECT key, chunk, sum(s) OVER w / sum(n) OVER w AS partial_error, CAST(su
 """
 #: The same in five chunks of the whole corpus.
 _RACE = _CHUNKS.replace(f"i // {CHUNK}", "i // ((SELECT count(*) FROM events) // 5 + 1)")
+_ABANDON = _RACE + ", b AS (SELECT *, partial_error <= 3.0 * min(partial_error) OVER (PARTITION BY chunk) AS ok FROM r), f AS (SELECT key, coalesce(min(chunk) FILTER (WHERE NOT ok), max(chunk)) AS chunk FROM b GROUP BY key) SELECT key, round(partial_error, 6) AS error, records_scored AS record_count FROM r JOIN f USING (key, chunk)"
 ORACLES: dict[str, str] = (
     {f"loss_{c.lower()}": _loss_sql(c) for c in COSTS}
     | {f"squash_{s.lower()}": _squash_sql(s) for s in SQUASHES}
@@ -608,7 +622,8 @@ ORACLES: dict[str, str] = (
         "supplier_top": "SELECT s_nationkey AS nation, s_suppkey AS key, s_acctbal AS error FROM supplier QUALIFY row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) <= 10",
         "guards": "SELECT name, true AS refused, (SELECT count(*) FROM lineitem) AS n FROM (VALUES " + ", ".join(f"('{x}')" for x in _guards()) + ") AS v(name)",
         "race_continue": _RACE + "SELECT key, round(partial_error, 6) AS error, records_scored AS record_count FROM r WHERE chunk = (SELECT max(chunk) FROM r)",
-        "race_abandon": _RACE + ", b AS (SELECT *, partial_error <= 3.0 * min(partial_error) OVER (PARTITION BY chunk) AS ok FROM r), f AS (SELECT key, coalesce(min(chunk) FILTER (WHERE NOT ok), max(chunk)) AS chunk FROM b GROUP BY key) SELECT key, round(partial_error, 6) AS error, records_scored AS record_count FROM r JOIN f USING (key, chunk)",
+        "race_abandon": _ABANDON,
+        "race_one_query": _ABANDON,
         "score_folder": f"SELECT CAST(row_number() OVER (ORDER BY key) AS INTEGER) AS n, key, round(error, 6) AS error, record_count FROM ({_ERRORS})",
         "score_json": f"SELECT key, CAST(row_number() OVER (ORDER BY key) - 1 AS INTEGER) AS place, round(error, 6) AS error, record_count FROM ({_ERRORS} UNION ALL SELECT 'one', avg((t - o) * (t - o)), count(*) FROM (SELECT t, {_LINE_SQL} AS o FROM ({_LINEITEM})))",
         "recurrent_bin": _error_sql("fwd_recurrent_reset", _NETWORK_SQL["fwd_recurrent_reset"]),

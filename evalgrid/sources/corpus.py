@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.window import Window
 
 SCHEMA = "record_idx bigint, features array<float>, targets array<float>, file_idx int"
@@ -222,8 +222,40 @@ class _Writer(DataSourceArrowWriter):
                 filesystem.delete_file(m.temporary)
 
 
+class _StreamReader(DataSourceStreamReader):
+    """An offset is how many whole records each file has; a batch reads those that came between two offsets. A file that is
+    being written is read as far as it has whole records. record_idx is the record's place in its file, file_idx the
+    file's place in the folder at the end of the batch."""
+
+    def __init__(self, options: dict):
+        self.path, self.inputs = options["path"], int(options["inputs"])
+        self.width = self.inputs + int(options["outputs"])
+        self.split = int(options.get("split", SPLIT))
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        filesystem, root = opened(self.path)
+        files = filesystem.get_file_info(fs.FileSelector(root, allow_not_found=True))
+        return {posixpath.basename(x.path): x.size // (4 * self.width) for x in files if x.type == fs.FileType.File and x.path.endswith(".bin")}
+
+    def partitions(self, start: dict, end: dict):
+        _, root = opened(self.path)
+        size, out = 4 * self.width, []
+        step = max(1, self.split // size)
+        for i, name in enumerate(sorted(end, key=_numeric)):
+            for a in range(start.get(name, 0), end[name], step):
+                out.append(_Range(f"{root}/{name}", a * size, min(step, end[name] - a), a, i))
+        return out or [_Range("", 0, 0, 0, 0)]
+
+    def read(self, part: _Range):
+        for first, rows in read_records(self.path, part, self.width, BATCH):
+            yield record_batch(rows, self.inputs, first, part.file_idx)
+
+
 class PackedFloats(DataSource):
-    """Format "packed_floats": options path, inputs, outputs and split (bytes of a partition)."""
+    """Format "packed_floats": options path, inputs, outputs and split (bytes of a partition); for batches and streams."""
 
     @classmethod
     def name(cls):
@@ -238,6 +270,9 @@ class PackedFloats(DataSource):
     def writer(self, schema, overwrite):
         return _Writer(self.options)
 
+    def streamReader(self, schema):
+        return _StreamReader(self.options)
+
 
 def record_count(path: str, inputs: int, outputs: int) -> int:
     """Records of a binary corpus, from the sizes of its files."""
@@ -253,6 +288,12 @@ def read_bin(spark: SparkSession, path: str, inputs: int, outputs: int, split: i
     return spark.read.format("packed_floats").options(path=path, inputs=inputs, outputs=outputs, split=split).load()
 
 
+def stream_bin(spark: SparkSession, path: str, inputs: int, outputs: int, split: int = SPLIT) -> DataFrame:
+    """A binary corpus as a stream: each batch has the records that its files have got since the batch before."""
+    spark.dataSource.register(PackedFloats)
+    return spark.readStream.format("packed_floats").options(path=path, inputs=inputs, outputs=outputs, split=split).load()
+
+
 def write_bin(corpus: DataFrame, path: str, shards: int) -> None:
     """Writes a corpus as `shards` files at most, in the order of record_idx, to a folder that is new or empty."""
     filesystem, root = opened(path)

@@ -12,15 +12,17 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.exact import total
+from ..functions.exact import exact_units, total
 from ..functions.losses import checked_cost
 from ..operators.sampling import checked_rate, sample
 from ..operators.scoring import partials, scored, units
-from ..plans.creature import Creature
+from ..plans import sql_tier
+from ..plans.creature import Creature, compile_creature
 from ..sources.creatures import check_shape
 
 
@@ -144,6 +146,63 @@ def stream_partials(stream: DataFrame, creatures: dict[str, Creature], path: str
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def stream_units(stream: DataFrame, creatures: dict[str, Creature], path: str, checkpoint: str, cost: str = "MSE", tier: str = "arrow"):
+    """As stream_partials, but what a batch appends are exact lines (key, exp, units, n): scoring.totals over the table gives
+    the very bits of the same records in one batch, however the stream was cut, stopped and started again."""
+    check_shape(creatures)
+
+    def batch(df: DataFrame, number: int) -> None:
+        units(df, creatures, cost, tier).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _replay(callback: Callback, cost: str):
+    def run(rows: pa.Table) -> pa.Table:
+        held: dict[str, dict] = {}
+        for chunk, index, key, exp, n_units, n in zip(*(rows[c].to_pylist() for c in ("chunk", "index", "key", "exp", "units", "n")), strict=True):
+            lines = held.setdefault(chunk, {}).setdefault(index, [key, [], 0])
+            lines[1].append((exp, int(n_units)))
+            lines[2] += n
+        sums: dict[int, tuple[str, list, int]] = {}
+        active = None
+        for chunk in sorted(held):
+            for index, (key, lines, n) in held[chunk].items():
+                if active is None or index in active:
+                    _, before, count = sums.get(index, (key, [], 0))
+                    sums[index] = key, before + lines, count + n
+            active = set(held[chunk]) if active is None else active
+            verdict = callback([Partial(i, sums[i][0], total(sums[i][1]) / sums[i][2], sums[i][2]) for i in sorted(active)])
+            if verdict is ABORT_ALL:
+                break
+            active -= set(verdict)
+            if not active:
+                break
+        means = [(k, total(lines) / n, n) for k, lines, n in sums.values()]
+        return pa.table({"key": [k for k, _, _ in means], "error": [math.sqrt(s) if cost == "RMSE" else s for _, s, _ in means], "record_count": [n for _, _, n in means]}, schema=_MEANS)
+
+    return run
+
+
+_MEANS = pa.schema([("key", pa.string()), ("error", pa.float64()), ("record_count", pa.int64())])
+
+
+def race_in_one_query(corpus: DataFrame, creatures: dict[str, Creature], callback: Callback, chunk_records: int, cost: str = "MSE") -> DataFrame:
+    """What race() returns over a whole corpus, as one lazy plan: one sweep adds up all creatures by chunk, and the verdicts
+    are then given over the chunks' sums, in order, in one task that gets some lines for each chunk and creature. No job a
+    chunk and no feedback to the sweep: abandoned creatures are scored to the end but keep the sums they had. The callback
+    runs on an executor, so it must be a function of what it is given."""
+    checked_cost(cost)
+    check_shape(creatures)
+    networks = [compile_creature(c) for c in creatures.values()]
+    losses = sql_tier.losses(corpus, networks, cost, ("record_idx",))
+    stacked = losses.select(F.floor(F.col("record_idx") / chunk_records).alias("chunk"), F.explode(F.array(*[F.struct(F.lit(i).alias("index"), F.lit(k).alias("key"), F.col(f"loss_{i}").alias("loss")) for i, k in enumerate(creatures)])).alias("r")).select("chunk", "r.*")
+    keys = ["chunk", "index", "key"]
+    lines = exact_units(stacked, keys, "loss").groupBy(*keys, "exp").agg(F.sum("units").alias("units"), F.sum("n").alias("n"))
+    race_rows = lines.withColumn("units", F.col("units").cast("string")).groupBy(F.lit(0).alias("race"))
+    return scored(race_rows.applyInArrow(_replay(callback, cost), "key string, error double, record_count long"), creatures, cost)
+
+
 def survivors(partial_rows: DataFrame, factor: float) -> DataFrame:
     """(key, chunk, partial_error) with alive: whether the creature's mean has stayed within factor times the chunk's best
     up to and with that chunk. The best is over all creatures, which is right while no abandoned one recovers."""
@@ -153,4 +212,4 @@ def survivors(partial_rows: DataFrame, factor: float) -> DataFrame:
     return rows.withColumn("alive", F.min("ok").over(Window.partitionBy("key").orderBy("chunk")) == 1).drop("ok")
 
 
-__all__ = ["ABORT_ALL", "CONTINUE", "Partial", "RacingError", "StdioReferee", "chunk_bounds", "chunk_sums", "race", "stream_partials", "survivors"]
+__all__ = ["ABORT_ALL", "CONTINUE", "Partial", "RacingError", "StdioReferee", "chunk_bounds", "chunk_sums", "race", "race_in_one_query", "stream_partials", "stream_units", "survivors"]
