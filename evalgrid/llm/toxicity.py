@@ -16,7 +16,9 @@ import math
 import re
 import unicodedata
 import uuid
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -63,7 +65,7 @@ def fold(text: str | None) -> str:
     """The folded text: words with one space before, between and after them; for no words one space."""
     text = (text or "").lower()
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
+        text = unicodedata.normalize("NFKC", text).lower()  # styled capitals are capitals only now
     if "@" in text or "$" in text:
         text = _INSIDE.sub(lambda m: SIGNS[m[0]], text)
     return f" {' '.join(text.translate(_letters).split())} "
@@ -141,8 +143,10 @@ class Lexicon:
         if not self.terms:
             return []
         found = [(end + 1 - n, end + 1, weight) for end, (n, weight) in self.automaton.iter(folded)]
-        if len(self.exceptions) and (safe := [(a, b) for a, b, w in found if w is None]):
-            return [(a, b, w) for a, b, w in found if w is not None and not any(x <= a and b <= y for x, y in safe)]
+        if len(self.exceptions) and (safe := sorted((a, b) for a, b, w in found if w is None)):
+            # Of the phrases that begin at or before a match, the one that reaches furthest tells whether one covers it.
+            starts, reach = [a for a, _ in safe], list(accumulate((b for _, b in safe), max))
+            return [(a, b, w) for a, b, w in found if w is not None and not ((i := bisect_right(starts, a)) and reach[i - 1] >= b)]
         return [x for x in found if x[2] is not None]
 
     def density(self, text: str | None) -> float:

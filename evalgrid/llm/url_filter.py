@@ -3,8 +3,9 @@ capture against the entries that were active when it was fetched.
 
 A capture is looked up under its host, each parent domain, and each leading part of its path. Captures of one key and time
 are combined before the join, so a common host costs a row for each distinct time and task; decisions go back to the
-captures by join. A key with more than TIMES distinct times has its time range cut into slices, its intervals being cut at
-their borders, and is joined by (key, slice), so it is spread over tasks; all other keys have one slice.
+captures by join. Times and intervals of a key are put in one order and gone through once, each time taking the last interval
+that has begun. A key with more than TIMES of both has its time range cut into slices, its intervals being cut at their
+borders, and is gone through slice by slice, so it is spread over tasks; all other keys have one slice.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql.window import Window
 
 from .common import by_size, stored, table
 
-#: Distinct times of a key in one slice, about.
+#: Distinct times and intervals of a key in one slice, about.
 TIMES = 10_000
 
 
@@ -64,8 +65,9 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, per_slice: int = TI
     rows = captures.select(F.xxhash64("url").alias("u"), "page_id", "url", F.col("fetched").cast("long").alias("fetched"))
     asked = rows.where("url IS NOT NULL AND fetched IS NOT NULL").select("url", "fetched", F.explode(_keys(F.col("url"), most)).alias("key")).where("key <> ''")
     times = stored(asked.select("key", "fetched").distinct(), "url-times")
-    hot = times.groupBy("key").agg(F.count("*").alias("n"), F.min("fetched").alias("low"), F.max("fetched").alias("high")).where(F.col("n") > per_slice)
-    hot = by_size(stored(hot.select("key", "low", ((F.col("high") - F.col("low")) / F.ceil(F.col("n") / per_slice)).alias("length"), F.ceil(F.col("n") / per_slice).alias("slices")), "url-hot"))
+    both = times.unionByName(spans.select("key", F.col("valid_from").cast("long").alias("fetched")))
+    hot = both.groupBy("key").agg(F.count("*").alias("n"), F.min("fetched").alias("low"), F.max("fetched").alias("high")).where(F.col("n") > per_slice)
+    hot = by_size(stored(hot.select("key", "low", F.greatest((F.col("high") - F.col("low")) / F.ceil(F.col("n") / per_slice), F.lit(1e-9)).alias("length"), F.ceil(F.col("n") / per_slice).alias("slices")), "url-hot"))
 
     def slice_of(time) -> Column:
         return F.greatest(F.lit(0), F.least(F.col("slices") - 1, F.floor((time - F.col("low")) / F.col("length"))))
@@ -73,8 +75,13 @@ def temporal_filter(captures: DataFrame, entries: DataFrame, per_slice: int = TI
     asked_at = times.join(hot, "key", "left").withColumn("slice", F.coalesce(slice_of(F.col("fetched")), F.lit(0))).select("key", "fetched", "slice")
     cut = spans.join(hot, "key", "left").withColumn("first", F.coalesce(slice_of(F.col("valid_from")), F.lit(0))).withColumn("last", F.coalesce(F.when(F.col("valid_to").isNull(), F.col("slices") - 1).otherwise(slice_of(F.col("valid_to"))), F.lit(0)))
     cut = cut.withColumn("slice", F.explode(F.sequence("first", "last"))).select("key", "slice", "action", "valid_from", "valid_to")
-    met = asked_at.join(cut, ["key", "slice"]).where((F.col("valid_from") <= F.col("fetched")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to"))))
-    met = stored(met.select("key", "fetched", "action", "valid_from"), "url-matches")
+    span = "struct<action:string,valid_from:bigint,valid_to:bigint>"
+    # Intervals of a key do not overlap, so the last one that has begun is the only one that may hold.
+    begun = cut.select("key", "slice", F.col("valid_from").cast("long").alias("time"), F.lit(0).alias("asks"), F.struct("action", "valid_from", "valid_to").cast(span).alias("span"))
+    asks = asked_at.select("key", "slice", F.col("fetched").alias("time"), F.lit(1).alias("asks"), F.lit(None).cast(span).alias("span"))
+    order = Window.partitionBy("key", "slice").orderBy("time", "asks").rowsBetween(Window.unboundedPreceding, 0)
+    met = begun.unionByName(asks).withColumn("span", F.last("span", ignorenulls=True).over(order)).where("asks = 1").select("key", F.col("time").alias("fetched"), "span.*")
+    met = stored(met.where("valid_from IS NOT NULL AND (valid_to IS NULL OR fetched < valid_to)").select("key", "fetched", "action", "valid_from"), "url-matches")
     best = asked.join(met, ["key", "fetched"]).groupBy("url", "fetched").agg(F.max(F.struct(F.length("key").alias("n"), "key", "action", "valid_from")).alias("best"))
     out = rows.join(best, ["url", "fetched"], "left")
     return out.select("page_id", "url", "fetched", F.coalesce("best.action", F.lit("none")).alias("decision"), F.col("best.key").alias("matched"), F.coalesce("best.valid_from", F.lit(-1)).alias("valid_from"))

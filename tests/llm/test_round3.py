@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from evalgrid.llm import exact_dedup, merkle, queries, spelling
+from evalgrid.llm import exact_dedup, merkle, queries, spelling, toxicity, url_filter
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, id long, at long, group string, digest string, word string, n long, d string, norm string, `a b` int"
 EXTRA = (5, 7, "g", "d", "w", 1, "x", "y", 3)
@@ -178,3 +178,37 @@ def test_query_equals_sql(spark, data, name):
     df = queries.QUERIES[name](spark, data)
     assert sorted(df.columns) == sorted(columns)
     assert sorted([tuple(r) for r in df.select(columns).collect()], key=str) == want and want
+
+
+def test_styled_capitals_fold_like_plain_ones():
+    bold = "".join(chr(0x1D400 + ord(c) - 65) for c in "TRASH")
+    assert toxicity.fold(f"{bold} ＣＡＮ") == toxicity.fold("trash can") == " trash can "
+
+
+def test_exception_phrases_cover_what_lies_in_them():
+    lexicon = toxicity.Lexicon({" tras": 1.0, " clown ": 2.0, "an s": 3.0}, ("trash can", "trash can sale", "clown fish"))
+    folded = toxicity.fold("Trash can sale, a clown; clown fish trash " + "trash can " * 5000)
+    safe = [(m, m + len(p)) for p in lexicon.exceptions for m in range(len(folded)) if folded.startswith(p, m)]
+    want = sorted((m, m + len(t), w) for t, w in lexicon.terms.items() for m in range(len(folded)) if folded.startswith(t, m) and not any(a <= m and m + len(t) <= b for a, b in safe[:50] + [x for x in safe[50:] if abs(x[0] - m) < 40]))
+    assert sorted(lexicon.hits(folded)) == want and len(want) == 2
+
+
+@pytest.mark.parametrize("per_slice", [10_000, 3, 1])
+def test_captures_take_the_last_entry_that_has_begun(spark, per_slice):
+    rng = random.Random(per_slice)
+    keys = ["a.com", "x.a.com", "a.com/p", "a.com/p/q", "b.org"]
+    entries = [(rng.choice(keys), rng.randint(0, 60), rng.choice(["block", "allow", "remove", "odd"])) for _ in range(120)] + [(None, 3, "block"), ("a.com", None, "block")]
+    captures = [(i, rng.choice(["http://a.com/p/q/r", "https://x.a.com/", "http://b.org", "http://y.x.a.com/p", "http://c.net/", None, "junk"]), rng.choice([None, *range(-2, 63)])) for i in range(300)]
+    got = url_filter.temporal_filter(spark.createDataFrame(captures, "page_id long, url string, fetched long"), spark.createDataFrame(entries, "key string, at long, action string"), per_slice).collect()
+    weight = {"allow": 3, "block": 2, "remove": 1}
+
+    def active(key, t):
+        own = [(at, weight[a], a) for k, at, a in entries if k == key and at is not None and a in weight and at <= t]
+        return max(own, default=None)
+
+    names = {"http://a.com/p/q/r": ["a.com/p/q", "a.com/p", "a.com"], "https://x.a.com/": ["x.a.com", "a.com"], "http://b.org": ["b.org"], "http://y.x.a.com/p": ["x.a.com", "a.com"]}
+    assert len(got) == 300
+    for r in got:
+        found = [(len(k), k, e) for k in names.get(r.url, []) if r.fetched is not None and (e := active(k, r.fetched)) and e[2] != "remove"]
+        want = max(found, default=None)
+        assert (r.decision, r.matched, r.valid_from) == ((want[2][2], want[1], want[2][0]) if want else ("none", None, -1))
