@@ -30,7 +30,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Creatures of the queries.
 LINE = K.linear([0.3, 0.2, 0.5], 0.01)
-TWO = Creature(2, 2, (Neuron("output", "output-0", 0.1, "TANH"), Neuron("output", "output-1", 0.0, "LOGISTIC")), (Synapse("input-0", "output-0", 0.7), Synapse("input-1", "output-0", -0.4), Synapse("input-0", "output-1", -0.6), Synapse("input-1", "output-1", 0.2)))
+TWO_BIAS = (0.1, 0.0)
+TWO_WEIGHTS = [[((i * 7 + o * 5) % 13 - 6) / 20 for i in range(64)] for o in range(2)]
+TWO = Creature(64, 2, (Neuron("output", "output-0", TWO_BIAS[0], "TANH"), Neuron("output", "output-1", TWO_BIAS[1], "LOGISTIC")), tuple(Synapse(f"input-{i}", f"output-{o}", w) for o, own in enumerate(TWO_WEIGHTS) for i, w in enumerate(own)))
 POPULATION = {f"line-{i}": K.linear([0.3 + 0.15 * i, 0.2, 0.1 * i], 0.01) for i in range(3)} | {"dense": K.dense(3, 4, 1)}
 
 
@@ -76,7 +78,8 @@ def _loss(cost: str) -> Query:
             corpus, creature = C.embeddings_corpus(spark, sf_dir), TWO
         else:
             corpus, creature = C.lineitem_unordered(spark, sf_dir), LINE
-        out = errors(partials(corpus, {"c": creature}, cost, "sql"), cost)
+        tier = "arrow" if cost == "CATEGORICAL_ERROR" else "sql"  # 64 inputs
+        out = errors(partials(corpus, {"c": creature}, cost, tier), cost)
         if cost == "MAPE":  # a zero target makes a term of 1e14, so what is compared is the logarithm
             out = out.withColumn("error", F.log10("error"))
         return _rounded(out, "error")
@@ -444,7 +447,7 @@ QUERIES: dict[str, Query] = (
 _LINEITEM = "SELECT CAST(l_quantity / 50 AS FLOAT) AS x0, CAST(l_extendedprice / 100000 AS FLOAT) AS x1, CAST(l_discount AS FLOAT) AS x2, CAST(CAST(l_tax AS FLOAT) AS DOUBLE) AS t FROM lineitem"
 _ORDER = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 _INDEXED = f"SELECT *, row_number() OVER (ORDER BY {_ORDER}) - 1 AS record_idx FROM lineitem"
-_EMBEDDINGS = "SELECT vec_id AS record_idx, embedding[1] AS x0, embedding[2] AS x1, CAST(label % 2 AS DOUBLE) AS t1 FROM embeddings"
+_EMBEDDINGS = "SELECT vec_id AS record_idx, embedding AS x, CAST(label % 2 AS DOUBLE) AS t1 FROM embeddings"
 
 
 def _f(x: float) -> str:
@@ -489,7 +492,7 @@ def _error_sql(key: str, output: str, source: str = _LINEITEM, loss: str = "(t -
 
 def _loss_sql(cost: str) -> str:
     if cost == "CATEGORICAL_ERROR":
-        a, b = _act_sql("TANH", f"{_f(0.1)} + {_f(0.7)} * x0 + {_f(-0.4)} * x1"), _act_sql("LOGISTIC", f"{_f(0.0)} + {_f(-0.6)} * x0 + {_f(0.2)} * x1")
+        a, b = (_act_sql(squash, " + ".join([_f(bias), *(f"{_f(w)} * CAST(x[{i + 1}] AS FLOAT)" for i, w in enumerate(own))])) for squash, bias, own in zip(("TANH", "LOGISTIC"), TWO_BIAS, TWO_WEIGHTS, strict=True))
         return f"SELECT 'c' AS key, round(avg(CASE WHEN (t1 > 0.5) = ({b} > {a}) THEN 0.0 ELSE 1.0 END), 6) AS error, count(*) AS record_count FROM ({_EMBEDDINGS})"
     out = _error_sql("c", _LINE_SQL, loss=_LOSS_SQL[cost])
     if cost == "MAPE":

@@ -408,10 +408,10 @@ def lineitem_unordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embeddings_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two elements as inputs; the label's parity, one-hot, as two targets."""
-    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b"))
+    """All elements as inputs; the label's parity, one-hot, as two targets."""
+    t = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", "embedding")
     odd = (F.pmod("label", F.lit(2)) == 1).cast("float")
-    return t.select(F.col("vec_id").alias("record_idx"), F.array("a", "b").alias("features"), F.array(F.lit(1).cast("float") - odd, odd).alias("targets"))
+    return t.select(F.col("vec_id").alias("record_idx"), F.col("embedding").cast("array<float>").alias("features"), F.array(F.lit(1).cast("float") - odd, odd).alias("targets"))
 
 
 def events_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
