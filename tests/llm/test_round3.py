@@ -2,14 +2,18 @@
 
 import hashlib
 import itertools
+import math
 import random
+import re
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalgrid.llm import exact_dedup, merkle, queries, spelling, toxicity, url_filter
+from evalgrid.llm import exact_dedup, merkle, quality, queries, spelling, toxicity, url_filter
+from evalgrid.llm import textkernel as K
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, id long, at long, group string, digest string, word string, n long, d string, norm string, `a b` int"
 EXTRA = (5, 7, "g", "d", "w", 1, "x", "y", 3)
@@ -212,3 +216,36 @@ def test_captures_take_the_last_entry_that_has_begun(spark, per_slice):
         found = [(len(k), k, e) for k in names.get(r.url, []) if r.fetched is not None and (e := active(k, r.fetched)) and e[2] != "remove"]
         want = max(found, default=None)
         assert (r.decision, r.matched, r.valid_from) == ((want[2][2], want[1], want[2][0]) if want else ("none", None, -1))
+
+
+def test_quality_scores_equal_a_plain_recursion_over_each_text(spark, data):
+    """Every n-gram of every text looked up one by one, in Python integers, with the fitted weights."""
+    docs, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    weights, slope, intercept = quality.train(docs.select(F.col("doc_id").alias("id"), "text"), labels.select(F.col("doc_id").alias("id"), "quality"))
+    table_of = np.frombuffer(weights, "<f4").astype(float)
+    top, place = (1 << 64) - 1, [int(x) for x in K._PLACE]
+
+    def mix(x):
+        return int(K.mix(np.array([x & top], np.uint64))[0])
+
+    def word(w):
+        raw = np.frombuffer(w.encode(), np.uint8)
+        return int(K.spans_hash(raw, np.array([0]), np.array([len(raw)]))[0])
+
+    def logit(text):
+        own = [word(w) for w in re.findall(r"[^\x20\x09-\x0D]+", text)]
+        kinds = [[mix(h + 1) >> 46 for h in own], [mix(mix(a * place[0] + b * place[1] + 2) + 2) >> 46 for a, b in itertools.pairwise(own)]]
+        code = [ord(c) for c in text]
+        for k in (3, 4):
+            runs = [sum(code[i + j] * place[j] for j in range(k)) for i in range(len(code) - k + 1)]
+            kinds.append([((r * 0x9E3779B97F4A7C15 + (k << 60)) & top) >> 46 for r in runs])
+        return sum(sum(table_of[p] for p in kind) / max(len(kind), 1) for kind in kinds)
+
+    rows = quality.quality_rules(docs, labels).collect()
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert len(rows) == len(texts) and len({r.kept for r in rows}) == 2
+    for r in rows:
+        want = 1 / (1 + math.exp(-slope * logit(texts[r.doc_id]) - intercept))
+        assert r.score == pytest.approx(want, rel=1e-6, abs=1e-9)
+        assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
+        assert r.kept == (not r.base_failed and r.score >= 0.3)
