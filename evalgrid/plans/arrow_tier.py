@@ -31,8 +31,8 @@ from .creature import Network
 TILE, BROADCAST = 1 << 20, 16 << 20
 #: Neurons of one group, over creatures, whose activations of a block are held together: they stay in the cache.
 LANES = 32
-#: Records of an Arrow batch taken at once when the population is broadcast, and when its tiles are read for each.
-BATCH, LARGE_BATCH = 16_384, 262_144
+#: Records taken at once when the population is broadcast, and when its tiles are read for each; and their bytes at most.
+BATCH, LARGE_BATCH, BATCH_BYTES = 16_384, 262_144, 64 << 20
 LINES = "key string, exp int, units decimal(38,0), n long"
 _SCHEMA = pa.schema([("key", pa.string()), ("exp", pa.int32()), ("units", pa.decimal128(38, 0)), ("n", pa.int64())])
 
@@ -240,18 +240,18 @@ class Shared:
                 for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=["payload"]):
                     yield pickle.loads(batch.column(0)[0].as_py())
 
-    def scorer(self, cost: str) -> Scorer:
-        return Scorer(self, cost)
+    def scorer(self, cost: str, width: int) -> Scorer:
+        return Scorer(self, cost, width)
 
 
 class Scorer:
     """Exact sums of a task's losses, creature by creature."""
 
-    def __init__(self, shared: Shared, cost: str):
+    def __init__(self, shared: Shared, cost: str, width: int):
         self.shared, self.cost, self.n = shared, cost, 0
         self.adder = Adder(shared.creatures)
         self.held = list(shared.tiles()) if shared.value is not None else None
-        self.size = BATCH if self.held is not None else LARGE_BATCH
+        self.size = max(1, min(BATCH if self.held is not None else LARGE_BATCH, BATCH_BYTES // (4 * width)))
 
     def add(self, x: np.ndarray, t: np.ndarray) -> None:
         """Rows of inputs and of targets, a record a row."""
@@ -303,7 +303,7 @@ def shared_units(corpus: DataFrame, shared: Shared, inputs: int, outputs: int, c
     """The same; without keys, tiles have their creatures' own."""
 
     def run(batches):
-        scorer, held, n = shared.scorer(cost), [], 0
+        scorer, held, n = shared.scorer(cost, inputs + outputs), [], 0
         for batch in batches:
             if batch.num_rows:
                 held.append((matrix(batch.column(0), inputs), matrix(batch.column(1), outputs)))
@@ -329,7 +329,7 @@ def shared_bin_units(spark: SparkSession, path: str, shared: Shared, inputs: int
     parts = spark.sparkContext.broadcast(ranges)
 
     def run(batches):
-        scorer = shared.scorer(cost)
+        scorer = shared.scorer(cost, inputs + outputs)
         for batch in batches:
             for i in batch.column(0).to_pylist():
                 for rows in kept_records(path, parts.value[i], inputs + outputs, scorer.size, rate, phase):
