@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import uuid
 import zlib
 
@@ -34,6 +35,8 @@ from .common import discard, discard_path, shared_dir, stored, table, tune
 CHUNK = 8 << 20
 #: Words that a task gathers before it hands them on to be made distinct.
 GATHER = 100_000
+#: Bytes of packed words of a part that are looked up at once, about.
+HELD = 128 << 20
 
 
 def default_tokenizer() -> str:
@@ -271,12 +274,13 @@ def decode(rows: DataFrame, pieces: DataFrame, ids_col: str = "ids") -> DataFram
     return found.groupBy(*keys).agg(F.aggregate(put, F.lit(b""), lambda a, x: F.concat(a, x["__piece"])).alias("decoded"))
 
 
-def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep: bool | str = False, chunk: int | None = None) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, keep: bool | str = False, chunk: int | None = None, held: int | None = None) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers) and
     decoded_sha256; with keep also ids and the decoded text, with keep="ids" the ids only.
 
     tokenizer: path of a byte-level BPE file, read on the driver (default: the 50k vocabulary). chunk: bytes of text that a
-    task packs at once; less takes less memory, and more disk, as more chunks have the same words. Null and empty texts have
+    task packs at once; less takes less memory, and more disk, as more chunks have the same words. held: bytes of packed
+    words that a task looks up at once, about. Null and empty texts have
     no tokens. Special strings in a text become their ids. A very long text is a chunk of its own. Rows that repeat an id,
     or have none, are encoded each for itself. An empty table gives no rows; other columns are ignored, whatever their
     names. The result is a stored table; the tables on the way to it are deleted.
@@ -293,9 +297,17 @@ def bpe_round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = spark.table(name)
         packs = rows.where("part IS NOT NULL").select("chunk", F.col("bucket").alias("part"), "pack")
         distinct = packs.select("part", "pack").repartition(parts, "part").mapInArrow(K.lean(_gathered), "part long, word binary").distinct()
-        words = stored(distinct.mapInArrow(K.lean(_encode(spec)), "part long, word binary, ids array<int>"), "distinct-words")
-        found = stored(packs.groupBy("part").cogroup(words.groupBy("part")).applyInArrow(_lookup, "chunk long, part long, pack binary"), "coded-words")
-        discard(words)
+        words = stored_words = stored(distinct.mapInArrow(K.lean(_encode(spec)), "part long, word binary, ids array<int>"), "distinct-words")
+        # A part's packs grow with the texts. Beyond `held` bytes they are looked up in slices, each with the part's words.
+        size = packs.agg(F.sum(F.octet_length("pack"))).first()[0] or 0
+        slices = max(1, math.ceil(size / parts / (held or HELD)))
+        by = ["part"]
+        if slices > 1:
+            by = ["part", "slice"]
+            packs = packs.withColumn("slice", F.pmod(F.xxhash64("chunk"), F.lit(slices)))
+            words = words.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+        found = stored(packs.groupBy(*by).cogroup(words.groupBy(*by)).applyInArrow(_lookup, "chunk long, part long, pack binary"), "coded-words")
+        discard(stored_words)
         texts = rows.where("part IS NULL").select(F.col("bucket").alias("chunk"), "ids", "sizes", "pack")
         more = {False: 0, "ids": 1, True: 2}[keep]
         schema = ", ".join(["id long, n_tokens long, ids_sha256 string, decoded_sha256 string", "ids array<int>", "decoded string"][: 1 + more])

@@ -171,7 +171,8 @@ def _shorter(codes: np.ndarray, counts: np.ndarray, d: int) -> tuple[np.ndarray,
 
 class Tree:
     """The weighted trees. nodes[d][j]: for depth d and j bits so far, the sorted codes of (d bytes, j bits) and for each
-    the estimate of a one, the own estimate's weight, and the estimate that stands for children that are not kept."""
+    the estimate of a one, the own estimate's weight, and the estimate for a child that no training text has: the
+    node's own, and not the one half of a Krichevsky-Trofimov estimate without counts, as the weights have it."""
 
     def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]], below: list | None = None):
         """levels[d]: sorted codes of d + 1 bytes and their counts. below: for each j what the nodes under the last level

@@ -253,6 +253,7 @@ def test_bpe_over_many_chunks(spark, texts, monkeypatch):
     monkeypatch.setattr(bpe, "CHUNK", 300)
     monkeypatch.setattr(bpe, "GATHER", 50)
     assert sorted(map(str, bpe.bpe_round_trip(docs(spark, rows)).collect())) == want
+    assert sorted(map(str, bpe.bpe_round_trip(docs(spark, rows), held=1000).collect())) == want
 
 
 def test_bpe_decodes_by_join(spark):
