@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.window import Window
 
+from ..functions.exact import exact_sums
+
 SCHEMA = "record_idx bigint, features array<float>, targets array<float>, file_idx int"
 #: Bytes of a partition, records of an Arrow batch.
 SPLIT, BATCH = 32 << 20, 16_384
@@ -364,9 +366,10 @@ def text_writer(path: str):
 
 def file_sums(corpus: DataFrame) -> DataFrame:
     """file_idx, n and total of the values of each file of a binary corpus, and running: the totals folded in the order of
-    the files. Within a file the order of the sum is Spark's; the fold itself is over a row for each file."""
+    the files, over a row for each file. A record's values are added up in order, the records of a file exactly, so no bit
+    depends on how a file was cut."""
     total = F.aggregate(F.concat("features", "targets"), F.lit(0.0), lambda a, x: a + x.cast("double"))
-    sums = corpus.groupBy("file_idx").agg(F.count("*").alias("n"), F.sum(total).alias("total"))
+    sums = exact_sums(corpus.select("file_idx", total.alias("v")), ["file_idx"], "v", "total")
     return sums.withColumn("running", F.sum("total").over(Window.orderBy("file_idx").rowsBetween(Window.unboundedPreceding, 0)))
 
 

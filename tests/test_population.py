@@ -168,3 +168,12 @@ def test_checks_name_what_is_wrong(spark):
     rows = [Row(record_idx=i, features=f, targets=t) for i, (f, t) in enumerate([([1.0, 2.0], [1.0]), ([1.0], [1.0]), (None, [1.0]), ([1.0, None], [1.0]), ([1.0, math.nan], []), ([1.0, 2.0], [None])])]
     bad = validation.bad_records(spark.createDataFrame(rows, "record_idx long, features array<float>, targets array<float>"), 2, 1)
     assert {r.record_idx: r.fault for r in bad.collect()} == {1: "features length", 2: "no features", 3: "null in features", 4: "targets length", 5: "null in targets"}
+
+
+def test_file_sums_do_not_depend_on_the_cut(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    rows = (rng.uniform(-1, 1, (3000, 4)) * 10.0 ** rng.integers(-6, 6, (3000, 1))).astype("<f4")
+    for i, part in enumerate(np.split(rows, [1000, 1700])):
+        part.tofile(f"{tmp_path}/{i}.bin")
+    seen = {tuple((r.file_idx, r.n, r.total, r.running) for r in C.file_sums(C.read_bin(spark, str(tmp_path), 3, 1, split)).orderBy("file_idx").collect()) for split in (1 << 20, 999, 4000)}
+    assert len(seen) == 1 and [n for _, n, _, _ in seen.pop()] == [1000, 700, 1300]
