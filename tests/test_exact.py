@@ -6,7 +6,6 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from evalgrid.functions.exact import BLOCK, Adder, exact_sums, total
 from evalgrid.functions.losses import COSTS
