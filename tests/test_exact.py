@@ -54,6 +54,15 @@ def test_block_sums_are_exact_in_any_order():
     assert math.isnan(total(adder.units(0))) and not math.isnan(total(adder.units(1)))
 
 
+@pytest.mark.parametrize("most", [3, 10**9, 2**40])
+def test_block_sums_with_counts_are_exact(most):
+    xs, rng = values(BLOCK - 20), random.Random(most)
+    n = [rng.randint(1, most) for _ in xs]
+    adder = Adder(1)
+    adder.add(0, np.array([xs]), np.array(n, float))
+    assert total(adder.units(0)) == float(sum(Fraction(x) * k for x, k in zip(xs, n)))
+
+
 def test_sums_have_the_same_bits_for_any_split_and_in_a_race(spark):
     rng = np.random.default_rng(1)
     x, t = rng.uniform(-1, 1, (3000, 3)), rng.uniform(0.1, 1, 3000)

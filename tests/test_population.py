@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from evalgrid.operators import graph, ranking, validation
 from evalgrid.operators.scoring import partials, score_population, score_table, totals
+from evalgrid.plans import arrow_tier
 from evalgrid.plans.creature import Creature, CreatureError, Neuron, Synapse, compile_creature
 from evalgrid.plans.population import creature_of
 from evalgrid.queries import FAULTY, NETWORKS, POPULATION, RACERS
@@ -71,6 +72,18 @@ def test_a_table_scores_like_the_same_creatures_on_the_driver(spark, data, tmp_p
         score_table(df, table.where("false"))
 
 
+def test_equal_records_are_scored_once(spark, data):
+    rng = np.random.default_rng(8)
+    x, t = rng.uniform(-1, 1, (300, 3)).astype("f4"), rng.uniform(0, 1, 300).astype("f4")
+    x[:4], t[:4] = [[0.0, 0.5, 1.0], [-0.0, 0.5, 1.0]] * 2, 0.25
+    times = rng.integers(1, 20, 300)
+    df = corpus(spark, np.repeat(x, times, 0), np.repeat(t, times), 7)
+    assert arrow_tier.combined(df, 3, 1).agg(F.count("*"), F.sum("n")).first() == (298, times.sum())
+    table = derived.supplier_population(spark, data)
+    want = {r.key: r for r in score_population(df, held(table), tier="arrow").collect()}
+    assert {r.key: r for r in score_table(df, table).collect()} == want and all(r.record_count == times.sum() for r in want.values())
+
+
 def test_a_folder_of_creatures_as_a_table(spark, tmp_path):
     folder = C.new_folder(spark, "creatures")
     K.write_creatures(POPULATION, C.text_writer(folder))
