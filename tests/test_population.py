@@ -84,6 +84,20 @@ def test_equal_records_are_scored_once(spark, data):
     assert {r.key: r for r in score_table(df, table).collect()} == want and all(r.record_count == times.sum() for r in want.values())
 
 
+def test_ranking_makes_its_scores_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def rows(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    scores = spark.range(0, 500, 1, 3).select(F.col("id").alias("key"), (F.col("id") % 7).alias("error")).mapInArrow(rows, "key long, error long")
+    got = ranking.ranked_by_range(scores, "error").collect()
+    assert {(r.error, r.rank_no) for r in got} == {(e, 1 + sum(1 for k in range(500) if k % 7 < e)) for e in range(7)} and len(got) == 500
+    assert made.value == 500
+
+
 def test_a_folder_of_creatures_as_a_table(spark, tmp_path):
     folder = C.new_folder(spark, "creatures")
     K.write_creatures(POPULATION, C.text_writer(folder))
