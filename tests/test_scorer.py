@@ -320,6 +320,16 @@ def test_bounds_become_byte_ranges(spark, tmp_path):
         C.write_bin(uneven, str(tmp_path / "uneven"), 1)
 
 
+def test_files_of_a_written_corpus_are_bounded(spark, tmp_path):
+    random = np.random.default_rng(13)
+    df = corpus(spark, random.uniform(-1, 1, (3000, 3)), random.uniform(0, 1, 3000))
+    C.write_bin(df, str(tmp_path / "c"), 2, file_bytes=16 * 200)
+    sizes = [n for _, n, _ in C.bin_files(str(tmp_path / "c"), 16)]
+    assert len(sizes) == 15 and sum(sizes) == 3000 and max(sizes) < 600
+    columns = ("record_idx", "features", "targets")
+    assert C.read_bin(spark, str(tmp_path / "c"), 3, 1).orderBy("record_idx").select(*columns).collect() == df.orderBy("record_idx").select(*columns).collect()
+
+
 def test_scan_of_bytes_equals_both_tiers(spark, tmp_path):
     random = np.random.default_rng(12)
     df = corpus(spark, random.uniform(-1, 1, (500, 3)), random.uniform(0, 1, 500))
