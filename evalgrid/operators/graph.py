@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.creature import CreatureError
@@ -15,12 +15,17 @@ def neurons(creatures: DataFrame) -> DataFrame:
     return rows.select("key", "input", "forward_only", (F.col("input") + F.col("at")).alias("node"), "n.uuid", "n.type")
 
 
+def input_number(uuid: Column, inputs: Column) -> Column:
+    """The number of the input that a name stands for; null if it names none of so many."""
+    number = F.when(uuid.rlike("^input-[0-9]{1,9}$"), F.substring(uuid, 7, 9).cast("int"))
+    return F.when(number < inputs, number)
+
+
 def resolved(creatures: DataFrame) -> DataFrame:
     """(key, at, source, target, weight, type): each synapse with the nodes that its ends are, `at` being its place. Null
     where an end is no node of the creature: an unlisted source, or a target that is no listed neuron."""
     rows = creatures.select("key", "input", F.posexplode("synapses").alias("at", "s")).select("key", "input", "at", "s.*")
-    number = F.when(F.col("from_uuid").rlike("^input-[0-9]{1,9}$"), F.substring("from_uuid", 7, 9).cast("int"))
-    rows = rows.withColumn("number", F.when(number < F.col("input"), number))
+    rows = rows.withColumn("number", input_number(F.col("from_uuid"), F.col("input")))
     listed = neurons(creatures).select("key", F.col("uuid").alias("u"), "node")
     ends = rows.join(listed.withColumnRenamed("node", "target").withColumnRenamed("u", "to_uuid"), ["key", "to_uuid"], "left")
     ends = ends.join(listed.withColumnRenamed("node", "from_node").withColumnRenamed("u", "from_uuid"), ["key", "from_uuid"], "left")

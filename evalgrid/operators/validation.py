@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.squash import AGGREGATES, SQUASHES
 from ..plans.creature import MAX_NODES
-from .graph import resolved
+from .graph import input_number
 
 
 def _synapses(creatures: DataFrame) -> DataFrame:
@@ -67,10 +67,12 @@ def refused_squashes(creatures: DataFrame) -> DataFrame:
 
 
 def unlisted_sources(creatures: DataFrame) -> DataFrame:
-    """Synapses whose source is neither an input nor a listed neuron."""
-    lost = resolved(creatures).where("source IS NULL").select("key", "at")
-    rows = creatures.select("key", F.posexplode("synapses").alias("at", "s")).select("key", "at", "s.from_uuid", "s.to_uuid")
-    return rows.join(lost, ["key", "at"], "left_semi").select("key", "from_uuid", "to_uuid")
+    """Synapses whose source is neither an input nor a listed neuron. A creature's row has all it takes: nothing is shuffled."""
+    names = F.transform("neurons", lambda n: n["uuid"])
+    rows = creatures.select("key", F.coalesce(names, F.array().cast("array<string>")).alias("listed"), F.filter("synapses", lambda s: input_number(s["from_uuid"], F.col("input")).isNull()).alias("s"))
+    rows = rows.withColumn("lost", F.array_except(F.transform("s", lambda s: s["from_uuid"]), "listed"))
+    rows = rows.select("key", F.explode(F.filter("s", lambda s: s["from_uuid"].isNull() | F.array_contains("lost", s["from_uuid"]))).alias("s"))
+    return rows.select("key", "s.from_uuid", "s.to_uuid")
 
 
 def bad_records(corpus: DataFrame, inputs: int, outputs: int) -> DataFrame:

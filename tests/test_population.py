@@ -197,6 +197,16 @@ def test_checks_name_what_is_wrong(spark):
     assert {r.record_idx: r.fault for r in bad.collect()} == {1: "features length", 2: "no features", 3: "null in features", 4: "targets length", 5: "null in targets"}
 
 
+def test_unlisted_sources_are_found_within_the_row(spark, data):
+    table = derived.part_population(spark, data)
+    odd = Creature(2, 1, (Neuron("output", "output-0", 0.0),), tuple(Synapse(x, "output-0", 1.0) for x in ("input-1", "input-2", "output-0", "gone", "gone", None)))
+    table = table.unionByName(K.creature_table(spark, {"odd": odd, "bare": Creature(2, 1, (), (Synapse("input-0", "h", 1.0), Synapse("h", "h", 1.0)))}))
+    found = validation.unlisted_sources(table)
+    want = graph.resolved(table).where("source IS NULL").join(table.select("key", F.posexplode("synapses").alias("at", "s")), ["key", "at"]).select("key", "s.from_uuid", "s.to_uuid")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect())) and found.where("key = 'odd'").count() == 4
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_file_sums_do_not_depend_on_the_cut(spark, tmp_path):
     rng = np.random.default_rng(4)
     rows = (rng.uniform(-1, 1, (3000, 4)) * 10.0 ** rng.integers(-6, 6, (3000, 1))).astype("<f4")
