@@ -66,15 +66,16 @@ def runs(out: np.ndarray, at: np.ndarray) -> np.ndarray:
     return code[scored]
 
 
-def _parts(batches):
+def _parts(batches, trees: bool = True):
+    """Some documents at a time: the batch, its runs (none if no trees are wanted), its words, its documents' first words."""
     for batch, data, at in K.blocks(batches, size=BLOCK):
         data = K.LOWER[data]
         starts, ends, first = K.words(data, at)
-        yield batch, runs(*stream(data, starts, ends, first)), K.spans_hash(data, starts, ends), first
+        yield batch, runs(*stream(data, starts, ends, first)) if trees else np.zeros(0, _U), K.spans_hash(data, starts, ends), first
 
 
-def _count(batches):
-    """Rows (kind, key, n): counts of runs (0) and of words (1) in the texts to learn from, zero for those of other texts
+def _count(batches, trees: bool = True):
+    """Rows (kind, key, n): counts of runs (0, if trees are wanted) and of words (1) in the texts to learn from, zero for those of other texts
     only, summed over some blocks."""
     held: dict[int, list] = {0: [], 1: []}
     waiting = 0
@@ -89,9 +90,9 @@ def _count(batches):
                     some = keys[a : a + 200_000]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int8)), pa.array(some.view(np.int64)), pa.array(n[a : a + 200_000])], ["kind", "key", "n"])
 
-    for batch, codes, words, first in _parts(batches):
+    for batch, codes, words, first in _parts(batches, trees):
         learn, counts = batch.column(1).to_numpy(zero_copy_only=False).astype(float), np.diff(first)
-        for kind, keys, sizes in ((0, codes, np.diff(_byte_cuts(batch, counts))), (1, words, counts)):
+        for kind, keys, sizes in (*([(0, codes, np.diff(_byte_cuts(batch, counts)))] if trees else []), (1, words, counts)):
             which, distinct = pd.factorize(keys)
             held[kind].append((distinct, np.bincount(which, np.repeat(learn, sizes), len(distinct))))
             waiting += len(distinct)
@@ -253,15 +254,15 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, counts:
     return total[cuts[1:]] - total[cuts[:-1]], found, pa.ListArray.from_arrays(pa.array(ends), pa.array(wanted[~known].view(np.int64)))
 
 
-def _score(shared):
+def _score(shared, trees: bool = True):
     """Documents -> id, n_tokens, and for what the broadcast tables tell: score, n_known, base; the other words and runs."""
 
     def run(batches):
         codes_of, lengths, words, logs, end = shared.value
-        for batch, codes, hashes, first in _parts(batches):
+        for batch, codes, hashes, first in _parts(batches, trees):
             counts = np.diff(first)
             size = np.diff(_byte_cuts(batch, counts))
-            score, _, runs_left = _looked_up(codes_of, lengths, codes, size)
+            score, _, runs_left = _looked_up(codes_of, lengths, codes, size if trees else np.zeros_like(size))
             base, known, words_left = _looked_up(words, logs, hashes, counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts.astype(np.int64) + 1), pa.array(size.astype(np.int64)), pa.array(score), pa.array(known), pa.array(base + end), words_left, runs_left],
@@ -289,13 +290,17 @@ def _least_total(rows: DataFrame, start: float, most: int) -> float:
     return math.inf
 
 
-def fit(texts: DataFrame) -> tuple[DataFrame, DataFrame, int, int, int]:
-    """texts(text, learn) -> the runs of all texts (key, n, log), learned from those with learn; counts of words (key, n);
-    training tokens; distinct tokens; training texts."""
+def fit(texts: DataFrame, trees: bool = True) -> tuple[DataFrame | None, DataFrame, int, int, int]:
+    """texts(text, learn) -> the runs of all texts (key, n, log), learned from those with learn (None without trees); counts
+    of words (key, n); training tokens; distinct tokens; training texts."""
     spark = texts.sparkSession
-    counts = stored(texts.mapInArrow(_count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    counts = stored(texts.mapInArrow(lambda batches: _count(batches, trees), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     sums = {r.kind: (r.n, r.known, r.rows) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("known"), F.count("*").alias("rows")).collect()}
     docs = texts.where("learn").count()
+    tokens, distinct, _ = sums.get(1, (0, 0, 0))
+    words = counts.where("kind = 1 AND n > 0").select("key", "n"), tokens + docs, distinct + (docs > 0), docs
+    if not trees:
+        return None, *words
     runs_of = counts.where("kind = 0").select("key", "n")
     context = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << (8 * TOP)) - 1))
     groups = runs_of.withColumn("part", F.pmod(F.xxhash64(context), F.lit(sums.get(0, (0, 0, 0))[2] // GROUP + 1)))
@@ -312,8 +317,7 @@ def fit(texts: DataFrame) -> tuple[DataFrame, DataFrame, int, int, int]:
     tree = Tree([_shorter(codes, n, d) for d in range(TOP)], below)
     runs_of = stored(parts.where("kind = 0").select("key", "n", "under").mapInArrow(_lengths(spark.sparkContext.broadcast(tree)), "key long, n long, log double"), "run-lengths")
     discard(parts)
-    tokens, distinct, _ = sums.get(1, (0, 0, 0))
-    return runs_of, counts.where("kind = 1 AND n > 0").select("key", "n"), tokens + docs, distinct + (docs > 0), docs
+    return runs_of, *words
 
 
 def _head(counts: DataFrame, most: int, value: str) -> tuple[np.ndarray, np.ndarray]:
@@ -339,39 +343,46 @@ def ctw_scores(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_c
     return _scores(docs, docs.select(text, F.lit(False).alias("learn")).union(train.select(text, F.lit(True).alias("learn"))), id_col, text_col)
 
 
-def _scores(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As ctw_scores; texts(text, learn) are those of docs and those to learn from."""
+def _scores(docs: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", trees: bool = True) -> DataFrame:
+    """As ctw_scores; texts(text, learn) are those of docs and those to learn from. Without trees only the base score is
+    made: words are counted and looked up, runs are not."""
     spark = docs.sparkSession
-    lengths, counts, tokens, distinct, n_docs = fit(texts)
+    lengths, counts, tokens, distinct, n_docs = fit(texts, trees)
     below = tokens + 0.5 * (distinct + 1)
-    codes, logs = _head(lengths, HEAD_RUNS, "log")
+    codes, logs = _head(lengths, HEAD_RUNS, "log") if trees else (np.zeros(0, _U), np.zeros(0))
     words, n = _head(counts, HEAD, "n")
     shared = spark.sparkContext.broadcast((codes, logs.astype(np.float32), words, np.log10((n + 0.5) / below), math.log10((n_docs + 0.5) / below)))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).mapInArrow(_score(shared), f"row long, id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_bytes long, score double, n_known long, base double, rest array<long>, runs array<long>")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id")).mapInArrow(_score(shared, trees), f"row long, id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, n_bytes long, score double, n_known long, base double, rest array<long>, runs array<long>")
     rows = stored(rows, "scores")
     other = rows.select("row", F.explode("rest").alias("key")).groupBy("row", "key").agg(F.count("*").alias("times"))
     other = other.join(counts, "key", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(below))).alias("more_base"),
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more_known"),
     )
-    more = rows.select("row", F.explode("runs").alias("key")).join(lengths.select("key", "log"), "key").groupBy("row").agg(F.sum("log").alias("more_score"))
     known = F.col("n_known") + F.coalesce("more_known", F.lit(0)) + F.lit(int(n_docs > 0))
+    base = [F.col("id").alias(id_col), "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score")]
+    rest = rows.drop("rest", "runs").join(other, "row", "left")
+    if not trees:
+        return rest.select(*base)
+    more = rows.select("row", F.explode("runs").alias("key")).join(lengths.select("key", "log"), "key").groupBy("row").agg(F.sum("log").alias("more_score"))
     score = F.col("score") + F.coalesce("more_score", F.lit(0.0))
-    return rows.drop("rest", "runs").join(other, "row", "left").join(more, "row", "left").select(
-        F.col("id").alias(id_col), "n_tokens", known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), score.alias("score"), (-score / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte")
-    )
+    return rest.join(more, "row", "left").select(*base, score.alias("score"), (-score / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"))
 
 
-def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract: all of documents, learned from those whose crc32 of the id as text is not 1 mod 5."""
+def _contract(spark: SparkSession, sf_dir: str, trees: bool) -> DataFrame:
     docs = table(tune(spark), sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
-    return _scores(docs, docs.select("text", F.coalesce(~held, F.lit(False)).alias("learn"))).withColumn("held_out", held)
+    return _scores(docs, docs.select("text", F.coalesce(~held, F.lit(False)).alias("learn")), trees=trees).withColumn("held_out", held)
+
+
+def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract: all of documents, learned from those whose crc32 of the id as text is not 1 mod 5."""
+    return _contract(spark, sf_dir, True)
 
 
 def ctw_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of op1_ctw the columns that SQL can express, the base score to three places."""
-    return op1_ctw(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+    """Of op1_ctw the columns that SQL can express, the base score to three places; they take no trees, so none are built."""
+    return _contract(spark, sf_dir, False).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
 
 
 _BYTES = "list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substring(CAST(doc_id AS VARCHAR), i, 1)) AS UBIGINT))"

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evalgrid.llm import exact_dedup, merkle, quality, queries, spelling, toxicity, url_filter
+from evalgrid.llm import ctw, exact_dedup, merkle, quality, queries, spelling, toxicity, url_filter
 from evalgrid.llm import textkernel as K
 
 DOCS = "doc_id long, source string, lang string, n_chars long, text string, id long, at long, group string, digest string, word string, n long, d string, norm string, `a b` int"
@@ -249,3 +249,14 @@ def test_quality_scores_equal_a_plain_recursion_over_each_text(spark, data):
         assert r.score == pytest.approx(want, rel=1e-6, abs=1e-9)
         assert r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words)
         assert r.kept == (not r.base_failed and r.score >= 0.3)
+
+
+def test_the_base_score_takes_no_trees(spark, data, monkeypatch):
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 3).alias("base_score"))
+    want = ctw.op1_ctw(spark, data).select(*columns).orderBy("doc_id").collect()
+
+    def refused(*_):
+        raise AssertionError("a tree was built")
+
+    monkeypatch.setattr(ctw, "Tree", refused)
+    assert ctw.ctw_base(spark, data).orderBy("doc_id").collect() == want and len(want) >= 200
