@@ -34,6 +34,8 @@ from .common import discard, stored, table, tune
 DEPTH, TOP, HEAD_RUNS, HEAD = 6, 2, 1 << 21, 1 << 19
 #: Bytes of text whose runs are counted or scored at once; runs of a group of contexts, about.
 BLOCK, GROUP = 1 << 20, 100_000
+#: Items that a task collects before it sorts and counts them; distinct ones of which it holds the counts.
+RAW, HELD = 1 << 22, 4_000_000
 END, SPACE = 0x0A, 0x20
 _U = np.uint64
 
@@ -74,32 +76,61 @@ def _parts(batches, trees: bool = True):
         yield batch, runs(*stream(data, starts, ends, first)) if trees else np.zeros(0, _U), K.spans_hash(data, starts, ends), first
 
 
+def _tally(keys: list[np.ndarray], learn: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and how often each occurs: zero times if they are not to be learned from."""
+    own = np.concatenate(keys)
+    keys.clear()
+    own.sort()
+    begin = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    return own[begin], np.diff(np.append(begin, len(own))) if learn else np.zeros(len(begin), np.int64)
+
+
+def _combined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tallies as one."""
+    keys, n = (np.concatenate(x) for x in zip(*parts))
+    parts.clear()
+    order = np.argsort(keys, kind="stable")  # merges what is sorted already
+    keys, n = keys[order], n[order]
+    begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[begin], np.add.reduceat(n, begin)
+
+
 def _count(batches, trees: bool = True):
-    """Rows (kind, key, n): counts of runs (0, if trees are wanted) and of words (1) in the texts to learn from, zero for those of other texts
-    only, summed over some blocks."""
+    """Rows (kind, key, n): counts of runs (0, if trees are wanted) and of words (1) in the texts to learn from, zero for those
+    of other texts only. They are summed over the task as far as HELD distinct ones reach, so that few rows leave it."""
+    raw: dict[tuple[int, bool], list] = {(kind, learn): [] for kind in (0, 1) for learn in (False, True)}
     held: dict[int, list] = {0: [], 1: []}
     waiting = 0
 
-    def flush():
+    def rows(kind, keys, n):
+        for a in range(0, len(keys), 200_000):
+            some = keys[a : a + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int8)), pa.array(some.view(np.int64)), pa.array(n[a : a + 200_000])], ["kind", "key", "n"])
+
+    def fold(last: bool):
+        for (kind, learn), keys in raw.items():
+            if keys:
+                held[kind].append(_tally(keys, learn))
         for kind, parts in held.items():
-            if parts:
-                codes, keys = pd.factorize(np.concatenate([k for k, _ in parts]))
-                n = np.bincount(codes, np.concatenate([c for _, c in parts])).astype(np.int64)
-                held[kind] = []
-                for a in range(0, len(keys), 200_000):
-                    some = keys[a : a + 200_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), kind, np.int8)), pa.array(some.view(np.int64)), pa.array(n[a : a + 200_000])], ["kind", "key", "n"])
+            if parts and (last or sum(len(keys) for keys, _ in parts) > HELD):
+                whole = _combined(parts)
+                if last or len(whole[0]) > HELD // 2:
+                    yield from rows(kind, *whole)
+                else:
+                    parts.append(whole)
 
     for batch, codes, words, first in _parts(batches, trees):
-        learn, counts = batch.column(1).to_numpy(zero_copy_only=False).astype(float), np.diff(first)
+        learn, counts = batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(first)
         for kind, keys, sizes in (*([(0, codes, np.diff(_byte_cuts(batch, counts)))] if trees else []), (1, words, counts)):
-            which, distinct = pd.factorize(keys)
-            held[kind].append((distinct, np.bincount(which, np.repeat(learn, sizes), len(distinct))))
-            waiting += len(distinct)
-        if waiting > 2_000_000:
-            yield from flush()
+            own = np.repeat(learn, sizes)
+            for which, some in ((True, keys[own]), (False, keys[~own])):
+                if len(some):
+                    raw[kind, which].append(some)
+                    waiting += len(some)
+        if waiting > RAW:
+            yield from fold(False)
             waiting = 0
-    yield from flush()
+    yield from fold(True)
 
 
 _ROOT_PI = 0.5 * math.log(math.pi)
@@ -254,6 +285,28 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, counts:
     return total[cuts[1:]] - total[cuts[:-1]], found, pa.ListArray.from_arrays(pa.array(ends), pa.array(wanted[~known].view(np.int64)))
 
 
+def _runs_looked_up(codes: np.ndarray, logs: np.ndarray, wanted: np.ndarray, counts: np.ndarray):
+    """As _looked_up for the runs of documents, whose codes have seven bytes: the eighth is the document's number, of 256 at a
+    time, so that one sort brings equal runs together and still tells whose they are."""
+    cuts, totals, rest, left = np.concatenate([[0], np.cumsum(counts)]), [], [], []
+    for d in range(0, len(counts), 256):
+        sizes = counts[d : d + 256]
+        own = (wanted[cuts[d] : cuts[d + len(sizes)]] << _U(8)) | np.repeat(np.arange(len(sizes), dtype=_U), sizes)
+        own.sort()
+        run, doc = own >> _U(8), (own & _U(255)).astype(np.int64)
+        begin = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]])) if len(run) else np.zeros(0, np.int64)
+        distinct, times = run[begin], np.diff(np.append(begin, len(run)))
+        at = np.minimum(np.searchsorted(codes, distinct), max(len(codes) - 1, 0))
+        real = codes[at] == distinct if len(codes) else np.zeros(len(distinct), bool)
+        found = np.where(real, logs[at], 0.0) if len(codes) else np.zeros(len(distinct))
+        totals.append(np.bincount(doc, np.repeat(found, times), len(sizes)))
+        missed = np.flatnonzero(~np.repeat(real, times))
+        left.append(np.bincount(doc[missed], minlength=len(sizes)))
+        rest.append(run[missed[np.argsort(doc[missed], kind="stable")]])
+    ends = np.concatenate([[0], *left]).cumsum().astype(np.int32)
+    return np.concatenate([np.zeros(0), *totals]), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, _U), *rest]).view(np.int64)))
+
+
 def _score(shared, trees: bool = True):
     """Documents -> id, n_tokens, and for what the broadcast tables tell: score, n_known, base; the other words and runs."""
 
@@ -262,7 +315,7 @@ def _score(shared, trees: bool = True):
         for batch, codes, hashes, first in _parts(batches, trees):
             counts = np.diff(first)
             size = np.diff(_byte_cuts(batch, counts))
-            score, _, runs_left = _looked_up(codes_of, lengths, codes, size if trees else np.zeros_like(size))
+            score, runs_left = _runs_looked_up(codes_of, lengths, codes, size if trees else np.zeros_like(size))
             base, known, words_left = _looked_up(words, logs, hashes, counts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(counts.astype(np.int64) + 1), pa.array(size.astype(np.int64)), pa.array(score), pa.array(known), pa.array(base + end), words_left, runs_left],
@@ -294,7 +347,9 @@ def fit(texts: DataFrame, trees: bool = True) -> tuple[DataFrame | None, DataFra
     """texts(text, learn) -> the runs of all texts (key, n, log), learned from those with learn (None without trees); counts
     of words (key, n); training tokens; distinct tokens; training texts."""
     spark = texts.sparkSession
-    counts = stored(texts.mapInArrow(lambda batches: _count(batches, trees), "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    # Tasks have summed up what they can: their rows are dealt out by key first, not combined once more before.
+    counted = texts.mapInArrow(K.lean(lambda batches: _count(batches, trees)), "kind byte, key long, n long").repartition("kind", "key")
+    counts = stored(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
     sums = {r.kind: (r.n, r.known, r.rows) for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("known"), F.count("*").alias("rows")).collect()}
     docs = texts.where("learn").count()
     tokens, distinct, _ = sums.get(1, (0, 0, 0))

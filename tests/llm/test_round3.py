@@ -260,3 +260,55 @@ def test_the_base_score_takes_no_trees(spark, data, monkeypatch):
 
     monkeypatch.setattr(ctw, "Tree", refused)
     assert ctw.ctw_base(spark, data).orderBy("doc_id").collect() == want and len(want) >= 200
+
+
+def test_ctw_rows_of_a_task_are_summed_up():
+    """Four blocks of a million distinct runs each, the same ones: each run leaves the task once, counted as often as it is
+    learned from."""
+    import pyarrow as pa
+
+    text = bytes(np.random.default_rng(5).integers(97, 123, 1_000_000, np.uint8)).decode()
+    batches = [pa.RecordBatch.from_arrays([pa.array([text]), pa.array([learn])], ["text", "learn"]) for learn in (True, True, False, True)]
+    out = pa.Table.from_batches(list(ctw._count(iter(batches)))).to_pandas()
+    assert not out.duplicated(["kind", "key"]).any()
+    assert set(out.n) <= {3, 6, 9}  # some runs occur twice in the text
+    assert out[out.kind == 0].n.sum() == 3 * 1_000_002 and out[out.kind == 1].n.tolist() == [3]
+
+
+@pytest.mark.parametrize(("raw", "held"), [(1 << 22, 4_000_000), (50, 40), (1, 1)])
+def test_ctw_counts_whatever_a_task_holds(monkeypatch, raw, held):
+    import collections
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(ctw, "RAW", raw)
+    monkeypatch.setattr(ctw, "HELD", held)
+    texts = [("to be or not to be", True), (None, True), ("", False), ("to see \n or not", False), ("be", True), ("  ", True), ("to be or not to be", True)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([t], pa.string()), pa.array([learn])], ["text", "learn"]) for t, learn in texts]
+    got = collections.Counter()
+    for batch in ctw._count(iter(batches)):
+        for kind, key, n in zip(*(c.to_pylist() for c in batch.columns)):
+            got[kind, key] += n
+    want = collections.Counter()
+    for b in batches:
+        for _, runs, words, _ in ctw._parts(iter([b])):
+            for kind, keys in ((0, runs), (1, words)):
+                for key in keys.view(np.int64).tolist():
+                    want[kind, key] += b.column(1)[0].as_py()
+    assert dict(got) == dict(want) and 0 in got.values()
+
+
+@pytest.mark.parametrize("known", [0, 1, 40])
+def test_ctw_runs_are_looked_up_by_document(known):
+    """More than 256 documents, some without a run, against a dictionary."""
+    r = np.random.default_rng(6)
+    counts = r.integers(0, 9, 600)
+    counts[[0, 255, 256, 599]] = 0
+    wanted = r.integers(0, 60, counts.sum()).astype(np.uint64) << np.uint64(49) | np.uint64(7)
+    codes = np.unique(wanted)[:known]
+    logs = -r.random(len(codes)).astype(np.float32)
+    table = dict(zip(codes.tolist(), logs.tolist()))
+    totals, rest = ctw._runs_looked_up(codes, logs, wanted, counts)
+    for total, left, own in zip(totals, rest.to_pylist(), np.split(wanted, np.cumsum(counts)[:-1]), strict=True):
+        assert total == pytest.approx(sum(table.get(x, 0.0) for x in own.tolist()))
+        assert sorted(left) == sorted(x for x in own.view(np.int64).tolist() if x not in table)
