@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from evalgrid.operators import graph, ranking, validation
 from evalgrid.operators.scoring import partials, score_population, score_table, totals
-from evalgrid.plans import arrow_tier
+from evalgrid.plans import arrow_tier, population
 from evalgrid.plans.creature import Creature, CreatureError, Neuron, Synapse, compile_creature
 from evalgrid.plans.population import creature_of
 from evalgrid.queries import FAULTY, NETWORKS, POPULATION, RACERS
@@ -214,3 +214,19 @@ def test_file_sums_do_not_depend_on_the_cut(spark, tmp_path):
         part.tofile(f"{tmp_path}/{i}.bin")
     seen = {tuple((r.file_idx, r.n, r.total, r.running) for r in C.file_sums(C.read_bin(spark, str(tmp_path), 3, 1, split)).orderBy("file_idx").collect()) for split in (1 << 20, 999, 4000)}
     assert len(seen) == 1 and [n for _, n, _, _ in seen.pop()] == [1000, 700, 1300]
+
+
+def test_creatures_are_compiled_once_and_by_many_tasks(spark, data, monkeypatch):
+    rows, tasks, plain = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), population._compile
+
+    def counted(batches):
+        n = 0
+        for batch in batches:
+            n += batch.num_rows
+            yield from plain([batch])
+        rows.add(n)
+        tasks.add(1 if n else 0)
+
+    monkeypatch.setattr(population, "_compile", counted)
+    table = derived.supplier_population(spark, data)
+    assert population.shared_table(table)[0].creatures == table.count() == rows.value and tasks.value > 1
