@@ -9,6 +9,7 @@ import pytest
 
 from evalgrid.functions.exact import BLOCK, Adder, exact_sums, total
 from evalgrid.functions.losses import COSTS
+from evalgrid.functions.squash import SQUASHES, limited_array
 from evalgrid.operators.scoring import partials, score_bin, score_population
 from evalgrid.plans.arrow_tier import Shared, tiles
 from evalgrid.plans.creature import Creature, Neuron, Synapse, compile_creature
@@ -63,6 +64,23 @@ def test_block_sums_with_counts_are_exact(most):
     assert total(adder.units(0)) == float(sum(Fraction(x) * k for x, k in zip(xs, n)))
 
 
+@pytest.mark.parametrize("least", [1e-300, 2.0**-60, 0.1])
+def test_block_sums_of_positive_terms_and_equal_counts_are_exact(least):
+    rng = random.Random(7)
+    xs = [least, *(rng.uniform(least, 1) ** 2 for _ in range(BLOCK - 1))]
+    adder = Adder(2)
+    adder.add(0, np.array([xs, xs]), np.full(BLOCK, 7))
+    adder.add(1, np.array([xs]))
+    assert total(adder.units(0)) == float(7 * sum(map(Fraction, xs))) and total(adder.units(1)) == float(8 * sum(map(Fraction, xs)))
+
+
+def test_tangents_from_steps_are_those_of_double_precision():
+    z = np.concatenate([np.random.default_rng(3).normal(0, 2, 200_000), np.geomspace(1e-38, 9.3, 5000), [0.0, -0.0, 9.25, 30, -1e38, np.inf, -np.inf, np.nan]]).astype(np.float32)
+    got, want = limited_array(SQUASHES["TANH"], z), np.nan_to_num(np.tanh(z.astype(np.float64))).astype(np.float32)
+    assert (np.abs(got - want) <= np.spacing(np.abs(want))).all() and (got != want).mean() < 1e-4
+    assert (got[-8:] == np.array([0, 0, 1, 1, -1, 1, -1, 0])).all()
+
+
 def test_sums_have_the_same_bits_for_any_split_and_in_a_race(spark):
     rng = np.random.default_rng(1)
     x, t = rng.uniform(-1, 1, (3000, 3)), rng.uniform(0.1, 1, 3000)

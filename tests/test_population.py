@@ -216,6 +216,58 @@ def test_file_sums_do_not_depend_on_the_cut(spark, tmp_path):
     assert len(seen) == 1 and [n for _, n, _, _ in seen.pop()] == [1000, 700, 1300]
 
 
+def relatives(n):
+    """Creatures of one and of two hidden neurons, both of kinds that recur: five weights and two biases."""
+    out = []
+    for i in range(n):
+        hidden = [(Neuron("hidden", f"h{j}", 0.1 * (1 + i % 2) * (1 + j), "TANH"), [Synapse(f"input-{k}", f"h{j}", 0.2 * (i % 5) - 0.3 * k + 0.1 * j) for k in range(3)]) for j in range(1 + i % 3 % 2)]
+        out.append(Creature(3, 1, (*(h for h, _ in hidden), Neuron("output", "output-0", 0.01 * i)), (*(s for _, own in hidden for s in own), *(Synapse(h.uuid, "output-0", 0.3 - 0.01 * i) for h, _ in hidden))))
+    return out
+
+
+class Told:
+    """Tiles as a task sees them, broadcast or one by one."""
+
+    files = ()
+
+    def __init__(self, cut, held):
+        self.cut, self.value, self.creatures = cut, True if held else None, sum(len(t.numbers) for t in cut)
+
+    def tiles(self):
+        return iter(self.cut)
+
+
+@pytest.mark.parametrize("held", [True, False])
+def test_neurons_that_creatures_share_are_worked_out_once(monkeypatch, held):
+    rng, networks, worked = np.random.default_rng(4), [compile_creature(c) for c in relatives(60)], []
+    x, t, n = rng.uniform(-1, 1, (50, 3)).astype("f4"), rng.uniform(0, 1, (50, 1)).astype("f4"), rng.integers(1, 4, 50)
+    plain = arrow_tier.limited_in_place
+    monkeypatch.setattr(arrow_tier, "limited_in_place", lambda squash, z: (worked.append(z.size // 50 if squash.name == "TANH" else 0), plain(squash, z)))
+
+    def lines(cut, held=True):
+        scorer = arrow_tier.Scorer(Told(cut, held), "MSE", 4)
+        scorer.add(x, t, n)
+        return {(r["key"], r["exp"], r["units"], r["n"]) for b in scorer.lines() for r in b.to_pylist()}
+
+    got = lines(arrow_tier.tiles(networks), held)
+    assert sum(worked) == (20 if held else 30)  # ten of each place; a tile has one topology
+    one = [line for i, net in enumerate(networks) for line in lines([arrow_tier.Tile(*(lambda tile: (tile.topology, [i], tile.bias, tile.weights))(arrow_tier.tiles([net])[0]))])]
+    assert got == set(one) and len({k for k, *_ in got}) == 60
+
+
+def test_more_shared_neurons_than_are_held_at_once(monkeypatch):
+    networks = [compile_creature(c) for c in relatives(60)]
+    rng = np.random.default_rng(4)
+    x, t, seen = rng.uniform(-1, 1, (5000, 3)).astype("f4"), rng.uniform(0, 1, (5000, 1)).astype("f4"), []
+    for most in (1, 3, 64):
+        monkeypatch.setattr(arrow_tier, "NEURONS", most)
+        scorer = arrow_tier.Scorer(Told(arrow_tier.tiles(networks), True), "MAE", 4)
+        scorer.add(x, t)
+        scorer.add(x[:0], t[:0])
+        seen.append({(r["key"], r["exp"], r["units"], r["n"]) for b in scorer.lines() for r in b.to_pylist()})
+    assert seen[0] == seen[1] == seen[2]
+
+
 def test_creatures_are_compiled_once_and_by_many_tasks(spark, data, monkeypatch):
     rows, tasks, plain = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), population._compile
 
